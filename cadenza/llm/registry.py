@@ -1,9 +1,12 @@
 """The queries of this subpackage and the SQL that gives the same rows."""
 
-from . import quality, secrets, urls
+from . import mixing, ngram_join, packing, quality, secrets, urls
 from .oracle import SQL
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
+    "op2_packing": packing.op2_packing,
+    "op4_mixing": mixing.op4_mixing,
     "op5_secret_scans": secrets.op5_secret_scans,
     "op6_url_filters": urls.op6_url_filters,
     "op9_quality_rules": quality.op9_quality_rules,
