@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import connected_components, cut, table
 
@@ -206,7 +207,7 @@ def _unpack(grams: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     """Partial overlap of two sets in one fragment."""
     return pd.Series([len(np.intersect1d(_unpack(x), _unpack(y), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from .common import cut, table
 
-#: Items that a task packs at once, bins that a group hands on at most, groups that meet in one task, fill that ends a bin.
-BATCH, CARRY, FAN_IN, NEARLY_FULL = 100_000, 4096, 16, 0.99
+#: Items that a task packs at once, items that a group hands on at most, groups that meet in one task, fill that ends a bin.
+BATCH, CARRY, FAN_IN, NEARLY_FULL = 100_000, 8192, 16, 0.99
 CACHE = 300_000
 
 _tokenizers: dict = {}
@@ -103,16 +103,33 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(fills, np.int64)
 
 
+def settle(lengths: np.ndarray, capacity: int, last: bool):
+    """best_fit() of a group, and which items the group hands on: those of its bins that are not nearly full.
+
+    The emptiest bins are opened first, as long as no more than CARRY items are handed on; the other bins are done.
+    Nothing is handed on by the last group. Items that are handed on have offset 0 and no bin (-1).
+    """
+    bins, offsets, fills = best_fit(lengths, capacity)
+    up = np.zeros(len(lengths), bool)
+    if not last and len(fills):
+        order = np.argsort(fills, kind="stable")
+        count = np.cumsum(np.bincount(bins, minlength=len(fills))[order])
+        opened = np.zeros(len(fills), bool)
+        opened[order[(count <= CARRY) & (fills[order] < NEARLY_FULL * capacity)]] = True
+        up = opened[bins]
+    return np.where(up, -1, bins), np.where(up, 0, offsets), up
+
+
 def pack(pieces: DataFrame, length: str = "length", capacity: int = 4096) -> DataFrame:
     """pieces with sequence_id and offset: the sequence that takes a piece and the piece's place in it, from 0, gapless.
 
-    Each partition packs its own pieces by best fit. Bins that are nearly full, or that no other could join, are done;
-    the emptier ones are items of the next round, in which FAN_IN neighbouring groups share a task, and so on up a tree
-    to one group. A group hands on CARRY bins at most, the emptiest first, and the others end as they are, so a task's
-    memory is bounded. Lengths are 1 to capacity. An empty table gives an empty one; extra columns stay.
+    Each partition packs its own pieces by best fit. Bins that are nearly full are done; what is in the others are the
+    items of the next round, in which FAN_IN neighbouring groups share a task, and so on up a tree to one group. A group
+    hands on CARRY items at most, so a task's memory is bounded and the last task sees no more however long the table
+    is. Lengths are 1 to capacity. An empty table gives an empty one; extra columns stay.
     """
     names = pieces.columns
-    start = pieces.rdd.getNumPartitions()
+    cells = pieces.rdd.getNumPartitions()
 
     def local(batches):
         part, made, wait, n = TaskContext.get().partitionId(), 0, [], 0
@@ -121,9 +138,10 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 4096) -> Dat
             nonlocal made, wait, n
             pdf = pd.concat(wait, ignore_index=True)
             wait, n = [], 0
-            bins, offsets, fills = best_fit(pdf[length].to_numpy(np.int64), capacity)
-            out = pdf.assign(sequence_id=(part << 32) + made + bins, offset=offsets, _fill=fills[bins])
-            made += len(fills)
+            bins, offsets, up = settle(pdf[length].to_numpy(np.int64), capacity, False)
+            bins[up] = bins.max(initial=-1) + 1 + np.arange(up.sum())
+            out = pdf.assign(sequence_id=(part << 32) + made + bins, offset=offsets, _up=up)
+            made += bins.max(initial=-1) + 1
             return out
 
         for pdf in batches:
@@ -134,56 +152,40 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 4096) -> Dat
         if n:
             yield flush()
 
-    schema = T.StructType(pieces.schema.fields + [T.StructField(x, T.LongType()) for x in ("sequence_id", "offset", "_fill")])
-    placed = cut(pieces.mapInPandas(local, schema))
-    full = int(NEARLY_FULL * capacity)
-    bins = (
-        placed.where(f"_fill < {full}")
-        .groupBy("sequence_id")
-        .agg(F.first("_fill").alias("fill"))
-        .select("sequence_id", "fill", F.shiftright("sequence_id", 32).alias("cell"))
-    )
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["fill", "sequence_id"], kind="stable")
-        done = pdf.iloc[CARRY * FAN_IN :]
-        pdf = pdf.iloc[: CARRY * FAN_IN]
-        to, offsets, fills = best_fit(pdf["fill"].to_numpy(np.int64), capacity)
-        # A bin keeps the name of its first item, which is the longest.
-        name = pdf["sequence_id"].to_numpy()
-        head = np.zeros(len(fills), np.int64)
-        head[to[offsets == 0]] = name[offsets == 0]
-        went_on = np.zeros(len(fills), bool)
-        went_on[np.argsort(fills, kind="stable")[:CARRY]] = True
-        went_on &= fills < full
-        out = pdf.assign(into=head[to], shift=offsets, into_fill=fills[to], up=went_on[to])
-        rest = done.assign(into=done["sequence_id"], shift=0, into_fill=done["fill"], up=False)
-        return pd.concat([out, rest])[["sequence_id", "into", "shift", "into_fill", "up", "cell"]]
-
-    moves, cells = [], start
-    while cells > 1:
-        bins = bins.withColumn("cell", F.floor(F.col("cell") / FAN_IN).cast("long"))
-        step = cut(
-            bins.groupBy("cell").applyInPandas(merge, "sequence_id long, into long, shift long, into_fill long, up boolean, cell long")
-        )
-        moves.append(step.select("sequence_id", "into", "shift"))
-        bins = step.where("up").groupBy("into").agg(F.first("into_fill").alias("fill"), F.first("cell").alias("cell"))
-        bins = bins.withColumnRenamed("into", "sequence_id")
-        cells = -(-cells // FAN_IN)
-    if not moves:
-        return placed.select(*names, "sequence_id", "offset")
-    # From the top of the tree down: where a bin of the first round ends up.
-    total = moves[-1]
-    for step in reversed(moves[:-1]):
-        above = total.select(F.col("sequence_id").alias("into"), F.col("into").alias("_into"), F.col("shift").alias("_shift"))
-        total = step.join(above, "into", "left").select(
-            "sequence_id",
-            F.coalesce("_into", "into").alias("into"),
-            (F.col("shift") + F.coalesce("_shift", F.lit(0))).alias("shift"),
-        )
-    stays = placed.where(f"_fill >= {full}").select(*names, "sequence_id", "offset")
-    moved = placed.where(f"_fill < {full}").join(total, "sequence_id").select(
-        *names, F.col("into").alias("sequence_id"), (F.col("offset") + F.col("shift")).alias("offset")
+    new = [T.StructField(x, T.LongType()) for x in ("sequence_id", "offset")] + [T.StructField("_up", T.BooleanType())]
+    placed = cut(pieces.mapInPandas(local, T.StructType(pieces.schema.fields + new)))
+    items = placed.where("_up").select("sequence_id", F.col(length).cast("long").alias("fill"), F.shiftright("sequence_id", 32).alias("cell"))
+
+    def merge(last: bool):
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["fill", "sequence_id"], kind="stable")
+            bins, offsets, up = settle(pdf["fill"].to_numpy(np.int64), capacity, last)
+            # A bin takes the name of its first item, the one at its start.
+            name = pdf["sequence_id"].to_numpy()
+            first = ~up & (offsets == 0)
+            head = np.zeros(bins.max(initial=-1) + 1, np.int64)
+            head[bins[first]] = name[first]
+            into = np.where(up, name, head[bins] if len(head) else name)
+            return pdf.assign(into=into, shift=offsets, up=up)[["sequence_id", "into", "shift", "up", "fill", "cell"]]
+
+        return one
+
+    moves = []
+    while True:
+        last = cells <= FAN_IN
+        items = items.withColumn("cell", F.floor(F.col("cell") / FAN_IN).cast("long"))
+        step = cut(items.groupBy("cell").applyInPandas(merge(last), "sequence_id long, into long, shift long, up boolean, fill long, cell long"))
+        moves.append(step.where("not up").select("sequence_id", "into", "shift"))
+        if last:
+            break
+        items, cells = step.where("up").select("sequence_id", "fill", "cell"), -(-cells // FAN_IN)
+    # An item is moved once: in the round that does not hand it on.
+    total = moves[0]
+    for step in moves[1:]:
+        total = total.unionByName(step)
+    stays = placed.where("not _up").select(*names, "sequence_id", "offset")
+    moved = placed.where("_up").join(total, "sequence_id").select(
+        *names, F.col("into").alias("sequence_id"), F.col("shift").alias("offset")
     )
     return stays.unionByName(moved)
 
