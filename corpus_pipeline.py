@@ -1,10 +1,14 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate documents, source mix, packing."""
 
-from cadenza.llm import quality
+from cadenza.llm import lines, mixing, ngram_join, packing, quality
 from cadenza.llm.common import cut, table
 
 STAGES = [
     ("quality_rules", quality.stage),
+    ("line_dedup", lines.stage),
+    ("ngram_join", ngram_join.stage),
+    ("mixing", mixing.stage),
+    ("packing", packing.stage),
 ]
 
 #: Packing and dependent rounding have no SQL form; tests compare each stage with a plain Python version.
