@@ -1,7 +1,9 @@
 """Best-fit packing of token sequences by hierarchical residual packing."""
 
 import os
+import sys
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -14,9 +16,8 @@ from .common import cut, table
 
 #: Items that a task packs at once, items that a group hands on at most, groups that meet in one task, fill that ends a bin.
 BATCH, CARRY, FAN_IN, NEARLY_FULL = 100_000, 8192, 16, 0.99
-CACHE = 300_000
-
-_tokenizers: dict = {}
+#: Pieces that a worker remembers at most.
+CACHE = 250_000
 
 
 def default_tokenizer() -> str:
@@ -29,28 +30,70 @@ class WordIds:
     """Ids of a text as little-endian unsigned 32-bit bytes, for tokenizers that work between white space.
 
     Such a tokenizer gives a text the ids of its pieces between ASCII white space, one after the other, so each piece
-    is looked up, and only pieces not seen before are encoded. The table of pieces is bounded.
+    is looked up, and only pieces not seen before are encoded. A piece of letters, but for a full stop or comma at its
+    end, has the ids of its letters in lower case and those of the mark. Both tables are bounded.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.letters = Tokenizer.from_file(path), {}, {}
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([self.tokenizer.id_to_token(k).endswith("</w>") for k in range(size)])
+        self.marks = {c: self._plain([c])[0] for c in (b".", b",")} | {b"": b""}
+
+    def _plain(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _joined(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters, encoded as one text: each of them ends with the end of a word."""
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self._plain(words)
+        raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [raw[x:y] for x, y in zip(at, at[1:])]
+
+    def _learn(self, new) -> None:
+        plans, odd = {}, []
+        for w in new:
+            low = w.lower()
+            end = low[-1:] if low[-1:] in self.marks else b""
+            base = low[: len(low) - len(end)]
+            if base.decode().isalpha():
+                plans[w] = base, end
+            else:
+                odd.append(w)
+        fresh = list({base for base, _ in plans.values()}.difference(self.letters))
+        if len(self.letters) + len(fresh) > CACHE:
+            self.letters = {}
+            fresh = list({base for base, _ in plans.values()})
+        for k in range(0, len(fresh), 2000):
+            part = fresh[k : k + 2000]
+            self.letters.update(zip(part, self._joined(part)))
+        self.known.update((w, self.letters[base] + self.marks[end]) for w, (base, end) in plans.items())
+        self.known.update(zip(odd, self._plain(odd)))
 
     def encode(self, texts) -> list[bytes]:
-        split = [(x or "").encode().split() for x in texts]
-        new = list({w for ws in split for w in ws if w not in self.known})
+        split = [(x or b"").split() for x in texts]
+        every = set(chain.from_iterable(split))
+        new = every.difference(self.known)
         if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list({w for ws in split for w in ws})
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            found = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+            self.known, new = {}, every
+        self._learn(new)
         return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
 
 
+def word_ids(path: str) -> WordIds:
+    """The worker's WordIds of this file; one task after another uses it."""
+    held = sys.__dict__.setdefault("_word_ids", {})
+    if path not in held:
+        held[path] = WordIds(path)
+    return held[path]
+
+
 def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """key, piece, start, length, ids_crc32 (and ids, binary, if with_ids) of each row's pieces.
 
@@ -61,12 +104,10 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", token
 
     def run(batches):
         for whole in batches:
-            if path not in _tokenizers:
-                _tokenizers[path] = WordIds(path)
             for at in range(0, len(whole), 512):
                 pdf = whole.iloc[at : at + 512]
                 keys, rows = pdf[key].to_numpy(), []
-                for k, ids in enumerate(_tokenizers[path].encode(pdf[text])):
+                for k, ids in enumerate(word_ids(path).encode(pdf[text])):
                     ids += end
                     for piece in range(-(-len(ids) // (4 * capacity))):
                         part = ids[4 * capacity * piece : 4 * capacity * (piece + 1)]
@@ -75,7 +116,7 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", token
                 yield pd.DataFrame(rows, columns=names)
 
     schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return docs.select(key, text).mapInPandas(run, schema)
+    return docs.select(key, F.col(text).cast("binary").alias(text)).mapInPandas(run, schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
