@@ -102,18 +102,22 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
             x = np.concatenate([x, np.eye(dim)])
         mean = x.mean(0)
         need = -(-bits * tables // dim)
-        plans[dim] = mean, np.concatenate([learn_rotation(x - mean, k) for k in range(need)], 1), bits, tables
+        # The first rotation fits the centred sample. Where more bits are wanted than it has, the others are taken after
+        # a few rounds from random starts, around the origin, so that they differ from it and from each other.
+        turns = [learn_rotation(x - mean)] + [learn_rotation(x, k, 2) for k in range(1, need)]
+        level = np.concatenate([mean @ turns[0]] + [np.zeros(dim)] * (need - 1))
+        plans[dim] = level, np.concatenate(turns, 1), bits, tables
 
     def index(frames):
         for pdf in frames:
             out = []
             for dim, own in pdf.groupby(pdf["e"].map(len)):
-                mean, turn, bits, tables = plans[dim]
+                level, turn, bits, tables = plans[dim]
                 x = np.stack(own["e"].to_numpy()).astype(float)
                 x /= np.abs(x).max(1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 # Bits are dealt over the tables in turn, so that each rotation's strong axes are in all of them.
-                bit = ((x - mean) @ turn >= 0)[:, : bits * tables].reshape(len(x), bits, tables)
+                bit = (x @ turn >= level)[:, : bits * tables].reshape(len(x), bits, tables)
                 keys = (bit.transpose(0, 2, 1) << np.arange(bits)).sum(2).astype("<i8")
                 for k, (rep, lab, weight) in enumerate(zip(own["rep"], own["label"], own["weight"], strict=True)):
                     out += [(rep, lab, weight, dim, t, keys[k, t], x[k].tobytes(), keys[k].tobytes()) for t in range(tables)]

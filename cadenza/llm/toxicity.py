@@ -119,7 +119,8 @@ def score_documents(
                 add = np.concatenate([row == 0, row == 1]).astype(np.int64)
                 for w in set(text_words(t)):
                     total[w] = total[w] + add if w in total else add
-        yield pd.DataFrame({"word": list(total), "n": [x.tolist() for x in total.values()]})
+        if total:
+            yield pd.DataFrame({"word": list(total), "n": [x.tolist() for x in total.values()]})
 
     n = len(kinds)
     counts = taught.mapInPandas(count, "word binary, n array<long>").groupBy("word").agg(*[F.sum(F.get("n", k)).alias(f"n{k}") for k in range(2 * n)])

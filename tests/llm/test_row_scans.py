@@ -53,7 +53,7 @@ def test_licenses(spark, edge, empty):
         "under the mit-license! Under THE  mit\nlicense",
         "Licensed under the Apache License, Version 2.0. It is cc by nc",
         "this work is LICENSED under the gnu general PUBLIC license",
-        "under the law the mit has no license",
+        "under the law the mit has no say",
     ]
     rows = [(k, x) for k, x in enumerate(texts)] + [(100 + r["doc_id"], r["text"]) for r in edge.collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
