@@ -2,6 +2,7 @@
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..plans.telemetry import alerts
@@ -9,7 +10,7 @@ from ..plans.telemetry import alerts
 
 def alert_stream(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """States of windows of time, each given once, when events older than `late` can no longer come."""
-    return alerts(events.withWatermark("ts", late), width)
+    return alerts(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), width)
 
 
 def event_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
