@@ -1,6 +1,7 @@
 """Shared pieces of the training-data operators: reading, cutting lineage, connected components."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a Parquet table in the same folder: smaller than a checkpoint, and of known size."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def words(text) -> F.Column:
     """The words of a text, as an array of strings; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE, -1), "")

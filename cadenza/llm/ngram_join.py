@@ -5,15 +5,17 @@ document's prefix in that order find candidates; for these the order is cut into
 counted in each fragment by itself, and the counts are summed per pair.
 """
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, cut, table
+from .common import connected_components, cut, table, written
 
 #: n-grams at the end of the order, salts of their postings, fragments, documents named to every executor at most.
 HOT, SALTS, FRAGMENTS, NAMED = 4096, 32, 4, 1_000_000
@@ -30,15 +32,15 @@ _words = _Words()
 
 
 def shingles(texts, n: int = 5) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes (int64) of the n-grams of each text; null and texts without words give none.
+    """Sorted distinct 64-bit hashes (int64) of the n-grams of each UTF-8 text; null and texts without words give none.
 
     A-Z are lower-cased, words are what stands between ASCII white space; a text of fewer than n words is one n-gram.
     """
-    if len(_words) > 500_000:
+    if len(_words) > 100_000:
         _words.clear()
-    split = [(x or "").encode().lower().split() for x in texts]
+    split = [(x or b"").lower().split() for x in texts]
     counts = np.array([len(w) for w in split], np.int64)
-    flat = np.fromiter((_words[w] for ws in split for w in ws), np.uint64, int(counts.sum()))
+    flat = np.fromiter(map(_words.__getitem__, chain.from_iterable(split)), np.uint64, int(counts.sum()))
     if len(flat) >= n:
         h = np.zeros(len(flat) - n + 1, np.uint64)
         for j in range(n):
@@ -57,12 +59,17 @@ def shingles(texts, n: int = 5) -> list[np.ndarray]:
     return out
 
 
-def needed(n, percent: int):
+def needed(n: int, percent: int) -> int:
     """Least overlap of a set of n with any set it can link with."""
     return (percent * n + 99) // 100
 
 
-def _batches(frames, size: int = 512):
+def posted(n: int, percent: int) -> int:
+    """How many of a set's n-grams are posted: see _rare()."""
+    return min(n, n - needed(n, percent) + 1 + n // 9)
+
+
+def _batches(frames, size: int = 128):
     for pdf in frames:
         for at in range(0, len(pdf), size):
             yield pdf.iloc[at : at + size]
@@ -76,7 +83,7 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
 
         def common():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= 8
+            often = counts >= 4
             return pd.DataFrame({"kind": 1, "id": values[often], "count": counts[often], "sig": 0})
 
         for pdf in _batches(frames):
@@ -87,7 +94,7 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
             )
             held += sets
             many += sum(map(len, sets))
-            if many > 2_000_000:
+            if many > 500_000:
                 yield common()
                 held, many = [], 0
         if held:
@@ -114,7 +121,7 @@ def _postings(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFra
                 if len(ranked):
                     at = np.minimum(np.searchsorted(ranked, s), len(ranked) - 1)
                     is_hot = ranked[at] == s
-                prefix = len(s) - needed(len(s), percent) + 1
+                prefix = posted(len(s), percent)
                 cold = s[~is_hot][:prefix]
                 last = s[is_hot][np.argsort(order[at[is_hot]], kind="stable")][: prefix - len(cold)] if len(cold) < prefix else s[:0]
                 both = np.concatenate([cold, last])
@@ -129,13 +136,15 @@ def _postings(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFra
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """The postings of n-grams that more than one posting has, with the first posting of the n-gram (and salt): lead, lead_place.
+    """The postings of n-grams that more than one posting has, with two neighbours in the n-gram's list (and salt), which
+    is in the order of set size and document: its first posting (lead, lead_place), the one before (last, last_place),
+    and many: how long the list is, or its part in a batch of rows.
 
-    One shuffle; each partition is sorted and read as a stream that holds one posting, however long an n-gram's list is.
+    One shuffle; each partition is sorted and read as a stream that holds one posting, however long a list is.
     """
 
     def run(batches):
-        lead = wait = None
+        lead = before = wait = None
         for batch in batches:
             t, d, p = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             if not len(t):
@@ -145,20 +154,26 @@ def _shared(postings: DataFrame) -> DataFrame:
             new[1:] = (t[1:] != t[:-1]) | (salt[1:] != salt[:-1])
             new[0] = lead is None or (t[0], salt[0]) != (lead[0], lead[2] >> 56)
             start = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
-            inside = start >= 0
-            first = np.where(inside, d[start], lead[1] if lead else 0)
-            first_place = np.where(inside, p[start], lead[2] if lead else 0)
+            first = np.where(start >= 0, d[start], lead[1] if lead else 0)
+            first_place = np.where(start >= 0, p[start], lead[2] if lead else 0)
+            last, last_place = np.roll(d, 1), np.roll(p, 1)
+            last[0], last_place[0] = before if before and not new[0] else (d[0], p[0])
+            last, last_place = np.where(new, d, last), np.where(new, p, last_place)
+            group = np.cumsum(new)
+            many = np.bincount(group)[group]
             live = ~new | (salt > 0)
             live[:-1] |= ~new[1:]
-            columns = [c[live] for c in (t, d, p, first, first_place)]
+            columns = [c[live] for c in (t, d, p, first, first_place, last, last_place, many)]
             if wait is not None and not new[0]:
                 columns = [np.concatenate([[w], c]) for w, c in zip(wait, columns, strict=True)]
-            wait = (t[-1], d[-1], p[-1], d[-1], p[-1]) if new[-1] and not live[-1] else None
-            lead = (t[-1], int(first[-1]), int(first_place[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "doc", "place", "lead", "lead_place"])
+            wait = (t[-1], d[-1], p[-1], d[-1], p[-1], d[-1], p[-1], 2) if new[-1] and not live[-1] else None
+            lead, before = (t[-1], int(first[-1]), int(first_place[-1])), (d[-1], p[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    dealt = postings.repartition("token", F.shiftright("place", 56)).sortWithinPartitions("token", "place", "doc")
-    return dealt.mapInArrow(run, "token long, doc long, place long, lead long, lead_place long")
+    names = ["token", "doc", "place", "lead", "lead_place", "last", "last_place", "many"]
+    size = F.shiftright("place", 28)
+    dealt = postings.repartition("token", F.shiftright("place", 56)).sortWithinPartitions("token", size, "doc")
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _size(place):
@@ -169,11 +184,36 @@ def _position(place):
     return place.bitwiseAND(F.lit((1 << 28) - 1))
 
 
-def _may_link(a, b, percent: int):
-    """Length and position filter: with this common n-gram the sets behind places a and b can overlap enough."""
-    na, nb, pa_, pb = _size(a), _size(b), _position(a), _position(b)
-    bound = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * bound >= percent * (na + nb))
+def _rare(live: DataFrame, percent: int) -> DataFrame:
+    """The postings by which a document finds its partners of equal or larger size: rows of live, with n.
+
+    With a partner as large as itself a set of n shares n - d of its n-grams, d = n - ceil(2 p n / (100 + p)). In the
+    global order the i-th common n-gram is one of the first d + i of the smaller set, and of those that the larger one
+    posts, for i = n div 9 + 1. So i of these d + i are common, and any d + 1 of them hold a common one: the rarest are
+    taken. N-grams of this document alone are the rarest of all and find nobody; only what remains of the d + 1 is
+    looked up, which is nothing for most documents.
+    """
+    n = _size(F.col("place"))
+    d = n - F.ceil((2 * percent * n) / F.lit(100 + percent)).cast("long")
+    own = live.withColumn("n", n).withColumn("d", d).withColumn("first", F.least(F.col("n"), F.col("d") + F.floor(F.col("n") / 9) + 1))
+    doc = Window.partitionBy("doc")
+    own = own.where(_position(F.col("place")) < F.col("first"))
+    own = own.withColumn("rank", F.row_number().over(doc.orderBy("many", "token"))).withColumn("live", F.count("*").over(doc))
+    return own.where(F.col("rank") <= F.col("d") + 1 - (F.col("first") - F.col("live")))
+
+
+def _close(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of pairs (a, b, pa, pb), a row for each n-gram common to both prefixes, that can still link.
+
+    An n-gram common to the sets but not to the prefixes stands behind one of the prefixes, so the overlap is at most
+    the number of rows and the longer of the two rests.
+    """
+    na, nb = _size(F.col("pa")), _size(F.col("pb"))
+    both = pairs.where(100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+    rest = lambda n: F.greatest(F.lit(0), F.ceil(percent * n / F.lit(100)).cast("long") - 1 - F.floor(n / 9))
+    counted = both.groupBy("a", "b").agg(F.count("*").alias("c"), F.first(na).alias("na"), F.first(nb).alias("nb"))
+    bound = F.col("c") + F.greatest(rest(F.col("na")), rest(F.col("nb")))
+    return counted.where((100 + percent) * bound >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def _fragments(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -185,7 +225,7 @@ def _fragments(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     picked = docs.join(F.broadcast(ids) if few else ids, docs["key"] == ids["doc"], "left_semi")
 
     def run(frames):
-        for pdf in _batches(frames, 128):
+        for pdf in _batches(frames):
             rows = []
             for key, s in zip(pdf["key"].to_numpy(), shingles(pdf["text"], n), strict=True):
                 u = s.view(np.uint64)
@@ -197,7 +237,7 @@ def _fragments(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc", "fragment", "size", "grams"])
 
     parts = picked.mapInPandas(run, "doc long, fragment int, size long, grams binary")
-    return cut(parts.repartition("doc", "fragment"))
+    return written(parts)
 
 
 def _unpack(grams: bytes) -> np.ndarray:
@@ -213,8 +253,10 @@ def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(_unpack(x), _unpack(y), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def _verify(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose overlaps, summed over the fragments, meet the threshold."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    parts = _fragments(docs, ids, n)
     each = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(k) for k in range(FRAGMENTS)])))
     left = parts.select(F.col("doc").alias("a"), "fragment", F.col("size").alias("na"), F.col("grams").alias("ga"))
     right = parts.select(F.col("doc").alias("b"), "fragment", F.col("size").alias("nb"), F.col("grams").alias("gb"))
@@ -236,7 +278,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     document is compared with the first of each posting list it is in, which joins the copies; then, wherever a list
     still has members of different components, each pair across components is compared, members with equal sets once.
     """
-    d = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    d = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
     profile = cut(_profile(d, n))
     counts = profile.where("kind = 1").groupBy("id").agg(F.sum("count").alias("c"))
     # A fixed number of n-grams, whatever the corpus; only speed depends on which.
@@ -244,34 +286,33 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     hot = np.array([r["id"] for r in reversed(top)], np.int64)
 
     known = d.where("key is not null")
-    live = cut(_shared(_postings(known, n, percent, hot)))
-    firsts = live.where("lead <> doc").where(_may_link(F.col("place"), F.col("lead_place"), percent))
-    firsts = firsts.select(F.greatest("doc", "lead").alias("a"), F.least("doc", "lead").alias("b"))
-    heads = live.where("place >= 72057594037927936").select("token", "lead", "lead_place").distinct()
-    chief = heads.groupBy("token").agg(F.min(F.struct(_size(F.col("lead_place")).alias("n"), F.col("lead").alias("chief"), F.col("lead_place").alias("cp"))).alias("m"))
-    across = heads.join(chief, "token").where("lead <> m.chief").where(_may_link(F.col("lead_place"), F.col("m.cp"), percent))
-    across = across.select(F.greatest("lead", "m.chief").alias("a"), F.least("lead", "m.chief").alias("b"))
-    parts = _fragments(known, live.select("doc").distinct(), n)
-    links = cut(_verify(firsts.union(across).distinct(), parts, percent))
+    live = written(_shared(_postings(known, n, percent, hot)))
+    high, low = F.greatest("doc", "lead").alias("a"), F.least("doc", "lead").alias("b")
+    pair = lambda other: live.where(F.col(other) != F.col("doc")).select(
+        F.greatest("doc", other).alias("a"), F.least("doc", other).alias("b"), F.col("place").alias("pa"), F.col(f"{other}_place").alias("pb")
+    )
+    firsts = pair("lead").union(pair("last").where("a <> b"))
+    heads = live.where(F.shiftright("place", 56) > 0).select("token", "lead", "lead_place").distinct()
+    chief = heads.groupBy("token").agg(F.min(F.struct(_size(F.col("lead_place")), "lead", "lead_place")).alias("m"))
+    across = heads.join(chief, "token").where("lead <> m.lead").select(
+        F.greatest("lead", "m.lead").alias("a"), F.least("lead", "m.lead").alias("b"), F.col("lead_place").alias("pa"), F.col("m.lead_place").alias("pb")
+    )
+    near = cut(_close(firsts.union(across), percent))
+    links = cut(_verify(near, known, n, percent))
 
     joined = connected_components(links)
     stats = profile.where("kind = 0").select(F.col("id").alias("doc"), F.col("count").alias("n"), "sig")
     named = stats.where("doc is not null").join(joined, stats["doc"] == joined["node"], "left").select(
         "doc", "sig", F.coalesce("component", "doc").alias("component")
     ).distinct()
-    members = (
-        live.select("token", "doc", "place")
-        .join(named, "doc")
-        .groupBy("token", "component", "sig", F.col("place").bitwiseAND(F.lit((1 << 56) - 1)).alias("place"))
-        .agg(F.min("doc").alias("doc"))
-    )
-    members = cut(members)
-    mixed = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_ = members.join(mixed, "token", "left_semi")
-    one = open_.select("token", F.col("doc").alias("a"), F.col("place").alias("pa"), F.col("component").alias("ca"))
-    two = open_.select("token", F.col("doc").alias("b"), F.col("place").alias("pb"), F.col("component").alias("cb"))
-    rest = one.join(two, "token").where("ca > cb").where(_may_link(F.col("pa"), F.col("pb"), percent)).select("a", "b").distinct()
-    more = cut(_verify(rest, parts, percent))
+    # Documents of a component with equal sets stand for each other.
+    reps = named.groupBy("component", "sig").agg(F.min("doc").alias("doc")).select("doc", "component")
+    kept = live.select("token", "doc", "place", "many").join(reps, "doc")
+    rare = _rare(kept, percent).select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
+    others = kept.select("token", F.col("doc").alias("y"), _size(F.col("place")).alias("ny"), F.col("component").alias("cy"))
+    fits = (F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("ny")) & (100 * F.col("nx") >= percent * F.col("ny"))
+    met = rare.join(others, "token").where(fits).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    more = cut(_verify(cut(met), known, n, percent))
 
     final = connected_components(links.union(more))
     return stats.join(final, stats["doc"] == final["node"], "left").select(
