@@ -13,11 +13,12 @@ NAMED = 500_000
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """(doc, line_no, line, w): lines of at least `least` words; w their words."""
+    """(at, line_no, line): lines that can have `least` words; at is a number in the order of document and line."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    each = docs.select(F.col("doc"), F.posexplode(F.split(t, "\n", -1)).alias("line_no", "line"))
-    # A line of fewer characters cannot have so many words.
-    return each.where(F.length("line") >= 2 * least - 1).withColumn("w", words(F.col("line"))).where(F.size("w") >= least)
+    each = docs.select("doc", F.posexplode(F.split(t, "\n", -1)).alias("line_no", "line"))
+    doc = F.coalesce(F.col("doc"), F.lit(-9223372036854775808)).cast("decimal(20,0)")
+    at = (doc * F.lit(2147483648).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(31,0)")
+    return each.where(F.length("line") >= 2 * least - 1).select("doc", "line_no", at.alias("at"), "line")
 
 
 def _halves(w) -> F.Column:
@@ -40,40 +41,34 @@ def _without(w, i) -> F.Column:
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
-    """h of the lines that have an earlier line within one edit, with that line's hash: (h, earlier).
+    """(at, earlier) for lines that have an earlier line within one edit.
 
-    lines: (h, first, w), one row a line; first orders them. Each line emits its variants, the line itself and the
-    line without each of its words, as hashes. Lines of equal length that agree without their i-th word are within one
-    edit of each other, all of them, so each is paired with the earliest only. A line that equals others less one
-    word is paired with each of these. Pairs are verified word by word.
+    lines: (at, w), one row a line, at in their order. Each line emits its variants, the line itself and the line
+    without each of its words, as hashes. Lines of equal length that agree without their i-th word are within one edit
+    of each other, all of them, so each is paired with the earliest only. A line that equals others less one word is
+    paired with each of these. Pairs are verified word by word.
     """
     # Variants are hashed over hashes of words, which are cheaper to put together than the words.
-    hashed = lines.select("h", "first", F.transform("w", lambda x: F.xxhash64(x)).alias("v"))
+    hashed = lines.select("at", F.transform("w", lambda x: F.xxhash64(x)).alias("v"))
     keys = F.transform(F.sequence(F.lit(1), F.size("v")), lambda i: F.xxhash64(_without(F.col("v"), i)))
-    variants = cut(hashed.select("h", "first", F.size("v").alias("n"), F.posexplode(keys).alias("i", "key")))
-    early = variants.groupBy("n", "i", "key").agg(F.min(F.struct("first", "h")).alias("e"), F.count("*").alias("c")).where("c > 1")
-    changed = variants.join(early.drop("c"), ["n", "i", "key"]).where("h <> e.h").select("h", F.col("e.h").alias("earlier"))
-    whole = hashed.select(F.col("h").alias("h0"), F.col("first").alias("first0"), F.size("v").alias("n0"), F.xxhash64("v").alias("key"))
-    cut_one = variants.join(whole, "key").where("n = n0 + 1").select(
-        F.when(F.col("first") > F.col("first0"), F.col("h")).otherwise(F.col("h0")).alias("h"),
-        F.when(F.col("first") > F.col("first0"), F.col("h0")).otherwise(F.col("h")).alias("earlier"),
-        F.least("first", "first0").alias("at"),
-    )
-    shorter = cut_one.groupBy("h").agg(F.min(F.struct("at", "earlier")).alias("m")).select("h", "m.earlier")
-    pairs = changed.union(shorter).distinct()
-    a, b = lines.select("h", F.col("w").alias("wa")), lines.select(F.col("h").alias("earlier"), F.col("w").alias("wb"))
+    variants = cut(hashed.select("at", F.size("v").alias("n"), F.posexplode(keys).alias("i", "key")))
+    early = variants.groupBy("n", "i", "key").agg(F.min("at").alias("earlier"), F.max("at").alias("later")).where("earlier < later")
+    changed = variants.join(early.drop("later"), ["n", "i", "key"]).where("earlier < at").select("at", "earlier")
+    whole = hashed.select(F.col("at").alias("at0"), F.size("v").alias("n0"), F.xxhash64("v").alias("key"))
+    shorter = variants.join(whole, "key").where("n = n0 + 1").select(F.greatest("at", "at0").alias("at"), F.least("at", "at0").alias("earlier"))
+    pairs = changed.union(shorter.groupBy("at").agg(F.min("earlier").alias("earlier"))).distinct()
+    a, b = lines.select("at", F.col("w").alias("wa")), lines.select(F.col("at").alias("earlier"), F.col("w").alias("wb"))
     longer = F.when(F.size("wa") > F.size("wb"), F.col("wa")).otherwise(F.col("wb"))
     short = F.when(F.size("wa") > F.size("wb"), F.col("wb")).otherwise(F.col("wa"))
     # Words that agree from the start; after them one word is changed or missing, and the rest has to agree.
-    same = F.coalesce(
-        F.array_position(F.transform(F.arrays_zip(short.alias("x"), F.slice(longer, F.lit(1), F.size(short)).alias("y")), lambda z: z["x"] == z["y"]), F.lit(False)) - 1,
-        F.lit(-1),
+    same = F.array_position(
+        F.transform(F.arrays_zip(short.alias("x"), F.slice(longer, F.lit(1), F.size(short)).alias("y")), lambda z: z["x"] == z["y"]), F.lit(False)
     )
-    agreed = F.when(same < 0, F.size(short)).otherwise(same).cast("int")
+    agreed = F.when(same == 0, F.size(short)).otherwise(same - 1).cast("int")
     rest = F.slice(longer, agreed + 2, F.size(longer)) == F.when(
         F.size("wa") == F.size("wb"), F.slice(short, agreed + 2, F.size(short))
     ).otherwise(F.slice(short, agreed + 1, F.size(short) + 1))
-    return pairs.join(a, "h").join(b, "earlier").where(rest).select("h", "earlier")
+    return pairs.join(a, "at").join(b, "earlier").where(rest).select("at", "earlier")
 
 
 def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, near_words: int = 10) -> DataFrame:
@@ -81,35 +76,30 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
 
     A line of at least min_words words goes if an equal line stands earlier anywhere in the table. A line of at least
     near_words words goes, too, in all its places, if a line within one edit (a word changed, added or left out) stands
-    earlier; near is true for these. Shorter lines stay. Null and empty texts have no line to remove; rows that repeat
-    a key count as one document; a null key stands before the others. An empty table gives an empty one.
+    earlier; near is true for these. Shorter lines stay. Null and empty texts have no line to remove; keys are integers;
+    rows that repeat a key count as one document; a null key stands before the others. An empty table gives an empty one.
     """
-    d = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    d = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     each = _lines(d, min_words)
-    halves = F.when(F.size("w") >= near_words, _halves(F.col("w"))).otherwise(F.array().cast("array<long>"))
-    places = each.select("doc", "line_no", F.xxhash64("line").alias("h"), halves.alias("halves"))
-    firsts = cut(places.groupBy("h").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("c"), F.first("halves").alias("halves")))
-
-    shares = firsts.where(F.size("halves") > 0).select("h", F.explode("halves").alias("half"))
-    twice = shares.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("half")
-    close = cut(shares.join(twice, "half", "left_semi").select("h").distinct().join(firsts.select("h", "first"), "h"))
-    wanted = close.select("h", "first", F.col("first.doc").alias("_doc"), F.col("first.line_no").alias("_line"))
+    long_ones = each.withColumn("w", words(F.col("line"))).where(F.size("w") >= min_words)
+    halves = F.when(F.size("w") >= near_words, _halves(F.col("w")))
+    places = long_ones.select("at", F.xxhash64("line").alias("h"), halves.alias("k"))
+    four = places.select("at", "h", *[F.get("k", i).alias(f"k{i}") for i in range(4)])
+    firsts = cut(four.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(4)]))
+
+    shares = firsts.where("k0 is not null").select("first", F.explode(F.array("k0", "k1", "k2", "k3")).alias("half"))
+    twice = shares.groupBy("half").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select("half")
+    close = cut(shares.join(twice, "half", "left_semi").select("first").distinct())
     few = close.count() <= NAMED
-    there = each.join(
-        F.broadcast(wanted) if few else wanted,
-        each["doc"].eqNullSafe(wanted["_doc"]) & (each["line_no"] == wanted["_line"]) & (F.xxhash64(each["line"]) == wanted["h"]),
-    )
-    lines = cut(there.select("h", "first", "w").dropDuplicates(["h"]))
-    near = cut(near_lines(lines).select("h").distinct().withColumn("near", F.lit(True)))
+    there = each.join(F.broadcast(close) if few else close, each["at"] == close["first"])
+    lines = cut(there.select("at", "line").dropDuplicates(["at"]).select("at", words(F.col("line")).alias("w")))
+    near = cut(near_lines(lines).select(F.col("at").alias("first")).distinct().withColumn("near", F.lit(True)))
 
-    repeated = firsts.where("c > 1").select("h", "first").join(near, "h", "left").unionByName(
-        firsts.where("c = 1").select("h", "first").join(near, "h")
-    )
-    at = F.struct("doc", "line_no")
+    repeated = firsts.select("h", "first", "last").join(near, "first", "left").where("near or first < last")
     return (
-        places.select("doc", "line_no", "h")
-        .join(repeated, "h")
-        .where(F.col("near") | ~at.eqNullSafe(F.col("first")))
+        each.select("doc", "line_no", "at", F.xxhash64("line").alias("h"))
+        .join(repeated.select("h", "first", "near"), "h")
+        .where(F.col("near") | (F.col("at") > F.col("first")))
         .select("doc", "line_no", F.coalesce("near", F.lit(False)).alias("near"))
         .distinct()
     )
