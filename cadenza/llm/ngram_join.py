@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 
 from .common import connected_components, cut, table, written
 
-#: n-grams at the end of the order, salts of their postings, fragments, documents named to every executor at most.
-HOT, SALTS, FRAGMENTS, NAMED = 4096, 32, 4, 1_000_000
+#: n-grams at the end of the order, salts of their postings, fragments.
+HOT, SALTS, FRAGMENTS = 4096, 32, 4
+#: Documents named, and bytes of fragments sent, to every executor at most; beyond these they are joined by hash.
+NAMED, HELD = 1_000_000, 16_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -190,8 +192,8 @@ def _rare(live: DataFrame, percent: int) -> DataFrame:
     With a partner as large as itself a set of n shares n - d of its n-grams, d = n - ceil(2 p n / (100 + p)). In the
     global order the i-th common n-gram is one of the first d + i of the smaller set, and of those that the larger one
     posts, for i = n div 9 + 1. So i of these d + i are common, and any d + 1 of them hold a common one: the rarest are
-    taken. N-grams of this document alone are the rarest of all and find nobody; only what remains of the d + 1 is
-    looked up, which is nothing for most documents.
+    taken. N-grams of this document alone, or of its component alone, count as the rarest and find nobody; only what
+    remains of the d + 1 is looked up, which is nothing for most documents.
     """
     n = _size(F.col("place"))
     d = n - F.ceil((2 * percent * n) / F.lit(100 + percent)).cast("long")
@@ -216,14 +218,72 @@ def _close(pairs: DataFrame, percent: int) -> DataFrame:
     return counted.where((100 + percent) * bound >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def _fragments(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(doc, fragment, size, grams) for the documents in ids: the part of each set in each fragment of the order.
+def _open(postings: DataFrame, stats: DataFrame, links: DataFrame) -> DataFrame:
+    """The postings (token, doc, place, many) of lists that have members of different components, with component and
+    hub: the member with most links, of these the one that shares most n-grams.
 
-    grams: 5 bytes of each hash, sorted; the fragment is given by its other bits.
+    Documents of a component with equal sets stand for each other: the smallest one stays.
     """
+    joined = connected_components(links)
+    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    named = (
+        stats.where("doc is not null")
+        .join(joined.join(degrees, "node"), F.col("doc") == F.col("node"), "left")
+        .groupBy(F.coalesce("component", "doc").alias("component"), "sig")
+        .agg(F.min("doc").alias("doc"), F.max(F.coalesce("degree", F.lit(0))).alias("degree"))
+        .drop("sig")
+    )
+    postings = postings.select("token", "doc", "place", "many")
+    weights = postings.groupBy("doc").agg(F.sum("many").alias("weight"))
+    tagged = postings.join(named.join(weights, "doc"), "doc")
+    hub = F.max(F.struct("degree", "weight", "doc", "component", "place")).alias("hub")
+    lists = tagged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), hub).where("lo < hi")
+    return tagged.join(lists.select("token", "hub"), "token").select(
+        "token", "doc", "place", "many", "component", F.col("hub.doc").alias("hub"), F.col("hub.component").alias("hub_component")
+    )
+
+
+def _nearest_hubs(lists: DataFrame) -> DataFrame:
+    """(a, b): each document with the hub, of another component, of most of its posting lists."""
+    met = lists.where("component <> hub_component").groupBy("doc", "hub").agg(F.count("*").alias("c"))
+    best = met.groupBy("doc").agg(F.max(F.struct("c", "hub")).alias("best"))
+    return best.select(F.greatest("doc", "best.hub").alias("a"), F.least("doc", "best.hub").alias("b")).distinct()
+
+
+def _picked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The documents of pairs (a, b)."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     few = ids.count() <= NAMED
-    picked = docs.join(F.broadcast(ids) if few else ids, docs["key"] == ids["doc"], "left_semi")
+    return docs.join(F.broadcast(ids) if few else ids, docs["key"] == ids["doc"], "left_semi")
+
+
+def _alive(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of pairs (a, b, na, nb) of which both sets have enough n-grams that any other set of the pairs has.
+
+    Members of a group of near copies with many changes of their own are told apart so, without comparing them.
+    """
 
+    def run(frames):
+        for pdf in _batches(frames):
+            sets = shingles(pdf["text"], n)
+            yield pd.DataFrame({"gram": np.concatenate(sets), "doc": np.repeat(pdf["key"].to_numpy(), [len(s) for s in sets])})
+
+    grams = _picked(docs, pairs).mapInPandas(run, "gram long, doc long")
+    alone = grams.groupBy("gram").agg(F.min("doc").alias("doc"), F.max("doc").alias("other")).where("doc = other")
+    dead = cut(alone.groupBy("doc").agg(F.count("*").alias("dead")))
+    needs = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+    kept = pairs.withColumn("needs", needs)
+    for side in ("a", "b"):
+        kept = kept.join(dead.select(F.col("doc").alias(side), "dead"), side, "left")
+        kept = kept.where(F.col(f"n{side}") - F.coalesce("dead", F.lit(0)) >= F.col("needs")).drop("dead")
+    return kept.select("a", "b")
+
+
+def _fragments(docs: DataFrame, n: int) -> DataFrame:
+    """(doc, fragment, size, grams) for documents: the part of each set in each fragment of the order.
+
+    grams: 5 bytes of each hash, sorted; the fragment is given by its other bits.
+    """
     def run(frames):
         for pdf in _batches(frames):
             rows = []
@@ -236,31 +296,35 @@ def _fragments(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                         rows.append((key, f, len(s), own.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()))
             yield pd.DataFrame(rows, columns=["doc", "fragment", "size", "grams"])
 
-    parts = picked.mapInPandas(run, "doc long, fragment int, size long, grams binary")
+    parts = docs.mapInPandas(run, "doc long, fragment int, size long, grams binary")
     return written(parts)
 
 
-def _unpack(grams: bytes) -> np.ndarray:
-    raw = np.frombuffer(grams, np.uint8).reshape(-1, 5)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :5] = raw
-    return wide.view(np.uint64).ravel()
-
-
 @F.pandas_udf(T.LongType())
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Partial overlap of two sets in one fragment."""
-    return pd.Series([len(np.intersect1d(_unpack(x), _unpack(y), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
+    """Partial overlap of two sets in one fragment, for all rows of a batch with one sort."""
+
+    def keyed(grams):
+        raw = np.frombuffer(b"".join(grams), np.uint8).reshape(-1, 5)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :5] = raw
+        row = np.repeat(np.arange(len(grams), dtype=np.uint64), [len(g) // 5 for g in grams])
+        return wide.view(np.uint64).ravel() | (row << np.uint64(40))
+
+    both = np.sort(np.concatenate([keyed(a), keyed(b)]))
+    common = (both[1:][both[1:] == both[:-1]] >> np.uint64(40)).astype(np.int64)
+    return pd.Series(np.bincount(common, minlength=len(a)))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose overlaps, summed over the fragments, meet the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    parts = _fragments(docs, ids, n)
+    parts = _fragments(_picked(docs, pairs), n)
+    held = parts.agg(F.coalesce(F.sum(F.length("grams") + 64), F.lit(0))).first()[0]
+    small = F.broadcast if held <= HELD else lambda x: x
     each = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(k) for k in range(FRAGMENTS)])))
     left = parts.select(F.col("doc").alias("a"), "fragment", F.col("size").alias("na"), F.col("grams").alias("ga"))
     right = parts.select(F.col("doc").alias("b"), "fragment", F.col("size").alias("nb"), F.col("grams").alias("gb"))
-    joined = each.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
+    joined = each.join(small(left), ["a", "fragment"]).join(small(right), ["b", "fragment"])
     partial = joined.select("a", "b", "na", "nb", _overlap("ga", "gb").alias("part"))
     total = partial.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("part").alias("both"))
     return total.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
@@ -275,8 +339,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     gives an empty one.
 
     No link between different texts is lost, and large groups of copies give no pairs of all with all: first every
-    document is compared with the first of each posting list it is in, which joins the copies; then, wherever a list
-    still has members of different components, each pair across components is compared, members with equal sets once.
+    document is compared with the first of each posting list it is in, which joins the copies; next with the
+    best connected member of its lists, which joins copies that are nearer to their source than to each other; then,
+    wherever a list still has members of different components, each pair across components is compared, members with equal sets once.
     """
     d = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
     profile = cut(_profile(d, n))
@@ -300,19 +365,18 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     near = cut(_close(firsts.union(across), percent))
     links = cut(_verify(near, known, n, percent))
 
-    joined = connected_components(links)
     stats = profile.where("kind = 0").select(F.col("id").alias("doc"), F.col("count").alias("n"), "sig")
-    named = stats.where("doc is not null").join(joined, stats["doc"] == joined["node"], "left").select(
-        "doc", "sig", F.coalesce("component", "doc").alias("component")
-    ).distinct()
-    # Documents of a component with equal sets stand for each other.
-    reps = named.groupBy("component", "sig").agg(F.min("doc").alias("doc")).select("doc", "component")
-    kept = live.select("token", "doc", "place", "many").join(reps, "doc")
+    opened = written(_open(live, stats, links))
+    links = cut(links.union(_verify(cut(_nearest_hubs(opened)), known, n, percent)))
+    kept = written(_open(opened, stats, links))
     rare = _rare(kept, percent).select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
     others = kept.select("token", F.col("doc").alias("y"), _size(F.col("place")).alias("ny"), F.col("component").alias("cy"))
     fits = (F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("ny")) & (100 * F.col("nx") >= percent * F.col("ny"))
-    met = rare.join(others, "token").where(fits).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    more = cut(_verify(cut(met), known, n, percent))
+    sized = [F.when(F.col("x") > F.col("y"), F.col(big)).otherwise(F.col(small)) for big, small in (("nx", "ny"), ("ny", "nx"))]
+    met = rare.join(others, "token").where(fits).select(
+        F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), sized[0].alias("na"), sized[1].alias("nb")
+    )
+    more = cut(_verify(cut(_alive(cut(met.distinct()), known, n, percent)), known, n, percent))
 
     final = connected_components(links.union(more))
     return stats.join(final, stats["doc"] == final["node"], "left").select(
