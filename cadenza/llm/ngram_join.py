@@ -239,15 +239,19 @@ def _open(postings: DataFrame, stats: DataFrame, links: DataFrame) -> DataFrame:
     hub = F.max(F.struct("degree", "weight", "doc", "component", "place")).alias("hub")
     lists = tagged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), hub).where("lo < hi")
     return tagged.join(lists.select("token", "hub"), "token").select(
-        "token", "doc", "place", "many", "component", F.col("hub.doc").alias("hub"), F.col("hub.component").alias("hub_component")
+        "token", "doc", "place", "many", "component",
+        F.col("hub.doc").alias("hub"), F.col("hub.place").alias("hub_place"), F.col("hub.component").alias("hub_component")
     )
 
 
-def _nearest_hubs(lists: DataFrame) -> DataFrame:
-    """(a, b): each document with the hub, of another component, of most of its posting lists."""
-    met = lists.where("component <> hub_component").groupBy("doc", "hub").agg(F.count("*").alias("c"))
-    best = met.groupBy("doc").agg(F.max(F.struct("c", "hub")).alias("best"))
-    return best.select(F.greatest("doc", "best.hub").alias("a"), F.least("doc", "best.hub").alias("b")).distinct()
+def _hubs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): documents with hubs, of other components, of so many of their posting lists that they can link."""
+    return _close(
+        lists.where("component <> hub_component").select(
+            F.greatest("doc", "hub").alias("a"), F.least("doc", "hub").alias("b"), F.col("place").alias("pa"), F.col("hub_place").alias("pb")
+        ),
+        percent,
+    )
 
 
 def _picked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -367,7 +371,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     stats = profile.where("kind = 0").select(F.col("id").alias("doc"), F.col("count").alias("n"), "sig")
     opened = written(_open(live, stats, links))
-    links = cut(links.union(_verify(cut(_nearest_hubs(opened)), known, n, percent)))
+    links = cut(links.union(_verify(cut(_hubs(opened, percent)), known, n, percent)))
     kept = written(_open(opened, stats, links))
     rare = _rare(kept, percent).select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
     others = kept.select("token", F.col("doc").alias("y"), _size(F.col("place")).alias("ny"), F.col("component").alias("cy"))
