@@ -61,37 +61,29 @@ def linked_parts(parts: DataFrame, reach: int) -> DataFrame:
     """The weak parts that stand near complementary ones.
 
     parts: (key, start, end, kind). A credential is an identifier, a secret and an endpoint whose starts lie within
-    reach characters of the secret's, in one text. Returns the distinct (key, start, end, kind) of such parts.
+    reach characters of the secret's, in one text. Returns the distinct (key, start, end, kind) of all such parts.
 
-    The interval join goes over cells of reach characters: each part looks into its own cell and the two beside it, by
-    an equality of (key, cell). For each secret only the nearest identifier and endpoint are kept, so a text of many
-    parts gives no more rows than it has parts.
+    The interval join goes over cells of reach characters: each identifier and endpoint looks into its own cell and the
+    two beside it, by an equality of (key, cell). A first join marks the secrets that have both kinds within reach, a
+    second one takes every identifier and endpoint within reach of a marked secret. Both ask only whether a partner
+    exists, so a text of many parts gives no more than three rows a part.
     """
-    near = parts.where("kind <> 'secret'").select(
-        "key",
-        F.explode(F.array(*[F.floor(F.col("start") / reach).cast("long") + k for k in (-1, 0, 1)])).alias("cell"),
-        F.struct("start", "end", "kind").alias("other"),
-    )
-    # Parts of a kind in one text do not overlap, so three cells hold fewer of them than they have characters.
-    here = parts.where("kind = 'secret'").withColumn("cell", F.floor(F.col("start") / reach).cast("long"))
-    lists = near.groupBy("key", "cell").agg(
-        F.array_sort(F.collect_set(F.when(F.col("other.kind") == "identifier", F.col("other")))).alias("ids"),
-        F.array_sort(F.collect_set(F.when(F.col("other.kind") == "endpoint", F.col("other")))).alias("ends"),
-    )
+    cell = F.floor(F.col("start") / reach).cast("long")
+    near = parts.where("kind <> 'secret'").withColumn("cell", F.explode(F.array(*[cell + k for k in (-1, 0, 1)])))
+    here = parts.where("kind = 'secret'").withColumn("cell", cell)
 
-    def nearest(name: str) -> F.Column:
-        return F.array_min(
-            F.transform(
-                F.filter(F.col(name), lambda x: F.abs(x["start"] - F.col("start")) <= reach),
-                lambda x: F.struct(F.abs(x["start"] - F.col("start")).alias("d"), x.alias("part")),
-            )
-        )["part"]
+    def starts(kind: str) -> F.Column:
+        return F.collect_set(F.when(F.col("kind") == kind, F.col("start")))
 
-    joined = here.join(lists, ["key", "cell"]).select(
-        "key", F.struct("start", "end", "kind").alias("own"), nearest("ids").alias("i"), nearest("ends").alias("e")
-    )
-    both = joined.where("i is not null and e is not null")
-    return both.select("key", F.explode(F.array("own", "i", "e")).alias("p")).select("key", "p.*").distinct()
+    def within(name: str) -> F.Column:
+        return F.exists(name, lambda x: F.abs(x - F.col("start")) <= reach)
+
+    # Parts of a kind in one text do not overlap, so three cells hold fewer of them than they have characters.
+    lists = near.groupBy("key", "cell").agg(starts("identifier").alias("ids"), starts("endpoint").alias("ends"))
+    marked = here.join(lists, ["key", "cell"]).where(within("ids") & within("ends")).select("key", "start", "end", "kind", "cell")
+    owners = marked.groupBy("key", "cell").agg(F.collect_set("start").alias("owners"))
+    others = near.join(owners, ["key", "cell"]).where(within("owners")).select("key", "start", "end", "kind")
+    return marked.drop("cell").unionByName(others).distinct()
 
 
 def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 200) -> DataFrame:

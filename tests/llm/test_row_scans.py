@@ -40,6 +40,17 @@ def test_secrets(spark, edge, empty):
     assert secrets.scan_secrets(empty).collect() == []
 
 
+def test_secrets_link_every_part_within_reach(spark):
+    many = "user=alice login=bob secret=abcdef123 host=a.example.org url=b.example.org"
+    apart = "user=far " + "x " * 100 + "user=amy secret=abcdef123 pwd=hunter2x host=a.example.org " + "y " * 100 + "url=far.example.org"
+    rows = [(k, x) for k, x in enumerate([many, apart, f"{many} " * 40])]
+    got = {r["key"]: r["spans"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = lambda k: [rows[k][1][s["start"] : s["end"]] for s in got[k] if s["kind"].startswith("linked_")]
+    assert linked(0) == many.split()
+    assert linked(1) == ["user=amy", "secret=abcdef123", "pwd=hunter2x", "host=a.example.org"]
+    assert linked(2) == many.split() * 40
+
+
 def test_secret_query_digest(spark, tmp_path):
     spark.createDataFrame([(1, SECRETS[1]), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r["doc_id"]: r for r in secrets.op5_secret_scans(spark, str(tmp_path)).collect()}
