@@ -40,11 +40,17 @@ def _spans(kind: str, pattern: str, group: int, least: int) -> str:
  window w as (partition by doc_id order by k) qualify n >= {least}"""
 
 
+#: RE2 has no lookbehind, so the SQL keeps \b: unlike the query, it knows no prefixed names (DB_USER) and no bare access ids.
+_WEAK = (
+    ("identifier", r"""\b(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}"""),
+    ("secret", r"""\b(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|auth|credential)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""),
+    ("endpoint", r"""\b(?:(?i:https?|ftp|ssh|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp)(?::[a-z]+)?://[^\s"'<>|]+|(?i:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z0-9:/.-]+)"""),
+)
 _RANK = "case kind " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(secrets.ORDER)) + " end"
 SQL["op5_secret_scans"] = f"""
 with t as (select doc_id, coalesce(text, '') as t from documents),
 base as ({" union all ".join(f"select doc_id, kind, s, s + size as e from ({_spans(*b)}) q" for b in secrets.BASE)}),
-weak as ({" union all ".join(f"select doc_id, kind, s, s + size as e from ({_spans(k, p, 0, 0)}) q" for k, p in secrets.WEAK)}),
+weak as ({" union all ".join(f"select doc_id, kind, s, s + size as e from ({_spans(k, p, 0, 0)}) q" for k, p in _WEAK)}),
 near as (select x.doc_id, x.s, x.e, y.kind, arg_min((y.s, y.e), abs(y.s - x.s) * 1000000 + y.s) as o from weak x join weak y on x.doc_id = y.doc_id and x.kind = 'secret' and y.kind <> 'secret' and abs(x.s - y.s) <= 200 group by 1, 2, 3, 4),
 full_ as (select doc_id, s, e from near group by 1, 2, 3 having count(*) = 2),
 linked as (select doc_id, 'linked_secret' as kind, s, e from full_ union select n.doc_id, 'linked_' || n.kind, n.o[1], n.o[2] from near n join full_ f on f.doc_id = n.doc_id and f.s = n.s and f.e = n.e),

@@ -14,11 +14,13 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
-#: Weak parts of a credential: who, what, where.
+#: Access ids of BASE, which are identifiers by themselves.
+ACCESS = BASE[1]
+#: Weak parts of a credential: who, what, where. Names may have a prefix (DB_USER, AWS_SECRET_ACCESS_KEY).
 WEAK = (
-    ("identifier", r"""\b(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}"""),
-    ("secret", r"""\b(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|auth|credential)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""),
-    ("endpoint", r"""\b(?:(?i:https?|ftp|ssh|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp)(?::[a-z]+)?://[^\s"'<>|]+|(?i:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z0-9:/.-]+)"""),
+    ("identifier", r"""(?<![A-Za-z0-9])(?i:user(?:name)?|login|account|client_?id|(?<!secret[_-]?)access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}"""),
+    ("secret", r"""(?<![A-Za-z0-9])(?i:(?:pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|auth|credential)(?:[_-]?access)?(?:[_-]?key)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}"""),
+    ("endpoint", r"""(?<![A-Za-z0-9])(?:(?i:https?|ftp|ssh|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp)(?::[a-z]+)?://[^\s"'<>|]+|(?i:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z0-9:/.-]+)"""),
 )
 ORDER = [k for k, *_ in BASE] + [f"linked_{k}" for k, _ in WEAK]
 
@@ -90,7 +92,8 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
     """One row for each row of docs: key, base and spans, arrays of (start, end, kind) by start and kind.
 
     base has the strong matches. spans adds the weak parts (linked_identifier, linked_secret, linked_endpoint) of
-    credentials whose three parts lie within reach characters of each other; alone they are not reported. Null texts
+    credentials whose three parts lie within reach characters of each other; alone they are not reported. An access id
+    of base is an identifier too, unless it stands in one that its name tells. Null texts
     count as empty; keys may be null or repeated (repeated rows with equal text get equal spans).
     """
     t = F.coalesce(F.col(text), F.lit(""))
@@ -100,14 +103,19 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
         tagged = F.transform(F.concat(*arrays), lambda x: F.struct(x["start"], rank[x["kind"]].alias("r"), x["end"], x["kind"]))
         return F.transform(F.array_sort(tagged), lambda x: F.struct(x["start"], x["end"], x["kind"]))
 
+    def weak(named, access):
+        bare = F.filter(access, lambda x: ~F.exists(named, lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))
+        as_identifier = F.transform(bare, lambda x: F.struct(x["start"], x["end"], F.lit("identifier").alias("kind")))
+        return F.concat(named, as_identifier, *[spans(t, *w) for w in WEAK[1:]])
+
     found = cut(
         docs.select(
             F.col(key).alias("key"),
             F.xxhash64(t).alias("text_id"),
             ordered(*[spans(t, *b) for b in BASE]).alias("base"),
             F.when(
-                t.rlike(WEAK[0][1]) & t.rlike(WEAK[2][1]) & t.rlike(WEAK[1][1]),
-                F.concat(*[spans(t, *w) for w in WEAK]),
+                (t.rlike(WEAK[0][1]) | t.rlike(ACCESS[1])) & t.rlike(WEAK[2][1]) & t.rlike(WEAK[1][1]),
+                weak(spans(t, *WEAK[0]), spans(t, *ACCESS)),
             ).alias("weak"),
         )
     )
