@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from .common import cut, table
 
-#: Items that a task packs at once, items that a group hands on at most, groups that meet in one task, fill that ends a bin.
-BATCH, CARRY, FAN_IN, NEARLY_FULL = 100_000, 8192, 16, 0.99
+#: Items that a task packs at once, items of a later group on average at most, groups that meet in one, fill that ends a bin.
+BATCH, GROUP, FAN_IN, NEARLY_FULL = 100_000, 131_072, 16, 0.99
 #: Pieces that a worker remembers at most.
 CACHE = 250_000
 
@@ -147,27 +147,20 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 def settle(lengths: np.ndarray, capacity: int, last: bool):
     """best_fit() of a group, and which items the group hands on: those of its bins that are not nearly full.
 
-    The emptiest bins are opened first, as long as no more than CARRY items are handed on; the other bins are done.
-    Nothing is handed on by the last group. Items that are handed on have offset 0 and no bin (-1).
+    Nothing is handed on in the last round. Items that are handed on have offset 0 and no bin (-1).
     """
     bins, offsets, fills = best_fit(lengths, capacity)
-    up = np.zeros(len(lengths), bool)
-    if not last and len(fills):
-        order = np.argsort(fills, kind="stable")
-        count = np.cumsum(np.bincount(bins, minlength=len(fills))[order])
-        opened = np.zeros(len(fills), bool)
-        opened[order[(count <= CARRY) & (fills[order] < NEARLY_FULL * capacity)]] = True
-        up = opened[bins]
+    up = np.zeros(len(lengths), bool) if last else (fills < NEARLY_FULL * capacity)[bins]
     return np.where(up, -1, bins), np.where(up, 0, offsets), up
 
 
 def pack(pieces: DataFrame, length: str = "length", capacity: int = 4096) -> DataFrame:
     """pieces with sequence_id and offset: the sequence that takes a piece and the piece's place in it, from 0, gapless.
 
-    Each partition packs its own pieces by best fit. Bins that are nearly full are done; what is in the others are the
-    items of the next round, in which FAN_IN neighbouring groups share a task, and so on up a tree to one group. A group
-    hands on CARRY items at most, so a task's memory is bounded and the last task sees no more however long the table
-    is. Lengths are 1 to capacity. An empty table gives an empty one; extra columns stay.
+    Each partition packs its own pieces by best fit. Bins that are nearly full are done; all that is in the others are
+    the items of the next round. It deals them by hash to one group for FAN_IN of the round before, and to more where
+    they would be over GROUP items each, so a group's memory is bounded however many there are. Underfull bins are
+    closed in the last round only. Lengths are 1 to capacity. An empty table gives an empty one; extra columns stay.
     """
     names = pieces.columns
     cells = pieces.rdd.getNumPartitions()
@@ -195,7 +188,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 4096) -> Dat
 
     new = [T.StructField(x, T.LongType()) for x in ("sequence_id", "offset")] + [T.StructField("_up", T.BooleanType())]
     placed = cut(pieces.mapInPandas(local, T.StructType(pieces.schema.fields + new)))
-    items = placed.where("_up").select("sequence_id", F.col(length).cast("long").alias("fill"), F.shiftright("sequence_id", 32).alias("cell"))
+    items = placed.where("_up").select("sequence_id", F.col(length).cast("long").alias("fill"))
 
     def merge(last: bool):
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -207,19 +200,21 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 4096) -> Dat
             head = np.zeros(bins.max(initial=-1) + 1, np.int64)
             head[bins[first]] = name[first]
             into = np.where(up, name, head[bins] if len(head) else name)
-            return pdf.assign(into=into, shift=offsets, up=up)[["sequence_id", "into", "shift", "up", "fill", "cell"]]
+            return pdf.assign(into=into, shift=offsets, up=up)[["sequence_id", "into", "shift", "up", "fill"]]
 
         return one
 
     moves = []
     while True:
         last = cells <= FAN_IN
-        items = items.withColumn("cell", F.floor(F.col("cell") / FAN_IN).cast("long"))
-        step = cut(items.groupBy("cell").applyInPandas(merge(last), "sequence_id long, into long, shift long, up boolean, fill long, cell long"))
+        cells = -(-cells // FAN_IN)
+        groups = max(cells, -(-items.count() // GROUP))
+        dealt = items.withColumn("cell", F.pmod(F.xxhash64("sequence_id", F.lit(len(moves))), F.lit(groups)))
+        step = cut(dealt.groupBy("cell").applyInPandas(merge(last), "sequence_id long, into long, shift long, up boolean, fill long"))
         moves.append(step.where("not up").select("sequence_id", "into", "shift"))
         if last:
             break
-        items, cells = step.where("up").select("sequence_id", "fill", "cell"), -(-cells // FAN_IN)
+        items = step.where("up").select("sequence_id", "fill")
     # An item is moved once: in the round that does not hand it on.
     total = moves[0]
     for step in moves[1:]:

@@ -35,6 +35,22 @@ def test_documents(docs):
     assert n <= 1.02 * least + 1
 
 
+def test_all_underfull_bins_are_handed_on(spark, monkeypatch):
+    """Pairs of 1,500 leave room for 1,000, which only other partitions have."""
+    for partitions, group in ((3, packing.GROUP), (3, 5000), (40, 5000)):
+        monkeypatch.setattr(packing, "GROUP", group)
+        pieces = spark.range(0, 45_000, 1, partitions).selectExpr("id", "if(id < 30000, 1500L, 1000L) as length")
+        rows = packing.pack(pieces).collect()
+        assert sorted((r["id"], r["length"]) for r in rows) == [(k, 1500 if k < 30_000 else 1000) for k in range(45_000)]
+        sequences = {}
+        for r in rows:
+            sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for parts in map(sorted, sequences.values()):
+            assert [x for x, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+            assert sum(n for _, n in parts) <= 4096
+        assert len(sequences) <= 1.02 * 15_000
+
+
 def test_edges(edge, empty):
     check(edge)
     assert packing.pack(packing.token_pieces(empty)).collect() == []
