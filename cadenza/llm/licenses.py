@@ -34,6 +34,18 @@ def _needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def _around_ends(lines: list[list[bytes]], reach: int):
+    """For each end of a line inside a paragraph, the reach words before it in the line and the reach after it."""
+    for k in range(len(lines) - 1):
+        if lines[k]:
+            after, at = [], k + 1
+            while at < len(lines) and lines[at] and len(after) < reach:
+                after += lines[at][: reach - len(after)]
+                at += 1
+            if after:
+                yield lines[k][-reach:] + after
+
+
 def token_counts(docs: DataFrame, tokens: set[bytes]) -> dict[bytes, int]:
     """How often each of these tokens stands in the whole table. tokens is bounded by the templates."""
 
@@ -53,8 +65,10 @@ def token_counts(docs: DataFrame, tokens: set[bytes]) -> dict[bytes, int]:
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases=PHRASES, templates=TEMPLATES, percent: int = 80) -> DataFrame:
     """One row for each row of docs: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Base: places where a phrase's words stand one after the other. Besides, a label is given where a block (a line)
-    holds percent % of the distinct words of one of its templates. score is the largest share of a template that a
+    Base: places where a phrase's words stand one after the other. Besides, a label is given where a block holds
+    percent % of the distinct words of one of its templates. A block is a line, or, for notices wrapped over lines, what
+    stands around a line's end in its paragraph: reach words to each side, as many as the longest template has and the
+    words that a match may lack. score is the largest share of a template that a
     block with a label holds, 1 with a base label and 0 without any. Null texts count as empty. Keys may be null or
     repeated; an empty table gives an empty one.
 
@@ -64,6 +78,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
     """
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     sets = [(label, set(block_words(x))) for label, x in templates]
+    reach = -(-100 * max((len(block_words(x)) for _, x in templates), default=0) // percent)
     count = token_counts(d, set().union(*(s for _, s in sets)))
     order = sorted(count, key=lambda w: (count[w], w))
     rank = {w: k for k, w in enumerate(order)}
@@ -88,8 +103,9 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
                         found.append(name)
                 blocks = []
                 if starts.search(x):
-                    for line in x.split(b"\n"):
-                        own = sorted({rank[t] for t in _WORD.findall(line) if t in rank})
+                    lines = [_WORD.findall(line) for line in x.split(b"\n")]
+                    for part in (*lines, *_around_ends(lines, reach)):
+                        own = sorted({rank[t] for t in part if t in rank})
                         if own and not prefix.isdisjoint(own):
                             blocks.append(own)
                 rows.append((k, len(w), len(places), min(places, default=None), max(places, default=None), sorted(set(found)), blocks))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 
 from cadenza.llm import licenses, quality, secrets, urls
 
@@ -103,6 +104,16 @@ def test_licenses(spark, edge, empty):
     assert licenses.scan_licenses(empty).collect() == []
 
 
+def test_wrapped_licenses(spark):
+    texts = ["some words\n\n# " + "\n# ".join(textwrap.wrap(x, 40)) + "\n#\n# more words" for _, x in licenses.TEMPLATES]
+    apart = texts[1].replace("\n# ", "\n\n")
+    df = spark.createDataFrame(list(enumerate([*texts, apart])), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(df).collect()}
+    for k, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[k]["labels"].split(",") and got[k]["score"] == 1
+    assert got[len(texts)]["labels"] == "" and got[len(texts)]["score"] == 0
+
+
 def test_quality(spark, edge, empty, docs):
     texts = ["a b c a b c", "a a a a", "x\n\n x\nx\n\t\nx", "TO BE!! OR!! NOT!! TO!! BE!!", "home | news | about | more\nplain words here", "#$ * <b> a|b & 100%"]
     rows = [(k, x) for k, x in enumerate(texts)] + [(100 + r["doc_id"], r["text"]) for r in edge.collect()]
