@@ -25,8 +25,9 @@ BOILERPLATE = (
 )
 BOILERPLATE_WORDS = 12
 
-#: A text without a place like this has no line that can fail, so its lines need no closer look.
-SUSPECT = r"[#*$%&<>|»·]|!!|\p{Lu}\P{L}*\p{Lu}|(?i:" + "|".join(BOILERPLATE) + ")"
+#: A text without a place like this has no line that can fail, so its lines need no closer look. Over 60 % capitals are two
+#: next to each other, or capital-small-capital or one capital as the only letters of a line.
+SUSPECT = r"[#*$%&<>|»·]|!!|\p{Lu}\P{L}*\p{Lu}|(?m:^[^\p{L}\n]*\p{Lu}[^\p{L}\n]*(?:[\p{L}&&\P{Lu}][^\p{L}\n]*\p{Lu}[^\p{L}\n]*)?$)|(?i:" + "|".join(BOILERPLATE) + ")"
 
 
 def _count(text, pattern: str):

@@ -137,6 +137,13 @@ def test_quality(spark, edge, empty, docs):
     assert quality.quality_rules(empty).collect() == []
 
 
+def test_shouting_lines_of_few_letters(spark):
+    texts = ["plain words here\n1 2 B", "A b C\nplain words here", "É 1 2\r\nplain words", "1 x C\nplain words here", "A b\nC d e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lost_words"], r["clean_text"]) for r in quality.quality_rules(df).collect()}
+    assert got == {0: (3, "plain words here"), 1: (3, "plain words here"), 2: (3, "plain words"), 3: (0, texts[3]), 4: (0, texts[4])}
+
+
 def test_urls(spark):
     cases = {
         "https://a.EXAMPLE.com/en/7?x=/es/": ("a.example.com", "/en/7", "example.com/en/7", "allow"),
