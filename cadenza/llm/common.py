@@ -38,6 +38,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound(df: DataFrame, columns: dict) -> DataFrame:
+    """df with the columns added or replaced, each computed once a row.
+
+    They come out of a generator of one row, which no filter is pushed through and no later projection is folded into;
+    withColumns() would let the optimizer copy a costly expression into every place that reads it.
+    """
+    made = df.select("*", F.inline(F.array(F.struct(*[c.alias(f"_bound_{k}") for k, c in enumerate(columns.values())]))))
+    return made.select(*[x for x in df.columns if x not in columns], *[F.col(f"_bound_{k}").alias(n) for k, n in enumerate(columns)])
+
+
 def words(text) -> F.Column:
     """The words of a text, as an array of strings; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE, -1), "")

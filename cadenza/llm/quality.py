@@ -3,10 +3,12 @@
 Every figure of a document is computed inside its row by array functions, so the plan is one scan without a shuffle.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, words
+from .common import SPACE, bound, table, words
 
 #: Fixed phrases of page furniture; a line of at most BOILERPLATE_WORDS words that has one of them is removed.
 BOILERPLATE = (
@@ -25,13 +27,13 @@ BOILERPLATE = (
 )
 BOILERPLATE_WORDS = 12
 
-#: A text without a place like this has no line that can fail, so its lines need no closer look. Over 60 % capitals are two
-#: next to each other, or capital-small-capital or one capital as the only letters of a line.
-SUSPECT = r"[#*$%&<>|»·]|!!|\p{Lu}\P{L}*\p{Lu}|(?m:^[^\p{L}\n]*\p{Lu}[^\p{L}\n]*(?:[\p{L}&&\P{Lu}][^\p{L}\n]*\p{Lu}[^\p{L}\n]*)?$)|(?i:" + "|".join(BOILERPLATE) + ")"
+#: A line of more than BOILERPLATE_WORDS words.
+_LONG = rf"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){{{BOILERPLATE_WORDS}}}[^\x20\x09-\x0D]"
 
 
 def _count(text, pattern: str):
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    """Characters of text in matches of pattern; runs of matches are taken out at once."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"(?:{pattern})+", ""))
 
 
 def repeated_words(w) -> F.Column:
@@ -80,15 +82,16 @@ def line_fails(line, max_symbols: float = 0.25, min_bars: int = 3, max_upper: fl
     Shouting: over max_upper of its letters are capitals, in lines of three words or more.
     Boilerplate: a short line with one of the fixed phrases.
     """
+    # Cheap questions come first: words are only counted in lines that they let through, all of which have some.
     n = F.size(words(line))
     bars = _count(line, r"[|>»·]")
-    letters = _count(line, r"\p{L}")
-    return (n > 0) & (
-        (_count(line, r"[#*$%&<>]") > max_symbols * n)
-        | (_count(line, r"!!") * 3 >= 2 * n)
-        | ((bars >= min_bars) & (bars * 3 >= n))
-        | ((n >= 3) & (_count(line, r"\p{Lu}") > max_upper * letters))
-        | ((n <= BOILERPLATE_WORDS) & F.lower(line).rlike("|".join(BOILERPLATE)))
+    phrase = reduce(lambda a, b: a | b, [F.contains(F.lower(line), F.lit(x)) for x in BOILERPLATE])
+    return (
+        (line.rlike(r"[#*$%&<>]") & (_count(line, r"[#*$%&<>]") > max_symbols * n))
+        | (F.contains(line, F.lit("!!")) & (_count(line, r"!!") * 3 >= 2 * n))
+        | (line.rlike(r"[|>»·]") & (bars >= min_bars) & (bars * 3 >= n))
+        | ((_count(line, r"\p{Lu}") > max_upper * _count(line, r"\p{L}")) & (n >= 3))
+        | (~line.rlike(_LONG) & phrase)
     )
 
 
@@ -105,26 +108,26 @@ def quality_rules(
     """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(t, "\n", -1)
-    suspect = t.rlike(SUSPECT)
     full = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.withColumn("_w", words(t)).withColumn("_full", full)
-    bad = F.when(suspect, F.filter(lines, lambda x: line_fails(x))).otherwise(F.array().cast("array<string>"))
-    good = F.when(suspect, F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n")).otherwise(t)
-    kept = out.withColumns(
+    judged = F.transform(lines, lambda x: F.struct(x.alias("line"), line_fails(x).alias("bad")))
+    out = bound(docs, {"_w": words(t), "_full": full, "_judged": judged})
+    good = F.transform(F.filter("_judged", lambda x: ~x["bad"]), lambda x: x["line"])
+    bad = F.filter("_judged", lambda x: x["bad"])
+    kept = bound(
+        out,
         {
             "n_words": F.size("_w").cast("long"),
             "word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("long"),
             "n_symbols": _count(t, r"[#*$%&|<>]").cast("long"),
             "n_dup_lines": (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"),
             "n_repeat_words": repeated_words(F.col("_w")),
-            "clean_text": good,
-            "lost_words": F.aggregate(bad, F.lit(0), lambda n, x: n + F.size(words(x))).cast("long"),
-        }
-    ).drop("_w", "_full")
+            "clean_text": F.array_join(good, "\n"),
+            "lost_words": F.aggregate(bad, F.lit(0), lambda n, x: n + F.size(words(x["line"]))).cast("long"),
+        },
+    ).drop("_w", "_full", "_judged")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    return kept.withColumn("base_failed", failed).withColumn(
-        "kept", ~failed & (F.col("lost_words") <= max_lost * F.col("n_words"))
-    )
+    passed = ~failed & (F.col("lost_words") <= max_lost * F.col("n_words"))
+    return kept.withColumns({"base_failed": failed, "kept": passed})
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
