@@ -1,333 +1,460 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global n-gram order is that of 64-bit hashes, the most frequent n-grams of the corpus last. Postings of each
-document's prefix in that order find candidates; for these the order is cut into fragments, the overlap of a pair is
-counted in each fragment by itself, and the counts are summed per pair.
+n-grams are 64-bit hashes. A first pass keeps the documents of whose smallest hashes enough are in other documents. Of
+these, n-grams that no other of them has are taken out, and what remains stands in one global order: by powers of two of
+an n-gram's document frequency, rarest first, then by hash. Pairs that meet in the prefixes of that order are candidates;
+the order is cut into fragments, the overlap of a pair is counted in each fragment by itself, and the counts are summed.
+
+Between tasks travel packed rows, a block of hashes of one batch of documents for one range of hashes. A batch names a
+hash once, however many of its documents have it, so frequent n-grams and groups of copies do not pile up in a range.
 """
 
-from itertools import chain
+import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import connected_components, cut, table, written
 
-#: n-grams at the end of the order, salts of their postings, fragments.
-HOT, SALTS, FRAGMENTS = 4096, 32, 4
-#: Documents named, and bytes of fragments sent, to every executor at most; beyond these they are joined by hash.
+#: Fragments of the global order; n-grams and documents of a batch at most; n-grams of a range aimed at.
+FRAGMENTS, BATCH_GRAMS, BATCH_DOCS, RANGE_GRAMS = 4, 1_000_000, 8_000, 1_000_000
+#: Rows sent to every executor at most, and bytes of fragments; beyond these they are joined by hash.
 NAMED, HELD = 1_000_000, 16_000_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Words(dict):
-    def __missing__(self, word):
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_words = _Words()
+#: Ratio of two set sizes of neighbouring size classes.
+CLASS = 1.05
+_IDX = 13
+_NOBODY = (1 << _IDX) - 1
+_MIX, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_33 = np.uint64(33)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_rng = np.random.default_rng(20240229)
+_BYTES = _rng.integers(0, 2**64, 256, np.uint64)
+_BASE = int(_rng.integers(0, 2**63, dtype=np.uint64)) * 2 + 1
+_FACTORS = _rng.integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _33)) * _MIX
+    h = (h ^ (h >> _33)) * _MIX2
+    return h ^ (h >> _33)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 18) -> np.ndarray:
+    """Hashes of the words data[starts[k]:ends[k]]: sums of a random number for each byte times a power of its place."""
+    out, k = np.empty(len(starts), np.uint64), 0
+    while k < len(starts):
+        to = max(k + 1, int(np.searchsorted(starts, starts[k] + chunk)))
+        s0, e0 = int(starts[k]), int(ends[to - 1])
+        if len(_powers[0]) < e0 - s0 + 1:
+            steps = max(e0 - s0 + 1, 2 * chunk)
+            for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+                each = np.full(steps, base, np.uint64)
+                each[0] = 1
+                _powers[i] = np.cumprod(each)
+        sums = np.zeros(e0 - s0 + 1, np.uint64)
+        np.cumsum(_BYTES[data[s0:e0]] * _powers[0][: e0 - s0], out=sums[1:])
+        s, e = starts[k:to] - s0, ends[k:to] - s0
+        out[k:to] = (sums[e] - sums[s]) * _powers[1][s] + (e - s).astype(np.uint64) * _MIX
+        k = to
+    return _mixed(out)
+
+
+def _sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of the n-grams of the texts data[offsets[k]:offsets[k + 1]]."""
+    at = int(offsets[0])
+    data, offsets = _LOWER[data[at : int(offsets[-1])]], offsets.astype(np.int64) - at
+    size = len(data)
+    blank = np.ones(size + 2, bool)
+    blank[1:-1] = _BLANK[data]
+    edge = np.zeros(size + 1, bool)
+    edge[offsets] = True
+    here = ~blank[1:-1]
+    starts = np.flatnonzero(here & (blank[:-2] | edge[:-1]))
+    ends = np.flatnonzero(here & (blank[2:] | edge[1:])) + 1
+    w = _word_hashes(data, starts, ends)
+    bounds = np.searchsorted(starts, offsets)
+    grams = np.zeros(0, np.uint64)
+    if len(w) >= n:
+        grams = w[: len(w) - n + 1] * _FACTORS[0]
+        for j in range(1, n):
+            grams += w[j : j + len(grams)] * _FACTORS[j]
+        grams = _mixed(grams)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if b - a >= n:
+            g = np.sort(grams[a : b - n + 1])
+            out.append(g if len(g) < 2 or (g[1:] != g[:-1]).all() else np.unique(g))
+        elif b > a:
+            short = (w[a:b] * _FACTORS[8 : 8 + b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
+            out.append(_mixed(np.array([short], np.uint64)))
+        else:
+            out.append(grams[:0])
+    return out
 
 
 def shingles(texts, n: int = 5) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes (int64) of the n-grams of each UTF-8 text; null and texts without words give none.
+    """Sorted distinct 64-bit hashes of the n-grams of each UTF-8 text; null and texts without words give none.
 
     A-Z are lower-cased, words are what stands between ASCII white space; a text of fewer than n words is one n-gram.
     """
-    if len(_words) > 100_000:
-        _words.clear()
-    split = [(x or b"").lower().split() for x in texts]
-    counts = np.array([len(w) for w in split], np.int64)
-    flat = np.fromiter(map(_words.__getitem__, chain.from_iterable(split)), np.uint64, int(counts.sum()))
-    if len(flat) >= n:
-        h = np.zeros(len(flat) - n + 1, np.uint64)
-        for j in range(n):
-            h = (h ^ flat[j : j + len(h)]) * _MIX
-            h ^= h >> np.uint64(29)
-    out, at = [], 0
-    for c in counts.tolist():
-        if c >= n:
-            out.append(np.unique(h[at : at + c - n + 1].view(np.int64)))
-        elif c:
-            short = xxhash.xxh64_intdigest(flat[at : at + c].tobytes(), seed=c)
-            out.append(np.array([short], np.uint64).view(np.int64))
-        else:
-            out.append(np.zeros(0, np.int64))
-        at += c
-    return out
-
-
-def needed(n: int, percent: int) -> int:
+    raw = [x or b"" for x in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    return _sets(np.frombuffer(b"".join(raw), np.uint8), offsets, n)
+
+
+def _read(batches, n: int, piece: int = 1 << 20):
+    """(key or None, set) for each row of Arrow batches of key and text, a few texts at a time."""
+    for batch in batches:
+        keys, texts = batch.column(0).to_pylist(), batch.column(1)
+        _, places, raw = texts.buffers()
+        offsets = np.frombuffer(places, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8)
+        k = 0
+        while k < len(keys):
+            to = max(k + 1, int(np.searchsorted(offsets, int(offsets[k]) + piece, "right")) - 1)
+            to = min(to, len(keys))
+            yield from zip(keys[k:to], _sets(data, offsets[k : to + 1], n), strict=True)
+            k = to
+
+
+def needed(n, percent: int):
     """Least overlap of a set of n with any set it can link with."""
     return (percent * n + 99) // 100
 
 
 def posted(n: int, percent: int) -> int:
-    """How many of a set's n-grams are posted: see _rare()."""
+    """How many of a set's smallest hashes the first pass looks at: enough that one, and n div 9 more, must be common."""
     return min(n, n - needed(n, percent) + 1 + n // 9)
 
 
-def _batches(frames, size: int = 128):
-    for pdf in frames:
-        for at in range(0, len(pdf), size):
-            yield pdf.iloc[at : at + size]
+def _signature(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """(kind, id, count, sig): kind 0 a document with its set's size and hash, kind 1 an n-gram and how often a batch has it."""
+def _rows(rows: list, names: list[str]) -> pa.RecordBatch:
+    kinds = {"r": pa.int32(), "batch": pa.int64(), "kind": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kinds.get(c, pa.binary())) for k, c in enumerate(names)], names)
 
-    def run(frames):
-        held, many = [], 0
 
-        def common():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= 4
-            return pd.DataFrame({"kind": 1, "id": values[often], "count": counts[often], "sig": 0})
-
-        for pdf in _batches(frames):
-            sets = shingles(pdf["text"], n)
-            sig = [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
-            yield pd.DataFrame(
-                {"kind": 0, "id": pdf["key"].to_numpy(), "count": [len(s) for s in sets], "sig": np.array(sig, np.uint64).view(np.int64)}
-            )
-            held += sets
-            many += sum(map(len, sets))
-            if many > 500_000:
-                yield common()
-                held, many = [], 0
-        if held:
-            yield common()
+def _range_bits(grams: float) -> int:
+    return max(4, min(30, math.ceil(math.log2(max(1.0, grams / RANGE_GRAMS)))))
 
-    return docs.mapInPandas(run, "kind int, id long, count long, sig long")
 
+def _slices(top: np.ndarray):
+    """(value, from, to) of the runs of a sorted array."""
+    at = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]])) if len(top) else []
+    return zip([int(top[a]) for a in at], at, [*at[1:], len(top)])
 
-def _postings(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """(token, doc, place): each document's prefix in the global order. place packs salt, set size and position.
 
-    hot: the frequent n-grams, rarest first. They come last in every document; their postings carry a salt over 0.
+def _survey(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc, n, sig, live) for each row of docs (key, text): the size and signature of its set, and whether so many of its
+    posted hashes are in other documents that it can have a link. live errs on the side of true.
     """
-    order = np.argsort(hot, kind="stable")
-    ranked = hot[order]
-
-    def run(frames):
-        for pdf in _batches(frames):
-            tokens, ids, places = [], [], []
-            for key, s in zip(pdf["key"].to_numpy(), shingles(pdf["text"], n), strict=True):
-                if not len(s):
-                    continue
-                is_hot = np.zeros(len(s), bool)
-                if len(ranked):
-                    at = np.minimum(np.searchsorted(ranked, s), len(ranked) - 1)
-                    is_hot = ranked[at] == s
-                prefix = posted(len(s), percent)
-                cold = s[~is_hot][:prefix]
-                last = s[is_hot][np.argsort(order[at[is_hot]], kind="stable")][: prefix - len(cold)] if len(cold) < prefix else s[:0]
-                both = np.concatenate([cold, last])
-                salt = np.where(np.arange(len(both)) < len(cold), 0, 1 + int(key) % SALTS)
-                tokens.append(both)
-                ids.append(np.full(len(both), key, np.int64))
-                places.append((salt.astype(np.int64) << 56) | (len(s) << 28) | np.arange(len(both)))
-            if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens), "doc": np.concatenate(ids), "place": np.concatenate(places)})
-
-    return docs.mapInPandas(run, "token long, doc long, place long")
-
-
-def _shared(postings: DataFrame) -> DataFrame:
-    """The postings of n-grams that more than one posting has, with two neighbours in the n-gram's list (and salt), which
-    is in the order of set size and document: its first posting (lead, lead_place), the one before (last, last_place),
-    and many: how long the list is, or its part in a batch of rows.
-
-    One shuffle; each partition is sorted and read as a stream that holds one posting, however long a list is.
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = _range_bits(size / 6)
+    names = ["r", "batch", "kind", "a", "b", "c", "d"]
+    schema = "r int, batch long, kind int, a binary, b binary, c binary, d binary"
+
+    def post(batches):
+        part, made = TaskContext.get().partitionId(), 0
+        keys, sizes, sigs, heads, many = [], [], [], [], 0
+
+        def flush():
+            nonlocal made, keys, sizes, sigs, heads, many
+            name = (part << 32) + made
+            lengths = [0 if k is None else len(h) for k, h in zip(keys, heads)]
+            at = np.repeat(np.arange(len(keys), dtype=np.uint64), lengths)
+            grams = np.concatenate([h[:c] for h, c in zip(heads, lengths)])
+            packed = np.sort((grams >> np.uint64(_IDX) << np.uint64(_IDX)) | at)
+            token = packed >> np.uint64(_IDX)
+            same = token[1:] == token[:-1]
+            multi = np.zeros(len(token), bool)
+            multi[1:] |= same
+            multi[:-1] |= same
+            first = np.ones(len(token), bool)
+            first[1:] = ~same
+            local = np.bincount((packed[multi] & np.uint64(_NOBODY)).astype(np.int64), minlength=len(keys)).astype("<i4")
+            # A hash of several documents of the batch is known to be shared; it is named once, for other batches.
+            packed[multi & first] |= np.uint64(_NOBODY)
+            sent = packed[~multi | first]
+            low = ((sent >> np.uint64(_IDX)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+            who = (sent & np.uint64(_NOBODY)).astype("<u2")
+            ids = np.array([0 if k is None else k for k in keys], "<i8")
+            nulls = np.array([k is None for k in keys], "<u1")
+            rows = [(name % (1 << bits), name, 0, ids.tobytes() + nulls.tobytes(), np.array(sizes, "<i4").tobytes(), b"".join(sigs), local.tobytes())]
+            rows += [(r, name, 1, low[a:b].tobytes(), who[a:b].tobytes(), None, None) for r, a, b in _slices(sent >> np.uint64(64 - bits))]
+            made += 1
+            keys, sizes, sigs, heads, many = [], [], [], [], 0
+            return _rows(rows, names)
+
+        for key, s in _read(batches, n):
+            keys.append(key)
+            sizes.append(len(s))
+            sigs.append(_signature(s))
+            heads.append(s[: posted(len(s), percent)].copy())
+            many += len(heads[-1])
+            if many > BATCH_GRAMS or len(keys) >= BATCH_DOCS:
+                yield flush()
+        if keys:
+            yield flush()
+
+    def shared(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = pdf[pdf["kind"] == 0]
+        posts = pdf[pdf["kind"] == 1]
+        low = [np.frombuffer(x, "<u4") for x in posts["a"]]
+        if not low:
+            return kept
+        ordered = np.sort((np.concatenate(low).astype(np.uint64) << np.uint64(32)) | np.arange(sum(map(len, low)), dtype=np.uint64))
+        same = (ordered[1:] >> np.uint64(32)) == (ordered[:-1] >> np.uint64(32))
+        multi = np.zeros(len(ordered), bool)
+        multi[1:] |= same
+        multi[:-1] |= same
+        hit = np.zeros(len(ordered), bool)
+        hit[(ordered[multi] & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+        rows, at = [], 0
+        for batch, who in zip(posts["batch"], posts["b"]):
+            who = np.frombuffer(who, "<u2")
+            found = who[hit[at : at + len(who)] & (who != _NOBODY)]
+            at += len(who)
+            if len(found):
+                rows.append((0, batch, 2, None, found.tobytes(), None, None))
+        return pd.concat([kept, pd.DataFrame(rows, columns=names)]) if rows else kept
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["kind"] == 0].iloc[0]
+        sizes = np.frombuffer(own["b"], "<i4")
+        ids, nulls = np.frombuffer(own["a"][: 8 * len(sizes)], "<i8"), np.frombuffer(own["a"][8 * len(sizes) :], "<u1")
+        common = np.frombuffer(own["d"], "<i4").astype(np.int64)
+        hits = [np.frombuffer(x, "<u2") for x in pdf.loc[pdf["kind"] == 2, "b"]]
+        if hits:
+            common = common + np.bincount(np.concatenate(hits), minlength=len(sizes))
+        wide = sizes.astype(np.int64)
+        spare = wide - needed(wide, percent)
+        least = np.minimum(wide, spare + 1 + wide // 9) - spare
+        return pd.DataFrame(
+            {
+                "doc": pd.array(ids, "Int64").copy() if not nulls.any() else pd.array(np.where(nulls, None, ids), "Int64"),
+                "n": wide,
+                "sig": [own["c"][k : k + 16] for k in range(0, 16 * len(sizes), 16)],
+                "live": (wide > 0) & (nulls == 0) & (common >= least),
+            }
+        )
+
+    posts = docs.mapInArrow(post, schema)
+    hits = posts.groupBy("r").applyInPandas(shared, schema)
+    return hits.groupBy("batch").applyInPandas(count, "doc long, n long, sig binary, live boolean")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be sent to every executor if it has few rows."""
+    return F.broadcast(df) if df.count() <= NAMED else df
+
+
+def _reduced(docs: DataFrame, n: int, percent: int, grams: int) -> DataFrame:
+    """(node, sig, n, m, grams, places) for the sets of docs (key, text) that can have a link: without the n-grams that no
+    other set has, m remain, in the global order. places: the power of two of each one's frequency. grams: how many
+    n-grams docs have in all, about.
     """
+    bits = _range_bits(grams)
 
-    def run(batches):
-        lead = before = wait = None
-        for batch in batches:
-            t, d, p = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            if not len(t):
-                continue
-            salt = p >> 56
-            new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (salt[1:] != salt[:-1])
-            new[0] = lead is None or (t[0], salt[0]) != (lead[0], lead[2] >> 56)
-            start = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
-            first = np.where(start >= 0, d[start], lead[1] if lead else 0)
-            first_place = np.where(start >= 0, p[start], lead[2] if lead else 0)
-            last, last_place = np.roll(d, 1), np.roll(p, 1)
-            last[0], last_place[0] = before if before and not new[0] else (d[0], p[0])
-            last, last_place = np.where(new, d, last), np.where(new, p, last_place)
-            group = np.cumsum(new)
-            many = np.bincount(group)[group]
-            live = ~new | (salt > 0)
-            live[:-1] |= ~new[1:]
-            columns = [c[live] for c in (t, d, p, first, first_place, last, last_place, many)]
-            if wait is not None and not new[0]:
-                columns = [np.concatenate([[w], c]) for w, c in zip(wait, columns, strict=True)]
-            wait = (t[-1], d[-1], p[-1], d[-1], p[-1], d[-1], p[-1], 2) if new[-1] and not live[-1] else None
-            lead, before = (t[-1], int(first[-1]), int(first_place[-1])), (d[-1], p[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-    names = ["token", "doc", "place", "lead", "lead_place", "last", "last_place", "many"]
-    size = F.shiftright("place", 28)
-    dealt = postings.repartition("token", F.shiftright("place", 56)).sortWithinPartitions("token", size, "doc")
-    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
-
-
-def _size(place):
-    return F.shiftright(place, 28).bitwiseAND(F.lit((1 << 28) - 1))
-
-
-def _position(place):
-    return place.bitwiseAND(F.lit((1 << 28) - 1))
-
-
-def _rare(live: DataFrame, percent: int) -> DataFrame:
-    """The postings by which a document finds its partners of equal or larger size: rows of live, with n.
-
-    With a partner as large as itself a set of n shares n - d of its n-grams, d = n - ceil(2 p n / (100 + p)). In the
-    global order the i-th common n-gram is one of the first d + i of the smaller set, and of those that the larger one
-    posts, for i = n div 9 + 1. So i of these d + i are common, and any d + 1 of them hold a common one: the rarest are
-    taken. N-grams of this document alone, or of its component alone, count as the rarest and find nobody; only what
-    remains of the d + 1 is looked up, which is nothing for most documents.
+    def collect(batches):
+        part, made = TaskContext.get().partitionId(), 0
+        held, many = [], 0
+        names = ["batch", "sigs", "sizes", "grams"]
+
+        def flush():
+            nonlocal made, held, many
+            row = ((part << 32) + made, b"".join(map(_signature, held)), np.array([len(s) for s in held], "<i4").tobytes(), np.concatenate(held).astype("<u8").tobytes())
+            made, held, many = made + 1, [], 0
+            return _rows([row], names)
+
+        for _, s in _read(batches, n):
+            if len(s):
+                held.append(s)
+                many += len(s)
+                if many > BATCH_GRAMS or len(held) >= BATCH_DOCS:
+                    yield flush()
+        if held:
+            yield flush()
+
+    sets = written(docs.mapInArrow(collect, "batch long, sigs binary, sizes binary, grams binary"))
+
+    def ask(frames):
+        for pdf in frames:
+            for batch, raw in zip(pdf["batch"], pdf["grams"]):
+                values, counts = np.unique(np.frombuffer(raw, "<u8"), return_counts=True)
+                rows = [(r, batch, values[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for r, a, b in _slices(values >> np.uint64(64 - bits))]
+                yield pd.DataFrame(rows, columns=["r", "batch", "grams", "counts"])
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [np.frombuffer(x, "<u8") for x in pdf["grams"]]
+        counts = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["counts"]]).astype(np.int64)
+        values, at = np.unique(np.concatenate(own), return_inverse=True)
+        frequency = np.bincount(at, weights=counts).astype(np.int64)[at]
+        rows, k = [], 0
+        for batch, x in zip(pdf["batch"], own):
+            f = frequency[k : k + len(x)]
+            k += len(x)
+            if (f > 1).any():
+                rows.append((batch, x[f > 1].tobytes(), f[f > 1].astype("<u4").tobytes()))
+        return pd.DataFrame(rows, columns=["batch", "grams", "counts"])
+
+    answers = sets.select("batch", "grams").mapInPandas(ask, "r int, batch long, grams binary, counts binary")
+    answers = answers.groupBy("r").applyInPandas(answer, "batch long, grams binary, counts binary")
+
+    def take(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(own) and len(told):
+            values = np.concatenate([np.frombuffer(x, "<u8") for x in told["grams"]])
+            counts = np.concatenate([np.frombuffer(x, "<u4") for x in told["counts"]])
+            order = np.argsort(values)
+            values, power = values[order], np.frexp(counts[order].astype(float))[1].astype(np.uint8)
+            sizes = np.frombuffer(own["sizes"].iloc[0], "<i4")
+            flat, sigs = np.frombuffer(own["grams"].iloc[0], "<u8"), own["sigs"].iloc[0]
+            at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+            known = values[at] == flat
+            start = 0
+            for k, size in enumerate(sizes.tolist()):
+                mask = known[start : start + size]
+                m = int(mask.sum())
+                if m >= needed(size, percent):
+                    g, p = flat[start : start + size][mask], power[at[start : start + size][mask]]
+                    by = np.lexsort((g, p))
+                    rows.append((sigs[16 * k : 16 * k + 16], size, m, g[by].tobytes(), p[by].tobytes()))
+                start += size
+        return pd.DataFrame(rows, columns=["sig", "n", "m", "grams", "places"])
+
+    schema = "sig binary, n long, m long, grams binary, places binary"
+    kept = sets.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(take, schema)
+    return written(kept.dropDuplicates(["sig"]).withColumn("node", F.monotonically_increasing_id()))
+
+
+def _postings(reduced: DataFrame, percent: int) -> DataFrame:
+    """(token, node, n, m, place, as_small): the prefixes of the sets in the global order.
+
+    Of a pair with enough overlap, the larger set has a common n-gram among its first m - needed + 1, and the smaller
+    one, as their overlap is at least 2 p n / (100 + p) of its n, among fewer: as_small tells which.
     """
-    n = _size(F.col("place"))
-    d = n - F.ceil((2 * percent * n) / F.lit(100 + percent)).cast("long")
-    own = live.withColumn("n", n).withColumn("d", d).withColumn("first", F.least(F.col("n"), F.col("d") + F.floor(F.col("n") / 9) + 1))
-    doc = Window.partitionBy("doc")
-    own = own.where(_position(F.col("place")) < F.col("first"))
-    own = own.withColumn("rank", F.row_number().over(doc.orderBy("many", "token"))).withColumn("live", F.count("*").over(doc))
-    return own.where(F.col("rank") <= F.col("d") + 1 - (F.col("first") - F.col("live")))
-
-
-def _close(pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of pairs (a, b, pa, pb), a row for each n-gram common to both prefixes, that can still link.
 
-    An n-gram common to the sets but not to the prefixes stands behind one of the prefixes, so the overlap is at most
-    the number of rows and the longer of the two rests.
-    """
-    na, nb = _size(F.col("pa")), _size(F.col("pb"))
-    both = pairs.where(100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-    rest = lambda n: F.greatest(F.lit(0), F.ceil(percent * n / F.lit(100)).cast("long") - 1 - F.floor(n / 9))
-    counted = both.groupBy("a", "b").agg(F.count("*").alias("c"), F.first(na).alias("na"), F.first(nb).alias("nb"))
-    bound = F.col("c") + F.greatest(rest(F.col("na")), rest(F.col("nb")))
-    return counted.where((100 + percent) * bound >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    def run(frames):
+        for pdf in frames:
+            parts = []
+            for node, n, m, raw in zip(pdf["node"], pdf["n"], pdf["m"], pdf["grams"]):
+                large, small = m - needed(n, percent) + 1, m + (-2 * percent * n // (100 + percent)) + 1
+                place = np.arange(large)
+                parts.append((np.frombuffer(raw[: 8 * large], "<i8"), np.full(large, node), np.full(large, n), np.full(large, m), place, place < small))
+            if parts:
+                yield pd.DataFrame(dict(zip(["token", "node", "n", "m", "place", "as_small"], map(np.concatenate, zip(*parts)))))
 
+    return reduced.select("node", "n", "m", "grams").mapInPandas(run, "token long, node long, n long, m long, place long, as_small boolean")
 
-def _open(postings: DataFrame, stats: DataFrame, links: DataFrame) -> DataFrame:
-    """The postings (token, doc, place, many) of lists that have members of different components, with component and
-    hub: the member with most links, of these the one that shares most n-grams.
 
-    Documents of a component with equal sets stand for each other: the smallest one stays.
+def _hubs(postings: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each set with the hub that most of its posting lists have. A list's hub is the set of which the largest
+    share is in other sets: the source of a group of near copies.
     """
-    joined = connected_components(links)
-    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    named = (
-        stats.where("doc is not null")
-        .join(joined.join(degrees, "node"), F.col("doc") == F.col("node"), "left")
-        .groupBy(F.coalesce("component", "doc").alias("component"), "sig")
-        .agg(F.min("doc").alias("doc"), F.max(F.coalesce("degree", F.lit(0))).alias("degree"))
-        .drop("sig")
-    )
-    postings = postings.select("token", "doc", "place", "many")
-    weights = postings.groupBy("doc").agg(F.sum("many").alias("weight"))
-    tagged = postings.join(named.join(weights, "doc"), "doc")
-    hub = F.max(F.struct("degree", "weight", "doc", "component", "place")).alias("hub")
-    lists = tagged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), hub).where("lo < hi")
-    return tagged.join(lists.select("token", "hub"), "token").select(
-        "token", "doc", "place", "many", "component",
-        F.col("hub.doc").alias("hub"), F.col("hub.place").alias("hub_place"), F.col("hub.component").alias("hub_component")
-    )
-
-
-def _hubs(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b): documents with hubs, of other components, of so many of their posting lists that they can link."""
-    return _close(
-        lists.where("component <> hub_component").select(
-            F.greatest("doc", "hub").alias("a"), F.least("doc", "hub").alias("b"), F.col("place").alias("pa"), F.col("hub_place").alias("pb")
-        ),
-        percent,
-    )
-
-
-def _picked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The documents of pairs (a, b)."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    few = ids.count() <= NAMED
-    return docs.join(F.broadcast(ids) if few else ids, docs["key"] == ids["doc"], "left_semi")
-
+    hub = F.max(F.struct((F.col("m") / F.col("n")).alias("share"), (-F.col("node")).alias("least"), F.col("n"))).alias("hub")
+    lists = postings.groupBy("token").agg(hub, F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    met = postings.join(lists.select("token", (-F.col("hub.least")).alias("to"), F.col("hub.n").alias("size")), "token").where("node <> to")
+    fits = met.where(100 * F.least("n", "size") >= percent * F.greatest("n", "size"))
+    best = fits.groupBy("node", "to").count().groupBy("node").agg(F.max_by("to", F.struct("count", -F.col("to"))).alias("to"))
+    return best.select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).distinct()
 
-def _alive(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of pairs (a, b, na, nb) of which both sets have enough n-grams that any other set of the pairs has.
 
-    Members of a group of near copies with many changes of their own are told apart so, without comparing them.
+def _across(postings: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of sets of different components (named: node, component) that meet in their prefixes and can
+    still link. Sizes rule out pairs by an equality of size classes, before they are made.
+    """
+    tagged = postings.join(_small(named), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    lists = tagged.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
+    open_ = written(tagged.join(lists, "token", "left_semi"))
+
+    def level(size):
+        return F.floor(F.log(CLASS, size)).cast("int")
+
+    p = F.lit(percent)
+    # |x| + |y| is at most (100 + p) / p times the overlap, and that is at most m of either.
+    x = open_.where("as_small").select("token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("m").alias("mx"), F.col("place").alias("px"), F.col("c").alias("cx"), level(F.col("n")).alias("level"))
+    most = F.least(F.col("n"), F.floor((100 + p) * F.col("m") / p).cast("long") - F.col("n"))
+    y = open_.withColumn("lo", F.ceil(p * F.col("n") / 100).cast("long")).withColumn("hi", most).where("lo <= hi")
+    y = y.select("token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("m").alias("my"), F.col("place").alias("py"), F.col("c").alias("cy"), "lo", "hi", F.explode(F.sequence(level(F.col("lo")), level(F.col("hi")))).alias("level"))
+    fits = (F.col("cx") != F.col("cy")) & F.col("nx").between(F.col("lo"), F.col("hi")) & (p * (F.col("nx") + F.col("ny")) <= (100 + p) * F.col("mx"))
+    once = (F.col("nx") < F.col("ny")) | (F.col("x") < F.col("y"))
+    met = x.join(y, ["token", "level"]).where(fits & once)
+    # All common n-grams up to the last one that is counted are counted; those after it stand behind it in both sets.
+    pairs = met.groupBy("x", "y").agg(F.count("*").alias("c"), F.max("px").alias("px"), F.max("py").alias("py"), *[F.first(k).alias(k) for k in ("nx", "ny", "mx", "my")])
+    bound = F.col("c") + F.least(F.col("mx") - F.col("px"), F.col("my") - F.col("py")) - 1
+    return pairs.where((100 + p) * bound >= p * (F.col("nx") + F.col("ny"))).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+
+def _pivots(reduced: DataFrame) -> list[int]:
+    """Where the global order is cut, as codes of frequency's power and the first 4 bits of the hash, so that fragments hold
+    about equal numbers of n-grams. There are at most 1,024 codes, whatever the corpus.
     """
 
     def run(frames):
-        for pdf in _batches(frames):
-            sets = shingles(pdf["text"], n)
-            yield pd.DataFrame({"gram": np.concatenate(sets), "doc": np.repeat(pdf["key"].to_numpy(), [len(s) for s in sets])})
+        total = np.zeros(1024, np.int64)
+        for pdf in frames:
+            for g, p in zip(pdf["grams"], pdf["places"]):
+                total += np.bincount(_codes(g, p), minlength=1024)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"code": at, "n": total[at]})
 
-    grams = _picked(docs, pairs).mapInPandas(run, "gram long, doc long")
-    alone = grams.groupBy("gram").agg(F.min("doc").alias("doc"), F.max("doc").alias("other")).where("doc = other")
-    dead = cut(alone.groupBy("doc").agg(F.count("*").alias("dead")))
-    needs = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    kept = pairs.withColumn("needs", needs)
-    for side in ("a", "b"):
-        kept = kept.join(dead.select(F.col("doc").alias(side), "dead"), side, "left")
-        kept = kept.where(F.col(f"n{side}") - F.coalesce("dead", F.lit(0)) >= F.col("needs")).drop("dead")
-    return kept.select("a", "b")
+    found = reduced.select("grams", "places").mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
+    upto = np.cumsum([r["n"] for r in found])
+    return [found[int(np.searchsorted(upto, upto[-1] * k / FRAGMENTS))]["code"] for k in range(1, FRAGMENTS)] if found else []
 
 
-def _fragments(docs: DataFrame, n: int) -> DataFrame:
-    """(doc, fragment, size, grams) for documents: the part of each set in each fragment of the order.
+def _codes(grams: bytes, places: bytes) -> np.ndarray:
+    return (np.frombuffer(places, np.uint8).astype(np.int64) << 4) | (np.frombuffer(grams, "<u8") >> np.uint64(60)).astype(np.int64)
+
+
+def _fragments(reduced: DataFrame, pivots: list[int]) -> DataFrame:
+    """(node, fragment, n, grams): the part of each set in each fragment of the order, sorted by hash."""
 
-    grams: 5 bytes of each hash, sorted; the fragment is given by its other bits.
-    """
     def run(frames):
-        for pdf in _batches(frames):
+        for pdf in frames:
             rows = []
-            for key, s in zip(pdf["key"].to_numpy(), shingles(pdf["text"], n), strict=True):
-                u = s.view(np.uint64)
-                part = (u >> np.uint64(40)) % np.uint64(FRAGMENTS)
-                for f in range(FRAGMENTS):
-                    own = np.sort(u[part == f] & np.uint64((1 << 40) - 1))
-                    if len(own):
-                        rows.append((key, f, len(s), own.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()))
-            yield pd.DataFrame(rows, columns=["doc", "fragment", "size", "grams"])
+            for node, n, g, p in zip(pdf["node"], pdf["n"], pdf["grams"], pdf["places"]):
+                part, h = np.searchsorted(pivots, _codes(g, p), "left"), np.frombuffer(g, "<u8")
+                rows += [(node, f, n, np.sort(h[part == f]).tobytes()) for f in np.unique(part).tolist()]
+            yield pd.DataFrame(rows, columns=["node", "fragment", "n", "grams"])
 
-    parts = docs.mapInPandas(run, "doc long, fragment int, size long, grams binary")
-    return written(parts)
+    return reduced.select("node", "n", "grams", "places").mapInPandas(run, "node long, fragment int, n long, grams binary")
 
 
 @F.pandas_udf(T.LongType())
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Partial overlap of two sets in one fragment, for all rows of a batch with one sort."""
+    """Partial overlap of two sets in one fragment."""
 
-    def keyed(grams):
-        raw = np.frombuffer(b"".join(grams), np.uint8).reshape(-1, 5)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :5] = raw
-        row = np.repeat(np.arange(len(grams), dtype=np.uint64), [len(g) // 5 for g in grams])
-        return wide.view(np.uint64).ravel() | (row << np.uint64(40))
+    def one(x, y):
+        x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+        x, y = (x, y) if len(x) >= len(y) else (y, x)
+        return int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
 
-    both = np.sort(np.concatenate([keyed(a), keyed(b)]))
-    common = (both[1:][both[1:] == both[:-1]] >> np.uint64(40)).astype(np.int64)
-    return pd.Series(np.bincount(common, minlength=len(a)))
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int64")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, reduced: DataFrame, pivots: list[int], percent: int) -> DataFrame:
     """The pairs (a, b) whose overlaps, summed over the fragments, meet the threshold."""
-    parts = _fragments(_picked(docs, pairs), n)
+    pairs = written(pairs)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    parts = written(_fragments(reduced.join(_small(ids), "node", "left_semi"), pivots))
     held = parts.agg(F.coalesce(F.sum(F.length("grams") + 64), F.lit(0))).first()[0]
     small = F.broadcast if held <= HELD else lambda x: x
     each = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(k) for k in range(FRAGMENTS)])))
-    left = parts.select(F.col("doc").alias("a"), "fragment", F.col("size").alias("na"), F.col("grams").alias("ga"))
-    right = parts.select(F.col("doc").alias("b"), "fragment", F.col("size").alias("nb"), F.col("grams").alias("gb"))
+    left = parts.select(F.col("node").alias("a"), "fragment", F.col("n").alias("na"), F.col("grams").alias("ga"))
+    right = parts.select(F.col("node").alias("b"), "fragment", F.col("n").alias("nb"), F.col("grams").alias("gb"))
     joined = each.join(small(left), ["a", "fragment"]).join(small(right), ["b", "fragment"])
     partial = joined.select("a", "b", "na", "nb", _overlap("ga", "gb").alias("part"))
     total = partial.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("part").alias("both"))
@@ -339,52 +466,39 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Documents link when 100 * |intersection| >= percent * |union| of their sets of word n-grams; component_id is the
     smallest key reachable by links. Null and empty texts, and those without words, have n_shingles 0 and their own
-    key; rows with a null key have a null component. Rows that repeat a key stand for one document. An empty table
-    gives an empty one.
+    key; rows with a null key have a null component. Rows that repeat a key are documents of their own with that key. An
+    empty table gives an empty one.
 
-    No link between different texts is lost, and large groups of copies give no pairs of all with all: first every
-    document is compared with the first of each posting list it is in, which joins the copies; next with the
-    best connected member of its lists, which joins copies that are nearer to their source than to each other; then,
-    wherever a list still has members of different components, each pair across components is compared, members with equal sets once.
+    No link between different texts is lost, and large groups of copies give no pairs of all with all: documents with
+    equal sets are one node; every node is first compared with one hub of its posting lists, which joins near copies to
+    their source; then, wherever a list still has members of different components, the pairs across components that
+    sizes and prefixes allow are compared.
     """
     d = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
-    profile = cut(_profile(d, n))
-    counts = profile.where("kind = 1").groupBy("id").agg(F.sum("count").alias("c"))
-    # A fixed number of n-grams, whatever the corpus; only speed depends on which.
-    top = counts.orderBy(F.desc("c"), "id").limit(HOT).collect()
-    hot = np.array([r["id"] for r in reversed(top)], np.int64)
-
-    known = d.where("key is not null")
-    live = written(_shared(_postings(known, n, percent, hot)))
-    high, low = F.greatest("doc", "lead").alias("a"), F.least("doc", "lead").alias("b")
-    pair = lambda other: live.where(F.col(other) != F.col("doc")).select(
-        F.greatest("doc", other).alias("a"), F.least("doc", other).alias("b"), F.col("place").alias("pa"), F.col(f"{other}_place").alias("pb")
-    )
-    firsts = pair("lead").union(pair("last").where("a <> b"))
-    heads = live.where(F.shiftright("place", 56) > 0).select("token", "lead", "lead_place").distinct()
-    chief = heads.groupBy("token").agg(F.min(F.struct(_size(F.col("lead_place")), "lead", "lead_place")).alias("m"))
-    across = heads.join(chief, "token").where("lead <> m.lead").select(
-        F.greatest("lead", "m.lead").alias("a"), F.least("lead", "m.lead").alias("b"), F.col("lead_place").alias("pa"), F.col("m.lead_place").alias("pb")
-    )
-    near = cut(_close(firsts.union(across), percent))
-    links = cut(_verify(near, known, n, percent))
-
-    stats = profile.where("kind = 0").select(F.col("id").alias("doc"), F.col("count").alias("n"), "sig")
-    opened = written(_open(live, stats, links))
-    links = cut(links.union(_verify(cut(_hubs(opened, percent)), known, n, percent)))
-    kept = written(_open(opened, stats, links))
-    rare = _rare(kept, percent).select("token", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    others = kept.select("token", F.col("doc").alias("y"), _size(F.col("place")).alias("ny"), F.col("component").alias("cy"))
-    fits = (F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("ny")) & (100 * F.col("nx") >= percent * F.col("ny"))
-    sized = [F.when(F.col("x") > F.col("y"), F.col(big)).otherwise(F.col(small)) for big, small in (("nx", "ny"), ("ny", "nx"))]
-    met = rare.join(others, "token").where(fits).select(
-        F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), sized[0].alias("na"), sized[1].alias("nb")
-    )
-    more = cut(_verify(cut(_alive(cut(met.distinct()), known, n, percent)), known, n, percent))
-
-    final = connected_components(links.union(more))
-    return stats.join(final, stats["doc"] == final["node"], "left").select(
-        F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id")
+    stats = written(_survey(d, n, percent))
+    groups = written(stats.where("live").groupBy("sig").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")))
+    chosen = groups.select(F.col("rep").alias("key"))
+    grams = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    reduced = _reduced(d.join(_small(chosen), "key", "left_semi"), n, percent, grams)
+    pivots = _pivots(reduced)
+
+    postings = written(_postings(reduced, percent))
+    links = written(_verify(_hubs(postings, percent), reduced, pivots, percent))
+    first = cut(connected_components(links))
+    named = first.select("node", "component")
+    more = _verify(_across(postings, named, percent), reduced, pivots, percent)
+    # Links across components join components.
+    own = lambda side: named.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    over = more.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    second = connected_components(over)
+    nodes = reduced.select("node", "sig").join(named, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    nodes = nodes.join(second.withColumnRenamed("node", "c"), "c", "left").select("sig", F.coalesce("component", "c").alias("c"))
+    with_reps = written(groups.join(nodes, "sig", "left"))
+    least = with_reps.where("c is not null").groupBy("c").agg(F.min("rep").alias("least"))
+    found = with_reps.join(least, "c", "left").select("sig", F.coalesce("least", "rep").alias("component"), "copies", "rep")
+    grouped = written(found.where("copies > 1 or component <> rep").select("sig", "component"))
+    return stats.join(_small(grouped), "sig", "left").select(
+        F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("live"), F.coalesce("component", "doc")).otherwise(F.col("doc")).alias("component_id")
     )
 
 
@@ -393,7 +507,10 @@ def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each component. Rows with a null doc_id stay."""
+    """The first document of each component; of an empty table, nothing. Rows with a null doc_id stay.
+
+    Documents go by doc_id, so rows that repeat one stay or go together.
+    """
     names = docs.columns
     found = jaccard_components(docs.select("doc_id", "text"))
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
