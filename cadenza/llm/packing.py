@@ -1,5 +1,6 @@
 """Best-fit packing of token sequences by hierarchical residual packing."""
 
+import json
 import os
 import sys
 import zlib
@@ -16,7 +17,7 @@ from .common import cut, table
 
 #: Items that a task packs at once, items of a later group on average at most, groups that meet in one, fill that ends a bin.
 BATCH, GROUP, FAN_IN, NEARLY_FULL = 100_000, 131_072, 16, 0.99
-#: Pieces that a worker remembers at most.
+#: Words that a worker remembers at most, in each of two generations.
 CACHE = 250_000
 
 
@@ -26,71 +27,111 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds:
-    """Ids of a text as little-endian unsigned 32-bit bytes, for tokenizers that work between white space.
-
-    Such a tokenizer gives a text the ids of its pieces between ASCII white space, one after the other, so each piece
-    is looked up, and only pieces not seen before are encoded. A piece of letters, but for a full stop or comma at its
-    end, has the ids of its letters in lower case and those of the mark. Both tables are bounded.
-    """
+class TextIds:
+    """Ids of a text as little-endian unsigned 32-bit bytes, by any tokenizer file; null has none."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.letters = Tokenizer.from_file(path), {}, {}
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.array([self.tokenizer.id_to_token(k).endswith("</w>") for k in range(size)])
-        self.marks = {c: self._plain([c])[0] for c in (b".", b",")} | {b"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
 
-    def _plain(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
+    def encode(self, texts) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([(x or b"").decode() for x in texts], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _joined(self, words: list[bytes]) -> list[bytes]:
+
+#: What WordIds takes for granted: letters are lower-cased, nothing crosses white space, runs of letters stand alone.
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_words(path: str) -> bool:
+    """Whether a tokenizer file is of the kind that WordIds can take apart."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    normal, pre, model = (made.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps, cuts = normal.get("normalizers") or [], pre.get("pretokenizers") or [{}]
+    return (
+        [x.get("type") for x in steps] == _NORMAL
+        and (steps[1].get("pattern"), steps[1].get("content")) == ({"Regex": r"\s+"}, " ")
+        and [x.get("type") for x in cuts] == ["Split", "ByteLevel"]
+        and cuts[0].get("pattern") == {"Regex": _SPLIT}
+        and (cuts[0].get("behavior"), cuts[0].get("invert"), cuts[1].get("add_prefix_space")) == ("Removed", True, False)
+        and (model.get("type"), model.get("end_of_word_suffix")) == ("BPE", "</w>")
+        and not any(x["content"].isalpha() or " " in x["content"] for x in made.get("added_tokens") or [])
+    )
+
+
+class WordIds(TextIds):
+    """The same ids, for tokenizers that splits_words() knows.
+
+    Such a tokenizer gives a text the ids of its pieces between ASCII white space, one after the other, so each piece is
+    looked up, and only pieces not seen before are encoded. A piece of ASCII letters, but for a full stop or comma at
+    its end, has the ids of its letters in lower case and those of the mark. What is remembered is bounded.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        # For words of a-z alone, which the normalizer leaves as they are and white space parts.
+        self.simple = Tokenizer.from_file(path)
+        self.simple.normalizer, self.simple.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.known, self.older = {}, {}
+        self.added = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([self.tokenizer.id_to_token(k).endswith("</w>") for k in range(size)])
+        self.marks = {c: super(WordIds, self).encode([c])[0] for c in (b".", b",")}
+
+    def _joined(self, words: list[bytes], tokenizer) -> list[bytes]:
         """Ids of words of letters, encoded as one text: each of them ends with the end of a word."""
-        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, "<u4")
+        ids = np.array(tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words):
-            return self._plain(words)
+            return super().encode(words)
         raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
         return [raw[x:y] for x, y in zip(at, at[1:])]
 
-    def _learn(self, new) -> None:
-        plans, odd = {}, []
-        for w in new:
-            low = w.lower()
-            end = low[-1:] if low[-1:] in self.marks else b""
-            base = low[: len(low) - len(end)]
-            if base.decode().isalpha():
-                plans[w] = base, end
-            else:
-                odd.append(w)
-        fresh = list({base for base, _ in plans.values()}.difference(self.letters))
-        if len(self.letters) + len(fresh) > CACHE:
-            self.letters = {}
-            fresh = list({base for base, _ in plans.values()})
-        for k in range(0, len(fresh), 2000):
-            part = fresh[k : k + 2000]
-            self.letters.update(zip(part, self._joined(part)))
-        self.known.update((w, self.letters[base] + self.marks[end]) for w, (base, end) in plans.items())
-        self.known.update(zip(odd, self._plain(odd)))
+    def _learn(self, new: set) -> None:
+        again = new & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        new -= again
+        ended = {w for w in new if w[-1:] in self.marks and w[:-1].isalpha()}
+        letters = {w for w in new if w.isalpha()} | {w[:-1] for w in ended if w[:-1] not in self.known}
+        rest = [w for w in new if w not in ended and w not in letters]
+        other = [w for w in rest if w.decode().isalpha()]
+        for words, tokenizer in ((list(letters), self.simple), (other, self.tokenizer)):
+            for k in range(0, len(words), 2000):
+                part = words[k : k + 2000]
+                self.known.update(zip(part, self._joined(part, tokenizer)))
+        odd = [w for w in rest if w not in self.known]
+        self.known.update(zip(odd, super().encode(odd)))
+        self.known.update((w, self.known[w[:-1]] + self.marks[w[-1:]]) for w in ended)
 
     def encode(self, texts) -> list[bytes]:
-        split = [(x or b"").split() for x in texts]
+        low = [(x or b"").lower() for x in texts]
+        # An added token is one in its own letters only, so texts that may have one are encoded as they are.
+        whole = [k for k, x in enumerate(low) if any(t in x for t in self.added)]
+        split = [x.split() for x in low]
+        for k in whole:
+            split[k] = []
         every = set(chain.from_iterable(split))
         new = every.difference(self.known)
         if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, every
+            self.known, self.older, new = {}, self.known, every
         self._learn(new)
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        out = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        for k, ids in zip(whole, super().encode([texts[k] for k in whole])):
+            out[k] = ids
+        return out
 
 
-def word_ids(path: str) -> WordIds:
-    """The worker's WordIds of this file; one task after another uses it."""
+def word_ids(path: str) -> TextIds:
+    """The worker's encoder for this file; one task after another uses it."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     held = sys.__dict__.setdefault("_word_ids", {})
     if path not in held:
-        held[path] = WordIds(path)
+        held[path] = WordIds(path) if splits_words(path) else TextIds(path)
     return held[path]
 
 
@@ -107,7 +148,7 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", token
             for at in range(0, len(whole), 512):
                 pdf = whole.iloc[at : at + 512]
                 keys, rows = pdf[key].to_numpy(), []
-                for k, ids in enumerate(word_ids(path).encode(pdf[text])):
+                for k, ids in enumerate(word_ids(path).encode(pdf[text].tolist())):
                     ids += end
                     for piece in range(-(-len(ids) // (4 * capacity))):
                         part = ids[4 * capacity * piece : 4 * capacity * (piece + 1)]
@@ -145,9 +186,9 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def settle(lengths: np.ndarray, capacity: int, last: bool):
-    """best_fit() of a group, and which items the group hands on: those of its bins that are not nearly full.
+    """best_fit() of a group's bins, and which of them the group hands on: those that ended in a bin not nearly full.
 
-    Nothing is handed on in the last round. Items that are handed on have offset 0 and no bin (-1).
+    Nothing is handed on in the last round. What is handed on has offset 0 and no bin (-1).
     """
     bins, offsets, fills = best_fit(lengths, capacity)
     up = np.zeros(len(lengths), bool) if last else (fills < NEARLY_FULL * capacity)[bins]
@@ -157,13 +198,20 @@ def settle(lengths: np.ndarray, capacity: int, last: bool):
 def pack(pieces: DataFrame, length: str = "length", capacity: int = 4096) -> DataFrame:
     """pieces with sequence_id and offset: the sequence that takes a piece and the piece's place in it, from 0, gapless.
 
-    Each partition packs its own pieces by best fit. Bins that are nearly full are done; all that is in the others are
-    the items of the next round. It deals them by hash to one group for FAN_IN of the round before, and to more where
-    they would be over GROUP items each, so a group's memory is bounded however many there are. Underfull bins are
-    closed in the last round only. Lengths are 1 to capacity. An empty table gives an empty one; extra columns stay.
+    Each partition packs its own pieces by best fit and emits the bins that are nearly full. The others are the items of
+    the next round, which deals them by hash to one group for FAN_IN of the round before, and to more where they would be
+    over GROUP items each, so a group's memory is bounded however many there are. An underfull bin of several pieces is
+    first taken apart into bins of one: two pieces of 1,990 kept together would shut out two of 2,100. Underfull bins
+    are closed in the last round only.
+
+    Lengths are 1 to capacity; pieces of equal length are taken in the order they stand in. An empty table gives an empty
+    one. Other columns stay, whatever their names; columns named sequence_id or offset are replaced.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     names = pieces.columns
     cells = pieces.rdd.getNumPartitions()
+    # No column of pieces has a name of ours.
+    seq, off, climbs = (x + "_" * max(map(len, names)) for x in ("sequence_id", "offset", "up"))
 
     def local(batches):
         part, made, wait, n = TaskContext.get().partitionId(), 0, [], 0
@@ -174,7 +222,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 4096) -> Dat
             wait, n = [], 0
             bins, offsets, up = settle(pdf[length].to_numpy(np.int64), capacity, False)
             bins[up] = bins.max(initial=-1) + 1 + np.arange(up.sum())
-            out = pdf.assign(sequence_id=(part << 32) + made + bins, offset=offsets, _up=up)
+            out = pdf.assign(**{seq: (part << 32) + made + bins, off: offsets, climbs: up})
             made += bins.max(initial=-1) + 1
             return out
 
@@ -186,21 +234,21 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 4096) -> Dat
         if n:
             yield flush()
 
-    new = [T.StructField(x, T.LongType()) for x in ("sequence_id", "offset")] + [T.StructField("_up", T.BooleanType())]
+    new = [T.StructField(x, T.LongType()) for x in (seq, off)] + [T.StructField(climbs, T.BooleanType())]
     placed = cut(pieces.mapInPandas(local, T.StructType(pieces.schema.fields + new)))
-    items = placed.where("_up").select("sequence_id", F.col(length).cast("long").alias("fill"))
+    items = placed.where(F.col(climbs)).select(F.col(seq).alias("bin"), F.col(length).cast("long").alias("fill"))
 
     def merge(last: bool):
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["fill", "sequence_id"], kind="stable")
+            pdf = pdf.sort_values(["fill", "bin"], kind="stable")
             bins, offsets, up = settle(pdf["fill"].to_numpy(np.int64), capacity, last)
             # A bin takes the name of its first item, the one at its start.
-            name = pdf["sequence_id"].to_numpy()
+            name = pdf["bin"].to_numpy()
             first = ~up & (offsets == 0)
             head = np.zeros(bins.max(initial=-1) + 1, np.int64)
             head[bins[first]] = name[first]
             into = np.where(up, name, head[bins] if len(head) else name)
-            return pdf.assign(into=into, shift=offsets, up=up)[["sequence_id", "into", "shift", "up", "fill"]]
+            return pdf.assign(into=into, shift=offsets, up=up)[["bin", "into", "shift", "up", "fill"]]
 
         return one
 
@@ -209,21 +257,20 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 4096) -> Dat
         last = cells <= FAN_IN
         cells = -(-cells // FAN_IN)
         groups = max(cells, -(-items.count() // GROUP))
-        dealt = items.withColumn("cell", F.pmod(F.xxhash64("sequence_id", F.lit(len(moves))), F.lit(groups)))
-        step = cut(dealt.groupBy("cell").applyInPandas(merge(last), "sequence_id long, into long, shift long, up boolean, fill long"))
-        moves.append(step.where("not up").select("sequence_id", "into", "shift"))
+        dealt = items.withColumn("cell", F.pmod(F.xxhash64("bin", F.lit(len(moves))), F.lit(groups)))
+        step = cut(dealt.groupBy("cell").applyInPandas(merge(last), "bin long, into long, shift long, up boolean, fill long"))
+        moves.append(step.where("not up").select("bin", "into", "shift"))
         if last:
             break
-        items = step.where("up").select("sequence_id", "fill")
+        items = step.where("up").select("bin", "fill")
     # An item is moved once: in the round that does not hand it on.
     total = moves[0]
     for step in moves[1:]:
         total = total.unionByName(step)
-    stays = placed.where("not _up").select(*names, "sequence_id", "offset")
-    moved = placed.where("_up").join(total, "sequence_id").select(
-        *names, F.col("into").alias("sequence_id"), F.col("shift").alias("offset")
-    )
-    return stays.unionByName(moved)
+    kept = [F.col(f"p.`{x}`") for x in names]
+    stays = placed.alias("p").where(~F.col(climbs)).select(*kept, F.col(seq).alias("sequence_id"), F.col(off).alias("offset"))
+    climbed = placed.where(F.col(climbs)).alias("p").join(total.alias("t"), F.col(f"p.{seq}") == F.col("t.bin"))
+    return stays.unionByName(climbed.select(*kept, F.col("t.into").alias("sequence_id"), F.col("t.shift").alias("offset")))
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
@@ -231,5 +278,7 @@ def op2_packing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces and where they are packed."""
+    """The documents' token pieces and where they are packed. Null and empty texts have one piece, of the end id alone; null
+    doc_ids and repeated rows stay; an empty table gives an empty one.
+    """
     return pack(token_pieces(docs))

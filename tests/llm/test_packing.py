@@ -64,3 +64,38 @@ def test_best_fit():
 def test_ids(docs):
     r = packing.token_pieces(docs.where("doc_id = 1"), with_ids=True).first()
     assert zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
+
+
+def test_pieces_of_two_partitions(spark):
+    """Two of 1,990 in one partition must not shut out those of 2,100 in another."""
+    pieces = spark.range(0, 40_000, 1, 2).selectExpr("id", "if(id < 20000, 2100L, 1990L) as length")
+    assert packing.pack(pieces).select("sequence_id").distinct().count() == 20_000
+
+
+def test_clashing_names(spark):
+    pieces = spark.range(0, 50, 1, 3).selectExpr("id", "100L as length", "'x' as offset", "1 as sequence_id", "2 as up", "3 as bin", "4 as fill")
+    rows = packing.pack(pieces).collect()
+    assert len(rows) == 50 and {(r["up"], r["bin"], r["fill"]) for r in rows} == {(2, 3, 4)}
+    assert sorted(r["offset"] % 100 for r in rows) == [0] * 50
+
+
+def test_words_and_texts_have_equal_ids():
+    """The table of words against the tokenizer itself, on texts where they could differ."""
+    path = packing.default_tokenizer()
+    texts = ["Don't THE. Ab,c .. , A.", "cafÉ İx “x”. Kelvin é", "Foo <|EndOfText|> bar", "a <|endoftext|> B", "...a., 12.5 x1  y z", "", None]
+    raw = [None if x is None else x.encode() for x in texts]
+    assert packing.splits_words(path)
+    assert packing.WordIds(path).encode(raw) == packing.TextIds(path).encode(raw)
+
+
+def test_another_tokenizer(docs):
+    """A file that is not split at white space is encoded text by text."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not packing.splits_words(path)
+    tokenizer = Tokenizer.from_file(path)
+    for r in packing.token_pieces(docs.limit(20), tokenizer=path, capacity=10**9).collect():
+        text = docs.where(f"doc_id = {r['doc_id']}").first()["text"] or ""
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert r["ids_crc32"] == zlib.crc32(ids.tobytes())
