@@ -1,15 +1,16 @@
 """N-gram Jaccard join by vertical partitioning.
 
 n-grams are 64-bit hashes. A first pass keeps the documents of whose smallest hashes enough are in other documents. Of
-these, n-grams that no other of them has are taken out, and what remains stands in one global order: by powers of two of
-an n-gram's document frequency, rarest first, then by hash. Pairs that meet in the prefixes of that order are candidates;
-the order is cut into fragments, the overlap of a pair is counted in each fragment by itself, and the counts are summed.
+these, n-grams that no other of them has are taken out. The order of the hashes is cut into fragments; the overlap of a
+pair is counted in each fragment by itself, and the counts are summed. Candidates are pairs that meet among the rarest
+n-grams of both, if what their sets hold in each fragment, and share there with a common neighbour, leaves room for a link.
 
 Between tasks travel packed rows, a block of hashes of one batch of documents for one range of hashes. A batch names a
 hash once, however many of its documents have it, so frequent n-grams and groups of copies do not pile up in a range.
 """
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,10 +23,11 @@ from pyspark.sql import types as T
 
 from .common import connected_components, cut, table, written
 
-#: Fragments of the global order; n-grams and documents of a batch at most; n-grams of a range aimed at.
-FRAGMENTS, BATCH_GRAMS, BATCH_DOCS, RANGE_GRAMS = 4, 1_000_000, 8_000, 1_000_000
-#: Rows sent to every executor at most, and bytes of fragments; beyond these they are joined by hash.
-NAMED, HELD = 1_000_000, 16_000_000
+#: Fragments of the order (a power of two); n-grams and documents of a batch at most; n-grams of a range aimed at.
+FRAGMENTS, BATCH_GRAMS, BATCH_DOCS, RANGE_GRAMS = 8, 1_000_000, 8_000, 1_000_000
+#: Rows of one or two numbers sent to every executor at most, wide rows, and bytes of fragments; beyond these they are
+#: joined by hash.
+NAMED, WIDE, HELD = 1_000_000, 100_000, 16_000_000
 #: Ratio of two set sizes of neighbouring size classes.
 CLASS = 1.05
 _IDX = 13
@@ -255,15 +257,19 @@ def _survey(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return hits.groupBy("batch").applyInPandas(count, "doc long, n long, sig binary, live boolean")
 
 
-def _small(df: DataFrame) -> DataFrame:
+def _small(df: DataFrame, rows: int = NAMED) -> DataFrame:
     """df, to be sent to every executor if it has few rows."""
-    return F.broadcast(df) if df.count() <= NAMED else df
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _fragment(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(65 - FRAGMENTS.bit_length())).astype(np.int64)
 
 
 def _reduced(docs: DataFrame, n: int, percent: int, grams: int) -> DataFrame:
-    """(node, sig, n, m, grams, places) for the sets of docs (key, text) that can have a link: without the n-grams that no
-    other set has, m remain, in the global order. places: the power of two of each one's frequency. grams: how many
-    n-grams docs have in all, about.
+    """(node, sig, n, m, sizes, grams) for the sets of docs (key, text) that can have a link: without the n-grams that no
+    other set has, m remain, ordered by powers of two of their document frequency, rarest first, then by hash. sizes:
+    how many of them each fragment has. grams: how many n-grams docs have in all, about.
     """
     bits = _range_bits(grams)
 
@@ -330,17 +336,17 @@ def _reduced(docs: DataFrame, n: int, percent: int, grams: int) -> DataFrame:
                 if m >= needed(size, percent):
                     g, p = flat[start : start + size][mask], power[at[start : start + size][mask]]
                     by = np.lexsort((g, p))
-                    rows.append((sigs[16 * k : 16 * k + 16], size, m, g[by].tobytes(), p[by].tobytes()))
+                    rows.append((sigs[16 * k : 16 * k + 16], size, m, np.bincount(_fragment(g), minlength=FRAGMENTS), g[by].tobytes()))
                 start += size
-        return pd.DataFrame(rows, columns=["sig", "n", "m", "grams", "places"])
+        return pd.DataFrame(rows, columns=["sig", "n", "m", "sizes", "grams"])
 
-    schema = "sig binary, n long, m long, grams binary, places binary"
+    schema = "sig binary, n long, m long, sizes array<int>, grams binary"
     kept = sets.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(take, schema)
     return written(kept.dropDuplicates(["sig"]).withColumn("node", F.monotonically_increasing_id()))
 
 
 def _postings(reduced: DataFrame, percent: int) -> DataFrame:
-    """(token, node, n, m, place, as_small): the prefixes of the sets in the global order.
+    """(token, node, n, m, place, as_small): the prefixes of the sets in the order of frequency.
 
     Of a pair with enough overlap, the larger set has a common n-gram among its first m - needed + 1, and the smaller
     one, as their overlap is at least 2 p n / (100 + p) of its n, among fewer: as_small tells which.
@@ -360,77 +366,71 @@ def _postings(reduced: DataFrame, percent: int) -> DataFrame:
 
 
 def _hubs(postings: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each set with the hub that most of its posting lists have. A list's hub is the set of which the largest
+    """(node, hub): each set with the hub that most of its posting lists have. A list's hub is the set of which the largest
     share is in other sets: the source of a group of near copies.
     """
     hub = F.max(F.struct((F.col("m") / F.col("n")).alias("share"), (-F.col("node")).alias("least"), F.col("n"))).alias("hub")
     lists = postings.groupBy("token").agg(hub, F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     met = postings.join(lists.select("token", (-F.col("hub.least")).alias("to"), F.col("hub.n").alias("size")), "token").where("node <> to")
     fits = met.where(100 * F.least("n", "size") >= percent * F.greatest("n", "size"))
-    best = fits.groupBy("node", "to").count().groupBy("node").agg(F.max_by("to", F.struct("count", -F.col("to"))).alias("to"))
-    return best.select(F.greatest("node", "to").alias("a"), F.least("node", "to").alias("b")).distinct()
+    return fits.groupBy("node", "to").count().groupBy("node").agg(F.max_by("to", F.struct("count", -F.col("to"))).alias("hub"))
+
 
+def _least(a: str, b: str) -> F.Column:
+    """Sum over the fragments of the lesser of two arrays' numbers."""
+    parts = [F.least(F.get(a, F.lit(k)), F.get(b, F.lit(k))) for k in range(FRAGMENTS)]
+    return reduce(lambda x, y: x + y, parts)
 
-def _across(postings: DataFrame, named: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs of sets of different components (named: node, component) that meet in their prefixes and can
-    still link. Sizes rule out pairs by an equality of size classes, before they are made.
+
+def _across(postings: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of sets of different components that meet in their prefixes and can still link.
+
+    nodes: node, component, sizes (by fragment), rest and common: what the set shares with its hub in each fragment, and
+    what it does not. Size classes rule out pairs by an equality, before they are made. An overlap is, in each fragment,
+    at most the smaller of the two sizes; with a hub of both, what the two share with it is at most the smaller of what
+    each does, and so for what they share beside it. So members of a group of near copies that differ from its hub at
+    too many places of their own are told apart without comparing them.
     """
-    tagged = postings.join(_small(named), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    lists = tagged.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
+    tagged = postings.join(_small(nodes, WIDE), "node")
+    lists = tagged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     open_ = written(tagged.join(lists, "token", "left_semi"))
 
     def level(size):
         return F.floor(F.log(CLASS, size)).cast("int")
 
+    def side(df: DataFrame, z: str, *more) -> DataFrame:
+        names = {"node": z, "n": f"n{z}", "m": f"m{z}", "place": f"p{z}", "component": f"c{z}", "sizes": f"s{z}", "hub": f"h{z}", "common": f"o{z}", "rest": f"r{z}"}
+        return df.select("token", *[F.col(k).alias(v) for k, v in names.items()], *more)
+
     p = F.lit(percent)
     # |x| + |y| is at most (100 + p) / p times the overlap, and that is at most m of either.
-    x = open_.where("as_small").select("token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("m").alias("mx"), F.col("place").alias("px"), F.col("c").alias("cx"), level(F.col("n")).alias("level"))
+    x = side(open_.where("as_small"), "x", level(F.col("n")).alias("level"))
     most = F.least(F.col("n"), F.floor((100 + p) * F.col("m") / p).cast("long") - F.col("n"))
     y = open_.withColumn("lo", F.ceil(p * F.col("n") / 100).cast("long")).withColumn("hi", most).where("lo <= hi")
-    y = y.select("token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("m").alias("my"), F.col("place").alias("py"), F.col("c").alias("cy"), "lo", "hi", F.explode(F.sequence(level(F.col("lo")), level(F.col("hi")))).alias("level"))
-    fits = (F.col("cx") != F.col("cy")) & F.col("nx").between(F.col("lo"), F.col("hi")) & (p * (F.col("nx") + F.col("ny")) <= (100 + p) * F.col("mx"))
-    once = (F.col("nx") < F.col("ny")) | (F.col("x") < F.col("y"))
-    met = x.join(y, ["token", "level"]).where(fits & once)
-    # All common n-grams up to the last one that is counted are counted; those after it stand behind it in both sets.
-    pairs = met.groupBy("x", "y").agg(F.count("*").alias("c"), F.max("px").alias("px"), F.max("py").alias("py"), *[F.first(k).alias(k) for k in ("nx", "ny", "mx", "my")])
-    bound = F.col("c") + F.least(F.col("mx") - F.col("px"), F.col("my") - F.col("py")) - 1
-    return pairs.where((100 + p) * bound >= p * (F.col("nx") + F.col("ny"))).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-
-
-def _pivots(reduced: DataFrame) -> list[int]:
-    """Where the global order is cut, as codes of frequency's power and the first 4 bits of the hash, so that fragments hold
-    about equal numbers of n-grams. There are at most 1,024 codes, whatever the corpus.
-    """
-
-    def run(frames):
-        total = np.zeros(1024, np.int64)
-        for pdf in frames:
-            for g, p in zip(pdf["grams"], pdf["places"]):
-                total += np.bincount(_codes(g, p), minlength=1024)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"code": at, "n": total[at]})
-
-    found = reduced.select("grams", "places").mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
-    upto = np.cumsum([r["n"] for r in found])
-    return [found[int(np.searchsorted(upto, upto[-1] * k / FRAGMENTS))]["code"] for k in range(1, FRAGMENTS)] if found else []
-
-
-def _codes(grams: bytes, places: bytes) -> np.ndarray:
-    return (np.frombuffer(places, np.uint8).astype(np.int64) << 4) | (np.frombuffer(grams, "<u8") >> np.uint64(60)).astype(np.int64)
-
-
-def _fragments(reduced: DataFrame, pivots: list[int]) -> DataFrame:
+    y = side(y, "y", "lo", "hi", F.explode(F.sequence(level(F.col("lo")), level(F.col("hi")))).alias("level"))
+    room = lambda overlap: p * (F.col("nx") + F.col("ny")) <= (100 + p) * overlap
+    fits = (F.col("cx") != F.col("cy")) & F.col("nx").between(F.col("lo"), F.col("hi")) & room(F.col("mx"))
+    fits &= (F.col("nx") < F.col("ny")) | (F.col("x") < F.col("y"))
+    # Before a common n-gram there are at most as many as before it in either set, and behind it likewise.
+    fits &= room(F.least("px", "py") + F.least(F.col("mx") - F.col("px"), F.col("my") - F.col("py")))
+    fits &= room(_least("sx", "sy"))
+    fits &= F.coalesce(F.col("hx") != F.col("hy"), F.lit(True)) | room(_least("ox", "oy") + _least("rx", "ry"))
+    pairs = x.join(y, ["token", "level"]).where(fits)
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
+def _fragments(reduced: DataFrame) -> DataFrame:
     """(node, fragment, n, grams): the part of each set in each fragment of the order, sorted by hash."""
 
     def run(frames):
         for pdf in frames:
             rows = []
-            for node, n, g, p in zip(pdf["node"], pdf["n"], pdf["grams"], pdf["places"]):
-                part, h = np.searchsorted(pivots, _codes(g, p), "left"), np.frombuffer(g, "<u8")
-                rows += [(node, f, n, np.sort(h[part == f]).tobytes()) for f in np.unique(part).tolist()]
+            for node, n, g in zip(pdf["node"], pdf["n"], pdf["grams"]):
+                h = np.sort(np.frombuffer(g, "<u8"))
+                rows += [(node, f, n, h[a:b].tobytes()) for f, a, b in _slices(_fragment(h))]
             yield pd.DataFrame(rows, columns=["node", "fragment", "n", "grams"])
 
-    return reduced.select("node", "n", "grams", "places").mapInPandas(run, "node long, fragment int, n long, grams binary")
+    return reduced.select("node", "n", "grams").mapInPandas(run, "node long, fragment int, n long, grams binary")
 
 
 @F.pandas_udf(T.LongType())
@@ -445,20 +445,29 @@ def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int64")
 
 
-def _verify(pairs: DataFrame, reduced: DataFrame, pivots: list[int], percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlaps, summed over the fragments, meet the threshold."""
+def _compared(pairs: DataFrame, reduced: DataFrame, percent: int) -> DataFrame:
+    """(a, b, common, link) for pairs (a, b): the overlap in each fragment, and whether their sum meets the threshold.
+
+    Pairs without any common n-gram may be missing.
+    """
     pairs = written(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    parts = written(_fragments(reduced.join(_small(ids), "node", "left_semi"), pivots))
+    parts = written(_fragments(reduced.join(_small(ids), "node", "left_semi")))
     held = parts.agg(F.coalesce(F.sum(F.length("grams") + 64), F.lit(0))).first()[0]
     small = F.broadcast if held <= HELD else lambda x: x
     each = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(k) for k in range(FRAGMENTS)])))
     left = parts.select(F.col("node").alias("a"), "fragment", F.col("n").alias("na"), F.col("grams").alias("ga"))
     right = parts.select(F.col("node").alias("b"), "fragment", F.col("n").alias("nb"), F.col("grams").alias("gb"))
     joined = each.join(small(left), ["a", "fragment"]).join(small(right), ["b", "fragment"])
-    partial = joined.select("a", "b", "na", "nb", _overlap("ga", "gb").alias("part"))
-    total = partial.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("part").alias("both"))
-    return total.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    partial = joined.select("a", "b", "na", "nb", "fragment", _overlap("ga", "gb").alias("part"))
+    counts = [F.sum(F.when(F.col("fragment") == k, F.col("part")).otherwise(0)).cast("int") for k in range(FRAGMENTS)]
+    total = partial.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("part").alias("both"), F.array(*counts).alias("common"))
+    link = 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
+    return written(total.select("a", "b", "common", link.alias("link")))
+
+
+def _pair(x: str, y: str) -> list:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
@@ -480,13 +489,23 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     chosen = groups.select(F.col("rep").alias("key"))
     grams = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     reduced = _reduced(d.join(_small(chosen), "key", "left_semi"), n, percent, grams)
-    pivots = _pivots(reduced)
-
     postings = written(_postings(reduced, percent))
-    links = written(_verify(_hubs(postings, percent), reduced, pivots, percent))
-    first = cut(connected_components(links))
-    named = first.select("node", "component")
-    more = _verify(_across(postings, named, percent), reduced, pivots, percent)
+    hubs = written(_hubs(postings, percent))
+    tested = _compared(hubs.select(*_pair("node", "hub")).distinct(), reduced, percent)
+    named = cut(connected_components(tested.where("link").select("a", "b")))
+    # A hub is its own neighbour, with all that it holds.
+    near = hubs.select("node", "hub", *_pair("node", "hub")).join(tested.drop("link"), ["a", "b"]).select("node", "hub", "common")
+    heads = hubs.select(F.col("hub").alias("node")).distinct().withColumn("head", F.lit(True))
+    tags = reduced.select("node", "sizes").join(named, "node", "left").join(near, "node", "left").join(heads, "node", "left")
+    tags = tags.select(
+        "node",
+        F.coalesce("component", "node").alias("component"),
+        "sizes",
+        F.when(F.col("head"), F.col("node")).otherwise(F.col("hub")).alias("hub"),
+        F.when(F.col("head"), F.col("sizes")).otherwise(F.col("common")).alias("common"),
+    )
+    tags = written(tags.withColumn("rest", F.zip_with("sizes", "common", lambda x, y: x - y)))
+    more = _compared(_across(postings, tags, percent), reduced, percent).where("link")
     # Links across components join components.
     own = lambda side: named.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
     over = more.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
