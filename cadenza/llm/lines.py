@@ -6,55 +6,88 @@ Only hashes of lines are shuffled until a line is known to share half of its wor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table, words
+from .common import bound, cut, table, words
 
-#: Lines named to every executor at most; beyond it they are joined by hash.
-NAMED = 500_000
+#: Numbers of lines, one long each, sent to every executor at most; beyond it they are joined by hash.
+NAMED = 200_000
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """(at, line_no, line): lines that can have `least` words; at is a number in the order of document and line."""
+    """(doc, line_no, at, line, plain): lines that can have `least` words; at is a number in the order of document and line,
+    plain tells that the text has no white space but single spaces between words and ends of lines.
+    """
+    size = docs.agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max(F.octet_length("text")).alias("bytes")).first()
+    lo, hi, most = size["lo"] or 0, size["hi"] or 0, (size["bytes"] or 0) + 1
+    # A null document stands before the first. Numbers that are too large for 64 bits are decimals.
+    kind = "long" if (hi - lo + 2) * most < 2**62 else "decimal(38,0)"
+    doc = F.coalesce(F.col("doc") - F.lit(lo - 1).cast("decimal(20,0)") if kind != "long" else F.col("doc") - F.lit(lo - 1), F.lit(0))
     t = F.coalesce(F.col("text"), F.lit(""))
-    each = docs.select("doc", F.posexplode(F.split(t, "\n", -1)).alias("line_no", "line"))
-    doc = F.coalesce(F.col("doc"), F.lit(-9223372036854775808)).cast("decimal(20,0)")
-    at = (doc * F.lit(2147483648).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(31,0)")
-    return each.where(F.length("line") >= 2 * least - 1).select("doc", "line_no", at.alias("at"), "line")
+    odd = F.startswith(t, F.lit(" ")) | F.endswith(t, F.lit(" "))
+    for x in ("  ", "\t", "\x0b", "\f", "\r", " \n", "\n "):
+        odd |= F.contains(t, F.lit(x))
+    each = docs.select("doc", (~odd).alias("plain"), F.posexplode(F.split(t, "\n", -1)).alias("line_no", "line"))
+    at = (doc.cast(kind if kind == "long" else "decimal(20,0)") * F.lit(most).cast("long" if kind == "long" else "decimal(17,0)") + F.col("line_no")).cast(kind)
+    return each.where(F.length("line") >= 2 * least - 1).select("doc", "line_no", at.alias("at"), "line", "plain")
+
+
+def _spaced() -> F.Column:
+    """The words of a line of _lines(), with single spaces between them."""
+    return F.when(F.col("plain"), F.col("line")).otherwise(F.array_join(words(F.col("line")), " "))
+
 
+def _n_words(spaced) -> F.Column:
+    return F.when(spaced == "", 0).otherwise(F.octet_length(spaced) - F.octet_length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1)
 
-def _halves(w) -> F.Column:
-    """Hashes of the first and of the last m div 2 words, for m = n - 1 and m = n.
+
+def _halves(spaced, n) -> F.Column:
+    """Hashes of the first and of the last m div 2 of n words, for m = n - 1 and m = n.
 
     Two lines within one edit, the shorter of m words, share one of these two halves at least.
     """
-    n = F.size(w)
-    key = lambda m, tag: F.xxhash64(
-        F.slice(w, F.lit(1), F.floor(m / 2).cast("int")) if tag == "first" else F.slice(w, n - F.floor(m / 2).cast("int") + 1, F.floor(m / 2).cast("int")),
-        m,
-        F.lit(tag),
-    )
-    return F.array(*[key(m, tag) for m in (n - 1, n) for tag in ("first", "last")])
 
+    def key(m, sign: int):
+        part = F.call_function("substring_index", spaced, F.lit(" "), (F.floor(m / 2) * sign).cast("int"))
+        return F.xxhash64(part, m, F.lit(sign))
 
-def _without(w, i) -> F.Column:
-    """w without its i-th word (from 1)."""
-    return F.concat(F.slice(w, F.lit(1), i - 1), F.slice(w, i + 1, F.greatest(F.size(w) - i, F.lit(0))))
+    return F.array(*[key(m, sign) for m in (n - 1, n) for sign in (1, -1)])
+
+
+def _running(x) -> F.Column:
+    """For each number of an array of longs, the exclusive or of all before it.
+
+    Numbers are taken in blocks of about the root of their count, so that appending to arrays does not make the work grow
+    with its square.
+    """
+
+    def scan(y, value):
+        start = F.struct(F.lit(0).cast("long").alias("all"), F.array().cast("array<long>").alias("before"))
+        return F.aggregate(y, start, lambda a, z: F.struct(a["all"].bitwiseXOR(value(z)).alias("all"), F.concat(a["before"], F.array(a["all"])).alias("before")))
+
+    step = F.ceil(F.sqrt(F.size(x))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / step).cast("int")), lambda b: scan(F.slice(x, b * step + 1, step), lambda z: z))
+    placed = F.transform(F.array(blocks), lambda bs: F.zip_with(bs, scan(bs, lambda z: z["all"])["before"], lambda b, before: F.transform(b["before"], lambda z: z.bitwiseXOR(before))))
+    return F.flatten(placed[0])
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
     """(at, earlier) for lines that have an earlier line within one edit.
 
     lines: (at, w), one row a line, at in their order. Each line emits its variants, the line itself and the line
-    without each of its words, as hashes. Lines of equal length that agree without their i-th word are within one edit
-    of each other, all of them, so each is paired with the earliest only. A line that equals others less one word is
-    paired with each of these. Pairs are verified word by word.
+    without each of its words, as hashes: the exclusive or of a hash of each word and its place, so that a running total
+    from the left and one from the right give every variant at once. Lines of equal length that agree without their i-th
+    word are within one edit of each other, all of them, so each is paired with the earliest only. A line that equals
+    others less one word is paired with each of these. Pairs are verified word by word.
     """
-    # Variants are hashed over hashes of words, which are cheaper to put together than the words.
-    hashed = lines.select("at", F.transform("w", lambda x: F.xxhash64(x)).alias("v"))
-    keys = F.transform(F.sequence(F.lit(1), F.size("v")), lambda i: F.xxhash64(_without(F.col("v"), i)))
-    variants = cut(hashed.select("at", F.size("v").alias("n"), F.posexplode(keys).alias("i", "key")))
+    here = F.transform("w", lambda x, i: F.xxhash64(x, i))
+    back = F.transform("w", lambda x, i: F.xxhash64(x, i - 1))
+    hashed = bound(bound(lines.where(F.size("w") > 0), {"here": here, "back": back}), {"left": _running(F.col("here")), "right": _running(F.reverse("back"))})
+    # Words behind the one left out move up by one place.
+    keys = F.transform("left", lambda x, i: x.bitwiseXOR(F.get("right", F.size("right") - 1 - i)))
+    variants = cut(hashed.select("at", F.size("w").alias("n"), F.posexplode(keys).alias("i", "key")))
     early = variants.groupBy("n", "i", "key").agg(F.min("at").alias("earlier"), F.max("at").alias("later")).where("earlier < later")
     changed = variants.join(early.drop("later"), ["n", "i", "key"]).where("earlier < at").select("at", "earlier")
-    whole = hashed.select(F.col("at").alias("at0"), F.size("v").alias("n0"), F.xxhash64("v").alias("key"))
+    total = F.aggregate(here, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    whole = lines.select(F.col("at").alias("at0"), F.size("w").alias("n0"), total.alias("key"))
     shorter = variants.join(whole, "key").where("n = n0 + 1").select(F.greatest("at", "at0").alias("at"), F.least("at", "at0").alias("earlier"))
     pairs = changed.union(shorter.groupBy("at").agg(F.min("earlier").alias("earlier"))).distinct()
     a, b = lines.select("at", F.col("w").alias("wa")), lines.select(F.col("at").alias("earlier"), F.col("w").alias("wb"))
@@ -74,31 +107,34 @@ def near_lines(lines: DataFrame) -> DataFrame:
 def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, near_words: int = 10) -> DataFrame:
     """(doc, line_no, near): the lines to remove, numbered from 0. Lines stand in the order of key and number.
 
-    A line of at least min_words words goes if an equal line stands earlier anywhere in the table. A line of at least
-    near_words words goes, too, in all its places, if a line within one edit (a word changed, added or left out) stands
-    earlier; near is true for these. Shorter lines stay. Null and empty texts have no line to remove; keys are integers;
-    rows that repeat a key count as one document; a null key stands before the others. An empty table gives an empty one.
+    A line of at least min_words words goes if an equal line (by 128 bits of hash) stands earlier anywhere in the table.
+    A line of at least near_words words goes, too, in all its places, if a line of as many words or more within one edit
+    (a word changed, added or left out) stands earlier; near is true for these. Shorter lines stay. Null and empty texts
+    have no line to remove; keys are integers; rows that repeat a key count as one document; a null key stands before
+    the others. An empty table gives an empty one.
     """
     d = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     each = _lines(d, min_words)
-    long_ones = each.withColumn("w", words(F.col("line"))).where(F.size("w") >= min_words)
-    halves = F.when(F.size("w") >= near_words, _halves(F.col("w")))
-    places = long_ones.select("at", F.xxhash64("line").alias("h"), halves.alias("k"))
-    four = places.select("at", "h", *[F.get("k", i).alias(f"k{i}") for i in range(4)])
-    firsts = cut(four.groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(4)]))
+    same = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
+    long_ones = each.withColumn("spaced", _spaced()).withColumn("n", _n_words(F.col("spaced"))).where(F.col("n") >= min_words)
+    halves = F.when(F.col("n") >= near_words, _halves(F.col("spaced"), F.col("n")))
+    places = long_ones.select("at", *same, halves.alias("k"))
+    four = places.select("at", "h", "g", *[F.get("k", F.lit(i)).alias(f"k{i}") for i in range(4)])
+    firsts = cut(four.groupBy("h", "g").agg(F.min("at").alias("first"), F.max("at").alias("last"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(4)]))
 
     shares = firsts.where("k0 is not null").select("first", F.explode(F.array("k0", "k1", "k2", "k3")).alias("half"))
     twice = shares.groupBy("half").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select("half")
     close = cut(shares.join(twice, "half", "left_semi").select("first").distinct())
     few = close.count() <= NAMED
     there = each.join(F.broadcast(close) if few else close, each["at"] == close["first"])
-    lines = cut(there.select("at", "line").dropDuplicates(["at"]).select("at", words(F.col("line")).alias("w")))
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = cut(there.select("at", _spaced().alias("spaced")).dropDuplicates(["at"]).repartition(spread, "at").select("at", F.split("spaced", " ").alias("w")))
     near = cut(near_lines(lines).select(F.col("at").alias("first")).distinct().withColumn("near", F.lit(True)))
 
-    repeated = firsts.select("h", "first", "last").join(near, "first", "left").where("near or first < last")
+    repeated = firsts.select("h", "g", "first", "last").join(near, "first", "left").where("near or first < last")
     return (
-        each.select("doc", "line_no", "at", F.xxhash64("line").alias("h"))
-        .join(repeated.select("h", "first", "near"), "h")
+        each.select("doc", "line_no", "at", *same)
+        .join(repeated.select("h", "g", "first", "near"), ["h", "g"])
         .where(F.col("near") | (F.col("at") > F.col("first")))
         .select("doc", "line_no", F.coalesce("near", F.lit(False)).alias("near"))
         .distinct()
@@ -109,11 +145,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     """docs with duplicate_lines() taken out of the text; adds n_lines, n_exact, n_near (long), the numbers of all lines
     and of those removed. Nulls stay null and have no line.
     """
-    gone = (
-        duplicate_lines(docs, key, text, min_words, near_words)
-        .groupBy("doc")
-        .agg(F.collect_list("line_no").alias("_gone"), F.count_if(F.col("near")).alias("_near"))
-    )
+    lines = cut(duplicate_lines(docs, key, text, min_words, near_words))
+    gone = lines.groupBy("doc").agg(F.collect_list("line_no").alias("_gone"), F.count_if(F.col("near")).alias("_near"))
+    if lines.count() <= NAMED:
+        gone = F.broadcast(gone)
     joined = docs.join(gone, F.col(key).eqNullSafe(gone["doc"]), "left").drop(gone["doc"])
     lines = F.split(F.col(text), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
@@ -140,7 +175,10 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without their duplicate lines. Those of which nothing but white space is left go, if they had more."""
+    """The documents without their duplicate lines. Those of which nothing but white space is left go, if they had more.
+
+    Null and empty texts stay; rows that repeat a doc_id lose the same lines; an empty table gives an empty one.
+    """
     names = docs.columns
     left = dedup_lines(docs)
     some = F.col("text").rlike(r"[^\x20\x09-\x0D]") | (F.col("n_exact") + F.col("n_near") == 0)
