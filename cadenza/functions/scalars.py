@@ -81,11 +81,16 @@ def jaccard_distance(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_intersect(a, b)) / union)
 
 
-def sigmoid_penalty(similarity: Column, start: float, steep: float = 12.0) -> Column:
-    """0 at similarity 0 and 1 at similarity 1, rising around start."""
-    s = lambda x: 1 / (1 + F.exp(-F.lit(steep) * (x - F.lit(start))))
-    low, high = s(F.lit(0.0)), s(F.lit(1.0))
-    return (s(similarity) - low) / (high - low)
+def similarity_reward(similarity: Column, weight: float = 0.5, center: float = 0.75, steep: float = 12.0) -> Column:
+    """0 up to similarity 0.5, then a sigmoid around center down to -weight at similarity 1."""
+    s = lambda x: 1 / (1 + F.exp(-F.lit(steep) * (x - F.lit(center))))
+    low, high = s(F.lit(0.5)), s(F.lit(1.0))
+    return F.when(similarity <= 0.5, F.lit(0.0)).otherwise(-F.lit(weight) * (s(F.least(F.lit(1.0), similarity)) - low) / (high - low))
+
+
+def discriminator_reward(logit: Column, span: float = 8.0) -> Column:
+    """1 at -span / 2, 0 at span / 2, linear between."""
+    return clamp(F.lit(0.5) - logit / F.lit(span), 0.0, 1.0)
 
 
 def smoothstep(x: Column, low: float, high: float) -> Column:
@@ -93,6 +98,9 @@ def smoothstep(x: Column, low: float, high: float) -> Column:
     return t * t * (3 - 2 * t)
 
 
-def rank_reward(rank: Column, n: int, bonus: float, penalty: float) -> Column:
-    """bonus for the first, 0 for the second, then linearly down to -penalty for the last of n."""
-    return F.when(rank == 1, F.lit(bonus)).when(rank == 2, F.lit(0.0)).otherwise(-F.lit(penalty) * (rank - 2) / F.lit(n - 2))
+def rank_reward(rank: Column, n: Column, bonus: float, penalty: float) -> Column:
+    """bonus for the first, 0 for the second, then linearly down to -penalty for the last of n; -penalty for what is not
+    ranked, and from the third on where there are three or fewer."""
+    down = -F.lit(penalty) * (rank - 2) / F.nullif(n - 2, F.lit(0))
+    lost = rank.isNull() | (rank > n)
+    return F.when(lost, F.lit(-penalty)).when(rank == 1, F.lit(bonus)).when(rank == 2, F.lit(0.0)).when(n <= 3, F.lit(-penalty)).otherwise(down)

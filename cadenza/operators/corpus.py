@@ -19,19 +19,20 @@ def leak_free(manifest: DataFrame, held_out: DataFrame, song: str = "song") -> D
     return manifest.join(held_out.select(song).distinct(), song, "left_anti")
 
 
-def running_total(rows: DataFrame, order: str, tie: str, amount: str) -> DataFrame:
-    """rows with cum: the sum of amount up to each row in the order of (order, tie). order: hex strings of equal length.
+def running_total(rows: DataFrame, order: str, tie: str, amount: str, rounds: str | None = None) -> DataFrame:
+    """rows with cum: the sum of amount up to each row in the order of (rounds, order, tie). order: hex strings of equal
+    length.
 
-    Two passes, so that no task sees all rows: sums of the 4096 ranges by the first three digits, running over these
-    (a fixed number of rows, sent to every executor), then a window within each range.
+    Two passes, so that no task sees all rows: sums of the 4096 ranges by the first three digits (of each round), running
+    over these (a fixed number of rows, sent to every executor), then a window within each range.
     """
-    ranged = rows.withColumn("_range", F.substring(order, 1, 3))
-    sums = ranged.groupBy("_range").agg(F.sum(amount).alias("_sum"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_range").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(starts), "_range").withColumn("cum", F.col("_before") + F.sum(amount).over(within))
-    return out.drop("_range", "_before")
+    ranged = rows.withColumns({"_range": F.substring(order, 1, 3), "_round": F.col(rounds) if rounds else F.lit(0)})
+    sums = ranged.groupBy("_round", "_range").agg(F.sum(amount).alias("_sum"))
+    before = Window.orderBy("_round", "_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_round", "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_round", "_range").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(starts), ["_round", "_range"]).withColumn("cum", F.col("_before") + F.sum(amount).over(within))
+    return out.drop("_round", "_range", "_before")
 
 
 def budget_prefixes(manifest: DataFrame, budgets: list[int], seed: str = "", song: str = "song", tokens: str = "tokens") -> DataFrame:
@@ -44,15 +45,24 @@ def budget_prefixes(manifest: DataFrame, budgets: list[int], seed: str = "", son
 
 def repeat_to_target(pool: DataFrame, target: int, rounds: int, seed: str = "", song: str = "song", tokens: str = "tokens") -> DataFrame:
     """The pool in hash order, again and again (rounds times at most), until target tokens are reached."""
-    copies = pool.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    keyed = copies.withColumn("_h", F.concat(F.lpad(F.hex("round"), 3, "0"), hashed(seed, song)))
-    return running_total(keyed, "_h", song, tokens).where(F.col("cum") - F.col(tokens) < target).drop("_h")
+    copies = pool.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_h", hashed(seed, song))
+    return running_total(copies, "_h", song, tokens, "round").where(F.col("cum") - F.col(tokens) < target).drop("_h")
 
 
 def ranked(rows: DataFrame, by: list[str], key: str, seed: str = "") -> DataFrame:
-    """rn: place of each row in the hash order of its group, from 1; n: the group's rows."""
+    """rn: place of each row in the hash order of its group, from 1; n: the group's rows.
+
+    Two passes, so that a large group is not ranked by one task: counts of 256 ranges of the hash in each group, running
+    within the group, then a window within each range.
+    """
+    keyed = rows.withColumn("_h", hashed(seed, key)).withColumn("_range", F.substring("_h", 1, 2))
+    counts = keyed.groupBy(*by, "_range").agg(F.count("*").alias("_c"))
     group = Window.partitionBy(*by)
-    return rows.withColumn("rn", F.row_number().over(group.orderBy(hashed(seed, key), key))).withColumn("n", F.count("*").over(group))
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(group).alias("n"))
+    place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_h", key))
+    out = keyed.withColumn("_place", place).join(starts, [*by, "_range"])
+    return out.withColumn("rn", F.col("_before") + F.col("_place")).drop("_h", "_range", "_place", "_before")
 
 
 def stratified_split(rows: DataFrame, by: list[str], key: str, train: float = 0.8, val: float = 0.1) -> DataFrame:

@@ -80,3 +80,18 @@ def key_scores(pitches: DataFrame, by: list[str], weight: str) -> DataFrame:
     profiles = spark.createDataFrame(rows, "tonic int, minor boolean, pc int, p double")
     met = full.withColumn("c", F.coalesce(F.col("c").cast("double"), F.lit(0.0))).join(F.broadcast(profiles), "pc")
     return met.groupBy(*by, "tonic", "minor").agg(F.corr("c", "p").alias("r"))
+
+
+def groove(notes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, groove, even_, swing): even, swing or undetermined, by the majority of pairs of neighbouring gaps that make up
+    about a beat (18 to 30 ticks). Gaps are those between onsets of up to 24 ticks; a ratio near 1 is even, one of 1.5 to 3
+    either way is swing. Fewer than three notes, or no such pair, leave it undetermined."""
+    t = notes.select(*by, "event_id", (F.col("measure") * 96 + F.col("shift")).alias("t"))
+    gaps = t.withColumn("a", F.lead("t").over(Window.partitionBy(*by).orderBy("t", "event_id")) - F.col("t"))
+    pairs = gaps.where("a > 0 and a <= 24").withColumn("b", F.lead("a").over(Window.partitionBy(*by).orderBy("t")))
+    r = F.col("a") / F.col("b")
+    even, swing = r.between(0.75, 1.33), r.between(1.5, 3.0) | r.between(F.lit(1.0) / 3.0, F.lit(1.0) / 1.5)
+    counts = pairs.where((F.col("a") + F.col("b")).between(18, 30)).groupBy(*by).agg(F.count_if(even).alias("even_"), F.count_if(~even & swing).alias("swing"))
+    every = notes.groupBy(*by).agg(F.count("*").alias("_n")).join(counts, by, "left").fillna(0, ["even_", "swing"])
+    label = F.when((F.col("_n") < 3) | (F.col("even_") + F.col("swing") == 0), "undetermined").when(F.col("even_") >= F.col("swing"), "even").otherwise("swing")
+    return every.select(*by, label.alias("groove"), "even_", "swing")

@@ -1,6 +1,6 @@
 """Notes and tokens: encoding, decoding, bars, transposition, lanes, sustain, rolls."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
@@ -8,12 +8,12 @@ from ..functions.scalars import fold_pitch
 
 
 def notes_to_tokens(notes: DataFrame, by: list[str]) -> DataFrame:
-    """(by, tokens): for each bar from the first to the last a bar token, then a blank or the notes' shift, pitch and
-    duration; at the end the end token. Bars without notes are added by counting on from the bar before."""
+    """(by, tokens): the notes' shift, pitch and duration, with a bar token for each bar line passed since bar 0, so that the
+    parts of a song keep their common bars; a bar without notes is a blank. Bar 0 has no token. At the end the end token."""
     note = F.struct("shift", "pitch", "dur")
     bars = notes.groupBy(*by, "measure").agg(F.array_sort(F.collect_list(note)).alias("notes"))
     w = Window.partitionBy(*by).orderBy("measure")
-    gap = F.coalesce(F.col("measure") - F.lag("measure").over(w) - 1, F.lit(0))
+    passed = F.col("measure") - F.coalesce(F.lag("measure").over(w), F.lit(0))
     told = F.flatten(
         F.transform(
             "notes",
@@ -22,8 +22,9 @@ def notes_to_tokens(notes: DataFrame, by: list[str]) -> DataFrame:
             ),
         )
     )
-    empty = F.flatten(F.array_repeat(F.array(F.lit(V.SME), F.lit(V.BLANK)), gap.cast("int")))
-    each = bars.select(*by, "measure", F.concat(empty, F.array(F.lit(V.SME)), told).alias("t"))
+    empty = F.flatten(F.array_repeat(F.array(F.lit(V.SME), F.lit(V.BLANK)), F.greatest(passed - 1, F.lit(0)).cast("int")))
+    line = F.when(passed > 0, F.array(F.lit(V.SME))).otherwise(F.array().cast("array<int>"))
+    each = bars.select(*by, "measure", F.concat(empty, line, told).alias("t"))
     whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("measure", "t"))), lambda x: x["t"]))
     return each.groupBy(*by).agg(F.concat(whole, F.array(F.lit(V.TE))).alias("tokens"))
 
@@ -69,12 +70,14 @@ def lanes(notes: DataFrame, by: list[str], lane: str, most: int) -> DataFrame:
     return counts.withColumn("slot", slot).where(F.col("slot") <= most)
 
 
-def bar_density(notes: DataFrame, by: list[str], most: int) -> DataFrame:
-    """density 1..10 of each group: mean over bars of notes / most, times ten, rounded up; null where a bar has more."""
+def bar_density(notes: DataFrame, by: list[str], most) -> DataFrame:
+    """density 1..10 of each group: mean over its bars, from bar 0 to the last with notes, of notes / most, times ten, rounded
+    up; null where a bar has more. most is a number or a column of by."""
+    most = most if isinstance(most, Column) else F.lit(most)
     bars = notes.groupBy(*by, "measure").agg(F.count("*").alias("n"))
-    mean = F.avg(F.col("n") / F.lit(float(most)))
+    mean = F.sum("n") / (F.max("measure") + 1) / F.first(most)
     grade = F.greatest(F.lit(1), F.least(F.lit(10), F.ceil(F.round(mean * 10, 9)).cast("int")))
-    return bars.groupBy(*by).agg(F.when(F.max("n") > most, F.lit(None).cast("int")).otherwise(grade).alias("density"))
+    return bars.groupBy(*by).agg(F.when(F.max("n") > F.first(most), F.lit(None).cast("int")).otherwise(grade).alias("density"))
 
 
 def sustained(notes: DataFrame, pedal: DataFrame, by: list[str]) -> DataFrame:
@@ -92,12 +95,22 @@ def sustained(notes: DataFrame, pedal: DataFrame, by: list[str]) -> DataFrame:
 
 
 def paired(events: DataFrame, by: list[str], on: str, off: str) -> DataFrame:
-    """First in, first out: the k-th `on` of a group with its k-th `off`; an `on` without an `off` has null."""
-    w = Window.partitionBy(*by, "kind").orderBy("ts", "event_id")
-    k = events.withColumn("k", F.row_number().over(w))
-    a = k.where(F.col("kind") == on).select(*by, "k", F.col("ts").alias("start"))
-    b = k.where(F.col("kind") == off).select(*by, "k", F.col("ts").alias("stop"))
-    return a.join(b, [*by, "k"], "left")
+    """(by, k, start, stop): first in, first out. An `off` ends the oldest open `on`; without one it means nothing. What is
+    still open ends with the group's last event. A note lasts a second at least.
+
+    Open notes are a running count; an `off` that takes the count below its least value so far (or 0) found none.
+    """
+    w = Window.partitionBy(*by).orderBy("ts", "event_id")
+    step = F.when(F.col("kind") == on, 1).when(F.col("kind") == off, -1).otherwise(0)
+    counted = events.withColumn("_open", F.sum(step).over(w))
+    least = F.least(F.coalesce(F.min("_open").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(0))
+    ends = (F.col("kind") == off) & (F.col("_open") >= F.col("_least"))
+    found = counted.withColumn("_least", least).withColumn("_end", F.max("ts").over(Window.partitionBy(*by)))
+    numbered = found.withColumns({"_on": F.sum((F.col("kind") == on).cast("int")).over(w), "_off": F.sum(ends.cast("int")).over(w)})
+    a = numbered.where(F.col("kind") == on).select(*by, F.col("_on").alias("k"), F.col("ts").alias("start"), "_end")
+    b = numbered.where(ends).select(*by, F.col("_off").alias("k"), F.col("ts").alias("stop"))
+    stop = F.greatest(F.coalesce("stop", "_end"), F.col("start") + F.expr("interval 1 second"))
+    return a.join(b, [*by, "k"], "left").select(*by, "k", "start", stop.alias("stop"))
 
 
 def roll(notes: DataFrame, by: list[str]) -> DataFrame:

@@ -14,13 +14,13 @@ def runs(rows: DataFrame, by: list[str], order: list[str], label: str) -> DataFr
 
 def smoothed(labels: Column, lengths: Column, least: int) -> Column:
     """Labels of runs after runs shorter than least were replaced, from left to right, by the label on their right
-    (the last run: on its left). A run that was replaced is a left neighbour with its new label."""
+    (the last run: on its left; null if it has neither). A run that was replaced is a left neighbour with its new label."""
     n = F.size(labels)
 
     def step(acc, i):
         own, right = F.get(labels, i), F.get(labels, i + 1)
         short = F.get(lengths, i) < least
-        return F.concat(acc, F.array(F.when(short, F.coalesce(right, F.element_at(acc, -1), own)).otherwise(own)))
+        return F.concat(acc, F.array(F.when(short, F.coalesce(right, F.try_element_at(acc, F.lit(-1)))).otherwise(own)))
 
     empty = F.filter(labels, lambda x: F.lit(False))
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), empty, step)).otherwise(empty)
@@ -32,19 +32,19 @@ def monophonic(onsets: Column) -> Column:
 
 
 def direction(blocks: Column) -> Column:
-    """Label of a block order such as [PAST, CONST, FUTURE], by what stands before the first CONST."""
-    at = F.array_position(blocks, "CONST")
-    before = F.when(at > 0, F.slice(blocks, F.lit(1), (at - 1).cast("int"))).otherwise(blocks)
-    has = lambda x: F.array_contains(before, x)
+    """Label of a block order such as [PAST, CONST, FUTURE], by the first place of each kind. The first rule that fits:
+    music before META is analysis; then what stands before CONST decides; without CONST there is no target."""
+    at = {x: F.nullif(F.array_position(blocks, x), F.lit(0)) for x in ("PAST", "CONST", "FUTURE", "META")}
+    before = lambda x, y: F.coalesce(at[x] < at[y], F.lit(False))
+    past, future = before("PAST", "CONST"), before("FUTURE", "CONST")
     return (
-        F.when((at == 0) & F.array_contains(blocks, "META"), "analysis")
-        .when(at == 0, "no_target")
-        .when(has("PAST") & has("FUTURE"), "infill")
-        .when(has("PAST"), "continuation")
-        .when(has("FUTURE"), "anticipation")
-        .when(has("META"), "meta_gen")
-        .when(F.size(before) == 0, "uncond")
-        .otherwise("other")
+        F.when(before("PAST", "META") | before("CONST", "META") | before("FUTURE", "META"), "analysis")
+        .when(past & future, "infill")
+        .when(future, "anticipation")
+        .when(past, "continuation")
+        .when(before("META", "CONST"), "meta_gen")
+        .when(at["CONST"].isNotNull(), "uncond")
+        .otherwise("no_target")
     )
 
 
@@ -57,3 +57,61 @@ def spans(rows: DataFrame, by: list[str], order: str, kind: str, start: str, end
         F.min(F.when(F.col(kind) == start, F.col(order))).alias("span_start"), F.max(F.when(F.col(kind) == end, F.col(order))).alias("span_end")
     )
     return found.where("span_start < span_end").drop("_cell")
+
+
+def fit_law(x, y, target, starts=None, step: float = 0.3, itmax: int = 300):
+    """(log A, log B, log E, a, b) of target = log(A e^(-a x) + B e^(-b y) + E), by Huber loss (0.001) and pattern search."""
+    import numpy as np
+
+    def loss(t):
+        rows = np.stack([t[0] - t[3] * x, t[1] - t[4] * y, np.full_like(x, t[2])])
+        top = rows.max(0)
+        gap = np.abs(top + np.log(np.exp(rows - top).sum(0)) - target)
+        return np.where(gap <= 1e-3, gap * gap / 2, 1e-3 * (gap - 5e-4)).mean()
+
+    def search(t, step):
+        best = loss(t)
+        for _ in range(itmax):
+            moved = False
+            for k in range(5):
+                for sign in (step, -step):
+                    near = t.copy()
+                    near[k] += sign
+                    value = loss(near)
+                    if value < best:
+                        t, best, moved = near, value, True
+            if not moved:
+                step /= 2
+                if step < 1e-7:
+                    break
+        return t, best
+
+    if starts is None:
+        floor = np.exp(target).min()
+        starts = [np.array([0.0, 0.0, np.log(e), a, b]) for a, b in ((0.3, 0.3), (0.7, 0.7)) for e in (floor * 0.7, floor * 0.95)]
+    return min((search(np.array(t, float), step) for t in starts), key=lambda r: r[1])[0]
+
+
+def scaling_law(points: DataFrame, reps: int) -> DataFrame:
+    """One row: the fit of points (x, y, l) and the 2.5 and 97.5 percentiles of its exponents over resamples. points are the
+    runs of an experiment, a few dozen rows (1,000 at most are read), which every resample gets whole."""
+    import numpy as np
+    import pandas as pd
+
+    rows = sorted(tuple(r) for r in points.select("x", "y", "l").limit(1000).collect())
+    best = fit_law(*np.array(rows, float).reshape(-1, 3).T)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values(["x", "y"])
+        x, y, target = (own[c].to_numpy(float) for c in ("x", "y", "l"))
+        rep, whole = int(own["rep"].iloc[0]), best
+        if rep:
+            at = np.random.default_rng(rep).integers(0, len(x), len(x))
+            whole = fit_law(x[at], y[at], target[at], [whole], 0.02, 40)
+        return pd.DataFrame([[rep, *whole]], columns=["rep", "la", "lb", "le", "a", "b"])
+
+    spread = F.broadcast(points).crossJoin(points.sparkSession.range(0, reps + 1).withColumnRenamed("id", "rep"))
+    fits = spread.groupBy("rep").applyInPandas(one, "rep long, la double, lb double, le double, a double, b double")
+    first = lambda c: F.max(F.when(F.col("rep") == 0, c))
+    ends = [F.round(F.percentile(F.when(F.col("rep") > 0, F.col(c)), F.lit(p)), 4).alias(f"{c}_{n}") for c in ("a", "b") for n, p in (("low", 0.025), ("high", 0.975))]
+    return fits.agg(*[F.round(first(F.exp(c)), 4).alias(n) for c, n in (("la", "scale_n"), ("lb", "scale_d"), ("le", "floor"))], *[F.round(first(F.col(c)), 4).alias(c) for c in ("a", "b")], *ends)

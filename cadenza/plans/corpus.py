@@ -109,11 +109,11 @@ def shard_totals(spark, sf_dir):
 
 @query("""select doc_id, 'unlabelled' as side from (select doc_id from documents except select doc_id from labels) a
 union all select doc_id, 'labelled' from (select doc_id from documents intersect select doc_id from labels) b
-union all select doc_id, 'either' from (select doc_id from documents where doc_id < 50 union select doc_id from labels where doc_id < 90) c""")
+union all select doc_id, 'either' from (select doc_id from documents union select doc_id from labels) c""")
 def set_operations(spark, sf_dir):
     d, l = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")  # noqa: E741
     side = lambda df, name: df.withColumn("side", F.lit(name))
-    either = d.where("doc_id < 50").union(l.where("doc_id < 90")).distinct()
+    either = d.union(l).distinct()
     return side(d.exceptAll(l).distinct(), "unlabelled").union(side(d.intersect(l), "labelled")).union(side(either, "either"))
 
 

@@ -42,27 +42,29 @@ def wasserstein1(spark, sf_dir):
     return M.wasserstein(n, ["song"], "pitch", "side").where("w1 is not null").withColumn("w1", F.round("w1", 6))
 
 
-SQL_GRAMS = f"""{SQL_NOTES}, l as (select song, program, pitch, lead(pitch,1) over w - pitch as a, lead(pitch,2) over w - lead(pitch,1) over w as b from notes
- window w as (partition by song, program order by measure, shift, pitch, dur, event_id)), g as (select song, program, a, b from l where b is not null)"""
+SQL_GRAMS = f"""{SQL_NOTES}, l as (select song, program, pitch, lead(pitch,1) over w - pitch as a, lead(pitch,2) over w - lead(pitch,1) over w as b, lead(pitch,3) over w - lead(pitch,2) over w as c from notes
+ window w as (partition by song, program order by measure, shift, pitch, dur, event_id)), g as (select song, program, a, b, c from l where c is not null)"""
 
 
 def _grams(spark, sf_dir):
+    """(song, program, a, b, c): three pitch intervals in a row."""
     w = Window.partitionBy("song", "program").orderBy("measure", "shift", "pitch", "dur", "event_id")
-    one, two = F.lead("pitch", 1).over(w), F.lead("pitch", 2).over(w)
-    return notes(spark, sf_dir).select("song", "program", (one - F.col("pitch")).alias("a"), (two - one).alias("b")).where("b is not null")
+    ahead = [F.lead("pitch", k).over(w) if k else F.col("pitch") for k in range(4)]
+    return notes(spark, sf_dir).select("song", "program", *[(ahead[k + 1] - ahead[k]).alias(x) for k, x in enumerate("abc")]).where("c is not null")
 
 
-@query(f"with {SQL_GRAMS}, u as (select distinct song, a, b from g where program='view'), v as (select distinct a, b from g where program='click') select u.song, round(avg(case when v.a is null then 0e0 else 1e0 end), 6) as overlap from u left join v on u.a=v.a and u.b=v.b group by u.song")
+@query(f"with {SQL_GRAMS}, u as (select distinct song, a, b, c from g where program='view'), v as (select distinct song, a, b, c from g where program='click') select u.song, round(avg(case when v.a is null then 0e0 else 1e0 end), 6) as overlap from u left join v on u.song=v.song and u.a=v.a and u.b=v.b and u.c=v.c group by u.song")
 def ngram_overlap(spark, sf_dir):
+    """Share of a part's n-grams that the part it stands against has, song by song."""
     g = _grams(spark, sf_dir)
-    known = g.where("program = 'click'").select("a", "b", F.lit(1.0).alias("known")).distinct()
-    own = g.where("program = 'view'").select("song", "a", "b").distinct().join(known, ["a", "b"], "left")
+    known = g.where("program = 'click'").select("song", "a", "b", "c", F.lit(1.0).alias("known")).distinct()
+    own = g.where("program = 'view'").select("song", "a", "b", "c").distinct().join(known, ["song", "a", "b", "c"], "left")
     return own.groupBy("song").agg(F.round(F.avg(F.coalesce("known", F.lit(0.0))), 6).alias("overlap"))
 
 
-@query(f"with {SQL_GRAMS} select program, count(*) as n, count(distinct (a, b)) as d, round(count(distinct (a, b))/cast(count(*) as double), 6) as rate from g group by program")
+@query(f"with {SQL_GRAMS} select program, count(*) as n, count(distinct (a, b, c)) as d, round(count(distinct (a, b, c))/cast(count(*) as double), 6) as rate from g group by program")
 def distinct_n(spark, sf_dir):
-    d = F.countDistinct("a", "b")
+    d = F.countDistinct("a", "b", "c")
     return _grams(spark, sf_dir).groupBy("program").agg(F.count("*").alias("n"), d.alias("d"), F.round(d / F.count("*"), 6).alias("rate"))
 
 
@@ -70,13 +72,20 @@ def distinct_n(spark, sf_dir):
 bw as (select string_split(text, ' ') as w from benchmark), b as (select distinct array_to_string(list_slice(w, i, i+7), ' ') as g from (select w, unnest(range(1, len(w)-6)) as i from bw) t)
 select g.doc_id, count(*) as grams, count(b.g) as hits from g left join b on g.g=b.g group by g.doc_id having count(b.g) > 0""")
 def contamination_8gram(spark, sf_dir):
-    def grams(df, *keys):
-        w = df.select(*keys, F.split("text", " ").alias("w")).where(F.size("w") >= 8)
-        at = F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, F.lit(8)), " "))
-        return w.select(*keys, F.explode(F.array_distinct(at)).alias("g"))
-
-    known = grams(table(spark, sf_dir, "benchmark")).distinct().withColumn("hit", F.lit(1))
-    own = grams(table(spark, sf_dir, "documents"), "doc_id").join(known, "g", "left")
+    """Documents with 8-grams of the benchmark: hashes find the documents that can have one, which are then compared by text."""
+    def words(df, *keys):
+        return df.select(*keys, F.split("text", " ").alias("w")).where(F.size("w") >= 8)
+
+    def grams(w):
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.array_join(F.slice(w, i, F.lit(8)), " ")))
+
+    hashed = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 8), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(8)]))
+    bench = words(table(spark, sf_dir, "benchmark"))
+    docs = words(table(spark, sf_dir, "documents"), "doc_id")
+    hits = docs.select("doc_id", F.explode(hashed(F.col("w"))).alias("h")).join(bench.select(F.explode(hashed(F.col("w"))).alias("h")).distinct(), "h", "left_semi")
+    few = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = bench.select(F.explode(grams(F.col("w"))).alias("g")).distinct().withColumn("hit", F.lit(1))
+    own = few.select("doc_id", F.explode(grams(F.col("w"))).alias("g")).join(known, "g", "left")
     return own.groupBy("doc_id").agg(F.count("*").alias("grams"), F.count("hit").alias("hits")).where("hits > 0")
 
 
@@ -84,9 +93,9 @@ SQL_SCALE = f"""{SQL_NOTES}, k as (select t as tonic, m = 1 as minor from range(
 a as (select song, tonic, minor, sum(case when (not minor and (pc-tonic+12)%12 in (0,2,4,5,7,9,11)) or (minor and (pc-tonic+12)%12 in (0,2,3,5,7,8,10,11)) then c else 0 end)/cast(sum(c) as double) as agree from c, k group by 1,2,3)"""
 
 
-@query(f"with {SQL_SCALE} select song, cast(tonic as integer) as tonic, minor, round(agree, 6) as agree from a where tonic in (0, 7)")
+@query(f"with {SQL_SCALE} select song, cast(tonic as integer) as tonic, minor, round(agree, 6) as agree from a")
 def scale_agreement(spark, sf_dir):
-    return M.scale_agreement(notes(spark, sf_dir), ["song"]).where("tonic in (0, 7)").withColumn("agree", F.round("agree", 6))
+    return M.scale_agreement(notes(spark, sf_dir), ["song"]).withColumn("agree", F.round("agree", 6))
 
 
 @query(f"with {SQL_SCALE} select song, cast(tonic as integer) as tonic, minor, round(agree, 6) as agree from (select *, row_number() over (partition by song order by round(agree, 9) desc, minor, tonic) as rn from a) t where rn = 1")
@@ -96,12 +105,25 @@ def best_scale_of_24(spark, sf_dir):
     return a.select("song", "tonic", "minor", F.round("agree", 6).alias("agree"))
 
 
-@query(f"""with {SQL_NOTES}, o as (select distinct song, measure*96+shift as t from notes), i as (select song, lead(t) over (partition by song order by t) - t as d from o) select song, count(d) as gaps, min(d) as least, max(d) as most, case when avg(d) < 20 then 'dense' when avg(d) < 60 then 'even' else 'sparse' end as groove from i where d is not null group by song""")
+SQL_GROOVE = f"""{SQL_NOTES}, o as (select song, program, measure*96+shift as t, event_id from notes), i as (select song, program, t, lead(t) over (partition by song, program order by t, event_id) - t as d from o),
+p as (select song, program, d as a, lead(d) over (partition by song, program order by t) as b from i where d > 0 and d <= 24), q as (select *, a/cast(b as double) as r from p where a+b between 18 and 30),
+e as (select song, program, sum(case when r between 0.75e0 and 1.33e0 then 1 else 0 end) as even_, sum(case when not r between 0.75e0 and 1.33e0 and (r between 1.5e0 and 3e0 or r between 1e0/3e0 and 1e0/1.5e0) then 1 else 0 end) as swing from q group by 1,2),
+groove as (select n.song, n.program, case when n.c < 3 or coalesce(even_+swing, 0) = 0 then 'undetermined' when even_ >= swing then 'even' else 'swing' end as groove, coalesce(even_, 0)::bigint as even_, coalesce(swing, 0)::bigint as swing
+ from (select song, program, count(*) as c from notes group by 1,2) n left join e on e.song=n.song and e.program=n.program)"""
+
+
+@query(f"with {SQL_GROOVE} select song, program, groove, even_, swing from groove")
 def groove_class(spark, sf_dir):
-    o = notes(spark, sf_dir).select("song", (F.col("measure") * 96 + F.col("shift")).alias("t")).distinct()
-    d = o.withColumn("d", F.lead("t").over(Window.partitionBy("song").orderBy("t")) - F.col("t")).where("d is not null")
-    groove = F.when(F.avg("d") < 20, "dense").when(F.avg("d") < 60, "even").otherwise("sparse")
-    return d.groupBy("song").agg(F.count("d").alias("gaps"), F.min("d").alias("least"), F.max("d").alias("most"), groove.alias("groove"))
+    return M.groove(notes(spark, sf_dir), ["song", "program"])
+
+
+@query(f"with {SQL_GROOVE}, c as (select song, groove from groove where program='view' and groove <> 'undetermined') select g.program, round(avg(case when g.groove=c.groove then 1e0 else 0e0 end), 6) as agreement, count(*) as n from groove g join c on c.song=g.song where g.program <> 'view' group by 1")
+def groove_agreement(spark, sf_dir):
+    """How often a part has the groove of the part it follows, where that one has any."""
+    g = M.groove(notes(spark, sf_dir), ["song", "program"])
+    context = g.where("program = 'view' and groove <> 'undetermined'").select("song", F.col("groove").alias("own"))
+    same = g.where("program <> 'view'").join(context, "song")
+    return same.groupBy("program").agg(F.round(F.avg((F.col("groove") == F.col("own")).cast("double")), 6).alias("agreement"), F.count("*").alias("n"))
 
 
 @query(f"""with {SQL_NOTES} select song, arg_min(pitch, (measure*96+shift)*100000000 + event_id) filter (where measure >= 15) - arg_max(pitch, (measure*96+shift)*100000000 + event_id) filter (where measure < 15) as seam from notes group by song""")
@@ -161,12 +183,12 @@ def confusion_taxonomy(spark, sf_dir):
 
 @query("""with k as (select event_id, cast(event_id % 12 as integer) as gt, event_id % 5 = 0 as gm, cast((event_id*7) % 12 as integer) as t, event_id % 3 = 0 as m from events),
 u as (select *, (t-gt+12)%12 as up from k), s as (select *, case when up=0 and gm=m then 1e0 when gm=m and up in (5,7) then 0.5e0 when gm<>m and up = case when gm then 3 else 9 end then 0.3e0 when gm<>m and up=0 then 0.2e0 else 0e0 end as s from u)
-select case s when 1e0 then 'correct' when 0.5e0 then 'fifth' when 0.3e0 then 'relative' when 0.2e0 then 'parallel' else 'other' end as relation, count(*) as n, round(sum(s), 3) as total from s group by 1""")
+select case s when 1e0 then 'correct' when 0.5e0 then 'fifth' when 0.3e0 then 'relative' when 0.2e0 then 'parallel' else 'other' end as relation, count(*) as n, round(avg(s), 6) as mean from s group by 1""")
 def mirex_relations(spark, sf_dir):
     e = F.col("event_id")
     args = (e % 12).cast("int"), e % 5 == 0, ((e * 7) % 12).cast("int"), e % 3 == 0
     k = table(spark, sf_dir, "events").select(key_relation(*args).alias("relation"), mirex(*args).alias("s"))
-    return k.groupBy("relation").agg(F.count("*").alias("n"), F.round(F.sum("s"), 3).alias("total"))
+    return k.groupBy("relation").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("mean"))
 
 
 SQL_CANDS = f"""{SQL_PREDS.split(", p as")[0]}, c as (select doc_id, lang, cand, {SQL_MOD.format(x="cand||cast(doc_id as varchar)", n=997)} as s from preds, (values ('en'),('fr'),('de'),('es')) v(cand)), r as (select *, row_number() over (partition by doc_id order by s desc, cand) as rank from c)"""
@@ -209,15 +231,17 @@ def seed_mean_sd(spark, sf_dir):
 
 @query("with q as (select quantile_cont(n_chars, 0.25) as a, quantile_cont(n_chars, 0.5) as b, quantile_cont(n_chars, 0.75) as c from documents) select case when n_chars <= a then 1 when n_chars <= b then 2 when n_chars <= c then 3 else 4 end as quartile, count(*) as n, cast(sum(n_chars) as bigint) as total from documents, q group by 1")
 def quartile_strata(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("n_chars")
-    q = d.agg(*[F.percentile("n_chars", F.lit(p)).alias(x) for x, p in (("a", 0.25), ("b", 0.5), ("c", 0.75))])
-    band = F.when(F.col("n_chars") <= F.col("a"), 1).when(F.col("n_chars") <= F.col("b"), 2).when(F.col("n_chars") <= F.col("c"), 3).otherwise(4)
-    return d.join(F.broadcast(q)).groupBy(band.alias("quartile")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("total"))
+    """Quartiles from counts of distinct lengths, so that rows are summed before they meet."""
+    d = table(spark, sf_dir, "documents").groupBy("n_chars").agg(F.count("*").alias("c"))
+    q = d.agg(*[F.percentile("n_chars", F.lit(p), F.col("c")).alias(x) for x, p in (("a", 0.25), ("b", 0.5), ("c_", 0.75))])
+    band = F.when(F.col("n_chars") <= F.col("a"), 1).when(F.col("n_chars") <= F.col("b"), 2).when(F.col("n_chars") <= F.col("c_"), 3).otherwise(4)
+    total = F.sum(F.col("n_chars") * F.col("c"))
+    return d.join(F.broadcast(q)).groupBy(band.alias("quartile")).agg(F.sum("c").alias("n"), total.alias("total"))
 
 
-@query(f"with {SQL_PREDS} select t, sum(case when score >= t then 1 else 0 end)::bigint as kept, round(sum(case when score >= t and gold=pred then 1e0 else 0e0 end)/nullif(sum(case when score >= t then 1 else 0 end), 0), 6) as of_kept, round(sum(case when score >= t and gold=pred then 1e0 else 0e0 end)/count(*), 6) as of_all from p, (values (0.1e0),(0.3e0),(0.5e0),(0.7e0),(0.9e0)) v(t) group by t")
+@query(f"with {SQL_PREDS} select t, sum(case when score >= t then 1 else 0 end)::bigint as kept, round(sum(case when score >= t and gold=pred then 1e0 else 0e0 end)/nullif(sum(case when score >= t then 1 else 0 end), 0), 6) as of_kept, round(sum(case when score >= t and gold=pred then 1e0 else 0e0 end)/count(*), 6) as of_all from p, (values (0.0e0),(0.1e0),(0.3e0),(0.5e0),(0.7e0),(0.9e0),(0.95e0)) v(t) group by t")
 def threshold_sweep(spark, sf_dir):
-    t = spark.createDataFrame([(x,) for x in (0.1, 0.3, 0.5, 0.7, 0.9)], "t double")
+    t = spark.createDataFrame([(x,) for x in (0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 0.95)], "t double")
     p = predictions(spark, sf_dir).crossJoin(F.broadcast(t))
     kept, right = F.col("score") >= F.col("t"), F.col("gold") == F.col("pred")
     return p.groupBy("t").agg(
@@ -232,10 +256,14 @@ def entropy_maxprob(spark, sf_dir):
     return s.groupBy("song").agg(F.round(F.sum(-F.col("p") * F.log(F.col("p") + 1e-12)), 6).alias("entropy"), F.round(F.max("p"), 6).alias("top"))
 
 
-@query("with c as (select l_suppkey % 10 as expert, l_returnflag, count(*) as n from lineitem group by 1,2) select l_returnflag, round(stddev_pop(n)/avg(n), 6) as cv, cast(sum(case when n = 0 then 1 else 0 end) as bigint) as dead from c group by 1")
-def load_variation(spark, sf_dir):
+@query("""with e as (select f.l_returnflag, x.expert from (select distinct l_returnflag from lineitem) f, range(0, 12) x(expert)), c as (select l_suppkey % 10 as expert, l_returnflag, count(*) as n from lineitem group by 1,2),
+d as (select e.l_returnflag, e.expert, coalesce(c.n, 0) as n from e left join c on c.expert=e.expert and c.l_returnflag=e.l_returnflag) select l_returnflag, round(stddev_pop(n)/(avg(n)+1e-6), 6) as cv, cast(sum(case when n = 0 then 1 else 0 end) as bigint) as dead, min(n) as least, max(n) as most from d group by 1""")
+def load_variation(spark, sf_dir, experts: int = 12):
+    """Variation of the load of a layer's experts, and how many have none: experts without rows count, too."""
     c = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("expert"), "l_returnflag").agg(F.count("*").alias("n"))
-    return c.groupBy("l_returnflag").agg(F.round(F.stddev_pop("n") / F.avg("n"), 6).alias("cv"), F.count_if(F.col("n") == 0).alias("dead"))
+    every = c.select("l_returnflag").distinct().withColumn("expert", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(experts - 1).cast("long"))))
+    d = every.join(c, ["l_returnflag", "expert"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    return d.groupBy("l_returnflag").agg(F.round(F.stddev_pop("n") / (F.avg("n") + 1e-6), 6).alias("cv"), F.count_if(F.col("n") == 0).alias("dead"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
 @query("select event_type, round(exp(avg(value/100e0)), 6) as perplexity, round(max(value), 2) as worst from events group by 1")

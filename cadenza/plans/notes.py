@@ -10,8 +10,8 @@ from ..sources.tables import SQL_NOTES, notes, sequences, table
 from .registry import query
 
 SQL_BARS = f"""{SQL_NOTES}, b0 as (select song, program, measure, string_agg(cast(shift+51 as varchar)||' '||cast(pitch+209 as varchar)||' '||cast(dur+337 as varchar), ' ' order by shift, pitch, dur) as t
- from notes group by 1,2,3), b1 as (select *, measure - coalesce(lag(measure) over (partition by song, program order by measure), measure-1) - 1 as gap from b0),
-seqs as (select song, program, string_agg(repeat('49 50 ', cast(gap as integer))||'49 '||t, ' ' order by measure)||' 627' as tokens from b1 group by 1,2)"""
+ from notes group by 1,2,3), b1 as (select *, measure - coalesce(lag(measure) over (partition by song, program order by measure), 0) as passed from b0),
+seqs as (select song, program, string_agg(repeat('49 50 ', cast(greatest(passed-1, 0) as integer))||case when passed > 0 then '49 ' else '' end||t, ' ' order by measure)||' 627' as tokens from b1 group by 1,2)"""
 
 
 @query(f"with {SQL_BARS} select song, program, tokens from seqs")
@@ -19,8 +19,7 @@ def notes_to_tokens(spark, sf_dir):
     return sequences(spark, sf_dir).select("song", "program", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query(f"""with {SQL_NOTES}, z as (select *, min(measure) over (partition by song, program) as m0 from notes)
-select song, program, cast(measure-m0 as integer) as measure, shift, pitch, dur from z where dur < 288""")
+@query(f"with {SQL_NOTES} select song, program, cast(greatest(measure-1, 0) as integer) as measure, shift, pitch, dur from notes where dur < 288")
 def tokens_to_notes(spark, sf_dir):
     return N.tokens_to_notes(sequences(spark, sf_dir), ["song", "program"])
 
@@ -31,9 +30,10 @@ def token_counts(spark, sf_dir):
     return sequences(spark, sf_dir).select("song", "program", F.size("tokens").cast("long").alias("n"), count(V.SME).alias("bars"), count(V.BLANK).alias("blanks"))
 
 
-@query(f"with {SQL_NOTES}, b as (select song, program, measure, count(*) as n from notes group by 1,2,3) select song, program, case when max(n) > 4 then null else cast(greatest(1, least(10, ceil(round(avg(n/4e0)*10, 9)))) as integer) end as density from b group by 1,2")
+@query(f"with {SQL_NOTES}, b as (select song, program, measure, count(*) as n, case when program='view' then 24 else 45 end as most from notes group by 1,2,3) select song, program, case when max(n) > max(most) then null else cast(greatest(1, least(10, ceil(round(sum(n)/cast(max(measure)+1 as double)/max(most)*10, 9)))) as integer) end as density from b group by 1,2")
 def density_bucket(spark, sf_dir):
-    return N.bar_density(notes(spark, sf_dir), ["song", "program"], 4)
+    """One program stands for an instrument of one voice (24 notes a bar at most), the others play chords (45)."""
+    return N.bar_density(notes(spark, sf_dir), ["song", "program"], F.when(F.col("program") == "view", 24).otherwise(45))
 
 
 @query(f"with {SQL_NOTES} select song, program, max(c) = 1 as mono from (select song, program, measure, shift, count(*) as c from notes group by 1,2,3,4) t group by 1,2")
@@ -87,10 +87,10 @@ def sustain_extension(spark, sf_dir):
     return N.sustained(played, pedal.where("off > on"), ["song"]).select("song", "event_id", "sustained_end")
 
 
-@query("select l_orderkey, l_linenumber, cast(round_even(l_extendedprice/7e0, 0) as bigint) as a, greatest(cast(round_even(l_extendedprice/7e0, 0) as bigint)+1, cast(round_even((l_extendedprice+l_quantity)/7e0, 0) as bigint)) as b from lineitem where l_quantity < 5")
+@query("select l_orderkey, l_linenumber, cast(round_even(l_extendedprice/7e0, 0) as bigint) as a, greatest(cast(round_even(l_extendedprice/7e0, 0) as bigint)+1, cast(round_even((l_extendedprice+l_quantity)/7e0, 0) as bigint)) as b from lineitem")
 def tick_quantize(spark, sf_dir):
     tick = lambda c: F.rint(c / 7.0).cast("long")
-    t = table(spark, sf_dir, "lineitem").where("l_quantity < 5")
+    t = table(spark, sf_dir, "lineitem")
     a = tick(F.col("l_extendedprice"))
     return t.select("l_orderkey", "l_linenumber", a.alias("a"), F.greatest(a + 1, tick(F.col("l_extendedprice") + F.col("l_quantity"))).alias("b"))
 
@@ -116,28 +116,34 @@ def interval_lookup(spark, sf_dir):
     return found.join(last, "user_id", "left").select("event_id", F.coalesce("seg", "last_seg").alias("seg"))
 
 
-@query("""with e as (select user_id, event_type, ts, row_number() over (partition by user_id, event_type order by ts, event_id) as k from events)
-select a.user_id, a.k, a.ts as start, b.ts as stop from (select * from e where event_type='view') a left join (select * from e where event_type='click') b on a.user_id=b.user_id and a.k=b.k""")
+@query("""with e as (select user_id, event_type, ts, event_id, sum(case event_type when 'view' then 1 when 'click' then -1 else 0 end) over w as o, max(ts) over (partition by user_id) as last_ from events window w as (partition by user_id order by ts, event_id)),
+m as (select *, least(0, coalesce(min(o) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0)) as low from e),
+k as (select *, sum(case when event_type='view' then 1 else 0 end) over w as on_, sum(case when event_type='click' and o >= low then 1 else 0 end) over w as off_ from m window w as (partition by user_id order by ts, event_id))
+select a.user_id, cast(a.on_ as bigint) as k, a.ts as start, greatest(coalesce(b.ts, a.last_), a.ts + interval 1 second) as stop from (select * from k where event_type='view') a left join (select * from k where event_type='click' and o >= low) b on a.user_id=b.user_id and a.on_=b.off_""")
 def note_pairing(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("kind"))
     return N.paired(e, ["user_id"], "view", "click").select("user_id", F.col("k").cast("long").alias("k"), "start", "stop")
 
 
-SQL_ROLL = f"""{SQL_NOTES}, c as (select song, program, pitch, measure*96+shift as s, unnest(range(measure*96+shift, measure*96+shift+dur)) as step from notes where song < 30),
+SQL_ROLL = f"""{SQL_NOTES}, c as (select song, program, pitch, measure*96+shift as s, unnest(range(measure*96+shift, measure*96+shift+dur)) as step from notes),
 r as (select song, program, step, pitch, max(case when step = s then 1 else 0 end) as onset from c group by 1,2,3,4)"""
 
 
 @query(f"with {SQL_ROLL} select song, program, count(*) as cells, cast(sum(onset) as bigint) as onsets, cast(max(step) as bigint) as last_step from r group by 1,2")
 def sparse_roll(spark, sf_dir):
-    r = N.roll(notes(spark, sf_dir).where("song < 30"), ["song", "program"])
+    r = N.roll(notes(spark, sf_dir), ["song", "program"])
     return r.groupBy("song", "program").agg(F.count("*").alias("cells"), F.sum("onset").alias("onsets"), F.max("step").cast("long").alias("last_step"))
 
 
-@query(f"""with {SQL_ROLL}, k as (select song, step, pitch, max(case when program='view' then 1 else 0 end) as a, max(case when program='click' then 1 else 0 end) as b from r group by 1,2,3)
-select song, cast(sum(a*b) as bigint) as both_, round(sum(a*b)/cast(sum(greatest(a,b)) as double), 6) as iou from k where greatest(a,b) = 1 group by song""")
+@query(f"""with {SQL_ROLL}, k as (select song, step, pitch, max(case when program='view' then 1 else 0 end) as a, max(case when program='click' then 1 else 0 end) as b from r group by 1,2,3),
+l as (select song, least(max(case when a=1 then step end), max(case when b=1 then step end)) as last_ from k group by 1 having max(a) = 1 and max(b) = 1)
+select song, cast(sum(a*b) as bigint) as both_, round(sum(a*b)/cast(sum(greatest(a,b)) as double), 6) as iou from k join l using (song) where greatest(a,b) = 1 and step <= last_ group by song""")
 def roll_iou(spark, sf_dir):
-    r = N.roll(notes(spark, sf_dir).where("song < 30 and program in ('view', 'click')"), ["song", "program"])
+    r = N.roll(notes(spark, sf_dir).where("program in ('view', 'click')"), ["song", "program"])
     k = r.groupBy("song", "step", "pitch").agg(F.max((F.col("program") == "view").cast("int")).alias("a"), F.max((F.col("program") == "click").cast("int")).alias("b"))
+    # Both rolls are cut to the shorter one.
+    last = k.groupBy("song").agg(F.least(F.max(F.when(F.col("a") == 1, F.col("step"))), F.max(F.when(F.col("b") == 1, F.col("step")))).alias("last"), F.count_if(F.col("a") == 1).alias("na"), F.count_if(F.col("b") == 1).alias("nb"))
+    k = k.join(last.where("na > 0 and nb > 0"), "song").where("step <= last")
     both = F.col("a") * F.col("b")
     return k.groupBy("song").agg(F.sum(both).alias("both_"), F.round(F.sum(both) / F.count("*"), 6).alias("iou"))
 

@@ -13,9 +13,13 @@ from .registry import query
 SQL_BLOCKS = """blocks as (select conv_id, turn, case role when 'system' then 'META' when 'assistant' then 'CONST' else case when turn % 3 = 2 then 'FUTURE' else 'PAST' end end as block,
  len(string_split(text, ' ')) as words from conversations)"""
 SQL_ORDER = f"{SQL_BLOCKS}, o as (select conv_id, list(block order by turn) as b from blocks group by 1)"
-SQL_LABEL = """case when not list_contains(b,'CONST') and list_contains(b,'META') then 'analysis' when not list_contains(b,'CONST') then 'no_target'
- when list_contains(f,'PAST') and list_contains(f,'FUTURE') then 'infill' when list_contains(f,'PAST') then 'continuation' when list_contains(f,'FUTURE') then 'anticipation'
- when list_contains(f,'META') then 'meta_gen' when len(f)=0 then 'uncond' else 'other' end"""
+def _sql_before(x, y):
+    return f"coalesce(nullif(list_position(b,'{x}'),0) < nullif(list_position(b,'{y}'),0), false)"
+
+
+SQL_LABEL = f"""case when {_sql_before('PAST','META')} or {_sql_before('CONST','META')} or {_sql_before('FUTURE','META')} then 'analysis'
+ when {_sql_before('PAST','CONST')} and {_sql_before('FUTURE','CONST')} then 'infill' when {_sql_before('FUTURE','CONST')} then 'anticipation' when {_sql_before('PAST','CONST')} then 'continuation'
+ when {_sql_before('META','CONST')} then 'meta_gen' when list_contains(b,'CONST') then 'uncond' else 'no_target' end"""
 
 
 def blocks(spark, sf_dir):
@@ -44,24 +48,30 @@ def block_ratios(spark, sf_dir):
     )
 
 
-@query(f"with {SQL_ORDER}, p as (select conv_id, b, case when list_contains(b,'CONST') then list_slice(b, 1, list_position(b,'CONST')-1) else b end as f from o) select conv_id, {SQL_LABEL} as label from p")
+@query(f"with {SQL_ORDER} select conv_id, {SQL_LABEL} as label from o")
 def direction_label(spark, sf_dir):
     return orders(spark, sf_dir).select("conv_id", S.direction(F.col("b")).alias("label"))
 
 
-@query(f"""with {SQL_BLOCKS}, w as (select conv_id, turn, block, words, list(block) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as f from blocks)
-select case when block='CONST' and list_contains(f,'PAST') and list_contains(f,'FUTURE') then 'infill' when block='CONST' and list_contains(f,'PAST') then 'continuation' when block='CONST' and list_contains(f,'FUTURE') then 'anticipation'
- when block='CONST' then 'uncond' when block='META' then 'meta' else 'context' end as bucket, count(*) as spans, cast(sum(words) as bigint) as weight from w group by 1""")
+@query(f"""with {SQL_BLOCKS}, w as (select conv_id, words - case when row_number() over v = 1 then 1 else 0 end as words, block, coalesce(list_distinct(list(block) over (v rows between unbounded preceding and 1 preceding)), []) as f from blocks window v as (partition by conv_id order by turn)),
+k as (select *, case when block='META' and (list_contains(f,'PAST') or list_contains(f,'CONST') or list_contains(f,'FUTURE')) then 'analysis' when block='CONST' and list_contains(f,'PAST') and list_contains(f,'FUTURE') then 'infill'
+ when block='CONST' and list_contains(f,'PAST') then 'continuation' when block='CONST' and list_contains(f,'FUTURE') then 'anticipation' when block='CONST' and len(f)=1 and f[1]='META' then 'meta_gen' when block='CONST' and len(f)=0 then 'uncond' end as bucket from w)
+select bucket, count(*) as spans, cast(sum(words) as bigint) as weight from k where bucket is not null group by 1""")
 def direction_buckets(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    b = blocks(spark, sf_dir).withColumn("f", F.collect_set("block").over(w))
-    has = lambda x: F.array_contains("f", x)
+    """Tokens to predict, by what their block and the blocks before it say; blocks that are context count nowhere. The first
+    token of a sequence is not predicted."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    b = blocks(spark, sf_dir).withColumn("f", F.collect_set("block").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    b = b.withColumn("words", F.col("words") - (F.row_number().over(w) == 1).cast("int"))
+    has = lambda *x: F.arrays_overlap("f", F.array(*map(F.lit, x)))
     const = F.col("block") == "CONST"
     bucket = (
-        F.when(const & has("PAST") & has("FUTURE"), "infill").when(const & has("PAST"), "continuation").when(const & has("FUTURE"), "anticipation")
-        .when(const, "uncond").when(F.col("block") == "META", "meta").otherwise("context")
+        F.when((F.col("block") == "META") & has("PAST", "CONST", "FUTURE"), "analysis").when(const & has("PAST") & has("FUTURE"), "infill")
+        .when(const & has("PAST"), "continuation").when(const & has("FUTURE"), "anticipation")
+        .when(const & (F.size("f") == 1) & has("META"), "meta_gen").when(const & (F.size("f") == 0), "uncond")
     )
-    return b.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("spans"), F.sum("words").alias("weight"))
+    kept = b.withColumn("bucket", bucket).where("bucket is not null")
+    return kept.groupBy("bucket").agg(F.count("*").alias("spans"), F.sum("words").alias("weight"))
 
 
 @query(f"""with {SQL_BLOCKS}, w as (select *, max(case when block='CONST' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as seen, max(case when block='CONST' then 1 else 0 end) over (partition by conv_id) as any_ from blocks)
@@ -147,26 +157,33 @@ def key_windows(spark, sf_dir):
     return _key_windows(spark, sf_dir)
 
 
-@query(f"""with {SQL_WIN}, v as (select w.song, w.a, w.b, arg_max(n.program, n.c*10000 - n.r*100 - n.measure) as vote from wins w join (select song, measure, program, count(*) as c, row_number() over (partition by song, measure order by count(*) desc, program) as r from notes group by 1,2,3) n
- on n.song=w.song and n.measure>=w.a and n.measure<w.b group by 1,2,3), bars as (select song, unnest(range(a, b)) as bar, vote, b-a as weight from v), s as (select song, bar, vote, sum(weight) as weight from bars group by 1,2,3)
-select song, bar, count(*) as candidates, cast(max(weight) as bigint) as best from s group by 1,2""")
+SQL_VOTES = f"""{SQL_WIN}, n as (select song, measure, program, count(*) as c, row_number() over (partition by song, measure order by count(*) desc, program) as r from notes group by 1,2,3),
+v as (select w.song, w.a, w.b, arg_max(n.program, n.c*10000 - n.r*100 - n.measure) as vote, least(3, max(n.c)) as weight from wins w join n on n.song=w.song and n.measure>=w.a and n.measure<w.b group by 1,2,3),
+bars as (select song, a, unnest(range(a, b)) as bar, vote, weight from v), s as (select song, bar, vote, sum(weight) as weight, min(a) as f from bars group by 1,2,3)"""
+
+
+@query(f"with {SQL_VOTES} select song, bar, vote as winner, cast(weight as bigint) as best, n as candidates from (select *, count(*) over (partition by song, bar) as n, row_number() over (partition by song, bar order by weight desc, f, vote) as rn from s) t where rn = 1")
 def bar_vote(spark, sf_dir):
-    """Weighted votes of overlapping windows for each bar."""
+    """Winner of each bar by the weighted votes of the windows over it; ties go to the vote that came first."""
     counts = notes(spark, sf_dir).groupBy("song", "measure", "program").agg(F.count("*").alias("c"))
     r = counts.withColumn("r", F.row_number().over(Window.partitionBy("song", "measure").orderBy(F.desc("c"), "program")))
     spread = _key_windows(spark, sf_dir).withColumn("measure", F.explode(F.sequence(F.col("a"), F.col("b") - 1)))
-    v = spread.join(r, ["song", "measure"]).groupBy("song", "a", "b").agg(F.max_by("program", F.col("c") * 10000 - F.col("r") * 100 - F.col("measure")).alias("vote"))
-    bars = v.withColumn("bar", F.explode(F.sequence(F.col("a"), F.col("b") - 1)))
-    s = bars.groupBy("song", "bar", "vote").agg(F.sum(F.col("b") - F.col("a")).alias("weight"))
-    return s.groupBy(F.col("song"), F.col("bar").cast("long").alias("bar")).agg(F.count("*").alias("candidates"), F.max("weight").alias("best"))
+    v = spread.join(r, ["song", "measure"]).groupBy("song", "a", "b").agg(
+        F.max_by("program", F.col("c") * 10000 - F.col("r") * 100 - F.col("measure")).alias("vote"), F.least(F.lit(3), F.max("c")).alias("weight")
+    )
+    bars = v.withColumn("bar", F.explode(F.sequence(F.col("a"), F.col("b") - 1))).withColumn("bar", F.col("bar").cast("long"))
+    s = bars.groupBy("song", "bar", "vote").agg(F.sum("weight").alias("weight"), F.min("a").alias("f"))
+    w = Window.partitionBy("song", "bar")
+    ranked = s.withColumn("candidates", F.count("*").over(w)).withColumn("rn", F.row_number().over(w.orderBy(F.desc("weight"), "f", "vote")))
+    return ranked.where("rn = 1").select("song", "bar", F.col("vote").alias("winner"), F.col("weight").cast("long").alias("best"), "candidates")
 
 
-SQL_STEPS = "s as (select user_id as run, value as loss, row_number() over (partition by user_id order by ts, event_id) as step from events)"
+SQL_STEPS = "s as (select user_id as run, value as loss, cast(json_extract_string(props,'$.k') as integer) as k, row_number() over (partition by user_id order by ts, event_id) as step from events)"
 
 
 def _steps(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("value").alias("loss"), F.row_number().over(w).cast("long").alias("step"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("value").alias("loss"), F.get_json_object("props", "$.k").cast("int").alias("k"), F.row_number().over(w).cast("long").alias("step"))
 
 
 @query(f"with {SQL_STEPS} select run, step, round(avg(loss) over (partition by run order by step rows between 999 preceding and current row), 6) as mean from s")
@@ -175,26 +192,38 @@ def running_mean(spark, sf_dir):
     return _steps(spark, sf_dir).select("run", "step", F.round(F.avg("loss").over(w), 6).alias("mean"))
 
 
-@query(f"with {SQL_STEPS}, m as (select run, step, avg(loss) over (partition by run order by step rows between 19 preceding and current row) as ma, count(*) over (partition by run order by step rows between 19 preceding and current row) as n from s) select run, min(step) as stop_at from m where n = 20 and ma < 220e0 group by run")
+@query(f"""with {SQL_STEPS}, m as (select run, step, avg(loss) over w as kl, avg(k) over w as disc, count(*) over w as n from s window w as (partition by run order by step rows between 19 preceding and current row)),
+c as (select run, step, case when kl > 260e0 and disc > 50e0 then 'hacking' when kl < 220e0 then 'achieved' end as reason from m where n = 20)
+select run, min(step) as stop_at, arg_min(reason, step) as reason from c where reason is not null group by run""")
 def moving_average_stop(spark, sf_dir):
+    """The first step at which two averages over 20 steps are both too high, or one has reached its goal."""
     w = Window.partitionBy("run").orderBy("step").rowsBetween(-19, 0)
-    m = _steps(spark, sf_dir).withColumn("ma", F.avg("loss").over(w)).withColumn("n", F.count("*").over(w))
-    return m.where("n = 20 and ma < 220D").groupBy("run").agg(F.min("step").alias("stop_at"))
+    m = _steps(spark, sf_dir).withColumns({"kl": F.avg("loss").over(w), "disc": F.avg("k").over(w), "n": F.count("*").over(w)})
+    reason = F.when((F.col("kl") > 260.0) & (F.col("disc") > 50.0), "hacking").when(F.col("kl") < 220.0, "achieved")
+    c = m.where("n = 20").withColumn("reason", reason).where("reason is not null")
+    return c.groupBy("run").agg(F.min("step").alias("stop_at"), F.min_by("reason", "step").alias("reason"))
 
 
-@query(f"with {SQL_STEPS}, m as (select run, step, regr_slope(loss, step) over (partition by run order by step rows between 9 preceding and current row) as slope, count(*) over (partition by run order by step rows between 9 preceding and current row) as n from s) select run, count(*) as stale from m where n = 10 and slope < -0.01e0 group by run")
+@query(f"""with {SQL_STEPS}, m as (select run, step, regr_slope(loss, step) over w as slope, count(*) over w as n from s window w as (partition by run order by step rows between 9 preceding and current row)),
+f as (select run, step, case when slope < -0.01e0 then 0 else 1 end as up, sum(case when slope < -0.01e0 then 0 else 1 end) over (partition by run order by step) as island from m where n = 10),
+k as (select run, step, row_number() over (partition by run, island order by step) - case when island = 0 then 0 else 1 end as stale, up from f)
+select run, min(step) as stop_at from k where up = 0 and stale >= 3 and step >= 20 group by run""")
 def slope_stop(spark, sf_dir):
-    w = Window.partitionBy("run").orderBy("step").rowsBetween(-9, 0)
+    """The first step, from the 20th on, with the slope of ten values too low for the third time in a row."""
+    run = Window.partitionBy("run").orderBy("step")
+    w = run.rowsBetween(-9, 0)
     x, y = F.col("step").cast("double"), F.col("loss")
     slope = (F.avg(x * y).over(w) - F.avg(x).over(w) * F.avg(y).over(w)) / (F.avg(x * x).over(w) - F.avg(x).over(w) * F.avg(x).over(w))
-    m = _steps(spark, sf_dir).withColumn("slope", slope).withColumn("n", F.count("*").over(w))
-    return m.where("n = 10 and slope < -0.01D").groupBy("run").agg(F.count("*").alias("stale"))
+    m = _steps(spark, sf_dir).withColumns({"slope": slope, "n": F.count("*").over(w)}).where("n = 10").withColumn("up", F.when(F.col("slope") < -0.01, 0).otherwise(1))
+    island = m.withColumn("island", F.sum("up").over(run))
+    counted = island.withColumn("stale", F.sum(1 - F.col("up")).over(Window.partitionBy("run", "island").orderBy("step")))
+    return counted.where("up = 0 and stale >= 3 and step >= 20").groupBy("run").agg(F.min("step").alias("stop_at"))
 
 
-@query("with g as (select l_orderkey, l_linenumber, l_quantity as r, avg(l_quantity) over (partition by l_orderkey) as m, stddev_samp(l_quantity) over (partition by l_orderkey) as sd from lineitem where l_orderkey % 7 = 0) select l_orderkey, l_linenumber, round((r-m)/(sd+1e-4), 5) as advantage from g where sd is not null")
+@query("with g as (select l_orderkey, l_linenumber, l_quantity as r, avg(l_quantity) over (partition by l_orderkey) as m, stddev_samp(l_quantity) over (partition by l_orderkey) as sd from lineitem) select l_orderkey, l_linenumber, round((r-m)/(sd+1e-4), 5) as advantage from g where sd is not null")
 def group_advantage(spark, sf_dir):
     w = Window.partitionBy("l_orderkey")
-    t = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 = 0")
+    t = table(spark, sf_dir, "lineitem")
     sd = F.when(F.count("*").over(w) > 1, F.stddev_samp("l_quantity").over(w))
     g = t.withColumn("sd", sd).withColumn("m", F.avg("l_quantity").over(w)).where("sd is not null")
     return g.select("l_orderkey", "l_linenumber", F.round((F.col("l_quantity") - F.col("m")) / (F.col("sd") + 1e-4), 5).alias("advantage"))
@@ -211,61 +240,86 @@ def nucleus_filter(spark, sf_dir):
     return kept.select("user_id", "event_type", F.round(F.col("p") / F.sum("p").over(user), 6).alias("p"))
 
 
-@query("""with a as (select event_id, cast(event_id % 10 as integer)+1 as want, case when event_id % 9 = 0 then null else cast((event_id*3) % 10 as integer)+1 end as got, value/500e0 as sim, cast(event_id % 24 as integer)+1 as rank from events),
-b as (select *, least(1e0, coalesce(abs(want-got)/9e0, 1e0)) as d, 1/(1+exp(-12e0*(sim-0.5e0))) as s, 1/(1+exp(6e0)) as s0, 1/(1+exp(-6e0)) as s1, greatest(0e0, least(1e0, (sim-0.2e0)/0.6e0)) as t from a)
-select event_id, round(1-1.5e0*d, 6) as attribute, round((s-s0)/(s1-s0), 6) as penalty, round(t*t*(3-2*t), 6) as discriminator, round(case rank when 1 then 1e0 when 2 then 0e0 else -0.5e0*(rank-2)/22e0 end, 6) as key_rank from b""")
+@query("""with a as (select event_id, cast(event_id % 10 as integer)+1 as want, case when event_id % 9 = 0 then null else cast((event_id*3) % 10 as integer)+1 end as got, value/500e0 as sim, value/25e0-10e0 as z, case when event_id % 7 = 0 then null else cast(event_id % 24 as integer)+1 end as rank, case when event_id % 5 = 0 then 3 else 24 end as n from events),
+b as (select *, least(1e0, coalesce(abs(want-got)/9e0, 1e0)) as d, 1/(1+exp(-12e0*(least(1e0, sim)-0.75e0))) as s, 1/(1+exp(3e0)) as s0, 1/(1+exp(-3e0)) as s1, greatest(0e0, least(1e0, (sim-0.2e0)/0.6e0)) as t from a)
+select event_id, round(1-1.5e0*d, 6) as attribute, round(case when sim <= 0.5e0 then 0e0 else -0.5e0*(s-s0)/(s1-s0) end, 6) as penalty, round(t*t*(3-2*t), 6) as smooth, round(greatest(0e0, least(1e0, 0.5e0 - z/8e0)), 6) as discriminator,
+ round(case when rank is null or rank > n then -0.5e0 when rank = 1 then 1e0 when rank = 2 then 0e0 when n <= 3 then -0.5e0 else -0.5e0*(rank-2)/cast(n-2 as double) end, 6) as key_rank from b""")
 def reward_components(spark, sf_dir):
     e = F.col("event_id")
     got = F.when(e % 9 == 0, F.lit(None)).otherwise((e * 3) % 10 + 1)
     d = X.ordinal_distance((e % 10 + 1).cast("double"), got.cast("double"), 9)
-    sim = F.col("value") / 500.0
+    sim, rank = F.col("value") / 500.0, F.when(e % 7 != 0, e % 24 + 1)
     return table(spark, sf_dir, "events").select(
-        "event_id", F.round(X.attribute_score(d, 1.0, 0.5), 6).alias("attribute"), F.round(X.sigmoid_penalty(sim, 0.5), 6).alias("penalty"),
-        F.round(X.smoothstep(sim, 0.2, 0.8), 6).alias("discriminator"), F.round(X.rank_reward(e % 24 + 1, 24, 1.0, 0.5), 6).alias("key_rank"),
+        "event_id", F.round(X.attribute_score(d, 1.0, 0.5), 6).alias("attribute"), F.round(X.similarity_reward(sim), 6).alias("penalty"),
+        F.round(X.smoothstep(sim, 0.2, 0.8), 6).alias("smooth"), F.round(X.discriminator_reward(F.col("value") / 25.0 - 10.0), 6).alias("discriminator"),
+        F.round(X.rank_reward(rank, F.when(e % 5 == 0, 3).otherwise(24), 1.0, 0.5), 6).alias("key_rank"),
     )
 
 
 @query()
-def bootstrap_ci(spark, sf_dir):
-    """Mean and percentile interval of 2000 resamples per event type. The draws are Poisson(1) weights from a hash of
-    resample and row, so rows are read once and never exchanged; the state is 2000 sums a group."""
-    reps = 2000
-    values = table(spark, sf_dir, "events").select("event_type", "event_id", "value")
+def bootstrap_ci(spark, sf_dir, reps: int = 10_000):
+    """Mean and percentile interval of resamples by event type. The draws are Poisson(1) weights, one generator for each
+    thousand rows and hundred resamples; the state of a task is a sum and a count a resample."""
+    values = table(spark, sf_dir, "events").select("event_type", F.expr("event_id div 1000").alias("block"), "event_id", "value")
 
-    def sums(frames):
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        total: dict = {}
-        for pdf in frames:
-            for kind, own in pdf.groupby("event_type"):
-                seed = [np.random.default_rng(int(k)) for k in own["event_id"]]
-                w = np.stack([g.poisson(1.0, reps) for g in seed])
-                add = np.stack([w.T @ own["value"].to_numpy(), w.sum(0)], 1)
-                total[kind] = total.get(kind, 0) + add
-        rows = [(k, r, float(x[r, 0]), float(x[r, 1])) for k, x in total.items() for r in range(reps)]
-        yield pd.DataFrame(rows, columns=["event_type", "rep", "s", "n"])
-
-    means = values.mapInPandas(sums, "event_type string, rep int, s double, n double").groupBy("event_type", "rep").agg((F.sum("s") / F.sum("n")).alias("m"))
+        own = pdf.sort_values("event_id")["value"].to_numpy()
+        seed = [int(pdf["block"].iloc[0]) % 2**32, *pdf["event_type"].iloc[0].encode()]
+        parts = []
+        for k in range(0, reps, 100):
+            w = np.random.default_rng([k, *seed]).poisson(1.0, (100, len(own)))
+            parts.append(np.stack([w @ own, w.sum(1)], 1))
+        both = np.concatenate(parts)
+        return pd.DataFrame({"event_type": pdf["event_type"].iloc[0], "rep": np.arange(len(both)), "s": both[:, 0], "n": both[:, 1]})
+
+    each = values.groupBy("event_type", "block").applyInPandas(sums, "event_type string, rep int, s double, n double")
+    means = each.groupBy("event_type", "rep").agg((F.sum("s") / F.sum("n")).alias("m"))
     ci = means.groupBy("event_type").agg(*[F.round(F.percentile("m", F.lit(p)), 3).alias(x) for x, p in (("low", 0.025), ("high", 0.975))])
     mean = values.groupBy("event_type").agg(F.round(F.avg("value"), 3).alias("mean"))
     return mean.join(ci, "event_type")
 
 
 @query()
-def scaling_fit(spark, sf_dir):
-    """log loss = a - b log size, by a grid of (a, b) and the Huber loss: mean revenue by order size stands for the points."""
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.avg("l_extendedprice").alias("v"))
-    points = items.groupBy("n").agg(F.avg("v").alias("v")).select(F.log("n").alias("x"), F.log("v").alias("y"))
-    grid = spark.range(0, 101).select((F.col("id") / 100.0 - 0.5).alias("b")).crossJoin(spark.range(0, 201).select((F.col("id") / 50.0 + 8.0).alias("a")))
-    gap = F.abs(F.col("y") - (F.col("a") - F.col("b") * F.col("x")))
-    huber = F.when(gap <= 0.1, gap * gap / 2).otherwise(0.1 * (gap - 0.05))
-    # points has one row an order size, 7 at most; the grid is fixed.
-    scored = F.broadcast(points).crossJoin(grid).groupBy("a", "b").agg(F.sum(huber).alias("loss"))
-    return scored.agg(F.min(F.struct("loss", "a", "b")).alias("m")).select(F.round("m.a", 4).alias("a"), F.round("m.b", 4).alias("b"), F.round("m.loss", 8).alias("loss"))
-
-
-@query(f"with h as (select doc_id, {SQL_MOD.format(x='cast(doc_id as varchar)', n=4)} as r from documents) select r as round_, count(*) as n from h group by 1")
-def replay_rounds(spark, sf_dir):
-    """Items by the round in which they enter the replay pool."""
-    d = table(spark, sf_dir, "documents").select(X.md5_mod(F.col("doc_id").cast("string"), 4).alias("round_"))
-    return d.groupBy("round_").agg(F.count("*").alias("n"))
+def scaling_fit(spark, sf_dir, reps: int = 200):
+    """log loss = log(A / N^a + B / D^b + E) by Huber loss on logarithms and pattern search, with the interval of resamples
+    of the points. Part sizes (50 at most) and order quantities stand for N and D, a planted law with noise from a hash for
+    the losses. A resample is a group, so the fits are spread over the tasks."""
+    t = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber")).alias("i"), F.ceil(F.col("l_quantity") / 10).cast("int").alias("j")).distinct()
+    n, d = F.pow(F.lit(2.0), F.col("i")), F.pow(F.lit(3.0), F.col("j"))
+    noise = (X.md5_mod(F.concat_ws("-", "i", "j"), 1001) - 500) / 500000.0
+    points = t.select(F.log(n).alias("x"), F.log(d).alias("y"), (F.log(1.2 / F.pow(n, F.lit(0.5)) + 0.8 / F.pow(d, F.lit(0.4)) + 0.9) + noise).alias("l"))
+    return S.scaling_law(points, reps)
+
+
+SQL_REPLAY_CAP = 150
+
+
+def _sql_replay(rounds: int = 4) -> str:
+    key = lambda salt: f"md5('{salt}-'||cast(doc_id as varchar))"
+    sql = f"h as (select doc_id, {SQL_MOD.format(x='cast(doc_id as varchar)', n=rounds)} as r from documents), t0 as (select doc_id, cast(0 as bigint) as entered from h where r = 0 order by {key('t0')} limit {SQL_REPLAY_CAP})"
+    for k in range(1, rounds):
+        size = f"(select count(*) from t{k - 1})"
+        stay = f"({size} - {size} // 4)"
+        take = f"least((select count(*) from h where r = {k}) // 4, {SQL_REPLAY_CAP} - {stay})"
+        sql += f", k{k} as (select doc_id, entered from (select *, row_number() over (order by {key(f'k{k}')}) as rn from t{k - 1}) z where rn <= {stay}), t{k} as (select * from k{k} union all select doc_id, {k} from (select *, row_number() over (order by {key(f't{k}')}) as rn from h where r = {k}) z where rn <= {take})"
+    return f"with {sql} select doc_id, entered as round_ from t{rounds - 1}"
+
+
+@query(_sql_replay())
+def replay_rounds(spark, sf_dir, rounds: int = 4, cap: int = SQL_REPLAY_CAP):
+    """The replay pool after its rounds: the first fills it up to its cap; each later one forgets a quarter of it and takes
+    a quarter of the new items, as far as there is room. Who stays is the order of a hash; only counts reach the driver,
+    and a round takes cap rows at most."""
+    d = table(spark, sf_dir, "documents").select("doc_id", X.md5_mod(F.col("doc_id").cast("string"), rounds).alias("r"))
+    counts = {x["r"]: x["count"] for x in d.groupBy("r").count().collect()}
+    key = lambda salt: F.md5(F.concat(F.lit(f"{salt}-"), F.col("doc_id").cast("string")))
+    new = lambda k: d.where(F.col("r") == k).select("doc_id", F.lit(k).cast("long").alias("round_"))
+    pool, size = new(0).orderBy(key("t0")).limit(cap), min(counts.get(0, 0), cap)
+    for k in range(1, rounds):
+        stay = size - size // 4
+        take = min(counts.get(k, 0) // 4, cap - stay)
+        pool = pool.orderBy(key(f"k{k}")).limit(stay).union(new(k).orderBy(key(f"t{k}")).limit(take))
+        size = stay + take
+    return pool

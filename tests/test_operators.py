@@ -27,10 +27,19 @@ def test_tokens_round_trip(spark):
     notes = spark.createDataFrame(rows, "song string, measure int, shift int, pitch int, dur int")
     seq = N.notes_to_tokens(notes, ["song"])
     back = N.tokens_to_notes(seq, ["song"]).collect()
-    assert sorted(tuple(r) for r in back) == sorted(rows)
+    # The parser counts bars from the first bar token, so bars 0 and 1 are one to it.
+    assert sorted(tuple(r) for r in back) == sorted((a, max(m - 1, 0), *r) for a, m, *r in rows)
     assert seq.first()["tokens"][-1] == vocab.TE
 
 
+def test_bars_are_common_to_parts(spark):
+    """Bar 0 has no bar token; each bar line passed gives one, bars without notes a blank."""
+    rows = [("a", 0, 0, 60, 5), ("b", 1, 0, 60, 5), ("c", 3, 0, 60, 5)]
+    seq = N.notes_to_tokens(spark.createDataFrame(rows, "song string, measure int, shift int, pitch int, dur int"), ["song"])
+    note = [51, 269, 342, 627]
+    assert {r["song"]: r["tokens"] for r in seq.collect()} == {"a": note, "b": [49, *note], "c": [49, 50, 49, 50, 49, *note]}
+
+
 def test_half_open_pitch(spark):
     seq = spark.createDataFrame([("a", [49, 51, 336, 340, 51, 209, 340, 340])], "song string, tokens array<int>")
     assert [tuple(r) for r in N.tokens_to_notes(seq, ["song"]).collect()] == [("a", 0, 0, 0, 3)]
@@ -120,3 +129,67 @@ def test_replay_pool_keeps_the_smallest(spark, tmp_path):
         last = max(r["seen"] for r in own)
         want = sorted(r["rank"] for r in items.where(F.col("source") == source).collect())[:5]
         assert last == 30 and sorted(r["rank"] for r in own if r["seen"] == last) == want
+
+
+def test_direction_labels(spark):
+    """One order for each label, and those in which music stands before META."""
+    cases = {
+        "PAST,META,CONST": "analysis", "CONST,META": "analysis", "META,PAST": "no_target", "META": "no_target", "PAST,CONST,FUTURE": "continuation",
+        "PAST,FUTURE,CONST": "infill", "FUTURE,CONST": "anticipation", "META,CONST": "meta_gen", "CONST": "uncond", "PAST": "no_target", "META,PAST,CONST": "continuation",
+    }
+    df = spark.createDataFrame([(k, k.split(",")) for k in cases], "k string, b array<string>")
+    assert {r["k"]: r["x"] for r in df.select("k", S.direction(F.col("b")).alias("x")).collect()} == cases
+
+
+def test_smoothing_of_single_runs(spark):
+    df = spark.createDataFrame([(1, ["A"], [1]), (2, ["A", "B", "C"], [2, 1, 2]), (3, ["A", "B"], [2, 1]), (4, [], [])], "k int, r array<string>, n array<int>")
+    got = {r["k"]: r["x"] for r in df.select("k", S.smoothed(F.col("r"), F.col("n"), 2).alias("x")).collect()}
+    assert got == {1: [None], 2: ["A", "C", "C"], 3: ["A", "A"], 4: []}
+
+
+def test_pairing_is_first_in_first_out(spark):
+    """Against a queue, with ends that find nothing open and notes that nothing ends."""
+    import random
+
+    rng = random.Random(1)
+    rows = [(u, t, t, rng.choice(("on", "off", "off", "other"))) for u in range(8) for t in range(60)]
+    df = spark.createDataFrame(rows, "u int, event_id long, s long, kind string").selectExpr("u", "event_id", "kind", "timestamp_seconds(s) as ts")
+    want = []
+    for u in range(8):
+        open_, k = [], 0
+        for _, _, t, kind in (r for r in rows if r[0] == u):
+            if kind == "on":
+                k += 1
+                open_.append((k, t))
+            elif kind == "off" and open_:
+                n, start = open_.pop(0)
+                want.append((u, n, start, max(t, start + 1)))
+        want += [(u, n, start, max(59, start + 1)) for n, start in open_]
+    got = N.paired(df, ["u"], "on", "off").selectExpr("u", "k", "unix_timestamp(start) as a", "unix_timestamp(stop) as b").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_groove(spark):
+    def song(name, times):
+        return [(name, k, t // 96, t % 96) for k, t in enumerate(times)]
+
+    rows = song("even", [0, 12, 24, 36]) + song("swing", [0, 16, 24, 40, 48]) + song("few", [0, 12]) + song("far", [0, 90, 180])
+    df = spark.createDataFrame(rows, "song string, event_id long, measure int, shift int")
+    assert {r["song"]: r["groove"] for r in M.groove(df, ["song"]).collect()} == {"even": "even", "swing": "swing", "few": "undetermined", "far": "undetermined"}
+
+
+def test_rank_and_similarity_rewards(spark):
+    r = lambda rank, n: one(spark, X.rank_reward(F.lit(rank).cast("int"), F.lit(n), 1.0, 0.5))
+    assert [r(1, 24), r(2, 24), r(24, 24), r(None, 24), r(3, 3), r(1, 2), r(2, 2), r(5, 4)] == [1.0, 0.0, -0.5, -0.5, -0.5, 1.0, 0.0, -0.5]
+    s = lambda x: one(spark, X.similarity_reward(F.lit(x)))
+    assert s(0.3) == 0 and s(0.5) == 0 and abs(s(1.0) + 0.5) < 1e-12 and abs(s(0.75) + 0.25) < 1e-12
+    assert one(spark, X.discriminator_reward(F.lit(4.0))) == 0 and one(spark, X.discriminator_reward(F.lit(-9.0))) == 1
+
+
+def test_law_is_found():
+    import numpy as np
+
+    x, y = (v.ravel() for v in np.meshgrid(np.log([1, 4, 16, 64, 256.0]), np.log([1, 3, 9, 27.0])))
+    target = np.log(1.5 * np.exp(-0.6 * x) + 0.7 * np.exp(-0.3 * y) + 1.1)
+    a, b, e, al, be = S.fit_law(x, y, target)
+    assert np.allclose([np.exp(a), np.exp(b), np.exp(e), al, be], [1.5, 0.7, 1.1, 0.6, 0.3], atol=0.05)
