@@ -3,7 +3,7 @@
 #: First ids and sizes of the ranges (fixed layout).
 SME, BLANK, TAG_END, ESEQ, TE, META = 49, 50, 2, 626, 627, 628
 PAST, CONST, FUTURE = 3, 5, 6
-SHIFT, PITCH, DUR, KEY, GMC, DENSE = 51, 209, 337, 14, 629, 637
+SHIFT, PITCH, DUR, KEY, GMC, DENSE, GENRE = 51, 209, 337, 14, 629, 637, 647
 RANGES = (
     ("pad", 0, 1), ("mark", 1, 8), ("inst", 9, 2), ("mark", 11, 3), ("key", 14, 35), ("bar", 49, 1), ("blank", 50, 1),
     ("shift", 51, 97), ("chord_root", 148, 20), ("chord_quality", 168, 19), ("chord_bass", 187, 22), ("pitch", 209, 128),
