@@ -38,24 +38,45 @@ def tables_for(most: int, cosine: float, dim: int) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log(1 - same**bits))
 
 
-def _linked(rows: pd.DataFrame, cosine: float, pairs: list) -> None:
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of length 1, in double precision."""
+    x = x.astype(float)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def radius_for(width: int, cosine: float) -> int:
+    """Hamming distance of two codes of that many bits that a pair at the threshold hardly ever exceeds: the mean and eight
+    deviations, as bits of one rotation are not independent.
+    """
+    share = math.acos(cosine) / math.pi
+    return math.ceil(width * share + 8 * math.sqrt(width * share * (1 - share)))
+
+
+def _linked(rows: pd.DataFrame, cosine: float, pairs: list, kind: str, bits: int, tables: int) -> None:
     """Links within one bucket, or between its left and right rows, that no earlier table has shown.
 
     Appends (vector, links to it) and, per connected part, (vector, smallest vector of the part).
     """
-    v = np.stack([np.frombuffer(x, "<f8") for x in rows["v"]])
-    k = np.stack([np.frombuffer(x, "<i8") for x in rows["k"]])
+    v = _unit(np.stack([np.frombuffer(x, kind) for x in rows["v"]]))
+    code = np.stack([np.unpackbits(np.frombuffer(x, np.uint8)) for x in rows["k"]])[:, : bits * tables]
+    k = code.reshape(len(code), tables, bits)
     ids, weight, side, t = rows["id"].to_numpy(), rows["weight"].to_numpy(), rows["side"].to_numpy(), int(rows["t"].iloc[0])
+    radius = radius_for(bits * tables, cosine)
     within = (side == 0).all() or (side == 2).all()
     a = np.arange(len(ids)) if within else np.flatnonzero(side == 0)
     b = a if within else np.flatnonzero(side == 1)
     if not len(a) or not len(b):
         return
-    link = v[a] @ v[b].T >= cosine
+    # Hamming distances of whole codes, as products of signs; only pairs within the radius are compared as vectors.
+    sign = code.astype(np.float32) * 2 - 1
+    near = sign[a] @ sign[b].T >= code.shape[1] - 2 * radius
     if within:
-        np.fill_diagonal(link, False)
-    i, j = np.nonzero(link)
-    before = (k[a[i], :t] == k[b[j], :t]).any(1) if t else np.zeros(len(i), bool)
+        np.fill_diagonal(near, False)
+    i, j = np.nonzero(near)
+    dot = np.concatenate([np.einsum("ij,ij->i", v[a[i[s : s + 65536]]], v[b[j[s : s + 65536]]]) for s in range(0, len(i), 65536)] or [np.zeros(0)])
+    i, j = i[dot >= cosine], j[dot >= cosine]
+    before = (k[a[i], :t] == k[b[j], :t]).all(2).any(1) if t else np.zeros(len(i), bool)
     i, j = i[~before], j[~before]
     if not len(i):
         return
@@ -94,9 +115,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     plans = {}
     for dim, most in dims.items():
         sample = reps.where(F.size("e") == dim).orderBy(F.xxhash64("rep")).select("e").limit(SAMPLE).collect()
-        x = np.array([r["e"] for r in sample], float)
-        x /= np.abs(x).max(1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _unit(np.array([r["e"] for r in sample], float))
         bits, tables = tables_for(most, cosine, dim)
         if len(x) < dim:
             x = np.concatenate([x, np.eye(dim)])
@@ -108,23 +127,28 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
         level = np.concatenate([mean @ turns[0]] + [np.zeros(dim)] * (need - 1))
         plans[dim] = level, np.concatenate(turns, 1), bits, tables
 
+    # What is given in single precision travels so, which loses nothing.
+    kind = "<f4" if "float" in vectors.schema[embedding].dataType.simpleString() else "<f8"
+
     def index(frames):
         for pdf in frames:
             out = []
             for dim, own in pdf.groupby(pdf["e"].map(len)):
                 level, turn, bits, tables = plans[dim]
-                x = np.stack(own["e"].to_numpy()).astype(float)
-                x /= np.abs(x).max(1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                given = np.stack(own["e"].to_numpy()).astype(kind)
+                x = _unit(given)
                 # Bits are dealt over the tables in turn, so that each rotation's strong axes are in all of them.
                 bit = (x @ turn >= level)[:, : bits * tables].reshape(len(x), bits, tables)
-                keys = (bit.transpose(0, 2, 1) << np.arange(bits)).sum(2).astype("<i8")
+                bit = bit.transpose(0, 2, 1)
+                keys = (bit << np.arange(bits)).sum(2).astype("<i8")
+                codes = np.packbits(bit.reshape(len(x), -1), axis=1)
                 for k, (rep, lab, weight) in enumerate(zip(own["rep"], own["label"], own["weight"], strict=True)):
-                    out += [(rep, lab, weight, dim, t, keys[k, t], x[k].tobytes(), keys[k].tobytes()) for t in range(tables)]
+                    v, code = given[k].tobytes(), codes[k].tobytes()
+                    out += [(rep, lab, weight, dim, t, keys[k, t], v, code) for t in range(tables)]
             yield pd.DataFrame(out, columns=["id", "label", "weight", "dim", "t", "key", "v", "k"])
 
-    kind = vectors.schema[label].dataType.simpleString()
-    rows = reps.mapInPandas(index, f"id long, label {kind}, weight long, dim int, t int, key long, v binary, k binary")
+    of_label = vectors.schema[label].dataType.simpleString()
+    rows = reps.mapInPandas(index, f"id long, label {of_label}, weight long, dim int, t int, key long, v binary, k binary")
     rows = rows.withColumn("bucket", F.xxhash64("label", "dim", "t", "key"))
     sizes = rows.groupBy("bucket").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
     met = rows.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -138,12 +162,13 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
         found: list = []
         for _, own in pdf.groupby(["bucket", "lo", "hi"], sort=True):
             if len(own) > 1:
-                _linked(own, cosine, found)
+                bits, tables = plans[int(own["dim"].iloc[0])][2:]
+                _linked(own, cosine, found, kind, bits, tables)
         return pd.DataFrame(found, columns=["a", "b", "n"]).astype("int64")
 
     cell = F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(cells)).alias("cell")
     seen = cut(
-        met.select(cell, "bucket", "lo", "hi", "id", "weight", "t", "v", "k", F.col("side").cast("int").alias("side"))
+        met.select(cell, "bucket", "lo", "hi", "id", "weight", "dim", "t", "v", "k", F.col("side").cast("int").alias("side"))
         .groupBy("cell")
         .applyInPandas(compare, "a long, b long, n long")
     )

@@ -97,9 +97,11 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
                 joined = b" " + b" ".join(w) + b" "
                 places, found = [], []
                 for (phrase, label), name in zip(wanted, labels_of, strict=True):
-                    needle, at = b" " + b" ".join(phrase) + b" ", -1
+                    needle, at, before, number = b" " + b" ".join(phrase) + b" ", -1, 0, 0
                     while (at := joined.find(needle, at + 1)) >= 0:
-                        places.append(joined.count(b" ", 0, at))
+                        # Words before a place are counted on from the place before.
+                        number, before = number + joined.count(b" ", before, at), at
+                        places.append(number)
                         found.append(name)
                 blocks = []
                 if starts.search(x):

@@ -25,7 +25,9 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     odd = F.startswith(t, F.lit(" ")) | F.endswith(t, F.lit(" "))
     for x in ("  ", "\t", "\x0b", "\f", "\r", " \n", "\n "):
         odd |= F.contains(t, F.lit(x))
-    each = docs.select("doc", (~odd).alias("plain"), F.posexplode(F.split(t, "\n", -1)).alias("line_no", "line"))
+    # Bound before the lines are told apart; else the whole text would be looked through again for each of its lines.
+    whole = bound(docs, {"plain": ~odd, "lines": F.split(t, "\n", -1)})
+    each = whole.select("doc", "plain", F.posexplode("lines").alias("line_no", "line"))
     at = (doc.cast(kind if kind == "long" else "decimal(20,0)") * F.lit(most).cast("long" if kind == "long" else "decimal(17,0)") + F.col("line_no")).cast(kind)
     return each.where(F.length("line") >= 2 * least - 1).select("doc", "line_no", at.alias("at"), "line", "plain")
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import connected_components, cut, table, written
+from .text_words import LOWER, mixed, split_words, word_hashes
 
 #: Fragments of the order (a power of two); n-grams and documents of a batch at most; n-grams of a range aimed at.
 FRAGMENTS, BATCH_GRAMS, BATCH_DOCS, RANGE_GRAMS = 8, 1_000_000, 8_000, 1_000_000
@@ -32,65 +33,19 @@ NAMED, WIDE, HELD = 1_000_000, 100_000, 16_000_000
 CLASS = 1.05
 _IDX = 13
 _NOBODY = (1 << _IDX) - 1
-_MIX, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_33 = np.uint64(33)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_rng = np.random.default_rng(20240229)
-_BYTES = _rng.integers(0, 2**64, 256, np.uint64)
-_BASE = int(_rng.integers(0, 2**63, dtype=np.uint64)) * 2 + 1
-_FACTORS = _rng.integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _33)) * _MIX
-    h = (h ^ (h >> _33)) * _MIX2
-    return h ^ (h >> _33)
-
-
-def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunk: int = 1 << 18) -> np.ndarray:
-    """Hashes of the words data[starts[k]:ends[k]]: sums of a random number for each byte times a power of its place."""
-    out, k = np.empty(len(starts), np.uint64), 0
-    while k < len(starts):
-        to = max(k + 1, int(np.searchsorted(starts, starts[k] + chunk)))
-        s0, e0 = int(starts[k]), int(ends[to - 1])
-        if len(_powers[0]) < e0 - s0 + 1:
-            steps = max(e0 - s0 + 1, 2 * chunk)
-            for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-                each = np.full(steps, base, np.uint64)
-                each[0] = 1
-                _powers[i] = np.cumprod(each)
-        sums = np.zeros(e0 - s0 + 1, np.uint64)
-        np.cumsum(_BYTES[data[s0:e0]] * _powers[0][: e0 - s0], out=sums[1:])
-        s, e = starts[k:to] - s0, ends[k:to] - s0
-        out[k:to] = (sums[e] - sums[s]) * _powers[1][s] + (e - s).astype(np.uint64) * _MIX
-        k = to
-    return _mixed(out)
-
-
+_FACTORS = np.random.default_rng(20240301).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 def _sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the n-grams of the texts data[offsets[k]:offsets[k + 1]]."""
     at = int(offsets[0])
-    data, offsets = _LOWER[data[at : int(offsets[-1])]], offsets.astype(np.int64) - at
-    size = len(data)
-    blank = np.ones(size + 2, bool)
-    blank[1:-1] = _BLANK[data]
-    edge = np.zeros(size + 1, bool)
-    edge[offsets] = True
-    here = ~blank[1:-1]
-    starts = np.flatnonzero(here & (blank[:-2] | edge[:-1]))
-    ends = np.flatnonzero(here & (blank[2:] | edge[1:])) + 1
-    w = _word_hashes(data, starts, ends)
-    bounds = np.searchsorted(starts, offsets)
+    data, offsets = LOWER[data[at : int(offsets[-1])]], offsets.astype(np.int64) - at
+    starts, ends, bounds = split_words(data, offsets)
+    w = word_hashes(data, starts, ends)
     grams = np.zeros(0, np.uint64)
     if len(w) >= n:
         grams = w[: len(w) - n + 1] * _FACTORS[0]
         for j in range(1, n):
             grams += w[j : j + len(grams)] * _FACTORS[j]
-        grams = _mixed(grams)
+        grams = mixed(grams)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if b - a >= n:
@@ -98,7 +53,7 @@ def _sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
             out.append(g if len(g) < 2 or (g[1:] != g[:-1]).all() else np.unique(g))
         elif b > a:
             short = (w[a:b] * _FACTORS[8 : 8 + b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
-            out.append(_mixed(np.array([short], np.uint64)))
+            out.append(mixed(np.array([short], np.uint64)))
         else:
             out.append(grams[:0])
     return out

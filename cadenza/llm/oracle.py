@@ -68,7 +68,7 @@ SQL["op6_url_filters"] = rf"""
 with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{urls.UPPER}', '{urls.UPPER.lower()}') as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from pages),
 k as (select *, {_BEST} as best, regexp_replace(host, '^(?:www|m)\.|:\d+$', '', 'g') || regexp_replace(path, '(?:/index)?(?:\.html?)?/*$', '') as url from u),
 r as (select * from (values {", ".join(f"({len(h + p) * 100 + i}, '{h + p}', '{v}')" for i, (v, h, p) in enumerate(urls.RULES))}) v(best, rule, verdict))
-select k.page_id, k.host, k.path, r.rule, coalesce(r.verdict, case when regexp_matches(k.url, '^({"|".join(h.replace(".", "[.]") for h in urls.LISTED_HOSTS)})/(en|fr|de|es)/(0|[1-9][0-9]{{0,3}}|1[0-9]{{4}})$') then 'block' else 'allow' end) as verdict
+select k.page_id, k.host, k.path, r.rule, coalesce(r.verdict, case when k.url <> '' and regexp_matches(k.host, '(^|[.])({"|".join(urls.SPAM_NAMES)})([.]|$)') then 'block' else 'allow' end) as verdict
 from k left join r on r.best = k.best"""
 
 _TEMPLATES = ", ".join(

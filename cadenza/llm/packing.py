@@ -4,7 +4,6 @@ import json
 import os
 import sys
 import zlib
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -14,11 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, table
+from .text_words import split_words, word_hashes
 
 #: Items that a task packs at once, items of a later group on average at most, groups that meet in one, fill that ends a bin.
 BATCH, GROUP, FAN_IN, NEARLY_FULL = 100_000, 131_072, 16, 0.99
-#: Words that a worker remembers at most, in each of two generations.
-CACHE = 250_000
+#: Words that a worker remembers at most: a power of two; some 60 bytes each.
+CACHE = 1 << 21
 
 
 def default_tokenizer() -> str:
@@ -66,8 +66,9 @@ class WordIds(TextIds):
     """The same ids, for tokenizers that splits_words() knows.
 
     Such a tokenizer gives a text the ids of its pieces between ASCII white space, one after the other, so each piece is
-    looked up, and only pieces not seen before are encoded. A piece of ASCII letters, but for a full stop or comma at
-    its end, has the ids of its letters in lower case and those of the mark. What is remembered is bounded.
+    looked up by a 64-bit hash, and only pieces not seen before are encoded. A piece of ASCII letters, but for a full
+    stop or comma at its end, has the ids of its letters in lower case and those of the mark. What is remembered is
+    bounded.
     """
 
     def __init__(self, path: str):
@@ -77,52 +78,119 @@ class WordIds(TextIds):
         # For words of a-z alone, which the normalizer leaves as they are and white space parts.
         self.simple = Tokenizer.from_file(path)
         self.simple.normalizer, self.simple.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
-        self.known, self.older = {}, {}
         self.added = [x.content.lower().encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([self.tokenizer.id_to_token(k).endswith("</w>") for k in range(size)])
         self.marks = {c: super(WordIds, self).encode([c])[0] for c in (b".", b",")}
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty table: places by hash, then the hash of each word, where its ids start in the pool, and how many."""
+        self.table = np.full(4 * CACHE, -1, np.int32)
+        self.hashes, self.starts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, "<u4")
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each word in the table; -1 if it is not there."""
+        mask = np.uint64(len(self.table) - 1)
+        out, left, at = np.full(len(h), -1, np.int64), np.arange(len(h)), (h & mask).astype(np.int64)
+        while len(left):
+            slot = self.table[at]
+            same = (slot >= 0) & (self.hashes[slot] == h[left]) if len(self.hashes) else np.zeros(len(left), bool)
+            out[left[same]] = slot[same]
+            going = (slot >= 0) & ~same
+            left, at = left[going], (at[going] + 1) & int(mask)
+        return out
+
+    def _add(self, h: np.ndarray, ids: list[bytes]) -> None:
+        """Words that are not in the table; h distinct."""
+        number, size = np.arange(len(self.hashes), len(self.hashes) + len(h)), np.array([len(x) // 4 for x in ids], np.int64)
+        start = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+        self.hashes, self.starts, self.counts = (np.concatenate(x) for x in ((self.hashes, h), (self.starts, start), (self.counts, size)))
+        mask = len(self.table) - 1
+        at = (h & np.uint64(mask)).astype(np.int64)
+        while len(number):
+            free = self.table[at] < 0
+            self.table[at[free]] = number[free]
+            lost = self.table[at] != number
+            number, at = number[lost], (at[lost] + 1) & mask
 
     def _joined(self, words: list[bytes], tokenizer) -> list[bytes]:
         """Ids of words of letters, encoded as one text: each of them ends with the end of a word."""
-        ids = np.array(tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words):
-            return super().encode(words)
-        raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-        return [raw[x:y] for x, y in zip(at, at[1:])]
-
-    def _learn(self, new: set) -> None:
-        again = new & self.older.keys()
-        self.known.update((w, self.older[w]) for w in again)
-        new -= again
-        ended = {w for w in new if w[-1:] in self.marks and w[:-1].isalpha()}
-        letters = {w for w in new if w.isalpha()} | {w[:-1] for w in ended if w[:-1] not in self.known}
-        rest = [w for w in new if w not in ended and w not in letters]
-        other = [w for w in rest if w.decode().isalpha()]
-        for words, tokenizer in ((list(letters), self.simple), (other, self.tokenizer)):
-            for k in range(0, len(words), 2000):
-                part = words[k : k + 2000]
-                self.known.update(zip(part, self._joined(part, tokenizer)))
-        odd = [w for w in rest if w not in self.known]
-        self.known.update(zip(odd, super().encode(odd)))
-        self.known.update((w, self.known[w[:-1]] + self.marks[w[-1:]]) for w in ended)
+        out = []
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                out += super().encode(part)
+            else:
+                raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+                out += [raw[x:y] for x, y in zip(at, at[1:])]
+        return out
+
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        """Ids of lower-case words that were not seen before."""
+        ended = [w[-1:] in self.marks and w[:-1].isalpha() for w in words]
+        bare = [w[:-1] if e else w for w, e in zip(words, ended)]
+        letters = [k for k, w in enumerate(bare) if w.isalpha()]
+        other = [k for k, w in enumerate(bare) if not w.isalpha() and w.decode().isalpha()]
+        odd = sorted(set(range(len(words))).difference(letters, other))
+        known = {}
+        for at, tokenizer in ((letters, self.simple), (other, self.tokenizer)):
+            fresh = list({bare[k] for k in at})
+            known.update(zip(fresh, self._joined(fresh, tokenizer)))
+        known.update(zip([words[k] for k in odd], super().encode([words[k] for k in odd])))
+        return [known[w] + self.marks[whole[-1:]] if e else known[w] for w, e, whole in zip(bare, ended, words)]
+
+    def _learn(self, low: bytes, data: np.ndarray, new: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Add the words at these places. Those of a known word and a mark are put together."""
+        marked = np.isin(data[ends - 1], np.frombuffer(b"".join(self.marks), np.uint8)) & (ends - starts > 1)
+        number = np.full(len(new), -1)
+        number[marked] = self._find(word_hashes(data, starts[marked], ends[marked] - 1))
+        rest, ids = np.flatnonzero(number < 0), [b""] * len(new)
+        for k in np.flatnonzero(number >= 0).tolist():
+            word, n = low[starts[k] : ends[k]], number[k]
+            if word[:-1].isalpha():
+                ids[k] = self.pool[self.starts[n] : self.starts[n] + self.counts[n]].tobytes() + self.marks[word[-1:]]
+            else:
+                ids[k] = super().encode([word])[0]
+        for k, found in zip(rest.tolist(), self._encoded([low[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist())])):
+            ids[k] = found
+        self._add(new, ids)
 
     def encode(self, texts) -> list[bytes]:
-        low = [(x or b"").lower() for x in texts]
+        raw = [x or b"" for x in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        low = b"".join(raw).lower()
+        data = np.frombuffer(low, np.uint8)
+        starts, ends, bounds = split_words(data, offsets)
+        h = word_hashes(data, starts, ends)
+        number = self._find(h)
+        new, first = np.unique(h[number < 0], return_index=True)
+        if len(new):
+            at = np.flatnonzero(number < 0)[first]
+            if len(self.hashes) + len(new) > CACHE:
+                self._forget()
+                new, at = np.unique(h, return_index=True)
+                if len(new) > CACHE:
+                    half = len(raw) // 2
+                    return super().encode(raw) if not half else self.encode(raw[:half]) + self.encode(raw[half:])
+            order = np.argsort(at)
+            at, new = at[order], new[order]
+            self._learn(low, data, new, starts[at], ends[at])
+            number = self._find(h)
+        counts = self.counts[number]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.pool[np.repeat(self.starts[number] - upto[:-1], counts) + np.arange(upto[-1])]
+        places = upto[bounds].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(places, places[1:])]
         # An added token is one in its own letters only, so texts that may have one are encoded as they are.
-        whole = [k for k, x in enumerate(low) if any(t in x for t in self.added)]
-        split = [x.split() for x in low]
-        for k in whole:
-            split[k] = []
-        every = set(chain.from_iterable(split))
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known, self.older, new = {}, self.known, every
-        self._learn(new)
-        out = [b"".join(map(self.known.__getitem__, ws)) for ws in split]
-        for k, ids in zip(whole, super().encode([texts[k] for k in whole])):
-            out[k] = ids
+        if any(t in low for t in self.added):
+            for k, x in enumerate(raw):
+                if any(t in x.lower() for t in self.added):
+                    out[k] = super().encode([x])[0]
         return out
 
 

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 #: (verdict, host, path) of the fixed rules.
 RULES = (
@@ -16,8 +16,9 @@ RULES = (
     ("block", "org", "/es/"),
 )
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: The filter: BLOCKS words of 64 bits, PROBES bits of one word for a URL. 512 KB whatever the list's size.
-BLOCKS, PROBES = 1 << 16, 6
+#: The filter: words of 64 bits, one for URLS_A_WORD URLs of the list, PROBES bits of one word for a URL; MOST_WORDS (8 MB) at
+#: most. A longer list is joined without a filter.
+URLS_A_WORD, PROBES, MOST_WORDS = 5, 6, 1 << 20
 
 
 def lower_ascii(s) -> F.Column:
@@ -52,8 +53,8 @@ def rule_for(host, path, rules) -> F.Column:
     return F.greatest(*fits) if len(fits) > 1 else reduce(lambda a, _: a, fits)
 
 
-def _block(url):
-    return F.pmod(F.xxhash64(url), F.lit(BLOCKS)).cast("int")
+def _block(url, words: int):
+    return F.pmod(F.xxhash64(url), F.lit(words)).cast("int")
 
 
 def _mask(url) -> F.Column:
@@ -65,10 +66,10 @@ def _mask(url) -> F.Column:
     return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
-def bloom_words(listed: DataFrame, url: str = "url") -> DataFrame:
-    """One row: words, an array of BLOCKS words. Each URL sets PROBES bits of the word its hash picks."""
-    words = listed.where(F.col(url).isNotNull()).groupBy(_block(F.col(url)).alias("b")).agg(F.bit_or(_mask(F.col(url))).alias("w"))
-    every = listed.sparkSession.range(BLOCKS).select(F.col("id").cast("int").alias("b")).join(words, "b", "left")
+def bloom_words(listed: DataFrame, words: int, url: str = "url") -> DataFrame:
+    """One row: words, an array of that many words. Each URL sets PROBES bits of the word its hash picks."""
+    known = listed.where(F.col(url).isNotNull()).groupBy(_block(F.col(url), words).alias("b")).agg(F.bit_or(_mask(F.col(url))).alias("w"))
+    every = listed.sparkSession.range(words).select(F.col("id").cast("int").alias("b")).join(known, "b", "left")
     in_order = F.array_sort(F.collect_list(F.struct("b", F.coalesce("w", F.lit(0).cast("long")).alias("w"))))
     return every.agg(F.transform(in_order, lambda x: x["w"]).alias("words"))
 
@@ -77,15 +78,20 @@ def in_list(urls: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:
     """The distinct values of urls.url that listed.url has, both canonical.
 
     Possible hits are those whose bits are all set in the Bloom filter (false positives happen, false negatives do
-    not); an exact join with the list follows and decides. The filter has a fixed size and is the only thing sent to
-    every executor; the list itself is joined by hash, however long it is. Nulls are in no list.
+    not); an exact join with the list follows and decides. The filter is sized by the list's count and is the only thing
+    sent to every executor; the list itself is joined by hash, however long it is. Nulls are in no list.
     """
-    words = F.broadcast(bloom_words(listed, url).withColumnRenamed("words", "_words"))
     distinct = urls.select(url).where(F.col(url).isNotNull()).distinct()
-    possible = distinct.join(words).where(
-        F.get("_words", _block(F.col(url))).bitwiseAND(_mask(F.col(url))) == _mask(F.col(url))
-    )
-    return possible.select(url).join(listed.select(url).distinct(), url, "left_semi")
+    known = cut(listed.select(url).where(F.col(url).isNotNull()).distinct())
+    words = 64
+    wanted = known.count() / URLS_A_WORD
+    while words < wanted:
+        words *= 2
+    if words <= MOST_WORDS:
+        bits = F.broadcast(bloom_words(known, words, url).withColumnRenamed("words", "_words"))
+        mask = _mask(F.col(url))
+        distinct = distinct.join(bits).where(F.get("_words", _block(F.col(url), words)).bitwiseAND(mask) == mask).select(url)
+    return distinct.join(known, url, "left_semi")
 
 
 def url_filter(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
@@ -100,8 +106,10 @@ def url_filter(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: s
     judged = parts.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
     ruled = judged.where("_rule is not null").select("_key", "host", "path", "_rule.rule", "_rule.verdict")
     rest = judged.where("_rule is null").withColumn("url", canonical(F.col("host"), F.col("path")))
-    hits = in_list(rest, listed.select("url")).withColumn("_hit", F.lit(True))
-    open_ = rest.join(hits, "url", "left").select(
+    # Malformed URLs, all of them empty, are in no list and would be one key of the join.
+    named = rest.where("url <> ''")
+    hits = in_list(named, listed.select("url")).withColumn("_hit", F.lit(True))
+    open_ = named.join(hits, "url", "left").unionByName(rest.where("url = ''").withColumn("_hit", F.lit(None).cast("boolean"))).select(
         "_key",
         "host",
         "path",
@@ -111,17 +119,17 @@ def url_filter(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: s
     return ruled.unionByName(open_).withColumnRenamed("_key", key)
 
 
-LISTED_HOSTS = ("ads-track.example.org", "adult-x.example.net", "spam-farm.example.org")
+#: Names of hosts known for spam, under any domain.
+SPAM_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "spam-farm")
 
 
-def spam_list(spark, hosts=LISTED_HOSTS, langs=("en", "fr", "de", "es"), numbers: int = 20_000) -> DataFrame:
-    """A list by rule: every page number below numbers, in every language, of the given hosts."""
-    names = [(f"{h}/{x}/",) for h in hosts for x in langs]
-    heads = spark.createDataFrame(names, "head string")
-    return heads.select(F.explode(F.sequence(F.lit(0), F.lit(numbers - 1))).alias("n"), "head").select(
-        F.concat("head", F.col("n").cast("string")).alias("url")
-    )
+def spam_list(pages: DataFrame, url: str = "url", names=SPAM_NAMES) -> DataFrame:
+    """The canonical URLs of all pages on hosts one of whose labels is in names: a list that grows with the crawl."""
+    host, path = host_and_path(F.col(url))
+    seen = pages.select(host.alias("host"), path.alias("path")).where(F.arrays_overlap(F.split("host", "[.]"), F.array(*map(F.lit, names))))
+    return seen.select(canonical(F.col("host"), F.col("path")).alias("url")).distinct()
 
 
 def op6_url_filters(spark, sf_dir: str) -> DataFrame:
-    return url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), spam_list(spark))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter(pages, spam_list(pages))

@@ -99,3 +99,13 @@ def test_another_tokenizer(docs):
         text = docs.where(f"doc_id = {r['doc_id']}").first()["text"] or ""
         ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
         assert r["ids_crc32"] == zlib.crc32(ids.tobytes())
+
+
+def test_the_table_of_words_is_bounded(docs, monkeypatch):
+    """A table that overflows, and a batch with more words than it may hold, give the same ids."""
+    monkeypatch.setattr(packing, "CACHE", 1 << 10)
+    path = packing.default_tokenizer()
+    raw = [(r["text"] or "").encode() for r in docs.select("text").limit(60).collect()]
+    words = packing.WordIds(path)
+    want = packing.TextIds(path).encode(raw)
+    assert words.encode(raw) == want and [words.encode([x])[0] for x in raw] == want
