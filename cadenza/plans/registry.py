@@ -16,4 +16,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import corpus, filters, metrics, notes, samples, sequences, telemetry  # noqa: E402, F401
+from . import corpus, evaluation, files, filters, metrics, notes, samples, sequences, telemetry  # noqa: E402, F401

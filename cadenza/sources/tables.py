@@ -1,9 +1,10 @@
 """Readers, and the views in which the test tables stand for manifests, notes, sequences and predictions."""
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
 from ..functions.scalars import clamp, md5_mod
 
 
@@ -42,6 +43,21 @@ def read_samples(spark: SparkSession, path: str, least: int, most: int) -> DataF
     return spark.read.parquet(path).where((F.size("tokens") > least) & (F.size("tokens") < most))
 
 
+def write_index(files: DataFrame, path: str) -> None:
+    """A JSON index of the paths, an array a file of at most 10,000."""
+    one = files.select("path").withColumn("g", F.floor(F.monotonically_increasing_id() / 10_000))
+    one.groupBy("g").agg(F.to_json(F.collect_list("path")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; where that is unset, a temporary one, on a local master only."""
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-")
+
+
 def write_samples(samples: DataFrame, path: str) -> None:
     """Sequences in 16 folders by the first hex digit of the song's MD5."""
     samples.withColumn("shard", F.substring(F.md5(F.col("song").cast("string")), 1, 1)).write.partitionBy("shard").parquet(path)
