@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import names as A
+from ..functions import sql
 from ..functions import scalars as X
 from ..functions import vocab as V
 from ..operators import metrics as M
@@ -357,3 +358,51 @@ def expert_averages(spark, sf_dir, decay: float = 0.9):
     g = c.groupBy("layer", "expert").agg(own.alias("v"))
     ema = F.aggregate(F.slice("v", 2, 1000000), F.get("v", F.lit(0)), lambda a, x: F.lit(decay) * a + F.lit(1.0) * (1 - decay) * x)
     return g.select("layer", "expert", F.round(ema, 6).alias("ema"))
+
+
+@query(f"""with {SQL_NOTES}, k as (select event_id, cast(event_id%12 as integer) as a, event_id%5=0 as am, cast((event_id*7)%12 as integer) as b, event_id%3=0 as bm from events),
+s as (select event_id, case when am=bm and a=b then 1e0 when am=bm and (b-a+12)%12 in (5,7) then 0.5e0 when am<>bm and (b-a+12)%12 = case when am then 3 else 9 end then 0.3e0 when am<>bm and a=b then 0.2e0 else 0e0 end as mirex from k), m as (select song, program, max(c) = 1 as mono from (select song, program, measure, shift, count(*) as c from notes group by 1,2,3,4) t group by 1,2)
+select 'mirex' as name, round(sum(mirex), 6) as total from s union all select 'monophonic', cast(sum(case when mono then 1 else 0 end) as double) from m""")
+def sql_functions(spark, sf_dir):
+    """Registered functions, called from SQL."""
+    sql.register(spark)
+    e = table(spark, sf_dir, "events")
+    n = notes(spark, sf_dir).groupBy("song", "program").agg(F.collect_list(F.struct(F.col("measure").alias("bar"), "shift")).alias("o"))
+    mirex = "cadenza_mirex(cast(event_id % 12 as int), event_id % 5 = 0, cast((event_id * 7) % 12 as int), event_id % 3 = 0)"
+    a = spark.sql(f"select 'mirex' as name, round(sum({mirex}), 6) as total from {{e}}", e=e)
+    return a.union(spark.sql("select 'monophonic', cast(count_if(cadenza_monophonic(o)) as double) from {n}", n=n))
+
+
+# Published key profiles (fixed values): Krumhansl-Schmuckler, Temperley-Kostka-Payne, Bellman-Budge; major, then minor.
+PROFILES = {
+    "ks": (X.MAJOR_PROFILE, X.MINOR_PROFILE),
+    "tkp": (
+        (0.748, 0.060, 0.488, 0.082, 0.670, 0.460, 0.096, 0.715, 0.104, 0.366, 0.057, 0.400),
+        (0.712, 0.084, 0.474, 0.618, 0.049, 0.460, 0.105, 0.747, 0.404, 0.067, 0.133, 0.330),
+    ),
+    "bb": (
+        (16.80, 0.86, 12.95, 1.41, 13.49, 11.93, 1.25, 20.28, 1.80, 8.04, 0.62, 10.57),
+        (18.16, 0.69, 12.99, 13.34, 1.07, 11.15, 1.38, 21.07, 7.49, 1.53, 0.92, 10.21),
+    ),
+}
+_KEYS = [(p, 2 * t + m, (t + k) % 12, v) for p, both in PROFILES.items() for m, prof in enumerate(both) for t in range(12) for k, v in enumerate(prof)]
+SQL_KEYVOTE = f"""{SQL_NOTES}, w as (select song, measure//4 as win, pitch%12 as pc, cast(sum(dur) as double) as c from notes group by 1,2,3), f as (select d.song, d.win, r.pc, coalesce(w.c, 0) as c from (select distinct song, win from w) d cross join range(0,12) r(pc) left join w on w.song=d.song and w.win=d.win and w.pc=r.pc),
+r as (select song, win, profile, key, round(corr(c, p), 6) as r from f join (values {",".join(f"('{a}',{b},{c},{d}e0)" for a, b, c, d in _KEYS)}) v(profile, key, pc, p) on v.pc=f.pc group by 1,2,3,4), o as (select *, row_number() over (partition by song, win, profile order by r desc, key) as rn, round(r - lead(r) over (partition by song, win, profile order by r desc, key), 6) as margin from r),
+v as (select song, win, profile, key from o where rn = 1 and r >= 0.2e0 and margin >= 0.05e0), c as (select song, win, key, count(*) as n, max(case when profile='ks' then 1 else 0 end) as ks, min(case profile when 'ks' then 0 when 'tkp' then 1 else 2 end) as f from v group by 1,2,3)"""
+
+
+@query(f"with {SQL_KEYVOTE} select song, cast(win as bigint) as win, cast(key as integer) as key, cast(sum_n as bigint) as weight, n as votes from (select *, sum(n) over (partition by song, win) as sum_n, row_number() over (partition by song, win order by n desc, ks desc, f) as rn from c) t where rn = 1")
+def window_key_vote(spark, sf_dir):
+    """Key of each four bars by the votes of three profiles, each of which votes only if its best key is good and clear; ties go
+    to the first profile. weight: how many voted."""
+    n = notes(spark, sf_dir).groupBy("song", F.expr("cast(measure div 4 as bigint)").alias("win"), F.pmod("pitch", F.lit(12)).cast("int").alias("pc")).agg(F.sum("dur").cast("double").alias("c"))
+    every = n.select("song", "win").distinct().withColumn("pc", F.explode(F.sequence(F.lit(0), F.lit(11)))).join(n, ["song", "win", "pc"], "left").fillna(0.0, ["c"])
+    keys = spark.createDataFrame(_KEYS, "profile string, key int, pc int, p double")
+    r = every.join(F.broadcast(keys), "pc").groupBy("song", "win", "profile", "key").agg(F.round(F.corr("c", "p"), 6).alias("r"))
+    w = Window.partitionBy("song", "win", "profile").orderBy(F.desc("r"), "key")
+    o = r.withColumns({"rn": F.row_number().over(w), "margin": F.round(F.col("r") - F.lead("r").over(w), 6)}).where("rn = 1 and r >= 0.2D and margin >= 0.05D")
+    rank = F.when(F.col("profile") == "ks", 0).when(F.col("profile") == "tkp", 1).otherwise(2)
+    c = o.groupBy("song", "win", "key").agg(F.count("*").alias("votes"), F.min(rank).alias("f"))
+    win = Window.partitionBy("song", "win")
+    best = c.withColumns({"weight": F.sum("votes").over(win), "rn": F.row_number().over(win.orderBy(F.desc("votes"), "f"))})
+    return best.where("rn = 1").select("song", "win", "key", "weight", "votes")
