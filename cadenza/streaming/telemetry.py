@@ -1,5 +1,7 @@
 """Streams: telemetry windows with a watermark, and a replay pool with state."""
 
+import zlib
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +42,33 @@ def replay_pool(items: DataFrame, size: int) -> DataFrame:
     return items.groupBy("source").applyInPandasWithState(
         update, "source string, seq string, rank long, seen long", "pool array<string>, seen long", "update", GroupStateTimeout.NoTimeout
     )
+
+
+def forgetting_pool(items: DataFrame, cap: int) -> DataFrame:
+    """A replay pool per source that goes round by round, a round being a micro-batch with new items: the first fills the
+    pool up to cap; each later one forgets a quarter of it and takes a quarter of the new items, as far as there is room.
+    Who goes and who comes is the order of a hash of round and item.
+
+    items: source string, seq string. Rows (source, round, seq) are the pool after each round; its state is cap items.
+    """
+
+    def order(number: int, what: str, seqs) -> list:
+        return sorted(seqs, key=lambda s: (zlib.crc32(f"{what}{number}-{s}".encode()), s))
+
+    def update(key, frames, state):
+        pool, number = state.get if state.exists else ([], 0)
+        pool, new, count = list(pool), [], 0
+        for pdf in frames:
+            # At most cap of the new ones can be taken, so no more are held.
+            new = order(number, "new", [*new, *pdf["seq"]])[:cap]
+            count += len(pdf)
+        if number:
+            pool = order(number, "keep", pool)[: len(pool) - len(pool) // 4]
+            new = new[: min(count // 4, cap - len(pool))]
+        pool += new
+        state.update((pool, number + 1))
+        yield pd.DataFrame({"source": key[0], "round": number, "seq": pool})
+
+    return items.groupBy("source").applyInPandasWithState(
+        update, "source string, round long, seq string", "pool array<string>, round long", "update", GroupStateTimeout.NoTimeout
+    )

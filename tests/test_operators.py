@@ -131,6 +131,24 @@ def test_replay_pool_keeps_the_smallest(spark, tmp_path):
         assert last == 30 and sorted(r["rank"] for r in own if r["seen"] == last) == want
 
 
+def test_forgetting_pool(spark, tmp_path):
+    """Rounds of 40 new items a source: 20 at first, then a quarter goes and as many as there is room for come."""
+    schema = "source string, seq string"
+    for k in range(3):
+        rows = [("a" if i % 2 else "b", f"{k}-{i}") for i in range(80)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = telemetry.forgetting_pool(telemetry.event_stream(spark, f"{tmp_path}/in", schema), 20)
+    q = stream.writeStream.format("memory").queryName("rounds").outputMode("update").option("checkpointLocation", f"{tmp_path}/ck").start()
+    q.processAllAvailable()
+    q.stop()
+    pools: dict = {}
+    for r in spark.table("rounds").collect():
+        pools.setdefault((r["source"], r["round"]), set()).add(r["seq"])
+    for source in ("a", "b"):
+        first, second, third = (pools[source, k] for k in range(3))
+        assert len(first) == 20 and len(second & first) == 15 and len(second) == 20 and len(third & second) == 15 and len(third) == 20
+
+
 def test_direction_labels(spark):
     """One order for each label, and those in which music stands before META."""
     cases = {
