@@ -108,15 +108,13 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", reach
         as_identifier = F.transform(bare, lambda x: F.struct(x["start"], x["end"], F.lit("identifier").alias("kind")))
         return F.concat(named, as_identifier, *[spans(t, *w) for w in WEAK[1:]])
 
+    some = (t.rlike(WEAK[0][1]) | t.rlike(ACCESS[1])) & t.rlike(WEAK[2][1]) & t.rlike(WEAK[1][1])
     found = cut(
         docs.select(
             F.col(key).alias("key"),
-            F.xxhash64(t).alias("text_id"),
+            F.when(some, F.md5(t)).alias("text_id"),
             ordered(*[spans(t, *b) for b in BASE]).alias("base"),
-            F.when(
-                (t.rlike(WEAK[0][1]) | t.rlike(ACCESS[1])) & t.rlike(WEAK[2][1]) & t.rlike(WEAK[1][1]),
-                weak(spans(t, *WEAK[0]), spans(t, *ACCESS)),
-            ).alias("weak"),
+            F.when(some, weak(spans(t, *WEAK[0]), spans(t, *ACCESS))).alias("weak"),
         )
     )
     parts = found.where("weak is not null").select("text_id", F.explode("weak").alias("w")).select(

@@ -89,3 +89,17 @@ def test_edges(edge, empty):
     assert found(empty) == {}
     nulls = edge.where("doc_id = 6").limit(1).withColumn("doc_id", F.lit(None).cast("long"))
     assert found(nulls.union(edge.where("doc_id = 6"))) == {(6, 0): False}
+
+
+def test_white_space_and_long_lines(spark):
+    """Words count, not what stands between them; a long line is compared as a short one."""
+    w = [f"w{k}" for k in range(3000)]
+    other = [*w[:1700], "changed", *w[1701:]]
+    rows = [
+        (1, "one two three four five six seven eight nine ten eleven"), (2, " one two  three four\tfive six seven eight nine ten eleven\x0b"),
+        (3, "one two three four five six seven eight nine ten"), (4, "\r\n  \n" + " ".join(w)), (5, " ".join(other)), (6, " ".join(w[1:])),
+        (2**40, "one two three four five six seven eight nine ten eleven"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain(rows)
+    assert found(df) == want and {d for d, _ in want} == {2, 3, 5, 6, 2**40}

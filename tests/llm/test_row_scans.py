@@ -173,3 +173,24 @@ def test_bloom_has_no_false_negatives(spark):
     listed = spark.range(5000).selectExpr("concat('u', id) as url")
     asked = spark.range(0, 8000).selectExpr("concat('u', id) as url")
     assert urls.in_list(asked, listed).count() == 5000
+
+
+def test_each_line_is_judged_alone(spark):
+    """Whatever else stands in a text, a line fails or passes by itself."""
+    from cadenza.llm import quality
+
+    lines = ["A b C", "lower one", "x | y | z | w", "MORE BIG words", "buy !! now", "ten of a kind", "Subscribe to our Newsletter", "# $ % a"]
+    body = "\n".join(" ".join(f"w{k}{j}" for j in range(12)) for k in range(6))
+    rows = [(k, body + "\n" + x) for k, x in enumerate(lines)] + [(100, body + "\n" + "\n".join(lines))]
+    got = {r["doc_id"]: r["lost_words"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(lines))] == [3, 0, 7, 0, 3, 0, 4, 4] and got[100] == sum(got[k] for k in range(len(lines)))
+
+
+def test_the_list_grows_with_the_pages(spark):
+    """URLs on hosts of known names are blocked under any domain, with and without www; others, and malformed ones, are not."""
+    from cadenza.llm import urls
+
+    names = ["http://ads-track.com/x", "https://www.blog.casino-win.org/en/1?q", "http://good.com/ads-track", "http://spam-farmer.net/x", "nothing", None, "http://m.cheap-pills.fr/a.html"]
+    pages = spark.createDataFrame([(k, x) for k, x in enumerate(names)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.url_filter(pages, urls.spam_list(pages)).collect()}
+    assert [got[k] for k in range(len(names))] == ["block", "block", "allow", "allow", "allow", "allow", "block"]
