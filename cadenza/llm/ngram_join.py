@@ -25,7 +25,7 @@ from .common import connected_components, cut, table, written
 from .text_words import LOWER, mixed, split_words, word_hashes
 
 #: Fragments of the order (a power of two); n-grams and documents of a batch at most; n-grams of a range aimed at.
-FRAGMENTS, BATCH_GRAMS, BATCH_DOCS, RANGE_GRAMS = 8, 1_000_000, 8_000, 1_000_000
+FRAGMENTS, BATCH_GRAMS, BATCH_DOCS, RANGE_GRAMS = 8, 300_000, 8_000, 400_000
 #: Rows of one or two numbers sent to every executor at most, wide rows, and bytes of fragments; beyond these they are
 #: joined by hash.
 NAMED, WIDE, HELD = 1_000_000, 100_000, 16_000_000
