@@ -18,7 +18,7 @@ from .text_words import split_words, word_hashes
 #: Items that a task packs at once, items of a later group on average at most, groups that meet in one, fill that ends a bin.
 BATCH, GROUP, FAN_IN, NEARLY_FULL = 100_000, 131_072, 16, 0.99
 #: Words that a worker remembers at most: a power of two; some 60 bytes each.
-CACHE = 1 << 21
+CACHE = 1 << 20
 
 
 def default_tokenizer() -> str:
@@ -349,4 +349,5 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces and where they are packed. Null and empty texts have one piece, of the end id alone; null
     doc_ids and repeated rows stay; an empty table gives an empty one.
     """
-    return pack(token_pieces(docs))
+    # Cut, so that a task needs one Python worker at a time.
+    return pack(cut(token_pieces(docs)))
