@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from .common import bound, cut, table, words
 
-#: Numbers of lines, one long each, sent to every executor at most; beyond it they are joined by hash.
-NAMED = 200_000
+#: Numbers of lines, one long each (16 MB as a hash table), sent to every executor at most; beyond it they are joined by hash.
+NAMED = 500_000
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
@@ -147,10 +147,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     """docs with duplicate_lines() taken out of the text; adds n_lines, n_exact, n_near (long), the numbers of all lines
     and of those removed. Nulls stay null and have no line.
     """
-    lines = cut(duplicate_lines(docs, key, text, min_words, near_words))
-    gone = lines.groupBy("doc").agg(F.collect_list("line_no").alias("_gone"), F.count_if(F.col("near")).alias("_near"))
-    if lines.count() <= NAMED:
-        gone = F.broadcast(gone)
+    gone = (
+        duplicate_lines(docs, key, text, min_words, near_words)
+        .groupBy("doc")
+        .agg(F.collect_list("line_no").alias("_gone"), F.count_if(F.col("near")).alias("_near"))
+    )
     joined = docs.join(gone, F.col(key).eqNullSafe(gone["doc"]), "left").drop(gone["doc"])
     lines = F.split(F.col(text), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
