@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that gives the same rows."""
 
-from . import embeddings, licenses, lines, mixing, ngram_join, packing, quality, secrets, toxicity, urls
+from . import embeddings, infilling, licenses, lines, mixing, ngram_join, packing, periodic, quality, secrets, toxicity, urls
 from .oracle import SQL
 
 QUERIES = {
@@ -14,6 +14,8 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_fill_in_middle": infilling.op12_fill_in_middle,
 }
 
 
