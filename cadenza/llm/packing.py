@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,29 +204,36 @@ def word_ids(path: str) -> TextIds:
     return held[path]
 
 
-def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """key, piece, start, length, ids_crc32 (and ids, binary, if with_ids) of each row's pieces.
+def token_pieces(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = 4096, end_id: int = 1, with_ids: bool = False
+) -> DataFrame:
+    """key, piece, start, length, ids_crc32 (and doc_tokens and ids, binary, if with_ids) of each row's pieces.
 
-    A text is its ids followed by end_id; only more than capacity ids are cut, every capacity ids. Null is empty.
+    A text is its ids followed by end_id; only more than capacity ids are cut, every capacity ids. Null is empty. Keys
+    stay in Arrow arrays, so that large ones keep all digits beside a null.
     """
     path, end = tokenizer or default_tokenizer(), np.array([end_id], "<u4").tobytes()
-    kind = docs.schema[key].dataType.simpleString()
+    fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    fields += [("doc_tokens", pa.int64()), ("ids", pa.binary())] if with_ids else []
+    names = [key, *[n for n, _ in fields]]
 
     def run(batches):
         for whole in batches:
             for at in range(0, len(whole), 512):
-                pdf = whole.iloc[at : at + 512]
-                keys, rows = pdf[key].to_numpy(), []
-                for k, ids in enumerate(word_ids(path).encode(pdf[text].tolist())):
+                part = whole.slice(at, 512)
+                of, rows = [], []
+                for k, ids in enumerate(word_ids(path).encode(part.column(1).to_pylist())):
                     ids += end
                     for piece in range(-(-len(ids) // (4 * capacity))):
-                        part = ids[4 * capacity * piece : 4 * capacity * (piece + 1)]
-                        rows.append((keys[k], piece, capacity * piece, len(part) // 4, zlib.crc32(part)) + ((part,) if with_ids else ()))
-                names = [key, "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-                yield pd.DataFrame(rows, columns=names)
+                        own = ids[4 * capacity * piece : 4 * capacity * (piece + 1)]
+                        of.append(k)
+                        rows.append((piece, capacity * piece, len(own) // 4, zlib.crc32(own)) + ((len(ids) // 4, own) if with_ids else ()))
+                columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), *columns], names)
 
-    schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return docs.select(key, F.col(text).cast("binary").alias(text)).mapInPandas(run, schema)
+    kinds = {pa.int32(): T.IntegerType(), pa.int64(): T.LongType(), pa.binary(): T.BinaryType()}
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *[T.StructField(n, kinds[t]) for n, t in fields]])
+    return docs.select(key, F.col(text).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,24 +294,25 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = 4096) -> Dat
 
         def flush():
             nonlocal made, wait, n
-            pdf = pd.concat(wait, ignore_index=True)
+            whole = pa.Table.from_batches(wait).combine_chunks()
             wait, n = [], 0
-            bins, offsets, up = settle(pdf[length].to_numpy(np.int64), capacity, False)
+            bins, offsets, up = settle(whole[length].to_numpy().astype(np.int64), capacity, False)
             bins[up] = bins.max(initial=-1) + 1 + np.arange(up.sum())
-            out = pdf.assign(**{seq: (part << 32) + made + bins, off: offsets, climbs: up})
+            for name, column in ((seq, (part << 32) + made + bins), (off, offsets), (climbs, up)):
+                whole = whole.append_column(name, pa.array(column))
             made += bins.max(initial=-1) + 1
-            return out
+            return whole.to_batches()
 
-        for pdf in batches:
-            wait.append(pdf)
-            n += len(pdf)
+        for batch in batches:
+            wait.append(batch)
+            n += len(batch)
             if n >= BATCH:
-                yield flush()
+                yield from flush()
         if n:
-            yield flush()
+            yield from flush()
 
     new = [T.StructField(x, T.LongType()) for x in (seq, off)] + [T.StructField(climbs, T.BooleanType())]
-    placed = cut(pieces.mapInPandas(local, T.StructType(pieces.schema.fields + new)))
+    placed = cut(pieces.mapInArrow(local, T.StructType(pieces.schema.fields + new)))
     items = placed.where(F.col(climbs)).select(F.col(seq).alias("bin"), F.col(length).cast("long").alias("fill"))
 
     def merge(last: bool):

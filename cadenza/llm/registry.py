@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that gives the same rows."""
 
-from . import embeddings, infilling, licenses, lines, mixing, ngram_join, packing, periodic, quality, secrets, toxicity, urls
+from . import cutting_stock, embeddings, infilling, licenses, lines, mixing, ngram_join, packing, periodic, quality, secrets, toxicity, urls
 from .oracle import SQL
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_fill_in_middle": infilling.op12_fill_in_middle,
+    "op13_cutting_stock": cutting_stock.op13_cutting_stock,
 }
 
 
