@@ -1,4 +1,4 @@
-"""Notes and tokens: encoding, decoding, bars, transposition, lanes, sustain, rolls."""
+"""Notes and tokens: encoding, decoding, bars, transposition, lanes, sustain."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,13 +113,6 @@ def paired(events: DataFrame, by: list[str], on: str, off: str) -> DataFrame:
     return a.join(b, [*by, "k"], "left").select(*by, "k", "start", stop.alias("stop"))
 
 
-def roll(notes: DataFrame, by: list[str]) -> DataFrame:
-    """Sparse piano roll: the cells (by, step, pitch) in which a note sounds, and whether one starts there."""
-    start = F.col("measure") * 96 + F.col("shift")
-    cells = notes.withColumn("_start", start).withColumn("step", F.explode(F.sequence(start, start + F.col("dur") - 1)))
-    return cells.groupBy(*by, "step", "pitch").agg(F.max((F.col("step") == F.col("_start")).cast("int")).alias("onset"))
-
-
 def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
     """left with the value of the last row of right at or before it; null before the first. An ordered union, so
     a key's rows are sorted once and never multiplied."""

@@ -59,59 +59,83 @@ def spans(rows: DataFrame, by: list[str], order: str, kind: str, start: str, end
     return found.where("span_start < span_end").drop("_cell")
 
 
-def fit_law(x, y, target, starts=None, step: float = 0.3, itmax: int = 300):
-    """(log A, log B, log E, a, b) of target = log(A e^(-a x) + B e^(-b y) + E), by Huber loss (0.001) and pattern search."""
+def fit_law(x, y, target, start=None, delta: float = 1e-3, rounds: int = 200):
+    """(log A, log B, log E, a, b) of target = log(A e^(-a x) + B e^(-b y) + E), by Huber loss with this delta.
+
+    Levenberg-Marquardt steps on weighted squares: a residual beyond delta weighs delta / |residual|, which makes the
+    squares' minimum that of the Huber loss. The derivatives by the logarithms of the three terms are the terms' shares
+    of their sum. It starts from start, or else from exponents of a coarse grid, with A, B and E by linear least squares.
+    """
     import numpy as np
 
-    def loss(t):
-        rows = np.stack([t[0] - t[3] * x, t[1] - t[4] * y, np.full_like(x, t[2])])
-        top = rows.max(0)
-        gap = np.abs(top + np.log(np.exp(rows - top).sum(0)) - target)
-        return np.where(gap <= 1e-3, gap * gap / 2, 1e-3 * (gap - 5e-4)).mean()
-
-    def search(t, step):
-        best = loss(t)
-        for _ in range(itmax):
-            moved = False
-            for k in range(5):
-                for sign in (step, -step):
-                    near = t.copy()
-                    near[k] += sign
-                    value = loss(near)
-                    if value < best:
-                        t, best, moved = near, value, True
-            if not moved:
-                step /= 2
-                if step < 1e-7:
+    def model(t):
+        terms = np.stack([t[0] - t[3] * x, t[1] - t[4] * y, np.full_like(x, t[2])])
+        top = terms.max(0)
+        share = np.exp(terms - top)
+        total = share.sum(0)
+        share /= total
+        return top + np.log(total), np.stack([*share, -x * share[0], -y * share[1]], 1)
+
+    def loss(r):
+        size = np.abs(r)
+        return np.where(size <= delta, size * size / 2, delta * (size - delta / 2)).sum()
+
+    def descend(t):
+        value, slope = model(t)
+        r, damp = target - value, 1e-3
+        best = loss(r)
+        for _ in range(rounds):
+            weight = np.minimum(1.0, delta / np.maximum(np.abs(r), 1e-300))
+            normal = (slope * weight[:, None]).T @ slope
+            step = np.linalg.solve(normal + damp * np.diag(np.diag(normal) + 1e-9), (slope * weight[:, None]).T @ r)
+            new_value, new_slope = model(t + step)
+            new = loss(target - new_value)
+            if new < best:
+                small = best - new <= 1e-12 * best
+                t, r, slope, best, damp = t + step, target - new_value, new_slope, new, damp / 4
+                if small:
+                    break
+            else:
+                damp *= 6
+                if damp > 1e12:
                     break
         return t, best
 
-    if starts is None:
-        floor = np.exp(target).min()
-        starts = [np.array([0.0, 0.0, np.log(e), a, b]) for a, b in ((0.3, 0.3), (0.7, 0.7)) for e in (floor * 0.7, floor * 0.95)]
-    return min((search(np.array(t, float), step) for t in starts), key=lambda r: r[1])[0]
+    def begin(a, b):
+        level = np.exp(target)
+        terms = np.stack([np.exp(-a * x), np.exp(-b * y), np.ones_like(x)], 1)
+        found = np.linalg.lstsq(terms / level[:, None], np.ones_like(x), rcond=None)[0]
+        least = 1e-3 * level.min()
+        return np.array([*np.log(np.maximum(found, [least] * 3)), a, b])
+
+    grid = (0.1, 0.3, 0.6, 1.0)
+    starts = [np.array(start, float)] if start is not None else [begin(a, b) for a in grid for b in grid]
+    return min((descend(t) for t in starts), key=lambda f: f[1])[0]
 
 
-def scaling_law(points: DataFrame, reps: int) -> DataFrame:
+def scaling_law(points: DataFrame, reps: int, most: int = 100_000) -> DataFrame:
     """One row: the fit of points (x, y, l) and the 2.5 and 97.5 percentiles of its exponents over resamples. points are the
-    runs of an experiment, a few dozen rows (1,000 at most are read), which every resample gets whole."""
+    runs of an experiment, which every resample gets whole; more than `most` are an error."""
     import numpy as np
     import pandas as pd
 
-    rows = sorted(tuple(r) for r in points.select("x", "y", "l").limit(1000).collect())
-    best = fit_law(*np.array(rows, float).reshape(-1, 3).T)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values(["x", "y"])
-        x, y, target = (own[c].to_numpy(float) for c in ("x", "y", "l"))
-        rep, whole = int(own["rep"].iloc[0]), best
-        if rep:
-            at = np.random.default_rng(rep).integers(0, len(x), len(x))
-            whole = fit_law(x[at], y[at], target[at], [whole], 0.02, 40)
-        return pd.DataFrame([[rep, *whole]], columns=["rep", "la", "lb", "le", "a", "b"])
-
-    spread = F.broadcast(points).crossJoin(points.sparkSession.range(0, reps + 1).withColumnRenamed("id", "rep"))
-    fits = spread.groupBy("rep").applyInPandas(one, "rep long, la double, lb double, le double, a double, b double")
+    rows = sorted(tuple(r) for r in points.select("x", "y", "l").limit(most + 1).collect())
+    if len(rows) > most:
+        raise ValueError(f"more than {most} points")
+    held = np.array(rows, float).reshape(-1, 3)
+    best = fit_law(*held.T)
+
+    def fits(frames):
+        for pdf in frames:
+            for rep in pdf["id"].tolist():
+                whole = best
+                if rep:
+                    at = np.random.default_rng(rep).integers(0, len(held), len(held))
+                    whole = fit_law(*held[at].T, start=best)
+                yield pd.DataFrame([[rep, *whole]], columns=["rep", "la", "lb", "le", "a", "b"])
+
+    tasks = points.sparkSession.range(0, reps + 1, 1, min(reps + 1, 64))
+    fitted = tasks.mapInPandas(fits, "rep long, la double, lb double, le double, a double, b double")
     first = lambda c: F.max(F.when(F.col("rep") == 0, c))
     ends = [F.round(F.percentile(F.when(F.col("rep") > 0, F.col(c)), F.lit(p)), 4).alias(f"{c}_{n}") for c in ("a", "b") for n, p in (("low", 0.025), ("high", 0.975))]
-    return fits.agg(*[F.round(first(F.exp(c)), 4).alias(n) for c, n in (("la", "scale_n"), ("lb", "scale_d"), ("le", "floor"))], *[F.round(first(F.col(c)), 4).alias(c) for c in ("a", "b")], *ends)
+    return fitted.agg(*[F.round(first(F.exp(c)), 4).alias(n) for c, n in (("la", "scale_n"), ("lb", "scale_d"), ("le", "floor"))], *[F.round(first(F.col(c)), 4).alias(c) for c in ("a", "b")], *ends)

@@ -7,6 +7,7 @@ from ..functions import vocab as V
 from ..functions.scalars import md5_mod
 from ..operators import corpus as C
 from ..operators import notes as N
+from ..operators import rolls as R
 from ..operators import samples as B
 from ..sources.tables import SQL_MANIFEST, SQL_MOD, SQL_NOTES, SQL_PREDS, manifest, notes, predictions, sequences, table
 from .notes import SQL_BARS
@@ -359,8 +360,8 @@ def token_windows(spark, sf_dir, size: int = 8, step: int = 4):
 i as (select *, sum(case when gap is null or gap > 4 then 1 else 0 end) over (partition by song, pitch order by step rows unbounded preceding) as island from g) select song, pitch, min(step) as start, max(step)+1 as stop, count(*) as cells from i group by song, pitch, island""")
 def bridged_sustains(spark, sf_dir, bridge: int = 3):
     """Cells of a pitch as notes again: gaps of up to three steps are bridged."""
-    r = N.roll(notes(spark, sf_dir).where("program = 'view'"), ["song"])
-    w = Window.partitionBy("song", "pitch").orderBy("step")
-    gap = F.col("step") - F.lag("step").over(w)
-    i = r.withColumn("new", F.when(gap.isNull() | (gap > bridge + 1), 1).otherwise(0)).withColumn("island", F.sum("new").over(w))
-    return i.groupBy("song", "pitch", "island").agg(F.min("step").cast("long").alias("start"), (F.max("step") + 1).cast("long").alias("stop"), F.count("*").alias("cells")).drop("island")
+    spans, _ = R.roll_spans(notes(spark, sf_dir).where("program = 'view'"), ["song"])
+    w = Window.partitionBy("song", "pitch").orderBy("start")
+    gap = F.col("start") - F.lag("stop").over(w)
+    i = spans.withColumn("new", F.when(gap.isNull() | (gap > bridge), 1).otherwise(0)).withColumn("island", F.sum("new").over(w))
+    return i.groupBy("song", "pitch", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum(F.col("stop") - F.col("start")).alias("cells")).drop("island")

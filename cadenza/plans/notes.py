@@ -125,29 +125,6 @@ def note_pairing(spark, sf_dir):
     return N.paired(e, ["user_id"], "view", "click").select("user_id", F.col("k").cast("long").alias("k"), "start", "stop")
 
 
-SQL_ROLL = f"""{SQL_NOTES}, c as (select song, program, pitch, measure*96+shift as s, unnest(range(measure*96+shift, measure*96+shift+dur)) as step from notes),
-r as (select song, program, step, pitch, max(case when step = s then 1 else 0 end) as onset from c group by 1,2,3,4)"""
-
-
-@query(f"with {SQL_ROLL} select song, program, count(*) as cells, cast(sum(onset) as bigint) as onsets, cast(max(step) as bigint) as last_step from r group by 1,2")
-def sparse_roll(spark, sf_dir):
-    r = N.roll(notes(spark, sf_dir), ["song", "program"])
-    return r.groupBy("song", "program").agg(F.count("*").alias("cells"), F.sum("onset").alias("onsets"), F.max("step").cast("long").alias("last_step"))
-
-
-@query(f"""with {SQL_ROLL}, k as (select song, step, pitch, max(case when program='view' then 1 else 0 end) as a, max(case when program='click' then 1 else 0 end) as b from r group by 1,2,3),
-l as (select song, least(max(case when a=1 then step end), max(case when b=1 then step end)) as last_ from k group by 1 having max(a) = 1 and max(b) = 1)
-select song, cast(sum(a*b) as bigint) as both_, round(sum(a*b)/cast(sum(greatest(a,b)) as double), 6) as iou from k join l using (song) where greatest(a,b) = 1 and step <= last_ group by song""")
-def roll_iou(spark, sf_dir):
-    r = N.roll(notes(spark, sf_dir).where("program in ('view', 'click')"), ["song", "program"])
-    k = r.groupBy("song", "step", "pitch").agg(F.max((F.col("program") == "view").cast("int")).alias("a"), F.max((F.col("program") == "click").cast("int")).alias("b"))
-    # Both rolls are cut to the shorter one.
-    last = k.groupBy("song").agg(F.least(F.max(F.when(F.col("a") == 1, F.col("step"))), F.max(F.when(F.col("b") == 1, F.col("step")))).alias("last"), F.count_if(F.col("a") == 1).alias("na"), F.count_if(F.col("b") == 1).alias("nb"))
-    k = k.join(last.where("na > 0 and nb > 0"), "song").where("step <= last")
-    both = F.col("a") * F.col("b")
-    return k.groupBy("song").agg(F.sum(both).alias("both_"), F.round(F.sum(both) / F.count("*"), 6).alias("iou"))
-
-
 SQL_BAR_INDEX = f"""{SQL_NOTES}, raw as (select song, measure as bar, count(*) as n from notes group by 1,2), lim as (select song, max(bar)+1 as bars from raw group by 1),
 g as (select song, unnest(range(0, bars)) as bar, bars from lim), bars as (select g.song, g.bar, g.bars, coalesce(r.n, 0) as n from g left join raw r on r.song=g.song and r.bar=g.bar)"""
 

@@ -283,14 +283,21 @@ def bootstrap_ci(spark, sf_dir, reps: int = 10_000):
 
 @query()
 def scaling_fit(spark, sf_dir, reps: int = 200):
-    """log loss = log(A / N^a + B / D^b + E) by Huber loss on logarithms and pattern search, with the interval of resamples
-    of the points. Part sizes (50 at most) and order quantities stand for N and D, a planted law with noise from a hash for
-    the losses. A resample is a group, so the fits are spread over the tasks."""
-    t = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber")).alias("i"), F.ceil(F.col("l_quantity") / 10).cast("int").alias("j")).distinct()
-    n, d = F.pow(F.lit(2.0), F.col("i")), F.pow(F.lit(3.0), F.col("j"))
-    noise = (X.md5_mod(F.concat_ws("-", "i", "j"), 1001) - 500) / 500000.0
-    points = t.select(F.log(n).alias("x"), F.log(d).alias("y"), (F.log(1.2 / F.pow(n, F.lit(0.5)) + 0.8 / F.pow(d, F.lit(0.4)) + 0.9) + noise).alias("l"))
-    return S.scaling_law(points, reps)
+    """log loss = log(A / N^a + B / D^b + E) by Huber loss on logarithms, with the interval of resamples of the points.
+
+    N and D are the numbers of documents and of words in nested samples of each source and language; the loss is the
+    share of words that are new in a sample (types by tokens). Samples are powers of two by a hash of the document."""
+    d = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where("w <> ''")
+    level = F.lit(7) - F.least(F.floor(F.log2(X.md5_mod(F.col("doc_id").cast("string"), 128) + 1)), F.lit(7))
+    # A word of level k stands in the samples 0 to k; whole numbers of documents come from their own rows.
+    words = d.withColumn("level", level.cast("int")).groupBy("source", "lang", "w").agg(*[F.count_if(F.col("level") == k).alias(str(k)) for k in range(8)])
+    known = [sum((F.col(str(j)) for j in range(k, 8)), F.lit(0)) for k in range(8)]
+    counts = words.groupBy("source", "lang").agg(*[F.struct(F.count_if(n > 0).alias("types"), F.sum(n).alias("tokens")).alias(f"s{k}") for k, n in enumerate(known)])
+    docs = table(spark, sf_dir, "documents").withColumn("level", level.cast("int")).groupBy("source", "lang").agg(*[F.count_if(F.col("level") >= k).alias(f"d{k}") for k in range(8)])
+    each = counts.join(docs, counts["source"].eqNullSafe(docs["source"]) & counts["lang"].eqNullSafe(docs["lang"]))
+    points = each.select(F.inline(F.array(*[F.struct(F.col(f"d{k}").alias("n"), F.col(f"s{k}.tokens").alias("d"), F.col(f"s{k}.types").alias("t")) for k in range(8)])))
+    kept = points.where("n > 0 and d > 0 and t > 0").select(F.log("n").alias("x"), F.log("d").alias("y"), F.log(F.col("t") / F.col("d")).alias("l"))
+    return S.scaling_law(kept, reps)
 
 
 SQL_REPLAY_CAP = 150

@@ -9,12 +9,14 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def duck():
-    c = duckdb.connect()
+    """A database of its own for each test, so that a fault in one leaves the others alone."""
+    c = duckdb.connect(config={"threads": 1, "memory_limit": "4GB"})
     for t in TABLES:
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    return c
+    yield c
+    c.close()
 
 
 def plain(rows, names):
