@@ -38,13 +38,23 @@ def check(df, near):
         taken = sum(r["size"] * r["copies"] for r in own)
         assert all(r["target"] == pytest.approx(want[s]) and r["source_size"] == sizes[s] for r in own)
         assert all(0 <= r["copies"] <= 3 for r in own)
-        assert abs(taken - want[s]) <= max(near * want[s], max((r["size"] for r in own)))
+        # Within near of the target; a source of a few texts, one of which outweighs the others, within half of that.
+        some = [r["size"] for r in own if r["size"]]
+        assert abs(taken - want[s]) <= max(near * want[s], 0.5 * (max(some) if 2 * max(some) > sum(some) or len(some) < 10 else min(some)) + 1e-6 if some else 0)
     again = mixing.mix(df.select("doc_id", "text", "source").repartition(3)).collect()
     assert sorted(map(repr, rows)) == sorted(map(repr, again))
 
 
-def test_documents(docs):
-    check(docs, 0.02)
+def test_documents(spark, docs):
+    check(docs, 0.05)
+    check(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 0.01)
+
+
+def test_large_ids_beside_a_null(spark):
+    big = 2**60
+    rows = [(big + 1, "a b c", "x"), (None, "a b", "x"), (big + 3, "a", "x"), (None, "a b", "x"), (0, "a", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    assert sorted(repr(r["doc_id"]) for r in mixing.mix(df).collect()) == sorted(repr(k) for k, *_ in rows)
 
 
 def test_edges(edge, empty):
@@ -55,7 +65,7 @@ def test_edges(edge, empty):
 
 def test_limit(spark):
     rows = [(1, "a " * 10, "s0"), (2, "b " * 10, "s1"), (3, "c " * 1000, "s2"), (4, "d", None)]
-    check(spark.createDataFrame(rows, "doc_id long, text string, source string"), 1)
+    check(spark.createDataFrame(rows, "doc_id long, text string, source string"), 0.01)
 
 
 def test_tree(spark):
@@ -64,7 +74,7 @@ def test_tree(spark):
     rows = [(i, "a " * int(rng.integers(1, 60)), "hot" if i % 3 else f"s{i % 5}") for i in range(1500)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     old = mixing.GROUP, mixing.FAN_IN
-    sizes = df.selectExpr("source", "doc_id as key", "cast(length(text) / 2 as long) as size", "0.37D as p", "1000L as n")
+    sizes = df.selectExpr("source", "doc_id as key", "false as nokey", "cast(length(text) / 2 as long) as size", "0.37D as p", "1000L as n")
     try:
         mixing.FAN_IN = 4
         got = mixing.round_copies(sizes, group=16).toPandas()
@@ -72,7 +82,7 @@ def test_tree(spark):
         mixing.GROUP, mixing.FAN_IN = old
     assert len(got) == 1500 and set(got["copies"]) <= {0, 1}
     words = got.assign(t=got["size"] * got["copies"]).groupby("source")[["size", "t"]].sum()
-    assert (abs(words["t"] - 0.37 * words["size"]) <= 30).all()
+    assert (abs(words["t"] - 0.37 * words["size"]) <= 20).all()
 
 
 def test_pivot_keeps_the_mean():
