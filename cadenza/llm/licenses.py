@@ -3,14 +3,18 @@
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, table
 
 #: Fixed phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: Notices of well-known licenses (fixed texts) and their labels. A block that holds enough of one's words has its label.
+#: Of a template's words, those that tell it from others; a block without them does not match, whatever else it holds.
+MARKS = ("mit", "apache", "nc", "noncommercial", "sharealike", "gnu")
 TEMPLATES = (
     ("mit", "Released under the MIT License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
@@ -34,6 +38,16 @@ def _needed(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def reach_of(templates=TEMPLATES, percent: int = 80) -> int:
+    """Words that a stretch with a match has at most: those of the longest template, and those that a match may lack."""
+    return -(-100 * max((len(block_words(x)) for _, x in templates), default=0) // percent)
+
+
+def _windows(words: list[bytes], reach: int):
+    """A line, or, if it is long, windows of twice the reach, each beginning in the middle of the one before."""
+    return [words[k : k + 2 * reach] for k in range(0, max(1, len(words) - reach), max(1, reach))]
+
+
 def _around_ends(lines: list[list[bytes]], reach: int):
     """For each end of a line inside a paragraph, the reach words before it in the line and the reach after it."""
     for k in range(len(lines) - 1):
@@ -66,9 +80,9 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
     """One row for each row of docs: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base: places where a phrase's words stand one after the other. Besides, a label is given where a block holds
-    percent % of the distinct words of one of its templates. A block is a line, or, for notices wrapped over lines, what
-    stands around a line's end in its paragraph: reach words to each side, as many as the longest template has and the
-    words that a match may lack. score is the largest share of a template that a
+    percent % of the distinct words of one of its templates, and those of its words that are in MARKS. A block is a line,
+    a window of a long line, or, for notices wrapped over lines, what stands around a line's end in its paragraph: reach
+    words to each side, as many as the longest template has and the words that a match may lack. score is the largest share of a template that a
     block with a label holds, 1 with a base label and 0 without any. Null texts count as empty. Keys may be null or
     repeated; an empty table gives an empty one.
 
@@ -78,7 +92,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
     """
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     sets = [(label, set(block_words(x))) for label, x in templates]
-    reach = -(-100 * max((len(block_words(x)) for _, x in templates), default=0) // percent)
+    reach = reach_of(templates, percent)
     count = token_counts(d, set().union(*(s for _, s in sets)))
     order = sorted(count, key=lambda w: (count[w], w))
     rank = {w: k for k, w in enumerate(order)}
@@ -88,10 +102,10 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
     wanted = [(tuple(p.encode().split()), label) for p, label in phrases]
     labels_of = [label for _, label in phrases]
 
-    def run(frames):
-        for pdf in frames:
+    def run(batches):
+        for batch in batches:
             rows = []
-            for k, x in zip(pdf["key"], pdf["text"], strict=True):
+            for x in batch.column(1).to_pylist():
                 x = (x or "").encode().lower()
                 w = _WORD.findall(x)
                 joined = b" " + b" ".join(w) + b" "
@@ -106,34 +120,31 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
                 blocks = []
                 if starts.search(x):
                     lines = [_WORD.findall(line) for line in x.split(b"\n")]
-                    for part in (*lines, *_around_ends(lines, reach)):
+                    for part in (*(w for line in lines for w in _windows(line, reach)), *_around_ends(lines, reach)):
                         own = sorted({rank[t] for t in part if t in rank})
                         if own and not prefix.isdisjoint(own):
                             blocks.append(own)
-                rows.append((k, len(w), len(places), min(places, default=None), max(places, default=None), sorted(set(found)), blocks))
-            yield pd.DataFrame(rows, columns=["key", "n_words", "n_base", "first_word", "last_word", "base", "blocks"]).astype(
-                {"first_word": "Int64", "last_word": "Int64"}
-            )
-
-    kind = docs.schema[key].dataType.simpleString()
-    read = cut(
-        d.mapInPandas(
-            run,
-            f"key {kind}, n_words long, n_base long, first_word long, last_word long, base array<string>, blocks array<array<int>>",
-        ).withColumn("has", F.xxhash64("blocks"))
-    )
+                rows.append((len(w), len(places), min(places, default=None), max(places, default=None), sorted(set(found)), blocks))
+            # Keys stay in Arrow arrays: large ones keep all digits beside a null.
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows), arrow)], names)
+
+    names = ["key", "n_words", "n_base", "first_word", "last_word", "base", "blocks"]
+    arrow = [pa.int64()] * 4 + [pa.list_(pa.string()), pa.list_(pa.list_(pa.int32()))]
+    kinds = [d.schema["key"].dataType] + [T.LongType()] * 4 + [T.ArrayType(T.StringType()), T.ArrayType(T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, kinds)])
+    read = cut(d.mapInArrow(run, schema).withColumn("has", F.xxhash64("blocks")))
     # Blocks with equal token sets are one block of the join.
     blocks = read.where(F.size("blocks") > 0).select(F.explode("blocks").alias("block")).distinct()
     posted = [
-        (token, at, k, label, len(s), _needed(len(s), percent), s)
+        (token, at, k, label, len(s), _needed(len(s), percent), s, [x for x in s if order[x].decode() in MARKS])
         for k, (label, s) in enumerate(ordered)
         for at, token in enumerate(s[: len(s) - _needed(len(s), percent) + 1])
     ]
     # Bounded by the templates, whatever the corpus.
-    postings = docs.sparkSession.createDataFrame(posted, "token int, at int, template int, label string, size int, needed int, tokens array<int>")
+    postings = docs.sparkSession.createDataFrame(posted, "token int, at int, template int, label string, size int, needed int, tokens array<int>, marks array<int>")
     probe = blocks.select("block", F.explode("block").alias("token"))
     candidates = probe.join(F.broadcast(postings), "token").where((F.size("block") >= F.col("needed")) & (F.col("size") - F.col("at") >= F.col("needed")))
-    matched = candidates.withColumn("both", F.size(F.array_intersect("block", "tokens"))).where("both >= needed")
+    matched = candidates.withColumn("both", F.size(F.array_intersect("block", "tokens"))).where("both >= needed and size(array_except(marks, block)) = 0")
     per_block = matched.groupBy("block").agg(F.collect_set("label").alias("labels"), F.max(F.col("both") / F.col("size")).alias("share"))
     with_blocks = read.where(F.size("blocks") > 0).select("has", "blocks").distinct()
     by_text = (

@@ -84,8 +84,10 @@ w as (select doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as
 hits as ({_PHRASES}),
 b as (select doc_id, count(*) as n, min(pos) as f, max(pos) as l, list_sort(list_distinct(list(label))) as labels from hits group by 1),
 tm as (select * from (values {_TEMPLATES}) v(id, label, tokens)),
-bl as (select doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as own from t),
-m as (select doc_id, label, len(list_intersect(own, tokens)) / cast(len(tokens) as double) as share from bl, tm where len(own) > 0 and 100 * len(list_intersect(own, tokens)) >= 80 * len(tokens)),
+ln as (select doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as wl from t),
+bl as (select doc_id, list_distinct(list_slice(wl, s + 1, s + {2 * licenses.reach_of()})) as own from (select doc_id, wl, unnest(range(0, greatest(len(wl) - {licenses.reach_of()}, 1), {licenses.reach_of()})) as s from ln) x),
+m as (select doc_id, label, len(list_intersect(own, tokens)) / cast(len(tokens) as double) as share from bl, tm where len(own) > 0 and 100 * len(list_intersect(own, tokens)) >= 80 * len(tokens)
+ and list_has_all(own, list_filter(tokens, lambda x: x in {licenses.MARKS}))),
 mm as (select doc_id, list(distinct label) as labels, max(share) as share from m group by 1)
 select w.doc_id, len(w.w) as n_words, coalesce(b.n, 0) as n_base, b.f as first_word, b.l as last_word, coalesce(array_to_string(b.labels, ','), '') as base_labels,
  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(mm.labels, [])))), ','), '') as labels,

@@ -104,6 +104,27 @@ def test_licenses(spark, edge, empty):
     assert licenses.scan_licenses(empty).collect() == []
 
 
+def test_licenses_without_their_words(spark):
+    """What has most words of a notice, but not those that tell it from others, and words strewn over a long line."""
+    far = " pad" * 200
+    texts = [
+        "the drug was released under the new license terms",
+        "released under the driving license",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        f"released{far} under{far} the{far} mit{far} license",
+        f"{far} released under the mit license{far}",
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k]["labels"] for k in range(5)] == ["", "", "cc-by-sa", "", "mit"]
+
+
+def test_large_ids_beside_a_null(spark):
+    big = 2**60
+    rows = [(big + 1, "released under the mit license"), (None, "x"), (big + 3, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in licenses.scan_licenses(df).collect()} == {k for k, _ in rows}
+
+
 def test_wrapped_licenses(spark):
     texts = ["some words\n\n# " + "\n# ".join(textwrap.wrap(x, 40)) + "\n#\n# more words" for _, x in licenses.TEMPLATES]
     apart = texts[1].replace("\n# ", "\n\n")
