@@ -5,8 +5,10 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, table
 
@@ -99,14 +101,14 @@ def score_documents(
     """One row for each row of docs: key, p_<category> for each category, and flagged: the last one at threshold or more.
 
     labels: key and a column 0/1 for each category, in the order of the chain; null means unknown. The models are
-    fitted on at most `sample` labelled documents, those with the smallest hash of the key, with FEATURES words: those
+    fitted on at most `sample` labelled documents (a key with several labels has the greater), those with the smallest hash of the key, with FEATURES words: those
     whose numbers of documents differ most between the classes. All documents are scored, on their whole texts; null
     texts count as empty. Without any usable label all probabilities are near 0. Repeated rows get equal scores.
     """
     d = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     y = labels.select(F.col(key).alias("_key"), *[F.col(c).cast("double").alias(f"_y{k}") for k, c in enumerate(categories)]).where("_key is not null")
     # At most `sample` rows, so they are sent to every executor and no text is shuffled.
-    chosen = cut(y.dropDuplicates(["_key"]).orderBy(F.xxhash64("_key"), "_key").limit(sample))
+    chosen = cut(y.groupBy("_key").agg(*[F.max(f"_y{k}").alias(f"_y{k}") for k in range(len(categories))]).orderBy(F.xxhash64("_key"), "_key").limit(sample))
     taught = d.join(F.broadcast(chosen), F.col("key") == F.col("_key"))
 
     kinds = [f"_y{k}" for k in range(len(categories))]
@@ -142,25 +144,30 @@ def score_documents(
     def featured(frames):
         for pdf in frames:
             rows = [_features(text_words(t), t, places).astype("<f4").tobytes() for t in pdf["text"]]
-            yield pd.DataFrame({"key": pdf["key"], "x": rows} | {c: pdf[c] for c in kinds})
+            yield pd.DataFrame({"h": pdf["h"], "x": rows} | {c: pdf[c] for c in kinds})
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = taught.mapInPandas(featured, f"key {kind}, x binary, " + ", ".join(f"{c} double" for c in kinds)).orderBy("key").limit(sample).collect()
+    # Where keys repeat in docs, there are more rows than labels; a hash tells which of them are taken.
+    hashed = taught.select(F.xxhash64("key").alias("h"), "text", *kinds)
+    rows = hashed.mapInPandas(featured, "h long, x binary, " + ", ".join(f"{c} double" for c in kinds)).orderBy("h", "x").limit(sample).collect()
     x = np.array([np.frombuffer(r["x"], "<f4") for r in rows], float).reshape(len(rows), len(places) + 4)
     labelled = np.array([[np.nan if r[c] is None else r[c] for c in kinds] for r in rows], float).reshape(len(rows), n)
     # Equal texts have equal features and so one fold; else a model would have seen its copy.
     folds = np.array([zlib.crc32(r["x"]) % FOLDS for r in rows], np.int64)
     models = fit_chain(x, labelled, folds)
 
-    def score(frames):
-        for whole in frames:
+    def score(batches):
+        for whole in batches:
             for at in range(0, len(whole), 1024):
-                pdf = whole.iloc[at : at + 1024]
-                z = np.array([_features(text_words(t), t, places) for t in pdf["text"]]).reshape(len(pdf), len(places) + 4)
+                part = whole.slice(at, 1024)
+                texts = part.column(1).to_pylist()
+                z = np.array([_features(text_words(t), t, places) for t in texts]).reshape(len(part), len(places) + 4)
                 p = run_chain(z, models)
-                yield pd.DataFrame({key: pdf["key"]} | {f"p_{c}": p[:, k] for k, c in enumerate(categories)} | {"flagged": p[:, -1] >= threshold})
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, p.T), pa.array(p[:, -1] >= threshold)], names)
 
-    return d.mapInPandas(score, f"`{key}` {kind}, " + ", ".join(f"`p_{c}` double" for c in categories) + ", flagged boolean")
+    # Keys stay in Arrow arrays: large ones keep all digits beside a null.
+    names = [key, *[f"p_{c}" for c in categories], "flagged"]
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), *[T.StructField(n, T.DoubleType()) for n in names[1:-1]], T.StructField("flagged", T.BooleanType())])
+    return d.mapInArrow(score, schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -56,6 +56,13 @@ def test_edges(edge, empty):
     assert packing.pack(packing.token_pieces(empty)).collect() == []
 
 
+def test_large_ids_beside_a_null(spark):
+    big = 2**60
+    rows = [(big + 1, "a"), (None, "b"), (big + 3, "c")]
+    got = packing.pack(packing.token_pieces(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))).collect()
+    assert {r["doc_id"] for r in got} == {k for k, _ in rows}
+
+
 def test_best_fit():
     bins, offsets, fills = packing.best_fit(np.array([6, 5, 5, 4]), 10)
     assert fills.tolist() == [10, 10] and bins[0] == bins[3] and bins[1] == bins[2] and offsets[3] == 6

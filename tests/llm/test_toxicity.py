@@ -24,6 +24,18 @@ def test_edges(spark, edge, empty):
     assert toxicity.score_documents(edge, labels.limit(0), ("junk", "toxic")).where("flagged").count() == 0
 
 
+def test_large_ids_and_labels_that_clash(spark):
+    big = 2**60
+    rows = [(big + 1, "a bad word"), (None, "x"), (big + 3, "a good word")] + [(k, "bad " * k if k % 2 else "good " * k) for k in range(1, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    labels = [(k, k % 2) for k in range(1, 40)] + [(5, 0), (8, 0), (5, 0)]
+    first, again = (
+        sorted(map(repr, toxicity.score_documents(df, spark.createDataFrame(x, "doc_id long, toxic int"), ("toxic",)).collect()))
+        for x in (labels, labels[::-1])
+    )
+    assert first == again and sum(str(big + 1) in r or str(big + 3) in r for r in first) == 2 and len(first) == len(rows)
+
+
 def test_chain_uses_earlier_categories():
     """The second label is the first one, which the features show only in part: out-of-fold probabilities carry over."""
     rng = np.random.default_rng(0)
