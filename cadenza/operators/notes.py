@@ -135,3 +135,38 @@ def windows(bars: DataFrame, by: list[str], past: int, const: int, future: int)
     role = F.when(at < past, "past").when(at < past + const, "const").otherwise("future")
     fits = (F.col("window") >= 0) & (at < need) & (F.col("window") * past + need < F.col("bars"))
     return spread.withColumn("window", window).where(fits).withColumn("role", role).drop("back", "bars")
+
+
+def tick_notes(messages: DataFrame, by: list[str], drums: int = 9) -> DataFrame:
+    """(by, channel, pitch, velocity, program, start, stop): the notes that messages (by, seq, tick, kind, channel, a, b)
+    play. by names a track; seq is the order of its messages.
+
+    An off ends the oldest note of its channel and pitch that is held; without one it means nothing. While the channel's
+    pedal (controller 64 at 64 or more) is down at that moment, the note sounds on until the pedal comes up or the pitch
+    is struck again, whichever is first; drums have no pedal. What is still open at the end of the track ends there. A
+    note lasts a tick at least. The program is the channel's last one before the note, 0 without any.
+
+    Windows over a track's channel and over its pitches; a track is one group of a window.
+    """
+    of_channel, of_pitch = [*by, "channel"], [*by, "channel", "a"]
+    w, here = Window.partitionBy(*of_channel).orderBy("seq"), Window.partitionBy(*of_pitch).orderBy("seq")
+    later = (1, Window.unboundedFollowing)
+    kind = F.col("kind")
+    down = F.when((kind == "control") & (F.col("a") == 64), F.col("b") >= 64)
+    told = messages.withColumn("_last", F.max("tick").over(Window.partitionBy(*by))).withColumns({
+        "_program": F.last(F.when(kind == "program", F.col("a")), True).over(w),
+        "_down": F.coalesce(F.last(down, True).over(w), F.lit(False)) & (F.col("channel") != drums),
+        "_up": F.first(F.when(~down, F.struct("seq", "tick")), True).over(w.rowsBetween(*later)),
+    })
+    step = F.when(kind == "on", 1).otherwise(-1)
+    keys = told.where("kind in ('on', 'off')").withColumn("_open", F.sum(step).over(here)).withColumn("_again", F.first(F.when(kind == "on", F.struct("seq", "tick")), True).over(here.rowsBetween(*later)))
+    # An off that takes the count of open notes below its least value so far found none.
+    least = F.least(F.coalesce(F.min("_open").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(0))
+    ends = (kind == "off") & (F.col("_open") >= F.col("_least"))
+    numbered = keys.withColumn("_least", least).withColumns({"_on": F.sum((kind == "on").cast("int")).over(here), "_off": F.sum(ends.cast("int")).over(here)})
+    on = numbered.where(kind == "on").select(*of_pitch, F.col("_on").alias("_k"), F.col("b").alias("velocity"), F.coalesce("_program", F.lit(0)).alias("program"), F.col("tick").alias("start"), "_last")
+    # Of pedal and next stroke, the one with the smaller seq; a null is neither.
+    held = F.coalesce(F.least("_up", "_again")["tick"], F.col("_last"))
+    off = numbered.where(ends).select(*of_pitch, F.col("_off").alias("_k"), F.when(F.col("_down"), held).otherwise(F.col("tick")).alias("_stop"))
+    stop = F.greatest(F.coalesce("_stop", "_last"), F.col("start") + 1)
+    return on.join(off, [*of_pitch, "_k"], "left").select(*of_channel, F.col("a").alias("pitch"), "velocity", "program", "start", stop.alias("stop"))
