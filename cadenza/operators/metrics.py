@@ -95,3 +95,26 @@ def groove(notes: DataFrame, by: list[str]) -> DataFrame:
     every = notes.groupBy(*by).agg(F.count("*").alias("_n")).join(counts, by, "left").fillna(0, ["even_", "swing"])
     label = F.when((F.col("_n") < 3) | (F.col("even_") + F.col("swing") == 0), "undetermined").when(F.col("even_") >= F.col("swing"), "even").otherwise("swing")
     return every.select(*by, label.alias("groove"), "even_", "swing")
+
+
+def voted_sweep(clips: DataFrame, file: str, label: str, pred: str, score: str, place: str, thresholds) -> DataFrame:
+    """One row a threshold: (threshold, clips_kept, files_voted, of_voted, of_all). At each threshold the clips of at least
+    that score vote anew for their file's class; ties go to the class of the clip that comes first by place. of_voted and
+    of_all are the shares of files voted right, of those with a clip left and of all.
+
+    Clips are counted once, by how many thresholds their score meets; only counts are copied for the thresholds.
+    """
+    levels = sorted(thresholds)
+    met = F.size(F.filter(F.array(*[F.lit(t).cast("double") for t in levels]), lambda t: t <= F.col(score)))
+    counts = clips.groupBy(file, F.col(pred).alias("_p"), met.alias("_met")).agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
+    each = counts.where("_met > 0").withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_met") - 1)))
+    votes = each.groupBy(file, "_t", "_p").agg(F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
+    order = F.struct(-F.col("_n"), F.col("_first"), F.col("_p"))
+    chosen = votes.groupBy(file, "_t").agg(F.min_by("_p", order).alias("_p"), F.sum("_n").alias("_n"))
+    gold = clips.groupBy(file).agg(F.max(label).alias("_gold"))
+    right = chosen.join(gold, file).groupBy("_t").agg(F.sum("_n").alias("clips_kept"), F.count("*").alias("files_voted"), F.count_if(F.col("_p") == F.col("_gold")).alias("_ok"))
+    spark = clips.sparkSession
+    every = spark.createDataFrame(list(enumerate(map(float, levels))), "_t int, threshold double").crossJoin(gold.agg(F.count("*").alias("_all")))
+    found = every.join(F.broadcast(right), "_t", "left").fillna(0, ["clips_kept", "files_voted", "_ok"])
+    share = lambda of: F.col("_ok") / F.greatest(F.col(of), F.lit(1))
+    return found.select("threshold", "clips_kept", "files_voted", share("files_voted").alias("of_voted"), share("_all").alias("of_all"))

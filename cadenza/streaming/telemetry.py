@@ -3,11 +3,12 @@
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..plans.telemetry import alerts
+from .batches import event_stream  # noqa: F401
 
 
 def alert_stream(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -15,11 +16,6 @@ def alert_stream(events: DataFrame, width: str = "1 hour", late: str = "1 hour")
     return alerts(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), width)
 
 
-def event_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
-    """Files of a folder as a stream, `files` of them a micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
-
-
 def replay_pool(items: DataFrame, size: int) -> DataFrame:
     """A bounded pool per source: (source, seq, rank, seen). Each micro-batch the pool keeps the `size` items of the
     smallest hash among those it held and the new ones, so it is a uniform sample of all items so far, and the same

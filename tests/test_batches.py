@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.streaming import batches as B
-from cadenza.streaming.telemetry import event_stream
+from cadenza.streaming.batches import event_stream
 
 
 def source(spark, path, n=6):
