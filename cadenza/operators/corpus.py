@@ -78,6 +78,22 @@ def ranked(rows: DataFrame, by: list[str], key: str, seed: str = "") -> DataFram
     return out.withColumn("rn", F.col("_before") + F.col("_place")).drop("_h", "_range", "_of", "_place", "_before", *[f"_by_{c}" for c in by])
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with ordinal, their place from 1 in the order of a key of integers.
+
+    Places come from counts of spans of 1,024 keys, and these from counts of spans of spans, so that no task sees more
+    than a millionth of all rows, or a thousand of a kind.
+    """
+    small, large = F.expr(f"`{key}` div 1024"), F.expr(f"`{key}` div 1048576")
+    counts = rows.groupBy(large.alias("_large"), small.alias("_small")).agg(F.count("*").alias("_c"))
+    before = lambda w: F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_large = counts.groupBy("_large").agg(F.sum("_c").alias("_c")).select("_large", before(Window.orderBy("_large")).alias("_past"))
+    starts = counts.withColumn("_start", before(Window.partitionBy("_large").orderBy("_small"))).join(of_large, "_large")
+    placed = rows.withColumn("_small", small).withColumn("_place", F.row_number().over(Window.partitionBy("_small").orderBy(key)))
+    found = placed.join(starts.select("_small", (F.col("_start") + F.col("_past")).alias("_start")), "_small")
+    return found.withColumn("ordinal", F.col("_start") + F.col("_place")).drop("_small", "_place", "_start")
+
+
 def stratified_split(rows: DataFrame, by: list[str], key: str, train: float = 0.8, val: float = 0.1) -> DataFrame:
     r = ranked(rows, by, key, "s")
     a, b = F.floor(F.col("n") * F.lit(train)), F.floor(F.col("n") * F.lit(val))

@@ -118,3 +118,42 @@ def voted_sweep(clips: DataFrame, file: str, label: str, pred: str, score: str,
     found = every.join(F.broadcast(right), "_t", "left").fillna(0, ["clips_kept", "files_voted", "_ok"])
     share = lambda of: F.col("_ok") / F.greatest(F.col(of), F.lit(1))
     return found.select("threshold", "clips_kept", "files_voted", share("files_voted").alias("of_voted"), share("_all").alias("of_all"))
+
+
+def gram_hashes(rows: DataFrame, words: str, n: int) -> DataFrame:
+    """rows with h, the hashes of the n-grams of an array of words, n a power of two; the words are dropped.
+
+    Hashes of 2k-grams are made of those of k-grams, so that a word is hashed once and a gram costs log n steps."""
+    out = rows.withColumn("h", F.transform(words, lambda x: F.xxhash64(x))).drop(words)
+    k = 1
+    while k < n:
+        left = F.size("h") - k
+        both = F.zip_with(F.slice("h", F.lit(1), left), F.slice("h", F.lit(1 + k), left), lambda a, b: F.xxhash64(a, b))
+        out, k = out.withColumn("h", F.when(left > 0, both).otherwise(F.array().cast("array<bigint>"))), 2 * k
+    return out
+
+
+def possible(rows: DataFrame, hashes: str, known: DataFrame, *keep: str, most: int = 1 << 21) -> DataFrame:
+    """(keep, h): of the arrays of hashes of rows, those that may be among known.h; no known one is missing.
+
+    A Bloom filter of blocks of 64 bits, four of which a hash sets, with a block for five hashes, but `most` blocks
+    (16 MB) at most: a filter of more hashes lets more of the others pass, which a join with known is to leave out."""
+    blocks, n = 64, known.count()
+    while blocks < most and blocks * 5 < n:
+        blocks *= 2
+    place = lambda h: F.pmod(h, F.lit(blocks)).cast("int")
+    one = F.lit(1).cast("long")
+
+    def bits(h):
+        out = None
+        for k in range(4):
+            bit = F.call_function("shiftleft", one, F.shiftrightunsigned(h, 64 - 6 * (k + 1)).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+            out = bit if out is None else out.bitwiseOR(bit)
+        return out
+
+    filled = known.groupBy(place(F.col("h")).alias("at")).agg(F.bit_or(bits(F.col("h"))).alias("bits"))
+    every = known.sparkSession.range(blocks).select(F.col("id").cast("int").alias("at")).join(filled, "at", "left")
+    row = every.agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("_all"))
+    one_row = row.select(F.col("_all.bits").alias("_bloom"))
+    met = lambda h: F.get("_bloom", place(h)).bitwiseAND(bits(h)) == bits(h)
+    return rows.join(F.broadcast(one_row)).select(*keep, F.explode(F.filter(hashes, met)).alias("h"))

@@ -56,11 +56,11 @@ def budget_trim(spark, sf_dir):
     return C.budget_prefixes(manifest(spark, sf_dir).where("tokens > 0"), [100_000], "t").select("song", "tokens")
 
 
-@query(f"""with {SQL_MANIFEST}, r as (select song, tokens, unnest(range(0, 5)) as round from manifest where dataset = 'src3'),
+@query(f"""with {SQL_MANIFEST}, r as (select song, tokens, unnest(range(0, 5)) as round from manifest),
 t as (select *, sum(tokens) over (order by round, md5(cast(song as varchar)), song rows unbounded preceding) as cum from r)
 select song, cast(round as integer) as round, tokens from t where cum - tokens < 400000""")
 def repeat_to_target(spark, sf_dir):
-    return C.repeat_to_target(manifest(spark, sf_dir).where("dataset = 'src3'"), 400_000, 5).select("song", "round", "tokens")
+    return C.repeat_to_target(manifest(spark, sf_dir), 400_000, 5).select("song", "round", "tokens")
 
 
 @query(f"""with {SQL_MANIFEST}, r as (select song, label, row_number() over (partition by label order by md5('s'||cast(song as varchar)), song) as rn,
@@ -145,7 +145,8 @@ def first_n_per_key(spark, sf_dir):
 select source, count(*) as n, cast(sum(id) as bigint) as total from (select source, unnest(ids) as id from g union all select 'all', doc_id from documents) t group by source""")
 def flatten_union(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    nested = d.groupBy("source").agg(F.collect_list("doc_id").alias("ids")).select("source", F.explode("ids").alias("id"))
+    # Lists of some thousand ids each, however many a source has.
+    nested = d.groupBy("source", F.expr("doc_id div 4096")).agg(F.collect_list("doc_id").alias("ids")).select("source", F.explode("ids").alias("id"))
     every = nested.union(d.select(F.lit("all"), "doc_id"))
     return every.groupBy("source").agg(F.count("*").alias("n"), F.sum("id").alias("total"))
 
@@ -167,15 +168,17 @@ def leak_check(spark, sf_dir):
     return both.agg(F.count("*").alias("leaks")).crossJoin(s.agg(F.countDistinct("song").alias("songs")))
 
 
-@query(f"""with {SQL_MANIFEST}, g as (select dataset, song, row_number() over (partition by dataset order by md5('m'||cast(song as varchar)), song)-1 as r, count(*) over (partition by dataset) as n from manifest where dataset in ('src0','src1','src2')),
-q as (select 'src0' as dataset, 8 as per union all select 'src1', 4 union all select 'src2', 4),
+@query(f"""with {SQL_MANIFEST}, g as (select dataset, song, row_number() over (partition by dataset order by md5('m'||cast(song as varchar)), song)-1 as r, count(*) over (partition by dataset) as n from manifest),
+q as (select dataset, case when row_number() over (order by dataset) % 3 = 1 then 8 else 4 end as per from (select distinct dataset from manifest) x),
 b as (select max(cast(ceil(n/cast(per as double)) as bigint)) as batches from g join q using (dataset)),
 k as (select dataset, per, unnest(range(0, per*batches)) as slot from q, b)
 select k.dataset, cast(k.slot // k.per as bigint) as batch, g.song from k join g on g.dataset = k.dataset and g.r = k.slot % g.n""")
 def mixture_batches(spark, sf_dir):
     """Batches of fixed numbers per dataset; short datasets start again until the longest is through."""
-    quota = spark.createDataFrame([("src0", 8), ("src1", 4), ("src2", 4)], "dataset string, per int")
-    g = C.ranked(manifest(spark, sf_dir), ["dataset"], "song", "m").join(F.broadcast(quota), "dataset").withColumn("r", F.col("rn") - 1)
+    # A row for each dataset.
+    number = F.row_number().over(Window.orderBy("dataset"))
+    quota = manifest(spark, sf_dir).select("dataset").distinct().select("dataset", F.when(number % 3 == 1, 8).otherwise(4).alias("per"))
+    g = C.ranked(manifest(spark, sf_dir), ["dataset"], "song", "m").join(quota, "dataset").withColumn("r", F.col("rn") - 1)
     batches = g.agg(F.max(F.ceil(F.col("n") / F.col("per"))).alias("batches"))
     slots = g.crossJoin(F.broadcast(batches)).withColumn("_last", F.floor((F.col("per") * F.col("batches") - 1 - F.col("r")) / F.col("n")))
     again = slots.where("_last >= 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
@@ -183,10 +186,10 @@ def mixture_batches(spark, sf_dir):
     return again.select("dataset", F.floor(slot / F.col("per")).alias("batch"), "song")
 
 
-@query(f"""with {SQL_MANIFEST}, r as (select song, dataset, row_number() over (partition by dataset order by md5('q'||cast(song as varchar)), song) as rn from manifest where dataset in ('src0','src1','src2'))
+@query(f"""with {SQL_MANIFEST}, r as (select song, dataset, row_number() over (partition by dataset order by md5('q'||cast(song as varchar)), song) as rn from manifest)
 select song, dataset from r where rn <= case dataset when 'src0' then 10 else 5 end""")
 def source_mix_quota(spark, sf_dir):
-    r = C.ranked(manifest(spark, sf_dir).where(F.col("dataset").isin("src0", "src1", "src2")), ["dataset"], "song", "q")
+    r = C.ranked(manifest(spark, sf_dir), ["dataset"], "song", "q")
     return r.where(F.col("rn") <= F.when(F.col("dataset") == "src0", 10).otherwise(5)).select("song", "dataset")
 
 

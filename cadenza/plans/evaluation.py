@@ -302,11 +302,12 @@ def boundary_seeds(spark, sf_dir):
     return r.groupBy("arm", F.col("bucket").alias("pos")).agg(F.round(F.avg("m"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("m"), F.lit(0.0)), 6).alias("sd"))
 
 
-@query(f"with {SQL_PREDS}, t as (select *, unnest([100, 400, 1600]) as tokens from p) select cast(tokens as bigint) as tokens, 'ft'||tokens as checkpoint, count(*) as n, round(avg(case when gold=pred then 1e0 else 0e0 end), 6) as accuracy from t where doc_id < tokens group by 1,2")
+@query(f"with {SQL_PREDS}, t as (select *, unnest([1, 4, 16]) as part, ({SQL_MOD.format(x="'c'||cast(doc_id as varchar)", n=16)}) as h from p) select cast(part as bigint) as part, 'ft'||part as checkpoint, count(*) as n, round(avg(case when gold=pred then 1e0 else 0e0 end), 6) as accuracy from t where h < part group by 1,2")
 def learning_curve(spark, sf_dir):
-    """Metrics of checkpoints by the tokens that they were tuned on."""
-    t = predictions(spark, sf_dir).withColumn("tokens", F.explode(F.array(*[F.lit(x).cast("long") for x in (100, 400, 1600)]))).where("doc_id < tokens")
-    return t.groupBy("tokens", F.concat(F.lit("ft"), F.col("tokens").cast("string")).alias("checkpoint")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("gold") == F.col("pred")).cast("double")), 6).alias("accuracy"))
+    """Metrics of checkpoints by the part of the data, in sixteenths, that they were tuned on."""
+    h = X.md5_mod(F.concat(F.lit("c"), F.col("doc_id").cast("string")), 16)
+    t = predictions(spark, sf_dir).withColumn("part", F.explode(F.array(*[F.lit(x).cast("long") for x in (1, 4, 16)]))).where(h < F.col("part"))
+    return t.groupBy("part", F.concat(F.lit("ft"), F.col("part").cast("string")).alias("checkpoint")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("gold") == F.col("pred")).cast("double")), 6).alias("accuracy"))
 
 
 @query(f"with {SQL_PREDS}, c as (select distinct lang as known from p where source in ('src1','src2')), k as (select * from p where lang in (select known from c) and source not in ('src1','src2')) select count(*) as n, round(avg(case when gold=pred then 1e0 else 0e0 end), 6) as accuracy from k")
@@ -327,16 +328,16 @@ def meta_first_rate(spark, sf_dir):
     return f.agg(F.count("*").alias("n"), F.round(F.avg(first.cast("double")), 6).alias("rate"))
 
 
-@query(f"with {SQL_NOTES}, a as (select song, measure, shift, pitch, dur, row_number() over (partition by song order by measure, shift, pitch, dur, event_id) as k from notes where program='view'), b as (select song, measure, shift, pitch, least(dur + case when event_id%10=0 then 1 when event_id%25=1 then 3 else 0 end, 288) as dur, row_number() over (partition by song order by measure, shift, pitch, dur, event_id) as k from notes where program='view') select a.song, count(*) as n, cast(sum(case when a.pitch=b.pitch and a.measure=b.measure and a.shift=b.shift and abs(a.dur-b.dur) <= 1 then 0 else 1 end) as bigint) as mismatch from a join b on a.song=b.song and a.k=b.k group by 1")
+@query(f"with {SQL_NOTES}, a as (select song, program, measure, shift, pitch, dur, row_number() over (partition by song, program order by measure, shift, pitch, dur, event_id) as k from notes), b as (select song, program, measure, shift, pitch, least(dur + case when event_id%10=0 then 1 when event_id%25=1 then 3 else 0 end, 288) as dur, row_number() over (partition by song, program order by measure, shift, pitch, dur, event_id) as k from notes) select a.song, a.program, count(*) as n, cast(sum(case when a.pitch=b.pitch and a.measure=b.measure and a.shift=b.shift and abs(a.dur-b.dur) <= 1 then 0 else 1 end) as bigint) as mismatch from a join b on a.song=b.song and a.program=b.program and a.k=b.k group by 1,2")
 def round_trip(spark, sf_dir):
     """Two versions of a song note by note, in order; durations may differ by one."""
-    w = Window.partitionBy("song").orderBy("measure", "shift", "pitch", "dur", "event_id")
-    a = notes(spark, sf_dir).where("program = 'view'").withColumn("k", F.row_number().over(w))
+    w = Window.partitionBy("song", "program").orderBy("measure", "shift", "pitch", "dur", "event_id")
+    a = notes(spark, sf_dir).withColumn("k", F.row_number().over(w))
     e = F.col("event_id")
     other = F.least(F.col("dur") + F.when(e % 10 == 0, 1).when(e % 25 == 1, 3).otherwise(0), F.lit(288))
-    b = a.select("song", "k", *[F.col(c).alias(f"{c}2") for c in ("measure", "shift", "pitch")], other.alias("dur2"))
+    b = a.select("song", "program", "k", *[F.col(c).alias(f"{c}2") for c in ("measure", "shift", "pitch")], other.alias("dur2"))
     same = (F.col("pitch") == F.col("pitch2")) & (F.col("measure") == F.col("measure2")) & (F.col("shift") == F.col("shift2")) & (F.abs(F.col("dur") - F.col("dur2")) <= 1)
-    return a.join(b, ["song", "k"]).groupBy("song").agg(F.count("*").alias("n"), F.count_if(~same).alias("mismatch"))
+    return a.join(b, ["song", "program", "k"]).groupBy("song", "program").agg(F.count("*").alias("n"), F.count_if(~same).alias("mismatch"))
 
 
 @query("with n as (select doc_id, 'song'||(doc_id//12)||case when doc_id%12=5 then '' else '_shift_'||(doc_id%12-5) end||'.mid.npz' as name from documents), s as (select distinct 'song'||(doc_id//12) as song, doc_id//12 % 10 as h from documents) select n.doc_id, case when s.h < 8 then 'train' when s.h = 8 then 'val' else 'test' end as split from n join s on s.song = replace(n.name, '.mid.npz', '')")
@@ -356,7 +357,7 @@ def expert_averages(spark, sf_dir, decay: float = 0.9):
     c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("layer"), F.col("l_linenumber").alias("step"), (F.col("l_suppkey") % 5).alias("expert")).agg(F.count("*").alias("n"))
     own = F.transform(F.array_sort(F.collect_list(F.struct("step", "n"))), lambda x: x["n"].cast("double"))
     g = c.groupBy("layer", "expert").agg(own.alias("v"))
-    ema = F.aggregate(F.slice("v", 2, 1000000), F.get("v", F.lit(0)), lambda a, x: F.lit(decay) * a + F.lit(1.0) * (1 - decay) * x)
+    ema = F.aggregate(F.slice("v", F.lit(2), F.size("v")), F.get("v", F.lit(0)), lambda a, x: F.lit(decay) * a + F.lit(1.0) * (1 - decay) * x)
     return g.select("layer", "expert", F.round(ema, 6).alias("ema"))
 
 

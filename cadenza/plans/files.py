@@ -23,11 +23,11 @@ def _files(spark, sf_dir):
     return manifest(spark, sf_dir).withColumn("path", F.concat("dataset", F.lit("/"), F.col("song").cast("string"), ending))
 
 
-@query("select d.source, count(*) as files from documents d group by 1")
+@query("select d.source, cast(ceil(count(*) / 1000e0) as bigint) as files from documents d group by 1")
 def file_scan(spark, sf_dir):
     """Files below a folder by their suffix, in either case; the contents are not read."""
     root = _folder(spark)
-    table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("value")).repartition(4, "source").write.partitionBy("source").option("maxRecordsPerFile", 1).text(root)
+    table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("value")).repartition("source").write.partitionBy("source").option("maxRecordsPerFile", 1000).text(root)
     found = S.read_files(spark, root, ".TXT".lower())
     return found.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")).agg(F.count("*").alias("files"))
 
@@ -46,18 +46,20 @@ def allowed_files(spark, sf_dir):
 def index_scan(spark, sf_dir):
     """A nested JSON index, one list for each folder, flattened."""
     root = _folder(spark)
-    nested = _files(spark, sf_dir).groupBy("dataset").agg(F.to_json(F.array(F.sort_array(F.collect_list("path")))).alias("value")).select("value")
+    # A folder's list goes on in further files after some thousand paths.
+    part = F.pmod(F.xxhash64("path"), F.ceil(F.count("*").over(Window.partitionBy("dataset")) / 5000)).alias("part")
+    nested = _files(spark, sf_dir).select("dataset", "path", part).groupBy("dataset", "part").agg(F.to_json(F.array(F.sort_array(F.collect_list("path")))).alias("value")).select("value")
     nested.write.option("maxRecordsPerFile", 1).text(root)
     f = S.read_index(spark, root).withColumn("dataset", F.substring_index("path", "/", 1))
     return f.groupBy("dataset").agg(F.count("*").alias("files"), F.min("path").alias("first_"), F.max("path").alias("last_"))
 
 
-@query(f"with {SQL_FILES} select dataset_id, dataset, count(*) as files from (select *, dense_rank() over (order by dataset) - 1 as dataset_id from f where dataset in ('src1','src2','src3')) x group by 1,2")
+@query(f"with {SQL_FILES} select dataset_id, dataset, count(*) as files from (select *, dense_rank() over (order by dataset) - 1 as dataset_id from f) x group by 1,2")
 def multi_source_scan(spark, sf_dir):
     """Several folders read one after the other, each with its number."""
     root, out = _folder(spark), None
-    names = ("src1", "src2", "src3")
-    _files(spark, sf_dir).where(F.col("dataset").isin(*names)).select("dataset", "path").write.partitionBy("dataset").parquet(root)
+    names = sorted(r["dataset"] for r in manifest(spark, sf_dir).select("dataset").distinct().collect())
+    _files(spark, sf_dir).select("dataset", "path").write.partitionBy("dataset").parquet(root)
     for k, name in enumerate(names):
         one = spark.read.schema("path string").parquet(f"{root}/dataset={name}").select(F.lit(k).cast("long").alias("dataset_id"), F.lit(name).alias("dataset"), "path")
         out = one if out is None else out.unionByName(one)
@@ -175,17 +177,17 @@ def packed_songs(spark, sf_dir):
     return s.select("song", text(F.flatten("seqs"), "packed"), F.size("seqs").cast("long").alias("parts"))
 
 
-@query("select event_type as kind, count(*) as n, cast(max(event_id) as bigint) as last_ from events group by 1")
+@query("select event_type as kind, count(*) as n, row_number() over (order by event_type < 'm', event_type) as id from events group by 1")
 def vocabulary_append(spark, sf_dir):
     """A vocabulary that is saved, read and extended: known names keep their ids, new ones follow."""
     root = _folder(spark)
-    kinds = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.max("event_id").alias("last_"))
-    known = kinds.where("kind < 'm'").withColumn("id", F.row_number().over(Window.orderBy("kind")))
+    kinds = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+    known = kinds.where("kind >= 'm'").withColumn("id", F.row_number().over(Window.orderBy("kind")))
     known.select("kind", "id").write.json(root)
     old = spark.read.schema("kind string, id int").json(root)
     top = old.agg(F.max("id").alias("top"))
     new = kinds.join(old, "kind", "left_anti").crossJoin(F.broadcast(top)).select("kind", (F.col("top") + F.row_number().over(Window.orderBy("kind"))).alias("id"))
-    return kinds.join(old.unionByName(new), "kind").select("kind", "n", "last_")
+    return kinds.join(old.unionByName(new), "kind").select("kind", "n", F.col("id").cast("long").alias("id"))
 
 
 @query("""with n as (select user_id as track, event_id, cast(floor(epoch(ts)) as bigint) as a, cast(floor(epoch(ts)) as bigint)+1+cast(floor(value) as bigint) as b, cast(json_extract_string(props,'$.k') as integer) as pitch from events), m as (select track, a as tick, 1 as is_on, pitch, event_id from n union all select track, b, 0, pitch, event_id from n)

@@ -185,11 +185,11 @@ def heldout_originals(spark, sf_dir):
     return m.where("shift = 0").join(held, "song", "left_semi").select("song", "shift")
 
 
-@query(f"""with {SQL_MANIFEST}, l as (select doc_id, quality from labels where toxic = 0) select m.song, m.dataset, m.label, l.quality from manifest m join l on l.doc_id=m.song where m.dataset in ('src1','src2','src3')""")
+@query(f"""with {SQL_MANIFEST}, l as (select doc_id, quality from labels where toxic = 0) select m.song, m.dataset, m.label, l.quality from manifest m join l on l.doc_id=m.song""")
 def pool_lookup(spark, sf_dir):
-    """Labels of the documents of a pool: rows without one, and those outside the pool, go."""
+    """Labels of the documents of a pool: rows without one go."""
     l = table(spark, sf_dir, "labels").where("toxic = 0").select(F.col("doc_id").alias("song"), "quality")  # noqa: E741
-    return manifest(spark, sf_dir).where(F.col("dataset").isin("src1", "src2", "src3")).join(l, "song").select("song", "dataset", "label", "quality")
+    return manifest(spark, sf_dir).join(l, "song").select("song", "dataset", "label", "quality")
 
 
 @query("""with t as (select user_id, ts, max(value) as tempo from events where event_type='signup' group by 1,2) select e.event_id, coalesce(t.tempo, 0) as tempo from (select * from events where event_type='view') e asof left join t on e.user_id=t.user_id and e.ts >= t.ts""")
@@ -200,20 +200,13 @@ def tempo_at_note(spark, sf_dir):
     return N.as_of(e.where("event_type = 'view'"), t, ["user_id"], "ts", "tempo").select("event_id", F.coalesce("tempo", F.lit(0.0)).alias("tempo"))
 
 
-@query(f"""with {SQL_PREDS}, a as (select doc_id, gold, row_number() over (order by doc_id) as k from p), b as (select doc_id, pred, row_number() over (order by doc_id) as k from p) select a.k as ordinal, a.gold, b.pred, (select count(*) from a) - (select count(*) from b) as mismatch from a join b on a.k=b.k""")
+@query("""with a as (select doc_id, quality as gold, row_number() over (order by doc_id) as k from labels), b as (select doc_id, n_chars, row_number() over (order by doc_id) as k from documents) select a.k as ordinal, a.gold, b.n_chars, (select count(*) from a) - (select count(*) from b) as mismatch from a join b on a.k=b.k""")
 def positional_zip(spark, sf_dir):
-    """Two tables put side by side by their place in the order of a key; mismatch is 0 if they are of one length.
-
-    Places come from counts of key ranges, so no task sees all rows.
-    """
-    p = predictions(spark, sf_dir).select("doc_id", "gold", "pred")
-    span = F.floor(F.col("doc_id") / 1024)
-    counts = p.groupBy(span.alias("span")).agg(F.count("*").alias("c"))
-    starts = counts.select("span", F.coalesce(F.sum("c").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = p.withColumn("span", span).join(starts, "span").withColumn("ordinal", F.col("before") + F.row_number().over(Window.partitionBy("span").orderBy("doc_id")))
-    a, b = placed.select("ordinal", "gold"), placed.select("ordinal", "pred")
+    """Two tables put side by side by their place in the order of a key; mismatch is by how much the first one is longer."""
+    a = C.numbered(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("gold")), "doc_id")
+    b = C.numbered(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").drop("doc_id")
     n = a.agg(F.count("*").alias("na")).crossJoin(b.agg(F.count("*").alias("nb")))
-    return a.join(b, "ordinal").crossJoin(F.broadcast(n)).select("ordinal", "gold", "pred", (F.col("na") - F.col("nb")).alias("mismatch"))
+    return a.join(b, "ordinal").crossJoin(F.broadcast(n)).select("ordinal", "gold", "n_chars", (F.col("na") - F.col("nb")).alias("mismatch"))
 
 
 @query(f"with {SQL_NOTES}, g as (select song, program, count(*) as n, round(avg(pitch), 6) as pitch from notes group by 1,2) select a.song, a.n as generated, b.n as context, c.n as reference, round(a.pitch - c.pitch, 6) as gap from g a join g b on a.song=b.song and b.program='click' join g c on a.song=c.song and c.program='purchase' where a.program='view'")
@@ -340,12 +333,12 @@ def tokens_to_seconds(spark, sf_dir, tempo: float = 120.0):
     return n.select("song", "program", "measure", "pitch", tick(F.col("shift")).alias("start"), tick(F.col("shift") + F.col("dur")).alias("stop"))
 
 
-@query(f"with {SQL_NOTES}, c as (select song, measure, shift//12 as chunk, shift%12 as step, pitch from notes where program='view') select song, cast(measure as integer) as measure, cast(chunk as integer) as chunk, count(*) as cells, cast(min(measure*96+chunk*12+step) as integer) as first_step from c group by 1,2,3")
+@query(f"with {SQL_NOTES}, c as (select song, program, measure, shift//12 as chunk, shift%12 as step, pitch from notes) select song, program, cast(measure as integer) as measure, cast(chunk as integer) as chunk, count(*) as cells, cast(min(measure*96+chunk*12+step) as integer) as first_step from c group by 1,2,3,4")
 def bar_chunks(spark, sf_dir):
     """A bar in eight chunks of twelve steps, and the step of the song that a chunk's first cell had."""
     s = F.col("shift")
-    n = notes(spark, sf_dir).where("program = 'view'").select("song", "measure", F.expr("cast(shift div 12 as int)").alias("chunk"), (s % 12).alias("step"))
-    return n.groupBy("song", "measure", "chunk").agg(F.count("*").alias("cells"), F.min(F.col("measure") * 96 + F.col("chunk") * 12 + F.col("step")).cast("int").alias("first_step"))
+    n = notes(spark, sf_dir).select("song", "program", "measure", F.expr("cast(shift div 12 as int)").alias("chunk"), (s % 12).alias("step"))
+    return n.groupBy("song", "program", "measure", "chunk").agg(F.count("*").alias("cells"), F.min(F.col("measure") * 96 + F.col("chunk") * 12 + F.col("step")).cast("int").alias("first_step"))
 
 
 @query(f"with {SQL_NOTES}, m as (select song, max(measure)+1 as bars from notes group by 1), w as (select song, bars, unnest(range(0, greatest(bars-8, 0)+1, 4)) as a from m) select song, cast(a as integer) as a, cast(least(a+8, bars) as integer) as b from w")

@@ -72,20 +72,21 @@ def distinct_n(spark, sf_dir):
 bw as (select string_split(text, ' ') as w from benchmark), b as (select distinct array_to_string(list_slice(w, i, i+7), ' ') as g from (select w, unnest(range(1, len(w)-6)) as i from bw) t)
 select g.doc_id, count(*) as grams, count(b.g) as hits from g left join b on g.g=b.g group by g.doc_id having count(b.g) > 0""")
 def contamination_8gram(spark, sf_dir):
-    """Documents with 8-grams of the benchmark: hashes find the documents that can have one, which are then compared by text."""
+    """Documents with 8-grams of the benchmark: hashes find the documents that can have one, which are then compared by text.
+
+    A document's hashes are tested against a Bloom filter of the benchmark's in the row; only those that pass are rows."""
     def words(df, *keys):
         return df.select(*keys, F.split("text", " ").alias("w")).where(F.size("w") >= 8)
 
     def grams(w):
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.array_join(F.slice(w, i, F.lit(8)), " ")))
 
-    hashed = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 8), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(8)]))
-    bench = words(table(spark, sf_dir, "benchmark"))
-    docs = words(table(spark, sf_dir, "documents"), "doc_id")
-    hits = docs.select("doc_id", F.explode(hashed(F.col("w"))).alias("h")).join(bench.select(F.explode(hashed(F.col("w"))).alias("h")).distinct(), "h", "left_semi")
+    bench, docs = words(table(spark, sf_dir, "benchmark")), words(table(spark, sf_dir, "documents"), "doc_id")
+    known = M.gram_hashes(bench, "w", 8).select(F.explode("h").alias("h")).distinct()
+    hits = M.possible(M.gram_hashes(docs, "w", 8), "h", known, "doc_id").join(known, "h", "left_semi")
     few = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    known = bench.select(F.explode(grams(F.col("w"))).alias("g")).distinct().withColumn("hit", F.lit(1))
-    own = few.select("doc_id", F.explode(grams(F.col("w"))).alias("g")).join(known, "g", "left")
+    listed = bench.select(F.explode(grams(F.col("w"))).alias("g")).distinct().withColumn("hit", F.lit(1))
+    own = few.select("doc_id", F.explode(grams(F.col("w"))).alias("g")).join(listed, "g", "left")
     return own.groupBy("doc_id").agg(F.count("*").alias("grams"), F.count("hit").alias("hits")).where("hits > 0")
 
 
@@ -126,9 +127,9 @@ def groove_agreement(spark, sf_dir):
     return same.groupBy("program").agg(F.round(F.avg((F.col("groove") == F.col("own")).cast("double")), 6).alias("agreement"), F.count("*").alias("n"))
 
 
-@query(f"""with {SQL_NOTES} select song, arg_min(pitch, (measure*96+shift)*100000000 + event_id) filter (where measure >= 15) - arg_max(pitch, (measure*96+shift)*100000000 + event_id) filter (where measure < 15) as seam from notes group by song""")
+@query(f"""with {SQL_NOTES} select song, arg_min(pitch, cast(measure*96+shift as hugeint)*1000000000000000000 + event_id) filter (where measure >= 15) - arg_max(pitch, cast(measure*96+shift as hugeint)*1000000000000000000 + event_id) filter (where measure < 15) as seam from notes group by song""")
 def seam_interval(spark, sf_dir):
-    at = (F.col("measure") * 96 + F.col("shift")).cast("long") * 100000000 + F.col("event_id")
+    at = F.struct("measure", "shift", "event_id")
     after, before = F.when(F.col("measure") >= 15, at), F.when(F.col("measure") < 15, at)
     return notes(spark, sf_dir).groupBy("song").agg((F.min_by("pitch", after) - F.max_by("pitch", before)).alias("seam"))
 

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..operators import notes as N
-from ..operators import sequences as S
 from ..sources.tables import SQL_NOTES, notes, sequences, table
 from .registry import query
 
@@ -38,8 +37,8 @@ def density_bucket(spark, sf_dir):
 
 @query(f"with {SQL_NOTES} select song, program, max(c) = 1 as mono from (select song, program, measure, shift, count(*) as c from notes group by 1,2,3,4) t group by 1,2")
 def monophony_check(spark, sf_dir):
-    onsets = notes(spark, sf_dir).groupBy("song", "program").agg(F.collect_list(F.struct("measure", "shift")).alias("o"))
-    return onsets.select("song", "program", S.monophonic(F.col("o")).alias("mono"))
+    onsets = notes(spark, sf_dir).groupBy("song", "program", "measure", "shift").agg(F.count("*").alias("c"))
+    return onsets.groupBy("song", "program").agg((F.max("c") == 1).alias("mono"))
 
 
 @query(f"""with {SQL_NOTES}, o as (select song, measure, shift, lag(shift) over (partition by song, measure order by event_id) as before from notes)

@@ -104,12 +104,12 @@ def sample_parse(spark, sf_dir):
     return orders(spark, sf_dir).select("conv_id", F.array_join(gold, ">").alias("gold"), F.size("b").cast("long").alias("n"))
 
 
-@query(f"with {SQL_NOTES}, b as (select song, array_to_string(list_concat(['3'], list_transform(list(pitch+209 order by event_id), lambda x: cast(x as varchar)), ['626','2']), ' ') as block from notes where program='view' group by 1) select song, block from b")
+@query(f"with {SQL_NOTES}, b as (select song, program, array_to_string(list_concat(['3'], list_transform(list(pitch+209 order by event_id), lambda x: cast(x as varchar)), ['626','2']), ' ') as block from notes group by 1,2) select song, program, block from b")
 def block_build(spark, sf_dir):
     own = F.array_sort(F.collect_list(F.struct("event_id", (F.col("pitch") + 209).cast("string").alias("t"))))
     body = F.transform(own, lambda x: x["t"])
     whole = F.concat(F.array(F.lit("3")), body, F.array(F.lit("626"), F.lit("2")))
-    return notes(spark, sf_dir).where("program = 'view'").groupBy("song").agg(F.array_join(whole, " ").alias("block"))
+    return notes(spark, sf_dir).groupBy("song", "program").agg(F.array_join(whole, " ").alias("block"))
 
 
 SQL_RUNS = """r0 as (select user_id as song, event_id, ts, event_type, case when lag(event_type) over w = event_type then 0 else 1 end as new_ from events window w as (partition by user_id order by ts, event_id)),
@@ -158,7 +158,7 @@ def key_windows(spark, sf_dir):
 
 
 SQL_VOTES = f"""{SQL_WIN}, n as (select song, measure, program, count(*) as c, row_number() over (partition by song, measure order by count(*) desc, program) as r from notes group by 1,2,3),
-v as (select w.song, w.a, w.b, arg_max(n.program, n.c*10000 - n.r*100 - n.measure) as vote, least(3, max(n.c)) as weight from wins w join n on n.song=w.song and n.measure>=w.a and n.measure<w.b group by 1,2,3),
+v as (select w.song, w.a, w.b, arg_max(n.program, cast(n.c as hugeint)*1000000000000000000 - n.r*cast(1000000000 as hugeint) - n.measure) as vote, least(3, max(n.c)) as weight from wins w join n on n.song=w.song and n.measure>=w.a and n.measure<w.b group by 1,2,3),
 bars as (select song, a, unnest(range(a, b)) as bar, vote, weight from v), s as (select song, bar, vote, sum(weight) as weight, min(a) as f from bars group by 1,2,3)"""
 
 
@@ -169,7 +169,7 @@ def bar_vote(spark, sf_dir):
     r = counts.withColumn("r", F.row_number().over(Window.partitionBy("song", "measure").orderBy(F.desc("c"), "program")))
     spread = _key_windows(spark, sf_dir).withColumn("measure", F.explode(F.sequence(F.col("a"), F.col("b") - 1)))
     v = spread.join(r, ["song", "measure"]).groupBy("song", "a", "b").agg(
-        F.max_by("program", F.col("c") * 10000 - F.col("r") * 100 - F.col("measure")).alias("vote"), F.least(F.lit(3), F.max("c")).alias("weight")
+        F.max_by("program", F.struct("c", -F.col("r"), -F.col("measure"))).alias("vote"), F.least(F.lit(3), F.max("c")).alias("weight")
     )
     bars = v.withColumn("bar", F.explode(F.sequence(F.col("a"), F.col("b") - 1))).withColumn("bar", F.col("bar").cast("long"))
     s = bars.groupBy("song", "bar", "vote").agg(F.sum("weight").alias("weight"), F.min("a").alias("f"))
