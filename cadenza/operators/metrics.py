@@ -157,3 +157,24 @@ def possible(rows: DataFrame, hashes: str, known: DataFrame, *keep: str, most: i
     one_row = row.select(F.col("_all.bits").alias("_bloom"))
     met = lambda h: F.get("_bloom", place(h)).bitwiseAND(bits(h)) == bits(h)
     return rows.join(F.broadcast(one_row)).select(*keep, F.explode(F.filter(hashes, met)).alias("h"))
+
+
+def auc_by_source(rows: DataFrame, source: str, score: str, negative) -> DataFrame:
+    """(source, positives, negatives, auc, mean): for each source of positive rows the chance that one of its rows has a
+    higher score than a negative one, equal scores counting half. The negative rows, by a condition, are the same for all
+    sources and are not copied: they are counted by score once. `null` as source stands for all positives together; mean
+    is the mean score. Scores are within 0 and 1; rows without score are left out.
+
+    Negatives below a score come from counts of 4,096 ranges of scores and windows within these.
+    """
+    known = rows.where(F.col(score).isNotNull()).select(F.col(source).alias("source"), F.col(score).alias("_s"), negative.alias("_negative"))
+    values = known.groupBy("_s").agg(F.count_if("_negative").alias("_at")).withColumn("_range", F.floor(F.col("_s") * 4096))
+    before = lambda w: F.coalesce(F.sum("_at").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = values.groupBy("_range").agg(F.sum("_at").alias("_at")).select("_range", before(Window.orderBy("_range")).alias("_lower"))
+    below = values.withColumn("_own", before(Window.partitionBy("_range").orderBy("_s"))).join(ranges, "_range")
+    wins = below.select("_s", (F.col("_own") + F.col("_lower") + F.col("_at") / 2).alias("_wins"))
+    counts = known.where("not _negative").groupBy("source", "_s").agg(F.count("*").alias("_n"))
+    total = known.agg(F.count_if("_negative").alias("negatives"))
+    each = counts.join(wins, "_s").groupBy("source", "_s").agg(F.sum("_n").alias("_n"), F.first("_wins").alias("_wins"))
+    found = each.rollup("source").agg(F.sum("_n").alias("positives"), F.sum(F.col("_n") * F.col("_wins")).alias("_w"), (F.sum(F.col("_n") * F.col("_s")) / F.sum("_n")).alias("mean"))
+    return found.crossJoin(F.broadcast(total)).select("source", "positives", "negatives", (F.col("_w") / F.nullif(F.col("positives") * F.col("negatives"), F.lit(0))).alias("auc"), "mean")

@@ -88,3 +88,58 @@ def parsed_block(block: Column) -> Column:
     pairs = F.transform(starts, one)
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
     return F.map_from_entries(last)
+
+
+#: What makes the model state the whole system block before it plays.
+THINKING = 689
+
+
+def partial_system(key: Column, measures: Column, insts: Column, genre: Column, density: Column, length: Column, with_genre: Column, with_key: Column, thinking: Column) -> Column:
+    """A system block with what the conditions ask for: <SYSTEM>, each instrument and, if density, its density, then, if
+    asked for, number of measures, genre, key and <thinking>, <TAG_END>. insts: array of (inst, density)."""
+    each = F.flatten(F.transform(insts, lambda x: F.when(density, F.array(x["inst"].cast("int"), (x["density"] + V.DENSE - 1).cast("int"))).otherwise(F.array(x["inst"].cast("int")))))
+    some = lambda asked, token: F.when(asked, F.array(token.cast("int"))).otherwise(none())
+    return F.concat(
+        tokens(SYSTEM), each, some(length, measures + V.GMC - 1), some(with_genre, genre + V.GENRE), some(with_key, key + V.KEY), some(thinking, F.lit(THINKING)), tokens(V.TAG_END)
+    )
+
+
+def parsed_sample(sample: Column) -> Column:
+    """A sample of generation taken apart: (task, prompt, condition, past, future, other, gold); null without <MGEN> or
+    without a system block before it.
+
+    Before <MGEN> stand blocks from their marker to <TAG_END> or the next marker; of a marker that comes again the last
+    block counts. condition is the system block with its marker and end, past, future and other are maps of instruments
+    to sequences (null if their block is missing), prompt goes up to <MGEN>. Which blocks there are tells the task. gold
+    is what follows <MGEN>, without a system block at its start and without <TE>.
+    """
+    at = F.array_position(sample, MGEN).cast("int")
+    head = F.slice(sample, F.lit(1), F.greatest(at - 1, F.lit(0)))
+    marks = (SYSTEM, *MARKS.values())
+    is_end = lambda t: t.isin(V.TAG_END, *marks)
+
+    def block(mark: int) -> Column:
+        places = F.filter(F.transform(head, lambda t, i: F.when(t == mark, i)), lambda i: i.isNotNull())
+        start = F.array_max(places)
+        rest = F.slice(head, start + 2, F.size(head))
+        ends = F.filter(F.transform(rest, lambda t, i: F.when(is_end(t), i)), lambda i: i.isNotNull())
+        return F.when(start.isNotNull(), F.slice(rest, F.lit(1), F.coalesce(F.array_min(ends), F.size(rest))))
+
+    found = {n: block(m) for n, m in {"system": SYSTEM, **MARKS}.items()}
+    has = {n: x.isNotNull() for n, x in found.items()}
+    task = (
+        F.when(has["past"] & has["future"], "infill").when(has["past"], "meta_past").when(has["future"], "meta_future")
+        .when(has["const"], "inst_comp").otherwise("meta")
+    )
+    tail = F.slice(sample, at + 1, F.size(sample))
+    end = F.array_position(tail, V.TAG_END).cast("int")
+    said = F.when(F.get(tail, F.lit(0)) == SYSTEM, F.when(end > 0, F.slice(tail, end + 1, F.size(tail))).otherwise(none())).otherwise(tail)
+    seqs = lambda x: F.when(x.isNotNull(), parsed_block(F.concat(x, tokens(V.TAG_END))))
+    return F.when(
+        (at > 0) & has["system"],
+        F.struct(
+            task.alias("task"), F.slice(sample, F.lit(1), at).alias("prompt"), F.concat(tokens(SYSTEM), found["system"], tokens(V.TAG_END)).alias("condition"),
+            seqs(found["past"]).alias("past"), seqs(found["future"]).alias("future"), seqs(found["const"]).alias("other"),
+            F.filter(said, lambda t: t != V.TE).alias("gold"),
+        ),
+    )

@@ -16,4 +16,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import corpus, evaluation, files, filters, loading, metrics, notes, rolls, samples, sequences, telemetry  # noqa: E402, F401
+from . import corpus, evaluation, files, filters, loading, metrics, notes, rolls, samples, scores, sequences, tasks, telemetry  # noqa: E402, F401
