@@ -65,11 +65,12 @@ _FITS = [
 ]
 _BEST = "greatest(" + ", ".join(f"coalesce({x}, -1)" for x in _FITS) + ")"
 SQL["op6_url_filters"] = rf"""
-with u as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{urls.UPPER}', '{urls.UPPER.lower()}') as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from pages),
+with u as (select page_id, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{urls.UPPER}', '{urls.UPPER.lower()}') as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) as path from pages),
 k as (select *, {_BEST} as best, regexp_replace(host, '^(?:www|m)\.|:\d+$', '', 'g') || regexp_replace(path, '(?:/index)?(?:\.html?)?/*$', '') as url from u),
+l as (select distinct url from k where url <> '' and (regexp_matches(host, '(^|[.])({"|".join(urls.SPAM_NAMES)})([.]|$)') or len(regexp_extract_all(coalesce(html, ''), '{urls.JUNK}')) >= {urls.JUNK_RUNS})),
 r as (select * from (values {", ".join(f"({len(h + p) * 100 + i}, '{h + p}', '{v}')" for i, (v, h, p) in enumerate(urls.RULES))}) v(best, rule, verdict))
-select k.page_id, k.host, k.path, r.rule, coalesce(r.verdict, case when k.url <> '' and regexp_matches(k.host, '(^|[.])({"|".join(urls.SPAM_NAMES)})([.]|$)') then 'block' else 'allow' end) as verdict
-from k left join r on r.best = k.best"""
+select k.page_id, k.host, k.path, r.rule, coalesce(r.verdict, case when l.url is not null then 'block' else 'allow' end) as verdict
+from k left join r on r.best = k.best left join l on l.url = k.url"""
 
 _TEMPLATES = ", ".join(
     f"({i}, '{label}', [{', '.join(repr(w.decode()) for w in sorted(set(licenses.block_words(x))))}])" for i, (label, x) in enumerate(licenses.TEMPLATES)

@@ -16,9 +16,9 @@ RULES = (
     ("block", "org", "/es/"),
 )
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: The filter: words of 64 bits, one for URLS_A_WORD URLs of the list, PROBES bits of one word for a URL; MOST_WORDS (8 MB) at
-#: most. A longer list is joined without a filter.
-URLS_A_WORD, PROBES, MOST_WORDS = 5, 6, 1 << 20
+#: The filter: words of 64 bits, one for URLS_A_WORD URLs of the list, PROBES bits of one word for a URL; MOST_WORDS (16 MB) at
+#: most. Of a longer list the filter gets fuller and lets more other URLs pass, which the exact join takes out.
+URLS_A_WORD, PROBES, MOST_WORDS = 5, 6, 1 << 21
 
 
 def lower_ascii(s) -> F.Column:
@@ -78,20 +78,19 @@ def in_list(urls: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:
     """The distinct values of urls.url that listed.url has, both canonical.
 
     Possible hits are those whose bits are all set in the Bloom filter (false positives happen, false negatives do
-    not); an exact join with the list follows and decides. The filter is sized by the list's count and is the only thing
-    sent to every executor; the list itself is joined by hash, however long it is. Nulls are in no list.
+    not); an exact join with the list follows and decides. The filter is sized by the list's count, up to MOST_WORDS, and
+    is the only thing sent to every executor; the list itself is joined by hash, however long it is. Nulls are in no list.
     """
     distinct = urls.select(url).where(F.col(url).isNotNull()).distinct()
     known = cut(listed.select(url).where(F.col(url).isNotNull()).distinct())
     words = 64
     wanted = known.count() / URLS_A_WORD
-    while words < wanted:
+    while words < wanted and words < MOST_WORDS:
         words *= 2
-    if words <= MOST_WORDS:
-        bits = F.broadcast(bloom_words(known, words, url).withColumnRenamed("words", "_words"))
-        mask = _mask(F.col(url))
-        distinct = distinct.join(bits).where(F.get("_words", _block(F.col(url), words)).bitwiseAND(mask) == mask).select(url)
-    return distinct.join(known, url, "left_semi")
+    bits = F.broadcast(bloom_words(known, words, url).withColumnRenamed("words", "_words"))
+    mask = _mask(F.col(url))
+    passed = distinct.join(bits).where(F.get("_words", _block(F.col(url), words)).bitwiseAND(mask) == mask).select(url)
+    return passed.join(known, url, "left_semi")
 
 
 def url_filter(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
@@ -119,17 +118,22 @@ def url_filter(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: s
     return ruled.unionByName(open_).withColumnRenamed("_key", key)
 
 
-#: Names of hosts known for spam, under any domain.
+#: Names of hosts known for spam, under any domain; runs of symbols that a page's HTML has as junk, and how many of them.
 SPAM_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "spam-farm")
+JUNK, JUNK_RUNS = r"[*#%$]{3}", 20
 
 
-def spam_list(pages: DataFrame, url: str = "url", names=SPAM_NAMES) -> DataFrame:
-    """The canonical URLs of all pages on hosts one of whose labels is in names: a list that grows with the crawl."""
+def spam_list(pages: DataFrame, url: str = "url", html: str = "html", names=SPAM_NAMES) -> DataFrame:
+    """Canonical URLs that are not wanted, a list that grows with the crawl: of all pages whose HTML is junk, and of all
+    pages on hosts one of whose labels is in names. Other forms of such a URL are then found by the list alone. Null HTML
+    is no junk."""
     host, path = host_and_path(F.col(url))
-    seen = pages.select(host.alias("host"), path.alias("path")).where(F.arrays_overlap(F.split("host", "[.]"), F.array(*map(F.lit, names))))
-    return seen.select(canonical(F.col("host"), F.col("path")).alias("url")).distinct()
+    junk = F.regexp_count(F.coalesce(F.col(html), F.lit("")), F.lit(JUNK)) >= JUNK_RUNS
+    seen = pages.select(host.alias("host"), path.alias("path"), junk.alias("junk"))
+    named = F.arrays_overlap(F.split("host", "[.]"), F.array(*map(F.lit, names)))
+    return seen.where(F.col("junk") | named).select(canonical(F.col("host"), F.col("path")).alias("url")).distinct()
 
 
 def op6_url_filters(spark, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return url_filter(pages, spam_list(pages))

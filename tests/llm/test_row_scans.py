@@ -208,10 +208,24 @@ def test_each_line_is_judged_alone(spark):
 
 
 def test_the_list_grows_with_the_pages(spark):
-    """URLs on hosts of known names are blocked under any domain, with and without www; others, and malformed ones, are not."""
+    """URLs on hosts of known names are blocked under any domain, with and without www; others, and malformed ones, are not.
+    Of a page that is junk all forms of the URL are blocked, on whatever host."""
     from cadenza.llm import urls
 
     names = ["http://ads-track.com/x", "https://www.blog.casino-win.org/en/1?q", "http://good.com/ads-track", "http://spam-farmer.net/x", "nothing", None, "http://m.cheap-pills.fr/a.html"]
-    pages = spark.createDataFrame([(k, x) for k, x in enumerate(names)], "page_id long, url string")
+    junk, nearly = "a%%% b### c*** d$$$ " * 5, "a%%% b### c*** d$$$ " * 4 + "%%% ## %%% %%"
+    more = [("http://fine.fr/p/", junk), ("https://www.fine.fr/p/index.html?x", "clean"), ("http://fine.fr/q", nearly), ("no url", junk), (None, junk)]
+    rows = [(k, x, None) for k, x in enumerate(names)] + [(100 + k, *x) for k, x in enumerate(more)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["verdict"] for r in urls.url_filter(pages, urls.spam_list(pages)).collect()}
     assert [got[k] for k in range(len(names))] == ["block", "block", "allow", "allow", "allow", "allow", "block"]
+    assert [got[100 + k] for k in range(len(more))] == ["block", "block", "allow", "allow", "allow"]
+
+
+def test_a_full_filter_loses_nothing(spark, monkeypatch):
+    """A list with many more URLs than the filter is sized for."""
+    from cadenza.llm import urls
+
+    monkeypatch.setattr(urls, "MOST_WORDS", 64)
+    listed = spark.range(5000).selectExpr("concat('u', id) as url")
+    assert urls.in_list(spark.range(0, 8000).selectExpr("concat('u', id) as url"), listed).count() == 5000
