@@ -33,10 +33,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """df with its lineage cut by a Parquet table in the same folder: smaller than a checkpoint, and of known size."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

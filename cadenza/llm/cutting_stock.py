@@ -296,7 +296,7 @@ def pack_documents(
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     made = token_pieces(named, "key", "text", tokenizer, capacity, end_id, with_ids=True).drop("piece")
     # Row numbers are kept in the table, so that all that follows sees the same ones.
-    pieces = written(made.withColumn("row", F.monotonically_increasing_id()))
+    pieces = written(made.withColumn("row", F.monotonically_increasing_id()), "zstd")
     laid = pack_stock(pieces.drop("ids"), capacity)
     names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
     ids_of = pieces.select(F.col("row").alias("_row"), F.col("start").alias("_from"), "ids")
