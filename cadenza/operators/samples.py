@@ -143,3 +143,36 @@ def parsed_sample(sample: Column) -> Column:
             F.filter(said, lambda t: t != V.TE).alias("gold"),
         ),
     )
+
+
+#: The marker of chords that are given.
+CHORDS = 4
+
+
+def tagged(seq: Column, start: int, end: int, with_tags: bool = True) -> Column:
+    """The stretches of a sequence from a start tag to the next end tag, which do not overlap: of several starts before an
+    end the first one counts. With or without the tags; an empty array if there are none."""
+    places = lambda tag: F.filter(F.transform(seq, lambda t, i: F.when(t == tag, i)), lambda i: i.isNotNull())
+    starts, ends = places(start), places(end)
+
+    def one(e, k):
+        before = F.coalesce(F.get(ends, k - 1), F.lit(-1))
+        s = F.array_min(F.filter(starts, lambda x: (x > before) & (x < e)))
+        cut = F.slice(seq, s + 1, e - s + 1) if with_tags else F.slice(seq, s + 2, e - s - 1)
+        return F.when(s.isNotNull(), cut)
+
+    return F.filter(F.transform(ends, one), lambda x: x.isNotNull())
+
+
+def chord_windows(chords: DataFrame, lasts: DataFrame, size: int = 4) -> DataFrame:
+    """(song, window, chords): the chords of the middle part of each window of three times `size` bars, bar by bar, each as
+    its place, root, quality and bass, or a blank. chords: (song, measure, shift, event_id, r, q, b); lasts: (song, last),
+    the last bar, of which a window needs one more than it holds."""
+    one = F.array_sort(F.collect_list(F.struct("shift", "event_id", "r", "q", "b")))
+    told = F.flatten(F.transform(one, lambda x: F.array((x["shift"] + V.SHIFT).cast("int"), x["r"].cast("int"), x["q"].cast("int"), x["b"].cast("int"))))
+    own = chords.groupBy("song", F.col("measure").alias("bar")).agg(told.alias("t"))
+    every = lasts.withColumn("bar", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    window = F.floor(F.col("bar") / size) - 1
+    full = every.join(own, ["song", "bar"], "left").withColumn("window", window.cast("int")).where((F.col("window") >= 0) & (F.col("window") * size + 3 * size <= F.col("last")))
+    bar = F.struct("bar", F.concat(tokens(V.SME), F.coalesce("t", tokens(V.BLANK))).alias("t"))
+    return full.groupBy("song", "window").agg(F.flatten(F.transform(F.array_sort(F.collect_list(bar)), lambda x: x["t"])).alias("chords"))

@@ -120,17 +120,26 @@ _SQL_JAC = "case when len(wi)=0 and len(gi)=0 then 0e0 else 1-len(list_intersect
 _SQL_DENS = "(case when ws is null then 0e0 else coalesce(least(1e0, abs(gs-ws)/9e0), 1e0) end + case when wp is null then 0e0 else coalesce(least(1e0, abs(gp-wp)/9e0), 1e0) end)/nullif(len(wi), 0)"
 
 
-@query(f"with {SQL_GEN}, d as (select *, {_SQL_DENS} as dd, {_SQL_JAC} as di from wg) select song, cast(win as bigint) as win, round(coalesce(1-dd, 1), 6) as density, round(1-di, 6) as inst, round(1-least(1e0, abs(gb-wb)/cast(wb as double)), 6) as measures, round(case when len(wi)=0 then 0e0 else 0.25e0-0.5e0*dd end + case when len(wi)=0 then 0e0 else 0.25e0-0.5e0*di end, 6) as reward from d")
+_SQL_GENRES = "list_distinct([song % 42, case when song % 3 = 0 then (song * 7) % 42 else song % 42 end]) as wg_, list_distinct([(song + win % 2) % 42]) as gg"
+
+
+@query(f"""with {SQL_GEN}, d as (select *, {_SQL_DENS} as dd, {_SQL_JAC} as di, {_SQL_GENRES} from wg), e as (select *, 1 - len(list_intersect(wg_, gg))/cast(len(list_distinct(list_concat(wg_, gg))) as double) as dg from d)
+select song, cast(win as bigint) as win, round(coalesce(1-dd, 1), 6) as density, round(1-dg, 6) as genre, round(1-di, 6) as inst, round(1-least(1e0, abs(gb-wb)/cast(wb as double)), 6) as measures, round(case when len(wi)=0 then 0e0 else 0.25e0-0.5e0*dd end + 0.25e0-0.5e0*dg + case when len(wi)=0 then 0e0 else 0.25e0-0.5e0*di end, 6) as reward from e""")
 def meta_match_reward(spark, sf_dir):
-    """Distance of what was made to what was asked for: densities instrument by instrument, instruments as sets; the number of
-    bars is observed only."""
+    """Distance of what was made to what was asked for: densities instrument by instrument, genres and instruments as sets;
+    the number of bars is observed only."""
     each = lambda w, g: F.when(F.col(w).isNull(), 0.0).otherwise(X.ordinal_distance(F.col(g), F.col(w), 9))
-    n = F.size("wi")
+    n, song = F.size("wi"), F.col("song")
     dd = (each("ws", "gs") + each("wp", "gp")) / F.nullif(n, F.lit(0))
     di = X.jaccard_distance(F.col("wi"), F.col("gi"))
-    score = F.when(n == 0, 0.0).otherwise(X.attribute_score(dd, 0.25, 0.25) + X.attribute_score(di, 0.25, 0.25))
+    asked = F.array_distinct(F.array(song % 42, F.when(song % 3 == 0, song * 7 % 42).otherwise(song % 42)))
+    dg = X.jaccard_distance(asked, F.array((song + F.col("win") % 2) % 42))
+    score = F.when(n == 0, 0.0).otherwise(X.attribute_score(dd, 0.25, 0.25) + X.attribute_score(di, 0.25, 0.25)) + X.attribute_score(dg, 0.25, 0.25)
     bars = F.least(F.lit(1.0), F.abs(F.col("gb") - F.col("wb")) / F.col("wb"))
-    return _made(spark, sf_dir).select("song", "win", F.round(F.coalesce(1 - dd, F.lit(1.0)), 6).alias("density"), F.round(1 - di, 6).alias("inst"), F.round(1 - bars, 6).alias("measures"), F.round(score, 6).alias("reward"))
+    return _made(spark, sf_dir).select(
+        "song", "win", F.round(F.coalesce(1 - dd, F.lit(1.0)), 6).alias("density"), F.round(1 - dg, 6).alias("genre"), F.round(1 - di, 6).alias("inst"),
+        F.round(1 - bars, 6).alias("measures"), F.round(score, 6).alias("reward"),
+    )
 
 
 @query(f"with {SQL_GEN} select song, cast(win as bigint) as win, round(greatest(0e0, 1-abs(gb-wb)/cast(wb as double)), 6) as measure, round(case when len(wi)=0 then 1e0 else 1-{_SQL_JAC} end, 6) as inst, round((greatest(0e0, 1-abs(gb-wb)/cast(wb as double))+case when len(wi)=0 then 1e0 else 1-{_SQL_JAC} end)/2, 6) as reward from wg")

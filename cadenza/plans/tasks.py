@@ -61,6 +61,52 @@ def prompt_batch(spark, sf_dir):
     return p.select("song", text(F.concat(B.tokens(B.EOS, B.SYSTEM), "insts", key, B.tokens(V.TAG_END, B.MGEN)), "prompt"))
 
 
+SQL_CHORDED = f"""{SQL_PARTS}, ch as (select song, measure, shift, event_id, 148+pitch%20 as r, 168+pitch%19 as q, 187+pitch%22 as b from notes where program='purchase'), cb as (select song, measure as bar, string_agg((shift+51)||' '||r||' '||q||' '||b, ' ' order by shift, event_id) as t from ch group by 1,2),
+ce as (select song, last, unnest(range(0, last+1)) as bar from (select song, max(measure) as last from nn group by 1) x), cw as (select e.song, e.bar // 4 - 1 as win, string_agg('49 '||coalesce(b.t, '50'), ' ' order by e.bar) as chords from ce e left join cb b on b.song=e.song and b.bar=e.bar where e.bar // 4 >= 1 and (e.bar // 4 - 1)*4+12 <= e.last group by 1,2),
+g as (select c.song, c.win, c.inst, c.seq, case when p.n > 0 then ' '||p.inst||' '||p.seq||' 626' else '' end as past, case when f.n > 0 then ' '||f.inst||' '||f.seq||' 626' else '' end as future, case when o.n > 0 then ' '||o.inst||' '||o.seq||' 626' else '' end as other, cw.chords, s.meta
+ from parts c join parts p on p.song=c.song and p.win=c.win and p.inst=c.inst and p.role='past' join parts f on f.song=c.song and f.win=c.win and f.inst=c.inst and f.role='future' left join parts o on o.song=c.song and o.win=c.win and o.inst<>c.inst and o.role='const' join cw on cw.song=c.song and cw.win=c.win join s on s.song=c.song and s.win=c.win where c.role='const' and c.n > 0)"""
+
+
+@query(f"""with {SQL_CHORDED} select song, cast(win as bigint) as win, inst, task, '1 '||meta||case when task = 'chords_only' then '' else ' 3'||past||' 2' end||case when task = 'infill_chords' then ' 6'||future||' 2' else '' end||case when task = 'continue_both' then ' 5'||coalesce(other, '')||' 2' else '' end||' 4 '||chords||' 626 2 12' as prompt,
+ inst||' '||seq||' 626 627' as answer from g, (values ('continue_chords'),('continue_both'),('infill_chords'),('chords_only')) v(task)""")
+def chord_tasks(spark, sf_dir):
+    """Melodies to given chords: going on from what came before, with the other part or without, between what comes before
+    and after, or from the chords alone."""
+    p = parts(spark, sf_dir).select("song", "window", "role", "inst", "n", "seq")
+    block = lambda e="": F.when(F.col(f"n{e}") > 0, B.framed(F.col(f"inst{e}"), F.col(f"seq{e}"))).otherwise(B.none())
+    of = lambda role, name: p.where(F.col("role") == role).select("song", "window", "inst", block().alias(name))
+    target = p.where("role = 'const' and n > 0").drop("role")
+    other = of("const", "other").withColumnRenamed("inst", "inst2")
+    n = notes(spark, sf_dir)
+    pitch = F.col("pitch")
+    chords = n.where("program = 'purchase'").select("song", "measure", "shift", "event_id", (pitch % 20 + 148).alias("r"), (pitch % 19 + 168).alias("q"), (pitch % 22 + 187).alias("b"))
+    lasts = n.where("program in ('view', 'click')").groupBy("song").agg(F.max("measure").alias("last"))
+    meta = samples(spark, sf_dir).select("song", F.col("win").cast("int").alias("window"), "meta")
+    key = ["song", "window"]
+    both = target.join(of("past", "past"), [*key, "inst"]).join(of("future", "future"), [*key, "inst"]).join(B.chord_windows(chords, lasts), key).join(meta, key)
+    paired = both.join(other, key, "left").where("inst2 is null or inst2 <> inst").withColumn("other", F.coalesce("other", B.none()))
+    # A part without another one has itself as the only candidate.
+    alone = both.join(paired.select(*key, "inst"), [*key, "inst"], "left_anti").withColumn("other", B.none())
+    g = paired.drop("inst2").unionByName(alone)
+    given = lambda mark, c: F.concat(B.tokens(mark), c, B.tokens(V.TAG_END))
+    head, end = F.concat(B.tokens(B.EOS), "meta"), F.concat(B.tokens(B.CHORDS), "chords", B.tokens(V.ESEQ, V.TAG_END, B.MGEN))
+    past, future, beside = given(V.PAST, "past"), given(V.FUTURE, "future"), given(V.CONST, "other")
+    answer = F.concat(B.framed(F.col("inst"), F.col("seq")), B.tokens(V.TE))
+    out = None
+    for task, shown in {"continue_chords": (past,), "continue_both": (past, beside), "infill_chords": (past, future), "chords_only": ()}.items():
+        one = g.select("song", F.col("window").cast("long").alias("win"), "inst", F.lit(task).alias("task"), text(F.concat(head, *shown, end), "prompt"), text(answer, "answer"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""with {SQL_REASONED} select song, cast(win as bigint) as win, task, case when task = 'meta_future' then '' else past end as spans, case when task = 'meta_future' or past = '3 2' then '' else substr(past, 3, len(past) - 4) end as inner_ from rs""")
+def tagged_sequences(spark, sf_dir):
+    """What stands between two tags of a sequence, with them and without."""
+    r = _reasoned(spark, sf_dir)
+    flat = lambda with_tags: text(F.flatten(B.tagged(F.col("prompt"), V.PAST, V.TAG_END, with_tags)))
+    return r.select("song", "win", "task", flat(True).alias("spans"), flat(False).alias("inner_"))
+
+
 @query("""with s as (select user_id as song, count(*) as n, user_id % 12 as tonic, user_id % 2 = 1 as minor from events group by 1), m as (select *, unnest([-5,-4,-3,-2,-1,1,2,3,4,5,6]) as moved from s)
 select song, cast(moved as integer) as moved, n, cast((tonic + moved + 12) % 12 as integer) as tonic, minor, case when minor then (tonic + moved + 9 + 12) % 12 else (tonic + moved + 12) % 12 end % 2 = 0 as even from m""")
 def moved_keys(spark, sf_dir):
