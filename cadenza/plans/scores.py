@@ -7,6 +7,7 @@ from ..functions.scalars import md5_mod
 from ..operators import metrics as M
 from ..operators import rolls as R
 from ..sources.tables import SQL_MOD, SQL_NOTES, SQL_PREDS, notes, predictions, table
+from .metrics import SQL_GRAMS, _grams, _sql_shares
 from .registry import query
 
 _NUMBER = "cast(regexp_extract(source, '[0-9]+') as integer)"
@@ -97,3 +98,32 @@ def top_patterns(spark, sf_dir):
     own = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">")
     b = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(own.alias("pattern"))
     return b.groupBy("pattern").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pattern").limit(5)
+
+
+_AXIS = "select model, round(sum((p*log2(p/((p+q)/2)) + q*log2(q/((p+q)/2)))/2), 6) as js from (select model, p/sum(p) over (partition by model) as p, q/sum(q) over (partition by model) as q from (select a.model, a.p+1e-12 as p, b.p+1e-12 as q from {h} a join {h} b on a.model=b.model and a.bin=b.bin and a.program='view' and b.program='click') j) n group by 1"
+
+
+@query(f"""with {SQL_GRAMS}, m as (select *, song % 3 as model from notes), {_sql_shares('hp', 'pitch', 12, 'model, program').replace('from notes', 'from m')}, {_sql_shares('hd', 'dur', 289, 'model, program').replace('from notes', 'from m')}, {_sql_shares('hh', 'measure*96+shift', 24, 'model, program').replace('from notes', 'from m')},
+pj as ({_AXIS.format(h='hp')}), dj as ({_AXIS.format(h='hd')}), fj as ({_AXIS.format(h='hh')}), d as (select song % 3 as model, program, count(distinct (a,b,c))/cast(count(*) as double) as rate from g where program in ('view','click') group by 1,2),
+k as (select model, song, program, avg(case when (pitch % 12 - song % 12 + 12) % 12 in (0,2,4,5,7,9,11) then 1e0 else 0e0 end) as agree from m where program in ('view','click') group by 1,2,3),
+s as (select model, count(distinct song) as songs, count(distinct case when program='view' then song end) as made from m group by 1)
+select s.model, s.songs, round(s.made/cast(s.songs as double), 6) as gate, pj.js as pitch_js, dj.js as duration_js, fj.js as phase_js, round(max(d.rate) filter (where d.program='view'), 6) as distinct_made, round(max(d.rate) filter (where d.program='click'), 6) as distinct_true,
+ (select round(avg(agree), 6) from k where k.model=s.model and program='view') as key_made, (select round(avg(agree), 6) from k where k.model=s.model and program='click') as key_true from s join pj using (model) join dj using (model) join fj using (model) join d using (model) group by all""")
+def generation_axes(spark, sf_dir):
+    """Models by what they made against what was there: how often they made anything, how far the distributions of pitch
+    classes, durations and places are apart, how varied both are, and how well they keep to the key."""
+    n = notes(spark, sf_dir).withColumn("model", F.col("song") % 3)
+    pair = n.where("program in ('view', 'click')")
+    songs = n.groupBy("model").agg(F.countDistinct("song").alias("songs"), F.countDistinct(F.when(F.col("program") == "view", F.col("song"))).alias("made"))
+    out = songs.select("model", "songs", F.round(F.col("made") / F.col("songs"), 6).alias("gate"))
+    for name, value, k in (("pitch_js", F.col("pitch"), 12), ("duration_js", F.col("dur"), 289), ("phase_js", F.col("measure") * 96 + F.col("shift"), 24)):
+        s = M.shares(pair, ["model", "program"], value, k)
+        a, b = (s.where(F.col("program") == p).drop("program") for p in ("view", "click"))
+        out = out.join(M.js_divergence(a, b, ["model"]).select("model", F.round("js", 6).alias(name)), "model")
+    sides = (("view", "made"), ("click", "true"))
+    grams = _grams(spark, sf_dir).where("program in ('view', 'click')").groupBy((F.col("song") % 3).alias("model"), "program").agg((F.countDistinct("a", "b", "c") / F.count("*")).alias("rate"))
+    varied = grams.groupBy("model").agg(*[F.round(F.max(F.when(F.col("program") == p, F.col("rate"))), 6).alias(f"distinct_{x}") for p, x in sides])
+    keeps = F.pmod(F.col("pitch") % 12 - F.col("song") % 12, F.lit(12)).isin(0, 2, 4, 5, 7, 9, 11).cast("double")
+    agree = pair.groupBy("model", "song", "program").agg(F.avg(keeps).alias("agree"))
+    keys = agree.groupBy("model").agg(*[F.round(F.avg(F.when(F.col("program") == p, F.col("agree"))), 6).alias(f"key_{x}") for p, x in sides])
+    return out.join(varied, "model").join(keys, "model")
