@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vocab as V
 from ..functions.scalars import fold_pitch
@@ -29,32 +30,39 @@ def notes_to_tokens(notes: DataFrame, by: list[str]) -> DataFrame:
     return each.groupBy(*by).agg(F.concat(whole, F.array(F.lit(V.TE))).alias("tokens"))
 
 
-def exploded(seqs: DataFrame, by: list[str]) -> DataFrame:
-    """(by, pos, tok, bar): bar counts bar tokens up to the position, from 1."""
-    rows = seqs.select(*by, F.posexplode("tokens").alias("pos", "tok"))
-    w = Window.partitionBy(*by).orderBy("pos")
-    return rows.withColumn("bar", F.sum((F.col("tok") == V.SME).cast("int")).over(w))
-
-
 def tokens_to_notes(seqs: DataFrame, by: list[str]) -> DataFrame:
     """(by, measure, shift, pitch, dur). Ranges are half-open, so the last pitch, duration and shift of each are not
-    notes; what stands before the first bar belongs to bar 0; a pitch is used by one duration only."""
-    t = exploded(seqs, by)
-    w = Window.partitionBy(*by).orderBy("pos")
-    is_s = (F.col("tok") >= V.SHIFT) & (F.col("tok") < V.SHIFT + 96)
-    is_p = (F.col("tok") >= V.PITCH) & (F.col("tok") < V.PITCH + 127)
-    is_d = (F.col("tok") >= V.DUR) & (F.col("tok") < V.DUR + 288)
-    back = w.rowsBetween(Window.unboundedPreceding, -1)
-    marked = (
-        t.withColumn("s", F.last(F.when(is_s, F.col("tok") - V.SHIFT), True).over(w))
-        .withColumn("p", F.last(F.when(is_p, F.struct("pos", (F.col("tok") - V.PITCH).alias("v"))), True).over(back))
-        .withColumn("d", F.last(F.when(is_d, F.col("pos")), True).over(back))
-    )
-    fits = is_d & F.col("p").isNotNull() & F.col("s").isNotNull() & (F.coalesce("d", F.lit(-1)) < F.col("p.pos"))
-    return marked.where(fits).select(
-        *by, F.greatest(F.col("bar") - 1, F.lit(0)).cast("int").alias("measure"), F.col("s").alias("shift"),
-        F.col("p.v").alias("pitch"), (F.col("tok") - V.DUR).alias("dur"),
-    )
+    notes; what stands before the first bar belongs to bar 0; a pitch is used by one duration only. A null sequence has no
+    notes.
+
+    A sequence is taken to notes where it lies, a batch of sequences at a time; nothing is shuffled or sorted.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            lists = batch.column(len(by))
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            tok, place = lists.flatten().to_numpy(), np.arange(size.sum())
+            row = np.repeat(np.arange(len(batch)), size)
+            first = (np.cumsum(size) - size)[row]
+            within = lambda low, n: (tok >= low) & (tok < low + n)
+            last = lambda mask: np.maximum.accumulate(np.where(mask, place, -1)) if len(place) else place
+            before = lambda x: np.concatenate([[-1], x[:-1]]) if len(x) else x
+            is_d, is_bar = within(V.DUR, 288), tok == V.SME
+            shift, pitch, other = last(within(V.SHIFT, 96)), before(last(within(V.PITCH, 127))), before(last(is_d))
+            at = np.flatnonzero(is_d & (pitch >= first) & (shift >= first) & (other < pitch))
+            bars = np.cumsum(is_bar)
+            start = np.concatenate([[0], bars])[first[at]]
+            columns = (np.maximum(bars[at] - start - 1, 0), tok[shift[at]] - V.SHIFT, tok[pitch[at]] - V.PITCH, tok[at] - V.DUR)
+            keys = [batch.column(k).take(pa.array(row[at])) for k in range(len(by))]
+            yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c.astype(np.int32)) for c in columns]], [*by, "measure", "shift", "pitch", "dur"])
+
+    kinds = T.StructType([*[seqs.schema[c] for c in by], *[T.StructField(c, T.IntegerType()) for c in ("measure", "shift", "pitch", "dur")]])
+    return seqs.select(*by, F.col("tokens").cast("array<int>").alias("tokens")).mapInArrow(run, kinds)
 
 
 def transposed(notes: DataFrame, shifts=range(-5, 7), drums: str = "false") -> DataFrame:
