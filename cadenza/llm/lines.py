@@ -6,10 +6,9 @@ Only hashes of lines are shuffled until a line is known to share half of its wor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import may_be_in
 from .common import bound, cut, table, words
 
-#: Numbers of lines, one long each (16 MB as a hash table), sent to every executor at most; beyond it they are joined by hash.
-NAMED = 500_000
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
@@ -127,8 +126,8 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     shares = firsts.where("k0 is not null").select("first", F.explode(F.array("k0", "k1", "k2", "k3")).alias("half"))
     twice = shares.groupBy("half").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select("half")
     close = cut(shares.join(twice, "half", "left_semi").select("first").distinct())
-    few = close.count() <= NAMED
-    there = each.join(F.broadcast(close) if few else close, each["at"] == close["first"])
+    # A filter of bounded size keeps the texts of most other lines from being moved.
+    there = may_be_in(each, "at", close, "first").join(close, F.col("at") == F.col("first"))
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = cut(there.select("at", _spaced().alias("spaced")).dropDuplicates(["at"]).repartition(spread, "at").select("at", F.split("spaced", " ").alias("w")))
     near = cut(near_lines(lines).select(F.col("at").alias("first")).distinct().withColumn("near", F.lit(True)))

@@ -26,9 +26,6 @@ from .text_words import LOWER, mixed, split_words, word_hashes
 
 #: Fragments of the order (a power of two); n-grams and documents of a batch at most; n-grams of a range aimed at.
 FRAGMENTS, BATCH_GRAMS, BATCH_DOCS, RANGE_GRAMS = 8, 300_000, 8_000, 400_000
-#: Rows of one or two numbers sent to every executor at most, wide rows, and bytes of fragments; beyond these they are
-#: joined by hash.
-NAMED, WIDE, HELD = 1_000_000, 100_000, 16_000_000
 #: Ratio of two set sizes of neighbouring size classes.
 CLASS = 1.05
 _IDX = 13
@@ -212,11 +209,6 @@ def _survey(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return hits.groupBy("batch").applyInPandas(count, "doc long, n long, sig binary, live boolean")
 
 
-def _small(df: DataFrame, rows: int = NAMED) -> DataFrame:
-    """df, to be sent to every executor if it has few rows."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def _fragment(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(65 - FRAGMENTS.bit_length())).astype(np.int64)
 
@@ -346,7 +338,7 @@ def _across(postings: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     each does, and so for what they share beside it. So members of a group of near copies that differ from its hub at
     too many places of their own are told apart without comparing them.
     """
-    tagged = postings.join(_small(nodes, WIDE), "node")
+    tagged = postings.join(nodes, "node")
     lists = tagged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     open_ = written(tagged.join(lists, "token", "left_semi"))
 
@@ -407,13 +399,11 @@ def _compared(pairs: DataFrame, reduced: DataFrame, percent: int) -> DataFrame:
     """
     pairs = written(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    parts = written(_fragments(reduced.join(_small(ids), "node", "left_semi")))
-    held = parts.agg(F.coalesce(F.sum(F.length("grams") + 64), F.lit(0))).first()[0]
-    small = F.broadcast if held <= HELD else lambda x: x
+    parts = written(_fragments(reduced.join(ids, "node", "left_semi")))
     each = pairs.withColumn("fragment", F.explode(F.array(*[F.lit(k) for k in range(FRAGMENTS)])))
     left = parts.select(F.col("node").alias("a"), "fragment", F.col("n").alias("na"), F.col("grams").alias("ga"))
     right = parts.select(F.col("node").alias("b"), "fragment", F.col("n").alias("nb"), F.col("grams").alias("gb"))
-    joined = each.join(small(left), ["a", "fragment"]).join(small(right), ["b", "fragment"])
+    joined = each.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
     partial = joined.select("a", "b", "na", "nb", "fragment", _overlap("ga", "gb").alias("part"))
     counts = [F.sum(F.when(F.col("fragment") == k, F.col("part")).otherwise(0)).cast("int") for k in range(FRAGMENTS)]
     total = partial.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("part").alias("both"), F.array(*counts).alias("common"))
@@ -443,7 +433,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     groups = written(stats.where("live").groupBy("sig").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")))
     chosen = groups.select(F.col("rep").alias("key"))
     grams = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    reduced = _reduced(d.join(_small(chosen), "key", "left_semi"), n, percent, grams)
+    reduced = _reduced(d.join(chosen, "key", "left_semi"), n, percent, grams)
     postings = written(_postings(reduced, percent))
     hubs = written(_hubs(postings, percent))
     tested = _compared(hubs.select(*_pair("node", "hub")).distinct(), reduced, percent)
@@ -471,7 +461,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     least = with_reps.where("c is not null").groupBy("c").agg(F.min("rep").alias("least"))
     found = with_reps.join(least, "c", "left").select("sig", F.coalesce("least", "rep").alias("component"), "copies", "rep")
     grouped = written(found.where("copies > 1 or component <> rep").select("sig", "component"))
-    return stats.join(_small(grouped), "sig", "left").select(
+    return stats.join(grouped, "sig", "left").select(
         F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("live"), F.coalesce("component", "doc")).otherwise(F.col("doc")).alias("component_id")
     )
 

@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import may_be_in
 from .common import cut, table
 
 #: (verdict, host, path) of the fixed rules.
@@ -16,9 +17,6 @@ RULES = (
     ("block", "org", "/es/"),
 )
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: The filter: words of 64 bits, one for URLS_A_WORD URLs of the list, PROBES bits of one word for a URL; MOST_WORDS (16 MB) at
-#: most. Of a longer list the filter gets fuller and lets more other URLs pass, which the exact join takes out.
-URLS_A_WORD, PROBES, MOST_WORDS = 5, 6, 1 << 21
 
 
 def lower_ascii(s) -> F.Column:
@@ -53,44 +51,16 @@ def rule_for(host, path, rules) -> F.Column:
     return F.greatest(*fits) if len(fits) > 1 else reduce(lambda a, _: a, fits)
 
 
-def _block(url, words: int):
-    return F.pmod(F.xxhash64(url), F.lit(words)).cast("int")
-
-
-def _mask(url) -> F.Column:
-    """PROBES bits of a word, from a second hash."""
-    h = F.xxhash64(url, F.lit(1))
-    one = F.lit(1).cast("long")
-    place = lambda k: F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63).cast("long")).cast("int")
-    bits = [F.call_function("shiftleft", one, place(k)) for k in range(PROBES)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
-
-
-def bloom_words(listed: DataFrame, words: int, url: str = "url") -> DataFrame:
-    """One row: words, an array of that many words. Each URL sets PROBES bits of the word its hash picks."""
-    known = listed.where(F.col(url).isNotNull()).groupBy(_block(F.col(url), words).alias("b")).agg(F.bit_or(_mask(F.col(url))).alias("w"))
-    every = listed.sparkSession.range(words).select(F.col("id").cast("int").alias("b")).join(known, "b", "left")
-    in_order = F.array_sort(F.collect_list(F.struct("b", F.coalesce("w", F.lit(0).cast("long")).alias("w"))))
-    return every.agg(F.transform(in_order, lambda x: x["w"]).alias("words"))
-
-
 def in_list(urls: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:
     """The distinct values of urls.url that listed.url has, both canonical.
 
     Possible hits are those whose bits are all set in the Bloom filter (false positives happen, false negatives do
-    not); an exact join with the list follows and decides. The filter is sized by the list's count, up to MOST_WORDS, and
+    not); an exact join with the list follows and decides. The filter is sized by the list's count, up to a fixed size, and
     is the only thing sent to every executor; the list itself is joined by hash, however long it is. Nulls are in no list.
     """
     distinct = urls.select(url).where(F.col(url).isNotNull()).distinct()
     known = cut(listed.select(url).where(F.col(url).isNotNull()).distinct())
-    words = 64
-    wanted = known.count() / URLS_A_WORD
-    while words < wanted and words < MOST_WORDS:
-        words *= 2
-    bits = F.broadcast(bloom_words(known, words, url).withColumnRenamed("words", "_words"))
-    mask = _mask(F.col(url))
-    passed = distinct.join(bits).where(F.get("_words", _block(F.col(url), words)).bitwiseAND(mask) == mask).select(url)
-    return passed.join(known, url, "left_semi")
+    return may_be_in(distinct, url, known, url).join(known, url, "left_semi")
 
 
 def url_filter(pages: DataFrame, listed: DataFrame, key: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:

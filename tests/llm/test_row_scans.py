@@ -224,8 +224,8 @@ def test_the_list_grows_with_the_pages(spark):
 
 def test_a_full_filter_loses_nothing(spark, monkeypatch):
     """A list with many more URLs than the filter is sized for."""
-    from cadenza.llm import urls
+    from cadenza.llm import bloom
 
-    monkeypatch.setattr(urls, "MOST_WORDS", 64)
+    monkeypatch.setattr(bloom, "MOST_WORDS", 64)
     listed = spark.range(5000).selectExpr("concat('u', id) as url")
     assert urls.in_list(spark.range(0, 8000).selectExpr("concat('u', id) as url"), listed).count() == 5000
