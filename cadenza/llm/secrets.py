@@ -25,6 +25,27 @@ WEAK = (
 ORDER = [k for k, *_ in BASE] + [f"linked_{k}" for k, _ in WEAK]
 
 
+def running_totals(x) -> F.Column:
+    """For each number of an array, which is not empty, the sum of all before it.
+
+    Numbers are taken in blocks of about the root of their count, so that appending to arrays does not make the work grow
+    with its square.
+    """
+
+    def scan(y, value):
+        start = F.struct(F.lit(0).cast("long").alias("all"), F.array().cast("array<long>").alias("before"))
+        return F.aggregate(y, start, lambda a, z: F.struct((a["all"] + value(z)).alias("all"), F.concat(a["before"], F.array(a["all"])).alias("before")))
+
+    def of(v):
+        step = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / step).cast("int")), lambda b: scan(F.slice(v, b * step + 1, step), lambda z: z))
+
+    # Each array is bound to a name before it is looked into many times.
+    blocks = F.transform(F.array(x), of)[0]
+    placed = F.transform(F.array(blocks), lambda bs: F.zip_with(bs, scan(bs, lambda z: z["all"])["before"], lambda b, before: F.transform(b["before"], lambda z: z + before)))
+    return F.flatten(placed[0])
+
+
 def spans(text, kind: str, pattern: str, group: int = 0, least: int = 0) -> F.Column:
     """Array of (start, end, kind) of the leftmost non-overlapping matches, in code points, end exclusive.
 
@@ -33,28 +54,18 @@ def spans(text, kind: str, pattern: str, group: int = 0, least: int = 0) -> F.Co
     between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else match
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string,n:int>>").alias("out"))
-    found = F.aggregate(
-        F.arrays_zip(F.slice(between, 1, F.size(match)).alias("gap"), match.alias("m"), counted.alias("c")),
-        start,
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(
-                a["out"],
-                F.array(
-                    F.struct(
-                        (a["at"] + x["gap"]).alias("start"),
-                        (a["at"] + x["gap"] + F.length(x["m"])).alias("end"),
-                        F.lit(kind).alias("kind"),
-                        F.length(x["c"]).alias("n"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-    )["out"]
-    kept = F.transform(
-        F.filter(found, lambda x: x["n"] >= least), lambda x: F.struct(x["start"], x["end"], x["kind"])
-    )
+    size = lambda x: F.transform(x, lambda y: F.length(y))
+    zipped = F.arrays_zip(between.alias("gap"), size(match).alias("m"), size(counted).alias("n"))
+
+    def placed(z):
+        # The last gap has no match behind it.
+        own = F.filter(z, lambda x: x["m"].isNotNull())
+        before = running_totals(F.transform(own, lambda x: (x["gap"] + x["m"]).cast("long")))
+        at = lambda x, b: (b + x["gap"]).cast("int")
+        return F.zip_with(own, before, lambda x, b: F.struct(at(x, b).alias("start"), (at(x, b) + x["m"]).alias("end"), F.lit(kind).alias("kind"), x["n"].alias("n")))
+
+    found = F.transform(F.array(zipped), placed)[0]
+    kept = F.transform(F.filter(found, lambda x: x["n"] >= least), lambda x: F.struct(x["start"], x["end"], x["kind"]))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     return F.when(text.rlike(pattern), kept).otherwise(none)
 

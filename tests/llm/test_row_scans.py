@@ -73,6 +73,19 @@ def test_secrets_in_env_files(spark):
     assert linked(3) == linked(4) == []
 
 
+def test_secrets_of_a_long_text(spark):
+    """A hundred thousand matches in one text take seconds, and a thousand linked credentials are all found."""
+    import time
+
+    one = "user=bob password=hunter2x host=db.example.org\n" + "pad " * 300 + "\n"
+    rows = [(1, "é 0123456789abcdef" * 100_000), (2, one * 1000)]
+    began = time.time()
+    got = {r["key"]: r for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 90
+    assert [(s["start"], s["end"]) for s in got[1]["base"]] == [(18 * k + 2, 18 * k + 18) for k in range(100_000)]
+    assert len(got[2]["spans"]) == 3000 and all(s["kind"].startswith("linked_") for s in got[2]["spans"])
+
+
 def test_secret_query_digest(spark, tmp_path):
     spark.createDataFrame([(1, SECRETS[1]), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r["doc_id"]: r for r in secrets.op5_secret_scans(spark, str(tmp_path)).collect()}
