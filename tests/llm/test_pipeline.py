@@ -6,6 +6,7 @@ import corpus_pipeline
 from cadenza.llm import quality
 
 from test_lines import plain as gone_lines
+from test_mixing import plain_targets
 from test_ngram_join import plain as components
 
 
@@ -33,6 +34,15 @@ def test_stages(spark, docs, tmp_path):
         if name == "mixing":
             assert {r["doc_id"] for r in after} <= {d for d, _ in before} and len(after) > 0
             assert max(sum(r["doc_id"] == d for r in after) for d, _ in before) <= 3
+            size = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x or ""))
+            sizes, taken, most = {}, {}, {}
+            for r in at.collect():
+                sizes[r["source"]] = sizes.get(r["source"], 0) + size(r["text"])
+                most[r["source"]] = max(most.get(r["source"], 0), size(r["text"]))
+            for r in after:
+                taken[r["source"]] = taken.get(r["source"], 0) + size(r["text"])
+            for source, target in plain_targets(sizes).items():
+                assert abs(taken.get(source, 0) - target) <= max(0.05 * target, most[source] / 2)
         if name == "packing":
             assert sorted({r["doc_id"] for r in after}) == sorted({d for d, _ in before})
             fill = {}
@@ -50,3 +60,13 @@ def test_edges(spark, edge, empty):
         assert stage(spark, plain, "").count() <= 3 * plain.count() + 40
         at = stage(spark, at, "").cache()
     assert re.fullmatch(r"[a-z_]+", name)
+
+
+def test_extra_columns(edge):
+    """Columns whose names the operators use themselves come through the stages as they are."""
+    spark, at = edge.sparkSession, edge.where("doc_id <> 8 and doc_id <> 9")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, "").cache()
+        assert sorted(at.columns) == sorted(edge.columns)
+        assert {(r["size"], r["n"], r["component"]) for r in at.collect()} <= {("x", 1, "y")}
+    assert corpus_pipeline.STAGES[-1][1](spark, at, "").count() == at.count()
