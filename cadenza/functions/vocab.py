@@ -1,4 +1,10 @@
-"""The token vocabulary: a table built from its layout, and names for its ranges."""
+"""The token vocabulary: a table built from its layout, names for its ranges, and kinds of tokens of one's own."""
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: First ids and sizes of the ranges (fixed layout).
 SME, BLANK, TAG_END, ESEQ, TE, META = 49, 50, 2, 626, 627, 628
@@ -12,7 +18,36 @@ RANGES = (
 )
 
 
-def vocabulary(spark):
+#: Where ids of one's own begin.
+OWN = max(first + n for _, first, n in RANGES)
+
+
+@dataclass(frozen=True)
+class TokenKind:
+    """A kind of token of one's own: its name, how many values it has, and the value of a note as a column of the notes'
+    columns; a note whose value is null or out of range has no such token."""
+
+    name: str
+    size: int
+    value: Callable[[], Column]
+
+
+def firsts(kinds) -> dict[str, int]:
+    """First ids: kinds follow the vocabulary in their order, so that no id that is in use changes."""
+    at, out = OWN, {}
+    for kind in kinds:
+        out[kind.name], at = at, at + kind.size
+    return out
+
+
+def encoded(kinds) -> list[Column]:
+    """A token for each kind, or null."""
+    first = firsts(kinds)
+    return [F.when(kind.value().between(0, kind.size - 1), kind.value() + first[kind.name]) for kind in kinds]
+
+
+def vocabulary(spark, kinds=()):
     """(token_id, kind, value): one row an id; value counts from 0 within its range. Ids beyond it mean nothing."""
-    rows = [(first + k, kind, k) for kind, first, size in RANGES for k in range(size)]
+    own = [(name, at, kind.size) for (name, at), kind in zip(firsts(kinds).items(), kinds)]
+    rows = [(first + k, kind, k) for kind, first, size in (*RANGES, *own) for k in range(size)]
     return spark.createDataFrame(rows, "token_id int, kind string, value int")

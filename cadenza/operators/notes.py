@@ -8,18 +8,21 @@ from ..functions import vocab as V
 from ..functions.scalars import fold_pitch
 
 
-def notes_to_tokens(notes: DataFrame, by: list[str]) -> DataFrame:
+def notes_to_tokens(notes: DataFrame, by: list[str], kinds=()) -> DataFrame:
     """(by, tokens): the notes' shift, pitch and duration, with a bar token for each bar line passed since bar 0, so that the
-    parts of a song keep their common bars; a bar without notes is a blank. Bar 0 has no token. At the end the end token."""
-    note = F.struct("shift", "pitch", "dur")
+    parts of a song keep their common bars; a bar without notes is a blank. Bar 0 has no token. At the end the end token.
+    kinds of one's own (functions.vocab.TokenKind) add their tokens to each note."""
+    own = F.array(*[x.cast("int") for x in V.encoded(kinds)]) if kinds else F.array().cast("array<int>")
+    notes = notes.withColumn("_own", F.filter(own, lambda x: x.isNotNull()))
+    note = F.struct("shift", "pitch", "dur", "_own")
     bars = notes.groupBy(*by, "measure").agg(F.array_sort(F.collect_list(note)).alias("notes"))
     w = Window.partitionBy(*by).orderBy("measure")
     passed = F.col("measure") - F.coalesce(F.lag("measure").over(w), F.lit(0))
     told = F.flatten(
         F.transform(
             "notes",
-            lambda x: F.array(
-                (x["shift"] + V.SHIFT).cast("int"), (x["pitch"] + V.PITCH).cast("int"), (x["dur"] + V.DUR).cast("int")
+            lambda x: F.concat(
+                F.array((x["shift"] + V.SHIFT).cast("int"), (x["pitch"] + V.PITCH).cast("int"), (x["dur"] + V.DUR).cast("int")), x["_own"]
             ),
         )
     )

@@ -14,16 +14,17 @@ def runs(rows: DataFrame, by: list[str], order: list[str], label: str) -> DataFr
 
 def smoothed(labels: Column, lengths: Column, least: int) -> Column:
     """Labels of runs after runs shorter than least were replaced, from left to right, by the label on their right
-    (the last run: on its left; null if it has neither). A run that was replaced is a left neighbour with its new label."""
-    n = F.size(labels)
+    (the last run: on its left; null if it has neither). A run that was replaced is a left neighbour with its new label.
 
-    def step(acc, i):
-        own, right = F.get(labels, i), F.get(labels, i + 1)
-        short = F.get(lengths, i) < least
-        return F.concat(acc, F.array(F.when(short, F.coalesce(right, F.try_element_at(acc, F.lit(-1)))).otherwise(own)))
+    What stands on the right is not replaced yet, so only the last run depends on a new label, that of the run before it:
+    each label is told from its neighbours."""
+    short = lambda i: F.get(lengths, i) < least
 
-    empty = F.filter(labels, lambda x: F.lit(False))
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), empty, step)).otherwise(empty)
+    def one(own, i):
+        before = F.when(short(i - 1), own).otherwise(F.get(labels, i - 1))
+        return F.when(short(i), F.coalesce(F.get(labels, i + 1), F.when(i > 0, before))).otherwise(own)
+
+    return F.transform(labels, one)
 
 
 def monophonic(onsets: Column) -> Column:

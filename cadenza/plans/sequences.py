@@ -132,9 +132,11 @@ def duration_mode(spark, sf_dir):
     return t.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-@query()
+@query(f"""with {SQL_RUNS}, n as (select *, lead(event_type) over w as r, lag(event_type) over w as l, lag(length) over w as ll from runs window w as (partition by song order by run)),
+s as (select *, case when length >= 2 then event_type when r is not null then r when ll < 2 then event_type else l end as label from n)
+select song, string_agg(event_type, '>' order by run) as before, coalesce(string_agg(label, '>' order by run), '') as after from s group by 1""")
 def key_smoothing(spark, sf_dir):
-    """Runs shorter than two smoothed from left to right: order-dependent, so a fold over each song's runs."""
+    """Runs shorter than two smoothed from left to right."""
     in_order = F.array_sort(F.collect_list(F.struct("run", "event_type", "length")))
     r = _runs(spark, sf_dir).groupBy("song").agg(in_order.alias("r"))
     labels, lengths = F.transform("r", lambda x: x["event_type"]), F.transform("r", lambda x: x["length"])

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from ..functions import vocab as V
 from ..operators import corpus as C
 from ..operators import samples as B
-from ..sources.tables import SQL_MANIFEST, manifest, notes, table
+from ..operators.notes import notes_to_tokens
+from ..sources.tables import SQL_MANIFEST, SQL_NOTES, manifest, notes, table
 from .notes import SQL_BAR_INDEX, _bars
 from .registry import query
 from .samples import SQL_PARTS, parts, samples, text
@@ -161,3 +162,18 @@ def collapsed_split(spark, sf_dir):
     listed = d.where("doc_id % 10 in (7, 8, 9)").select("doc_id", F.element_at(F.array(F.lit("validation"), F.lit("test"), F.lit("train")), (F.col("doc_id") % 10 - 6).cast("int")).alias("split"))
     s = C.with_default(d, listed, "doc_id", "split", F.lit("train"))
     return s.withColumn("split", F.when(F.col("split").isin("validation", "test"), "eval").otherwise(F.col("split")))
+
+
+#: Kinds of tokens of one's own: loudness in eight steps, and a mark for notes that are held long.
+KINDS = (V.TokenKind("loudness", 8, lambda: F.col("event_id") % 8), V.TokenKind("held", 1, lambda: F.when(F.col("dur") >= 200, 0)))
+
+
+@query(f"""with {SQL_NOTES}, t as (select 694 + event_id % 8 as id, program from notes union all select 702, program from notes where dur >= 200 union all select shift + 51, program from notes),
+k as (select program, case when id >= 702 then 'held' when id >= 694 then 'loudness' else 'shift' end as kind, case when id >= 702 then 0 when id >= 694 then id - 694 else id - 51 end as value from t)
+select program, kind, cast(value as integer) as value, count(*) as n from k group by 1,2,3""")
+def own_tokens(spark, sf_dir):
+    """Sequences with kinds of tokens of one's own behind each note's, looked up in the vocabulary that has them."""
+    seqs = notes_to_tokens(notes(spark, sf_dir), ["song", "program"], KINDS)
+    t = seqs.select("program", F.explode("tokens").alias("token_id")).groupBy("program", "token_id").agg(F.count("*").alias("n"))
+    v = V.vocabulary(spark, KINDS).where("kind in ('shift', 'held', 'loudness')")
+    return t.join(F.broadcast(v), "token_id").select("program", "kind", "value", "n")

@@ -211,3 +211,30 @@ def test_law_is_found():
     target = np.log(1.5 * np.exp(-0.6 * x) + 0.7 * np.exp(-0.3 * y) + 1.1)
     a, b, e, al, be = S.fit_law(x, y, target)
     assert np.allclose([np.exp(a), np.exp(b), np.exp(e), al, be], [1.5, 0.7, 1.1, 0.6, 0.3], atol=0.05)
+
+
+def test_smoothing_against_a_loop(spark):
+    """Runs of all lengths, one after the other, each seeing what its left neighbour has become."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(k, [rng.choice("ABC") for _ in range(n)], [rng.randint(1, 3) for _ in range(n)]) for k, n in enumerate([0, 1, 2, 3] * 10 + [20] * 10)]
+    want = {}
+    for k, labels, lengths in rows:
+        out = list(labels)
+        for i, n in enumerate(lengths):
+            if n < 2:
+                out[i] = labels[i + 1] if i + 1 < len(labels) else out[i - 1] if i else None
+        want[k] = out
+    df = spark.createDataFrame(rows, "k int, r array<string>, n array<int>")
+    assert {r["k"]: r["x"] for r in df.select("k", S.smoothed(F.col("r"), F.col("n"), 2).alias("x")).collect()} == want
+
+
+def test_tokens_of_ones_own(spark):
+    kinds = (vocab.TokenKind("loud", 4, lambda: F.col("v")), vocab.TokenKind("mark", 1, lambda: F.when(F.col("dur") > 5, 0)))
+    rows = [("a", 0, 0, 60, 9, 3), ("a", 0, 4, 60, 1, 7), ("a", 1, 0, 60, 1, None)]
+    notes = spark.createDataFrame(rows, "song string, measure int, shift int, pitch int, dur int, v int")
+    seq = N.notes_to_tokens(notes, ["song"], kinds)
+    assert seq.first()["tokens"] == [51, 269, 346, 697, 698, 55, 269, 338, 49, 51, 269, 338, 627]
+    assert N.tokens_to_notes(seq, ["song"]).count() == 3
+    assert vocab.vocabulary(spark, kinds).count() == 699 and vocab.vocabulary(spark).agg(F.max("token_id")).first()[0] == 693
