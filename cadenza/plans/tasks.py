@@ -1,15 +1,17 @@
 """Queries that build and take apart tasks: generation with a stated plan, prompts, keys of moved songs, filled windows, splits."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..operators import corpus as C
 from ..operators import samples as B
 from ..operators.notes import notes_to_tokens
-from ..sources.tables import SQL_MANIFEST, SQL_NOTES, manifest, notes, table
+from ..sources.tables import SQL_MANIFEST, SQL_NOTES, manifest, notes, shared_folder, table
 from .notes import SQL_BAR_INDEX, _bars
-from .registry import query
-from .samples import SQL_PARTS, parts, samples, text
+from .registry import ORACLE, query
+from .samples import SQL_PARTS, foundation_samples, parts, samples, text
 
 #: Conditions and plan are drawn from bits of the window's hash.
 _BITS = {"density": 1, "length": 2, "genre": 4, "key": 8, "thinking": 16}
@@ -177,3 +179,16 @@ def own_tokens(spark, sf_dir):
     t = seqs.select("program", F.explode("tokens").alias("token_id")).groupBy("program", "token_id").agg(F.count("*").alias("n"))
     v = V.vocabulary(spark, KINDS).where("kind in ('shift', 'held', 'loudness')")
     return t.join(F.broadcast(v), "token_id").select("program", "kind", "value", "n")
+
+
+@query(f"""with f as ({ORACLE['foundation_samples']}) select song, cast(row_number() over (partition by song order by win) - 1 as bigint) as place, mode as pattern, len(string_split(sample, ' ')) as tokens, substr(md5(cast(song as varchar)), 1, 1) as shard from f""")
+def patterned_samples(spark, sf_dir):
+    """Songs saved with their samples and, side by side, the pattern of each, in folders by a hash; read back place by place."""
+    root = f"{shared_folder(spark)}/patterned-{uuid.uuid4()}"
+    one = F.array_sort(F.collect_list(F.struct("win", "mode", "sample")))
+    songs = foundation_samples(spark, sf_dir).groupBy("song").agg(one.alias("o"))
+    saved = songs.select("song", F.transform("o", lambda x: x["sample"]).alias("samples"), F.transform("o", lambda x: x["mode"]).alias("pattern_keys"))
+    saved.withColumn("shard", F.substring(F.md5(F.col("song").cast("string")), 1, 1)).write.partitionBy("shard").parquet(root)
+    back = spark.read.schema("song long, samples array<string>, pattern_keys array<string>, shard string").parquet(root)
+    rows = back.select("song", "shard", F.posexplode(F.arrays_zip("samples", "pattern_keys")).alias("place", "x"))
+    return rows.select("song", F.col("place").cast("long").alias("place"), F.col("x.pattern_keys").alias("pattern"), F.size(F.split("x.samples", " ")).cast("long").alias("tokens"), "shard")
