@@ -11,9 +11,10 @@ from .common import bound, cut, table, words
 
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
+def _lines(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(doc, line_no, at, line, plain): lines that can have `least` words; at is a number in the order of document and line,
-    plain tells that the text has no white space but single spaces between words and ends of lines.
+    plain tells that the text has no white space but single spaces between words and ends of lines. And the same lines
+    without plain, which spares looking for it.
     """
     size = docs.agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max(F.octet_length("text")).alias("bytes")).first()
     lo, hi, most = size["lo"] or 0, size["hi"] or 0, (size["bytes"] or 0) + 1
@@ -25,10 +26,13 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
     for x in ("  ", "\t", "\x0b", "\f", "\r", " \n", "\n "):
         odd |= F.contains(t, F.lit(x))
     # Bound before the lines are told apart; else the whole text would be looked through again for each of its lines.
-    whole = bound(docs, {"plain": ~odd, "lines": F.split(t, "\n", -1)})
-    each = whole.select("doc", "plain", F.posexplode("lines").alias("line_no", "line"))
+    lines = F.split(t, "\n", -1)
+    marked = bound(docs, {"plain": ~odd, "lines": lines}).select("doc", "plain", F.posexplode("lines").alias("line_no", "line"))
+    bare = docs.select("doc", F.posexplode(lines).alias("line_no", "line"))
     at = (doc.cast(kind if kind == "long" else "decimal(20,0)") * F.lit(most).cast("long" if kind == "long" else "decimal(17,0)") + F.col("line_no")).cast(kind)
-    return each.where(F.length("line") >= 2 * least - 1).select("doc", "line_no", at.alias("at"), "line", "plain")
+    long_enough = F.length("line") >= 2 * least - 1
+    names = ["doc", "line_no", at.alias("at"), "line"]
+    return marked.where(long_enough).select(*names, "plain"), bare.where(long_enough).select(*names)
 
 
 def _spaced() -> F.Column:
@@ -70,26 +74,44 @@ def _running(x) -> F.Column:
     return F.flatten(placed[0])
 
 
-def near_lines(lines: DataFrame) -> DataFrame:
-    """(at, earlier) for lines that have an earlier line within one edit.
+def variants(lines: DataFrame) -> DataFrame:
+    """(at, n, i, key) for lines of n words: hashes of the line without its i-th word, for each word that can be an edit.
+
+    lines: (at, w, head, tail), one row a line. Lines within one edit share a first or a last half (see _halves()), and the
+    edit is outside of it: where only a first half is shared (head), words before the end of that half are not left out,
+    and where only a last one is (tail), words behind its start are not.
 
-    lines: (at, w), one row a line, at in their order. Each line emits its variants, the line itself and the line
-    without each of its words, as hashes: the exclusive or of a hash of each word and its place, so that a running total
-    from the left and one from the right give every variant at once. Lines of equal length that agree without their i-th
-    word are within one edit of each other, all of them, so each is paired with the earliest only. A line that equals
-    others less one word is paired with each of these. Pairs are verified word by word.
+    A hash is the exclusive or of a hash of each word and its place, so that a running total from the left and one from
+    the right give every variant at once.
     """
     here = F.transform("w", lambda x, i: F.xxhash64(x, i))
     back = F.transform("w", lambda x, i: F.xxhash64(x, i - 1))
     hashed = bound(bound(lines.where(F.size("w") > 0), {"here": here, "back": back}), {"left": _running(F.col("here")), "right": _running(F.reverse("back"))})
     # Words behind the one left out move up by one place.
     keys = F.transform("left", lambda x, i: x.bitwiseXOR(F.get("right", F.size("right") - 1 - i)))
-    variants = cut(hashed.select("at", F.size("w").alias("n"), F.posexplode(keys).alias("i", "key")))
-    early = variants.groupBy("n", "i", "key").agg(F.min("at").alias("earlier"), F.max("at").alias("later")).where("earlier < later")
-    changed = variants.join(early.drop("later"), ["n", "i", "key"]).where("earlier < at").select("at", "earlier")
+    every = hashed.select("at", F.size("w").alias("n"), "head", "tail", F.posexplode(keys).alias("i", "key"))
+    half = F.floor((F.col("n") - 1) / 2)
+    return every.where((F.col("head") & (F.col("i") >= half)) | (F.col("tail") & (F.col("i") < F.col("n") - half))).drop("head", "tail")
+
+
+def near_lines(lines: DataFrame) -> DataFrame:
+    """(at, earlier) for lines that have an earlier line within one edit.
+
+    lines: (at, w, head, tail), one row a line, at in their order; head and tail tell whether another line shares one of its
+    first or of its last halves. Lines meet by their variants, the line itself and the line without each of its words.
+    Lines of equal length that agree without their i-th word are within one edit of each other, all of them, so each is
+    paired with the earliest only. A line that equals others less one word is paired with each of these. Pairs are
+    verified word by word.
+    """
+    here = F.transform("w", lambda x, i: F.xxhash64(x, i))
+    made = cut(variants(lines))
+    early = cut(made.groupBy("n", "i", "key").agg(F.min("at").alias("earlier"), F.max("at").alias("later")).where("earlier < later").drop("later"))
     total = F.aggregate(here, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-    whole = lines.select(F.col("at").alias("at0"), F.size("w").alias("n0"), total.alias("key"))
-    shorter = variants.join(whole, "key").where("n = n0 + 1").select(F.greatest("at", "at0").alias("at"), F.least("at", "at0").alias("earlier"))
+    whole = cut(lines.select(F.col("at").alias("at0"), F.size("w").alias("n0"), total.alias("key")))
+    # Most variants meet nothing; a filter of bounded size keeps them from being moved.
+    met = cut(may_be_in(made, "key", early.select("key").union(whole.select("key")), "key"))
+    changed = met.join(early, ["n", "i", "key"]).where("earlier < at").select("at", "earlier")
+    shorter = met.join(whole, "key").where("n = n0 + 1").select(F.greatest("at", "at0").alias("at"), F.least("at", "at0").alias("earlier"))
     pairs = changed.union(shorter.groupBy("at").agg(F.min("earlier").alias("earlier"))).distinct()
     a, b = lines.select("at", F.col("w").alias("wa")), lines.select(F.col("at").alias("earlier"), F.col("w").alias("wb"))
     longer = F.when(F.size("wa") > F.size("wb"), F.col("wa")).otherwise(F.col("wb"))
@@ -115,27 +137,31 @@ def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", mi
     the others. An empty table gives an empty one.
     """
     d = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    each = _lines(d, min_words)
+    marked, each = _lines(d, min_words)
     same = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
-    long_ones = each.withColumn("spaced", _spaced()).withColumn("n", _n_words(F.col("spaced"))).where(F.col("n") >= min_words)
+    # Bound, as the filter would count words once more.
+    long_ones = bound(marked.withColumn("spaced", _spaced()), {"n": _n_words(F.col("spaced"))}).where(F.col("n") >= min_words)
     halves = F.when(F.col("n") >= near_words, _halves(F.col("spaced"), F.col("n")))
     places = long_ones.select("at", *same, halves.alias("k"))
     four = places.select("at", "h", "g", *[F.get("k", F.lit(i)).alias(f"k{i}") for i in range(4)])
     firsts = cut(four.groupBy("h", "g").agg(F.min("at").alias("first"), F.max("at").alias("last"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(4)]))
 
-    shares = firsts.where("k0 is not null").select("first", F.explode(F.array("k0", "k1", "k2", "k3")).alias("half"))
+    shares = firsts.where("k0 is not null").select("first", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("k", "half"))
     twice = shares.groupBy("half").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select("half")
-    close = cut(shares.join(twice, "half", "left_semi").select("first").distinct())
+    first_half = F.col("k") % 2 == 0
+    close = cut(shares.join(twice, "half", "left_semi").groupBy("first").agg(F.max(first_half).alias("head"), F.max(~first_half).alias("tail")))
     # A filter of bounded size keeps the texts of most other lines from being moved.
     there = may_be_in(each, "at", close, "first").join(close, F.col("at") == F.col("first"))
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = cut(there.select("at", _spaced().alias("spaced")).dropDuplicates(["at"]).repartition(spread, "at").select("at", F.split("spaced", " ").alias("w")))
+    spaced = F.array_join(words(F.col("line")), " ").alias("spaced")
+    once = there.select("at", "head", "tail", spaced).dropDuplicates(["at"]).repartition(spread, "at")
+    lines = cut(once.select("at", F.split("spaced", " ").alias("w"), "head", "tail"))
     near = cut(near_lines(lines).select(F.col("at").alias("first")).distinct().withColumn("near", F.lit(True)))
 
-    repeated = firsts.select("h", "g", "first", "last").join(near, "first", "left").where("near or first < last")
+    repeated = cut(firsts.select("h", "g", "first", "last").join(near, "first", "left").where("near or first < last").select("h", "g", "first", "near"))
     return (
-        each.select("doc", "line_no", "at", *same)
-        .join(repeated.select("h", "g", "first", "near"), ["h", "g"])
+        may_be_in(each.select("doc", "line_no", "at", *same), "h", repeated, "h")
+        .join(repeated, ["h", "g"])
         .where(F.col("near") | (F.col("at") > F.col("first")))
         .select("doc", "line_no", F.coalesce("near", F.lit(False)).alias("near"))
         .distinct()

@@ -103,3 +103,24 @@ def test_white_space_and_long_lines(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = plain(rows)
     assert found(df) == want and {d for d, _ in want} == {2, 3, 5, 6, 2**40}
+
+
+def test_variants_of_shared_halves_only(spark):
+    """A word is left out where an edit can be: outside of the half that another line shares."""
+    w = [f"w{k}" for k in range(40)]
+    rows = [(1, w, True, False), (2, w[:39], False, True), (3, w, True, True)]
+    df = spark.createDataFrame(rows, "at long, w array<string>, head boolean, tail boolean")
+    places = {at: sorted(r["i"] for r in lines.variants(df).where(F.col("at") == at).collect()) for at in (1, 2, 3)}
+    assert places == {1: list(range(19, 40)), 2: list(range(20)), 3: list(range(40))}
+
+
+def test_edits_at_every_place(spark):
+    """Pairs of 10 to 13 words, one of them changed, left out or added, at each place."""
+    rows = []
+    for n in range(10, 14):
+        for at in range(n + 1):
+            w = [f"n{n}p{at}w{k}" for k in range(n)]
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join([*w[:at], "other", *w[at + 1 :]])), (len(rows) + 2, " ".join(w[:at] + w[at + 1 :])), (len(rows) + 3, " ".join([*w[:at], "added", *w[at:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain(rows)
+    assert found(df) == want and len(want) > 100
