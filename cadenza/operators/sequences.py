@@ -65,7 +65,8 @@ def fit_law(x, y, target, start=None, delta: float = 1e-3, rounds: int = 200):
 
     Levenberg-Marquardt steps on weighted squares: a residual beyond delta weighs delta / |residual|, which makes the
     squares' minimum that of the Huber loss. The derivatives by the logarithms of the three terms are the terms' shares
-    of their sum. It starts from start, or else from exponents of a coarse grid, with A, B and E by linear least squares.
+    of their sum. Where these do not tell two terms apart, more damping does. It starts from start, or else from
+    exponents of a coarse grid, with A, B and E by linear least squares.
     """
     import numpy as np
 
@@ -88,12 +89,16 @@ def fit_law(x, y, target, start=None, delta: float = 1e-3, rounds: int = 200):
         for _ in range(rounds):
             weight = np.minimum(1.0, delta / np.maximum(np.abs(r), 1e-300))
             normal = (slope * weight[:, None]).T @ slope
-            step = np.linalg.solve(normal + damp * np.diag(np.diag(normal) + 1e-9), (slope * weight[:, None]).T @ r)
+            try:
+                step = np.linalg.solve(normal + damp * np.diag(np.diag(normal) + 1e-9), (slope * weight[:, None]).T @ r)
+            except np.linalg.LinAlgError:  # two terms are told apart by the damping alone, and it is too small for that
+                damp *= 6
+                continue
             new_value, new_slope = model(t + step)
             new = loss(target - new_value)
             if new < best:
                 small = best - new <= 1e-12 * best
-                t, r, slope, best, damp = t + step, target - new_value, new_slope, new, damp / 4
+                t, r, slope, best, damp = t + step, target - new_value, new_slope, new, max(damp / 4, 1e-15)
                 if small:
                     break
             else:
@@ -116,7 +121,7 @@ def fit_law(x, y, target, start=None, delta: float = 1e-3, rounds: int = 200):
 
 def scaling_law(points: DataFrame, reps: int, most: int = 100_000) -> DataFrame:
     """One row: the fit of points (x, y, l) and the 2.5 and 97.5 percentiles of its exponents over resamples. points are the
-    runs of an experiment, which every resample gets whole; more than `most` are an error."""
+    runs of an experiment, which every resample gets whole; more than `most` are an error, and without any all is null."""
     import numpy as np
     import pandas as pd
 
@@ -124,7 +129,7 @@ def scaling_law(points: DataFrame, reps: int, most: int = 100_000) -> DataFrame:
     if len(rows) > most:
         raise ValueError(f"more than {most} points")
     held = np.array(rows, float).reshape(-1, 3)
-    best = fit_law(*held.T)
+    best = fit_law(*held.T) if rows else None
 
     def fits(frames):
         for pdf in frames:
@@ -135,7 +140,7 @@ def scaling_law(points: DataFrame, reps: int, most: int = 100_000) -> DataFrame:
                     whole = fit_law(*held[at].T, start=best)
                 yield pd.DataFrame([[rep, *whole]], columns=["rep", "la", "lb", "le", "a", "b"])
 
-    tasks = points.sparkSession.range(0, reps + 1, 1, min(reps + 1, 64))
+    tasks = points.sparkSession.range(0, reps + 1 if rows else 0, 1, min(reps + 1, 64))
     fitted = tasks.mapInPandas(fits, "rep long, la double, lb double, le double, a double, b double")
     first = lambda c: F.max(F.when(F.col("rep") == 0, c))
     ends = [F.round(F.percentile(F.when(F.col("rep") > 0, F.col(c)), F.lit(p)), 4).alias(f"{c}_{n}") for c in ("a", "b") for n, p in (("low", 0.025), ("high", 0.975))]
