@@ -60,6 +60,39 @@ def spans(rows: DataFrame, by: list[str], order: str, kind: str, start: str, end
     return found.where("span_start < span_end").drop("_cell")
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c of doubles, rounded once: what rounding takes from the product and from the sum is added again."""
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    named = lambda v, **new: F.struct(*[v[n].alias(n) for n in "abcps"], *[x.alias(n) for n, x in new.items()])
+    upper = lambda v: v * 134217729.0 - (v * 134217729.0 - v)
+
+    def rest(v):
+        # Halves of 26 bits, whose products are exact.
+        low_a, low_b, other = v["a"] - v["ah"], v["b"] - v["bh"], v["s"] - v["c"]
+        of_product = ((v["ah"] * v["bh"] - v["p"]) + v["ah"] * low_b + low_a * v["bh"]) + low_a * low_b
+        return v["s"] + (((v["c"] - (v["s"] - other)) + (v["p"] - other)) + of_product)
+
+    given = F.struct(a.alias("a"), b.alias("b"), c.alias("c"), (a * b).alias("p"), (a * b + c).alias("s"))
+    return bound(given, lambda v: bound(named(v, ah=upper(v["a"]), bh=upper(v["b"])), rest))
+
+
+def slope(pairs: Column) -> Column:
+    """Slope of the line through an array of (x, y) in order, as regr_slope(y, x) has it, to the last bit of its running
+    sums with one rounding a step, so that thresholds part the same rows; null for less than two x. Pairs with a null
+    mean nothing."""
+    zero = {n: F.lit(0.0) for n in ("n", "x", "y", "xy", "xx")}
+
+    def add(s, v):
+        n = s["n"] + 1.0
+        dx, x, y = v["x"] - s["x"], s["x"] + (v["x"] - s["x"]) / n, s["y"] + (v["y"] - s["y"]) / n
+        both = {"n": n, "x": x, "y": y, "xy": fused(dx, v["y"] - y, s["xy"]), "xx": fused(v["x"] - x, dx, s["xx"])}
+        return F.struct(*[c.alias(k) for k, c in both.items()])
+
+    whole = F.filter(pairs, lambda v: v["x"].isNotNull() & v["y"].isNotNull())
+    of = lambda s: F.try_divide(s["xy"] / s["n"], s["xx"] / s["n"])
+    return F.aggregate(whole, F.struct(*[c.alias(k) for k, c in zero.items()]), add, lambda s: F.when(s["n"] > 1, of(s)))
+
+
 def fit_law(x, y, target, start=None, delta: float = 1e-3, rounds: int = 200):
     """(log A, log B, log E, a, b) of target = log(A e^(-a x) + B e^(-b y) + E), by Huber loss with this delta.
 

@@ -215,8 +215,10 @@ def slope_stop(spark, sf_dir):
     run = Window.partitionBy("run").orderBy("step")
     w = run.rowsBetween(-9, 0)
     x, y = F.col("step").cast("double"), F.col("loss")
-    slope = (F.avg(x * y).over(w) - F.avg(x).over(w) * F.avg(y).over(w)) / (F.avg(x * x).over(w) - F.avg(x).over(w) * F.avg(x).over(w))
-    m = _steps(spark, sf_dir).withColumns({"slope": slope, "n": F.count("*").over(w)}).where("n = 10").withColumn("up", F.when(F.col("slope") < -0.01, 0).otherwise(1))
+    m = _steps(spark, sf_dir).withColumns({"near": F.regr_slope(y, x).over(w), "last": F.collect_list(F.struct(x.alias("x"), y.alias("y"))).over(w)}).where("step >= 10")
+    # Next to the limit, the last bits tell on which side a slope is.
+    slope = F.when(F.abs(F.col("near") + 0.01) < 1e-6, S.slope(F.col("last"))).otherwise(F.col("near"))
+    m = m.withColumn("up", F.when(slope < -0.01, 0).otherwise(1)).drop("near", "last")
     island = m.withColumn("island", F.sum("up").over(run))
     counted = island.withColumn("stale", F.sum(1 - F.col("up")).over(Window.partitionBy("run", "island").orderBy("step")))
     return counted.where("up = 0 and stale >= 3 and step >= 20").groupBy("run").agg(F.min("step").alias("stop_at"))
