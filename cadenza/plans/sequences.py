@@ -237,11 +237,18 @@ def group_advantage(spark, sf_dir):
 select user_id, event_type, round(p/sum(p) over (partition by user_id), 6) as p from c where before <= 0.6e0""")
 def nucleus_filter(spark, sf_dir):
     user = Window.partitionBy("user_id")
-    p = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.sum("value").alias("v"))
-    q = p.withColumn("p", F.col("v") / F.sum("v").over(user))
-    w = user.orderBy(F.desc("p"), "event_type").rowsBetween(Window.unboundedPreceding, 0)
+    # Summed as decimals, which no order of the rows changes; values that are none leave their users with sums of doubles.
+    exact = F.col("value").try_cast("decimal(28,12)")
+    p = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(
+        F.sum("value").alias("double"), F.sum(exact).alias("exact"), (F.count("value") == F.count(exact)).alias("whole")
+    )
+    whole = F.min("whole").over(user)
+    v, total = F.when(whole, F.col("exact").cast("double")).otherwise(F.col("double")), F.when(whole, F.sum("exact").over(user).cast("double")).otherwise(F.sum("double").over(user))
+    q = p.withColumn("p", F.try_divide(v, total))
+    w = user.orderBy(F.desc("p"), F.asc_nulls_last("event_type")).rowsBetween(Window.unboundedPreceding, 0)
     kept = q.withColumn("before", F.sum("p").over(w) - F.col("p")).where("before <= 0.6D")
-    return kept.select("user_id", "event_type", F.round(F.col("p") / F.sum("p").over(user), 6).alias("p"))
+    share = F.try_divide("p", F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return kept.select("user_id", "event_type", (F.round(share * 1e6) / 1e6).alias("p"))
 
 
 @query("""with a as (select event_id, cast(event_id % 10 as integer)+1 as want, case when event_id % 9 = 0 then null else cast((event_id*3) % 10 as integer)+1 end as got, value/500e0 as sim, value/25e0-10e0 as z, case when event_id % 7 = 0 then null else cast(event_id % 24 as integer)+1 end as rank, case when event_id % 5 = 0 then 3 else 24 end as n from events),

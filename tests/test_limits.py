@@ -36,3 +36,28 @@ def test_slopes_on_the_limit(spark, tmp_path):
     events(tmp_path, lambda rng: None if rng.random() < 0.02 else rng.randrange(30_000, 30_030) / 100)
     got, want = both(spark, tmp_path, "slope_stop")
     assert len(want) > 100 and got == want
+
+
+def test_shares_on_the_limit(spark, tmp_path):
+    """Sums that are exact in the SQL too, and shares that end on half of the last place."""
+    events(tmp_path, lambda rng: rng.randrange(1, 2_000) / 4, each=8)
+    got, want = both(spark, tmp_path, "nucleus_filter")
+    assert len(want) > 1000 and got == want
+
+
+def test_shares_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    found = []
+    for k in range(2):
+        (folder := tmp_path / str(k)).mkdir()
+        events(folder, lambda rng: rng.randrange(1, 40) / 100)
+        t = pq.read_table(f"{folder}/events.parquet")
+        pq.write_table(t[::-1] if k else t, f"{folder}/events.parquet")
+        found.append(both(spark, folder, "nucleus_filter")[0])
+    assert found[0] == found[1]
+
+
+def test_shares_of_odd_values(spark, tmp_path):
+    """Users without any value, with zeros alone, and with values beyond decimals."""
+    events(tmp_path, lambda rng: rng.choice([None, 0.0, 1e30, 2.5]), each=4)
+    got, want = both(spark, tmp_path, "nucleus_filter")
+    assert len(want) > 500 and got == want
