@@ -40,6 +40,16 @@ def window_parts(bars: DataFrame, song: str, inst: str, size: int = 4) -> DataFr
     return kept.groupBy(song, "window", role.alias("role"), inst).agg(F.sum("n").alias("n"), F.count("*").alias("bars"), F.max("n").alias("most"), seq.alias("seq"))
 
 
+def bound(x: Column, f) -> Column:
+    """f(x), with x computed once a row however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def places(seq: Column, is_one) -> Column:
+    """Where (from 0) the tokens of a sequence are for which is_one holds."""
+    return F.filter(F.transform(seq, lambda t, i: F.when(is_one(t), i)), lambda i: i.isNotNull())
+
+
 def framed(inst: Column, seq: Column) -> Column:
     return F.concat(F.array(inst.cast("int")), seq, tokens(V.ESEQ))
 
@@ -79,15 +89,22 @@ def parsed_block(block: Column) -> Column:
     """Map of instrument to sequence of a block: sequences start behind an instrument token and end at <ESEQ>, at the next
     instrument or at <TAG_END>, which ends the block; the last sequence of an instrument counts, empty ones stay."""
     is_inst = lambda t: t.between(9, 10)
-    body = cut_at(block, V.TAG_END, after=False)
-    starts = F.filter(F.transform(body, lambda t, i: F.when(is_inst(t), i)), lambda i: i.isNotNull())
-    ends = F.transform(body, lambda t, i: F.when(is_inst(t) | (t == V.ESEQ), i))
-    def one(s):
-        stop = F.coalesce(F.array_min(F.filter(ends, lambda e: e > s)), F.size(body))
-        return F.struct(F.get(body, s).alias("key"), F.slice(body, s + 2, stop - s - 1).alias("value"))
-    pairs = F.transform(starts, one)
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+
+    def pairs(v):
+        body = v["body"]
+
+        def one(s):
+            stop = F.coalesce(F.array_min(F.filter(v["ends"], lambda e: e > s)), F.size(body))
+            return F.struct(F.get(body, s).alias("key"), F.slice(body, s + 2, stop - s - 1).alias("value"))
+
+        return F.transform(v["starts"], one)
+
+    def found(body):
+        return F.struct(body.alias("body"), places(body, is_inst).alias("starts"), places(body, lambda t: is_inst(t) | (t == V.ESEQ)).alias("ends"))
+
+    last = lambda x: F.filter(x, lambda p, i: ~F.exists(F.slice(x, i + 2, F.size(x)), lambda q: q["key"] == p["key"]))
+    body = bound(block, lambda b: cut_at(b, V.TAG_END, after=False))
+    return F.map_from_entries(bound(bound(bound(body, found), pairs), last))
 
 
 #: What makes the model state the whole system block before it plays.
@@ -113,36 +130,43 @@ def parsed_sample(sample: Column) -> Column:
     to sequences (null if their block is missing), prompt goes up to <MGEN>. Which blocks there are tells the task. gold
     is what follows <MGEN>, without a system block at its start and without <TE>.
     """
-    at = F.array_position(sample, MGEN).cast("int")
-    head = F.slice(sample, F.lit(1), F.greatest(at - 1, F.lit(0)))
-    marks = (SYSTEM, *MARKS.values())
-    is_end = lambda t: t.isin(V.TAG_END, *marks)
-
-    def block(mark: int) -> Column:
-        places = F.filter(F.transform(head, lambda t, i: F.when(t == mark, i)), lambda i: i.isNotNull())
-        start = F.array_max(places)
-        rest = F.slice(head, start + 2, F.size(head))
-        ends = F.filter(F.transform(rest, lambda t, i: F.when(is_end(t), i)), lambda i: i.isNotNull())
-        return F.when(start.isNotNull(), F.slice(rest, F.lit(1), F.coalesce(F.array_min(ends), F.size(rest))))
-
-    found = {n: block(m) for n, m in {"system": SYSTEM, **MARKS}.items()}
-    has = {n: x.isNotNull() for n, x in found.items()}
-    task = (
-        F.when(has["past"] & has["future"], "infill").when(has["past"], "meta_past").when(has["future"], "meta_future")
-        .when(has["const"], "inst_comp").otherwise("meta")
-    )
-    tail = F.slice(sample, at + 1, F.size(sample))
-    end = F.array_position(tail, V.TAG_END).cast("int")
-    said = F.when(F.get(tail, F.lit(0)) == SYSTEM, F.when(end > 0, F.slice(tail, end + 1, F.size(tail))).otherwise(none())).otherwise(tail)
-    seqs = lambda x: F.when(x.isNotNull(), parsed_block(F.concat(x, tokens(V.TAG_END))))
-    return F.when(
-        (at > 0) & has["system"],
-        F.struct(
-            task.alias("task"), F.slice(sample, F.lit(1), at).alias("prompt"), F.concat(tokens(SYSTEM), found["system"], tokens(V.TAG_END)).alias("condition"),
-            seqs(found["past"]).alias("past"), seqs(found["future"]).alias("future"), seqs(found["const"]).alias("other"),
-            F.filter(said, lambda t: t != V.TE).alias("gold"),
-        ),
-    )
+    marks = {"system": SYSTEM, **MARKS}
+
+    def block(v, mark: int) -> Column:
+        # From behind the last of these markers to the next marker or end.
+        start = F.array_max(F.filter(v["stops"], lambda i: F.get(v["head"], i) == mark))
+        stop = F.coalesce(F.array_min(F.filter(v["stops"], lambda i: i > start)), F.size(v["head"]))
+        return F.when(start.isNotNull(), F.slice(v["head"], start + 2, stop - start - 1))
+
+    def answer(tail):
+        end = F.array_position(tail, V.TAG_END).cast("int")
+        said = F.when(F.get(tail, F.lit(0)) == SYSTEM, F.when(end > 0, F.slice(tail, end + 1, F.size(tail))).otherwise(none())).otherwise(tail)
+        return F.filter(said, lambda t: t != V.TE)
+
+    def told(v):
+        has = {n: v[n].isNotNull() for n in marks}
+        task = (
+            F.when(has["past"] & has["future"], "infill").when(has["past"], "meta_past").when(has["future"], "meta_future")
+            .when(has["const"], "inst_comp").otherwise("meta")
+        )
+        seqs = lambda x: F.when(x.isNotNull(), parsed_block(F.concat(x, tokens(V.TAG_END))))
+        sample, at = v["sample"], v["at"]
+        return F.when(
+            (at > 0) & has["system"],
+            F.struct(
+                task.alias("task"), F.slice(sample, F.lit(1), at).alias("prompt"), F.concat(tokens(SYSTEM), v["system"], tokens(V.TAG_END)).alias("condition"),
+                seqs(v["past"]).alias("past"), seqs(v["future"]).alias("future"), seqs(v["const"]).alias("other"),
+                bound(F.slice(sample, at + 1, F.size(sample)), answer).alias("gold"),
+            ),
+        )
+
+    def head(v):
+        own = F.slice(v["sample"], F.lit(1), F.greatest(v["at"] - 1, F.lit(0)))
+        return F.struct(v["sample"].alias("sample"), v["at"].alias("at"), own.alias("head"), places(own, lambda t: t.isin(V.TAG_END, *marks.values())).alias("stops"))
+
+    given = bound(sample, lambda x: F.struct(x.alias("sample"), F.array_position(x, MGEN).cast("int").alias("at")))
+    blocks_ = lambda v: F.struct(v["sample"].alias("sample"), v["at"].alias("at"), *[block(v, m).alias(n) for n, m in marks.items()])
+    return bound(bound(bound(given, head), blocks_), told)
 
 
 #: The marker of chords that are given.

@@ -28,11 +28,13 @@ def _reasoned(spark, sf_dir):
     system = B.partial_system(F.col("song") % 34, F.lit(4), F.col("insts"), F.col("song") % 42, bit["density"], bit["length"], bit["genre"], bit["key"], bit["thinking"])
     s = s.withColumns({"system": system, "thinking": bit["thinking"]})
     plan = F.when(F.col("thinking"), F.col("meta")).otherwise(B.none())
-    out = None
-    for task, roles in (("meta_past", ("past",)), ("meta_future", ("future",)), ("infill", ("past", "future"))):
-        one = s.select("*", F.lit(task).alias("task"), F.concat(B.tokens(B.EOS), "system", *roles, B.tokens(B.MGEN)).alias("prompt"), F.concat(plan, "body", B.tokens(V.TE)).alias("answer"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    asked = {"meta_past": ("past",), "meta_future": ("future",), "infill": ("past", "future")}
+    # All tasks of a window are made where it lies.
+    tasks = [
+        F.struct(F.lit(task).alias("task"), F.concat(B.tokens(B.EOS), "system", *roles, B.tokens(B.MGEN)).alias("prompt"), F.concat(plan, "body", B.tokens(V.TE)).alias("answer"))
+        for task, roles in asked.items()
+    ]
+    return s.select("*", F.inline(F.array(*tasks)))
 
 
 @query(f"with {SQL_REASONED} select song, cast(win as bigint) as win, task, thinking, prompt, answer from rs")
