@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import MAJOR_PROFILE, MINOR_PROFILE, in_scale
 
@@ -178,3 +179,38 @@ def auc_by_source(rows: DataFrame, source: str, score: str, negative) -> DataFra
     each = counts.join(wins, "_s").groupBy("source", "_s").agg(F.sum("_n").alias("_n"), F.first("_wins").alias("_wins"))
     found = each.rollup("source").agg(F.sum("_n").alias("positives"), F.sum(F.col("_n") * F.col("_wins")).alias("_w"), (F.sum(F.col("_n") * F.col("_s")) / F.sum("_n")).alias("mean"))
     return found.crossJoin(F.broadcast(total)).select("source", "positives", "negatives", (F.col("_w") / F.nullif(F.col("positives") * F.col("negatives"), F.lit(0))).alias("auc"), "mean")
+
+
+def key_votes(windows: DataFrame, profiles: list, good: float = 0.2, clear: float = 0.05) -> DataFrame:
+    """(song, win, key, weight, votes) of windows (song, win, c0 to c11: what each pitch class lasts), decided where they lie.
+
+    Each profile (of major and of minor) correlates with the classes in 24 keys, which are 2 * tonic + (1 in minor), and
+    votes for its best key, of equals the first, if that is good and clear of the next. The key with the most votes wins,
+    of equals that of the earlier profile; windows without a vote are left out. As a correlation with equal sums is NaN,
+    which is above all numbers, such a window has all votes for key 0.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    # Centred and of length 1, so that a product with centred sums is a correlation once it is divided by their length.
+    every = np.array([[np.roll(both[k % 2], k // 2) for k in range(24)] for both in profiles], float)
+    every -= every.mean(2, keepdims=True)
+    every /= np.sqrt((every**2).sum(2, keepdims=True))
+
+    def vote(batches):
+        for batch in batches:
+            sums = np.stack([batch.column(k + 2).to_numpy() for k in range(12)], 1)
+            own = sums - sums.mean(1, keepdims=True)
+            with np.errstate(all="ignore"):
+                r = np.round(np.einsum("wc,pkc->wpk", own, every) / np.sqrt((own**2).sum(1))[:, None, None], 6)
+                order = np.sort(r, 2)
+                ok = ~(order[:, :, -1] < good) & ~(np.round(order[:, :, -1] - order[:, :, -2], 6) < clear)
+            key = np.where(ok, r.argmax(2), -1)
+            votes = ((key[:, :, None] == key[:, None, :]) & ok[:, :, None]).sum(2)
+            first, row = votes.argmax(1), np.flatnonzero(ok.any(1))
+            at = (row, first[row])
+            columns = [key[at].astype(np.int32), ok.sum(1)[row], votes[at]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(row)) for k in range(2)], *map(pa.array, columns)], ["song", "win", "key", "weight", "votes"])
+
+    kinds = T.StructType([windows.schema["song"], windows.schema["win"], *[T.StructField(c, k) for c, k in (("key", T.IntegerType()), ("weight", T.LongType()), ("votes", T.LongType()))]])
+    return windows.select("song", "win", *[f"c{k}" for k in range(12)]).mapInArrow(vote, kinds)

@@ -405,14 +405,7 @@ v as (select song, win, profile, key from o where rn = 1 and r >= 0.2e0 and marg
 def window_key_vote(spark, sf_dir):
     """Key of each four bars by the votes of three profiles, each of which votes only if its best key is good and clear; ties go
     to the first profile. weight: how many voted."""
-    n = notes(spark, sf_dir).groupBy("song", F.expr("cast(measure div 4 as bigint)").alias("win"), F.pmod("pitch", F.lit(12)).cast("int").alias("pc")).agg(F.sum("dur").cast("double").alias("c"))
-    every = n.select("song", "win").distinct().withColumn("pc", F.explode(F.sequence(F.lit(0), F.lit(11)))).join(n, ["song", "win", "pc"], "left").fillna(0.0, ["c"])
-    keys = spark.createDataFrame(_KEYS, "profile string, key int, pc int, p double")
-    r = every.join(F.broadcast(keys), "pc").groupBy("song", "win", "profile", "key").agg(F.round(F.corr("c", "p"), 6).alias("r"))
-    w = Window.partitionBy("song", "win", "profile").orderBy(F.desc("r"), "key")
-    o = r.withColumns({"rn": F.row_number().over(w), "margin": F.round(F.col("r") - F.lead("r").over(w), 6)}).where("rn = 1 and r >= 0.2D and margin >= 0.05D")
-    rank = F.when(F.col("profile") == "ks", 0).when(F.col("profile") == "tkp", 1).otherwise(2)
-    c = o.groupBy("song", "win", "key").agg(F.count("*").alias("votes"), F.min(rank).alias("f"))
-    win = Window.partitionBy("song", "win")
-    best = c.withColumns({"weight": F.sum("votes").over(win), "rn": F.row_number().over(win.orderBy(F.desc("votes"), "f"))})
-    return best.where("rn = 1").select("song", "win", "key", "weight", "votes")
+    pc, known = F.pmod("pitch", F.lit(12)), F.col("song").isNotNull() & F.col("measure").isNotNull()
+    sums = [F.coalesce(F.sum(F.when((pc == k) & known, F.col("dur"))), F.lit(0)).cast("double").alias(f"c{k}") for k in range(12)]
+    n = notes(spark, sf_dir).groupBy("song", F.expr("cast(measure div 4 as bigint)").alias("win")).agg(*sums)
+    return M.key_votes(n, list(PROFILES.values()))

@@ -61,3 +61,15 @@ def test_shares_of_odd_values(spark, tmp_path):
     events(tmp_path, lambda rng: rng.choice([None, 0.0, 1e30, 2.5]), each=4)
     got, want = both(spark, tmp_path, "nucleus_filter")
     assert len(want) > 500 and got == want
+
+
+def test_keys_are_voted_on_where_windows_lie(spark, tmp_path):
+    """No row for each window, profile and key; a window of equal sums, here of notes without a pitch, votes as in the SQL."""
+    events(tmp_path, lambda rng: rng.randrange(1, 9) * 10.0, users=200, each=30)
+    t = pq.read_table(f"{tmp_path}/events.parquet")
+    props = [None if u < 5 else p for u, p in zip(t["user_id"].to_pylist(), t["props"].to_pylist())]
+    pq.write_table(t.set_column(t.schema.get_field_index("props"), "props", pa.array(props, "string")), f"{tmp_path}/events.parquet")
+    got, want = both(spark, tmp_path, "window_key_vote")
+    assert len(want) > 100 and got == want
+    plan = registry.QUERIES["window_key_vote"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
