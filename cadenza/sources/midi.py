@@ -108,19 +108,32 @@ def song_files(messages: DataFrame, beat: int = 480) -> DataFrame:
     """(name, content): the file <song>.mid of each song of messages (song, track, tick, kind, channel, a, b). At equal
     ticks offs stand before ons, then lower channels and pitches. A song's messages meet in one row."""
 
-    def encode(frames):
-        for pdf in frames:
-            out = []
-            for song, rows in zip(pdf["song"], pdf["rows"]):
+    def encode(batches, most: int = 50_000):
+        import pyarrow as pa
+
+        def made(songs, files):
+            return pa.RecordBatch.from_arrays([pa.array([f"{x}.mid" for x in songs], pa.string()), pa.array(files, pa.binary())], ["name", "content"])
+
+        for batch in batches:
+            songs, lists = batch.column(0).to_pylist(), batch.column(1)
+            ends = lists.offsets.to_pylist()
+            fields = [lists.values.field(c) for c in ("track", "tick", "kind", "channel", "a", "b")]
+            first, files = 0, []
+            # Messages become objects of Python a song at a time, and files leave before many are held.
+            for k in range(len(songs)):
                 tracks: dict = {}
-                for r in rows:
-                    tracks.setdefault(r["track"], []).append((r["tick"], r["kind"], r["channel"], r["a"], r["b"]))
-                out.append((f"{song}.mid", song_bytes([tracks[t] for t in sorted(tracks)], beat)))
-            yield pd.DataFrame(out, columns=["name", "content"])
+                for track, *message in zip(*[x.slice(ends[k], ends[k + 1] - ends[k]).to_pylist() for x in fields]):
+                    tracks.setdefault(track, []).append(tuple(message))
+                files.append(song_bytes([tracks[t] for t in sorted(tracks)], beat))
+                if ends[k + 1] - ends[first] > most:
+                    yield made(songs[first : k + 1], files)
+                    first, files = k + 1, []
+            if files:
+                yield made(songs[first:], files)
 
     place = F.struct("track", "tick", (F.col("kind") == "on").alias("late"), "channel", "a", "b", "kind")
     songs = messages.groupBy("song").agg(F.array_sort(F.collect_list(place)).alias("rows"))
-    return songs.mapInPandas(encode, "name string, content binary")
+    return songs.mapInArrow(encode, "name string, content binary")
 
 
 class _Written(WriterCommitMessage):

@@ -109,3 +109,16 @@ def test_a_try_that_does_not_count_leaves_nothing(tmp_path):
     writer = M.FileSinkWriter(f"{tmp_path}/none")
     writer.abort([writer.write(iter(rows))])
     assert os.listdir(f"{tmp_path}/none") == []
+
+
+def test_songs_are_encoded_one_by_one(spark):
+    """A batch's messages do not all become objects at once: it stays in columns, and goes out in pieces."""
+    songs = spark.range(600).withColumnRenamed("id", "song")
+    each = F.explode(F.sequence(F.lit(0), F.lit(199))).alias("tick")
+    m = songs.select("song", (F.col("song") % 2).cast("int").alias("track"), each).select(
+        "song", "track", F.col("tick").cast("long").alias("tick"), F.lit("on").alias("kind"), F.lit(0).alias("channel"), F.lit(60).alias("a"), F.lit(1).alias("b")
+    )
+    files = M.song_files(m.repartition(1, "song"))
+    assert "MapInArrow" in files._jdf.queryExecution().executedPlan().toString()
+    got = {r["name"]: len(list(M.song_messages(bytes(r["content"])))) for r in files.collect()}
+    assert got == {f"{k}.mid": 201 for k in range(600)}
