@@ -28,7 +28,7 @@ from .text_words import LOWER, mixed, split_words, word_hashes
 FRAGMENTS, BATCH_GRAMS, BATCH_DOCS, RANGE_GRAMS = 8, 300_000, 8_000, 400_000
 #: Rows of one or two numbers sent to every executor at most, wide rows, and bytes of fragments; beyond these they are
 #: joined by hash.
-NAMED, WIDE, HELD = 1_000_000, 100_000, 16_000_000
+NAMED, WIDE, HELD = 200_000, 20_000, 4_000_000
 #: Ratio of two set sizes of neighbouring size classes.
 CLASS = 1.05
 _IDX = 13

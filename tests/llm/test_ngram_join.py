@@ -66,3 +66,10 @@ def test_chains_and_shared_passages(spark):
 def test_null_key(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert found(df) == {None: (2, None), 2: (2, 2)}
+
+
+def test_broadcasts_stay_small(spark):
+    """The driver holds what it sends; ids or wide rows beyond a few MB are joined by hash."""
+    sent = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert sent(ngram_join._small(spark.range(1_000))) and not sent(ngram_join._small(spark.range(300_000)))
+    assert not sent(ngram_join._small(spark.range(50_000), ngram_join.WIDE))
